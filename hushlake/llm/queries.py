@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
+from .language_id import op6_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .url_filter import OP9_SQL, op9_url_filters
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op9_url_filters": op9_url_filters}
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_bpe": op7_bpe,
+    "op9_url_filters": op9_url_filters,
+}
+#: Operators 6 and 7 are held against held-out accuracy and the vocabulary's library in tests/llm.
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op9_url_filters": OP9_SQL}
