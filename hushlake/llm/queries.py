@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op7_bpe
 from .language_id import op6_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .ngram_jaccard import OP10_SQL, op10_ngram_jaccard
 from .url_filter import OP9_SQL, op9_url_filters
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_bpe": op7_bpe,
     "op9_url_filters": op9_url_filters,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 #: Operators 6 and 7 are held against held-out accuracy and the vocabulary's library in tests/llm.
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op9_url_filters": OP9_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op9_url_filters": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
