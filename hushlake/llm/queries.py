@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .decontaminate import op8_decontamination
 from .language_id import op6_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .ngram_jaccard import OP10_SQL, op10_ngram_jaccard
+from .quality import op2_quality
 from .url_filter import OP9_SQL, op9_url_filters
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality": op2_quality,
     "op6_language_id": op6_language_id,
     "op7_bpe": op7_bpe,
+    "op8_decontamination": op8_decontamination,
     "op9_url_filters": op9_url_filters,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
