@@ -7,12 +7,16 @@ from .decontaminate import op8_decontamination
 from .language_id import op6_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .ngram_jaccard import OP10_SQL, op10_ngram_jaccard
+from .pii import op4_pii
 from .quality import op2_quality
+from .secrets import op5_secrets
 from .url_filter import OP9_SQL, op9_url_filters
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
+    "op4_pii": op4_pii,
+    "op5_secrets": op5_secrets,
     "op6_language_id": op6_language_id,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
