@@ -165,14 +165,16 @@ def judge(net: ByteNetwork, tables: list[list[np.ndarray]], texts: list[str]) ->
 def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, max_chars: int = 4000, max_langs: int = 200) -> ByteNetwork:
     """Trains on a bounded sample of labelled texts: per_lang of each language, their first max_chars characters.
 
-    The sample is the rows with the smallest hash of the id, so it is the same for the same rows. Rows
+    The sample is rows with the smallest hashes of the id, so it is the same for the same rows. Rows
     with null text or language are left out. Without any labelled row a ValueError is raised. The bounds
     hold for training alone; prediction reads whole texts.
     """
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    # Spark keeps the first per_lang rows of each task before the shuffle, so no language is gathered whole.
-    first = Window.partitionBy("lang").orderBy("order", "id")
+    # 64 slices of each language give their first few rows, so that no language is gathered whole.
     ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("order"))
+    in_slice = Window.partitionBy("lang", F.pmod("order", F.lit(64))).orderBy("order", "id")
+    ids = ids.withColumn("place", F.row_number().over(in_slice)).filter(F.col("place") <= max(1, per_lang // 16))
+    first = Window.partitionBy("lang").orderBy("order", "id")
     picked = ids.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_lang).select("id", "lang")
     sample = rows.select(F.col(id_col).alias("id"), F.substring(text_col, 1, max_chars).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(picked), ["id", "lang"])
     found = sorted(sample.distinct().limit(per_lang * max_langs).collect(), key=lambda r: (r.id, r.text))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe import op7_bpe
 from .decontaminate import op8_decontamination
+from .embedding_dedup import OP3_SQL, op3_embedding_dedup
 from .language_id import op6_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .ngram_jaccard import OP10_SQL, op10_ngram_jaccard
@@ -15,6 +18,7 @@ from .url_filter import OP9_SQL, op9_url_filters
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_pii": op4_pii,
     "op5_secrets": op5_secrets,
     "op6_language_id": op6_language_id,
@@ -22,6 +26,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filters": op9_url_filters,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "pipeline": corpus_pipeline.run,
 }
 #: Operators 6 and 7 are held against held-out accuracy and the vocabulary's library in tests/llm.
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op9_url_filters": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op9_url_filters": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
