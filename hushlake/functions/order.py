@@ -36,8 +36,9 @@ def ope_encrypt(value: Column, key: Key, plain_bits: int = 32, cipher_bits: int
     value = checked(value, plain_max, on_invalid)
     noise_range = max(1, cipher_max // (plain_max * 10))
     big = lambda n: F.lit(str(n)).cast("decimal(38,0)")
-    base = F.floor(value.cast("decimal(10,0)") * big(cipher_max // plain_max)).cast("decimal(38,0)") if cipher_max % plain_max == 0 else F.expr("null")
-    if cipher_max % plain_max:
+    if cipher_max % plain_max == 0:
+        base = (value.cast("decimal(10,0)") * F.lit(str(cipher_max // plain_max)).cast("decimal(20,0)")).cast("decimal(38,0)")
+    else:
         whole = value.cast("decimal(20,0)") * F.lit(str(cipher_max)).cast("decimal(18,0)")
         base = ((whole - whole % big(plain_max)) / big(plain_max)).cast("decimal(38,0)")
     noise = unsigned(first_bytes(hmac256(key, big_endian(value, 8)), 8)) % F.lit(str(noise_range)).cast("decimal(20,0)")
@@ -89,12 +90,17 @@ def ore_compare(a: Column, b: Column) -> Column:
     size = 2 + (LEFT + 2) * BLOCKS
     fits = lambda c: (F.length(c) == size) & (F.substring(c, 1, 2) == F.lit(bytes([1, BLOCKS])))
     fail = lambda text: F.raise_error(F.lit(text)).cast("int")
-    out = F.lit(0)
-    for i in reversed(range(BLOCKS)):
-        diff = F.pmod(ore_right(a, i) - ore_right(b, i), F.lit(MODULUS))
-        own = F.when(diff == 0, out).when(diff <= MODULUS // 2, F.lit(1)).otherwise(F.lit(-1))
-        out = F.when(ore_left(a, i) != ore_left(b, i), fail("ciphertexts of different keys")).otherwise(own)
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).when(~fits(a) | ~fits(b), fail("malformed ciphertext")).otherwise(out)
+
+    def judged(s: Column) -> Column:
+        a, b, out = s["a"], s["b"], F.lit(0)
+        for i in reversed(range(BLOCKS)):
+            diff = F.pmod(ore_right(a, i) - ore_right(b, i), F.lit(MODULUS))
+            own = F.when(diff == 0, out).when(diff <= MODULUS // 2, F.lit(1)).otherwise(F.lit(-1))
+            out = F.when(ore_left(a, i) != ore_left(b, i), fail("ciphertexts of different keys")).otherwise(own)
+        return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).when(~fits(a) | ~fits(b), fail("malformed ciphertext")).otherwise(out)
+
+    # One lambda over both, so that a ciphertext that is computed in the plan is computed once.
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), judged)[0]
 
 
 def ore_between(cipher: Column, low: Column | None = None, high: Column | None = None) -> Column:
