@@ -112,6 +112,17 @@ def forward_open(index: ForwardIndex, words: DataFrame | None, search_rows: Data
     return ForwardIndex(states, secure, aux, 0 if words is None else index.updates), without_keys(found)
 
 
+def forward_update(index: ForwardIndex, docs: DataFrame, state_key: Key, search_rows: DataFrame, search: Key, mode: str = "strong", threshold: int = 1000, order: str = "doc_id") -> ForwardIndex:
+    """forward_add, which counts the updated keywords; in mode 'strong' everything moves to the secure index once they reach threshold since the last time."""
+    if mode not in ("strong", "balanced", "off"):
+        raise ValueError("mode must be strong, balanced or off")
+    grown = forward_add(index, docs, state_key, search, mode, order)
+    if mode == "off":
+        return grown
+    grown.updates = index.updates + (docs.select(F.sum(F.size(F.array_distinct(F.transform(keywords(F.col("content")), F.lower))))).first()[0] or 0)
+    return forward_open(grown, None, search_rows, search)[0] if mode == "strong" and grown.updates >= threshold else grown
+
+
 def index_statistics(index: ForwardIndex, documents: DataFrame) -> DataFrame:
     """One row: entries of the secure and auxiliary index, keywords, documents, updates."""
     one = lambda df, name: df.agg(F.count("*").alias(name))
