@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fpe, order, tokens
-from ..functions.prf import big_endian, hmac256
-from ..functions.text import clean_details, keywords, redact, redact_fields
+from ..functions.prf import hmac256
+from ..functions.text import clean_details, redact, redact_fields
 from ..operators import index, masked, observe, privacy, rotation, screening, search
 from ..sources.keys import derived, field_key, key, key_rows, pads, with_keys, with_tenant_keys, without_keys
 from ..sources.staging import shared_folder, stored
