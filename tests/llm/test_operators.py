@@ -1,0 +1,358 @@
+"""Operators against brute force, with nulls, empty and repeated rows, empty tables and extra columns."""
+
+import hashlib
+import random
+import re
+import string
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hushlake.llm.bpe import TextEncoder, decode_ids, encode_texts, vocabulary_path
+from hushlake.llm.decontaminate import find_leaks
+from hushlake.llm.embedding_dedup import audit, dedup_embeddings, similar_pairs
+from hushlake.llm.language_id import held_out, identify, learn_languages
+from hushlake.llm.line_dedup import dedup_lines
+from hushlake.llm.ngram_jaccard import jaccard_groups
+from hushlake.llm.pii import pseudonymize
+from hushlake.llm.quality import judge_quality
+from hushlake.llm.secrets import candidates, scan_secrets
+from hushlake.llm.shared import components
+from hushlake.llm.url_filter import RULES, filter_urls, rule_table
+
+DOCS = "doc_id long, text string, key string, gram string"
+BLANK = " \t\n\x0b\x0c\r"
+UP = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def docs_of(spark, texts, start=0):
+    """Documents with columns whose names clash with inner ones."""
+    return spark.createDataFrame([(start + i, t, "x", "y") for i, t in enumerate(texts)], DOCS)
+
+
+def words(rng, n):
+    return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]) + rng.choice("abcdefgh") for _ in range(n))
+
+
+# ---- 1 ----
+
+
+def plain_lines(rows):
+    first = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            k = line.strip(BLANK).translate(UP)
+            if len(k) >= 10:
+                first[k] = min(i, first.get(k, i))
+    out = []
+    for i, t in rows:
+        own = (t or "").split("\n")
+        keep = [x for x in own if first.get(x.strip(BLANK).translate(UP), i) >= i]
+        out.append((i, "\n".join(keep), len(own), len(own) - len(keep)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("batches", [1, 3, 6])
+def test_lines(spark, batches):
+    rng = random.Random(3)
+    pool = [words(rng, 4) for _ in range(12)] + ["short", "", "  Ünïcode line Ä  ", "É" * 10, "é" * 10]
+    texts = ["\n".join(rng.choice([str.upper, str])(rng.choice(pool)) + rng.choice(["", " ", "\t"]) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    texts += [None, "", "\n\n", texts[0], texts[0], "x" * 200_000 + "\n" + "only one here"]
+    rows = list(enumerate(texts))
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in dedup_lines(docs_of(spark, texts), batches=batches, fanout=2).collect())
+    assert got == plain_lines(rows)
+
+
+def test_lines_null_id_repeats_and_empty_table(spark):
+    df = spark.createDataFrame([(None, "a line of some length"), (4, "a line of some length"), (4, "a line of some length")], "doc_id long, text string")
+    got = sorted((r.doc_id or 99, r.text) for r in dedup_lines(df).collect())
+    assert got == [(4, "a line of some length"), (4, "a line of some length"), (99, "")]
+    assert dedup_lines(df.limit(0)).count() == 0
+
+
+# ---- 2 ----
+
+
+def test_quality(spark):
+    rng = random.Random(5)
+    good = [words(rng, 60) for _ in range(60)]
+    bad = [w.upper().replace(" ", "### ") for w in good[:10]]
+    texts = good + bad + [None, ""]
+    df = docs_of(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise("en"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in judge_quality(df, labels).collect()}
+    assert len(got) == len(texts)
+    assert all(got[i].kept for i in range(60)) and not any(got[i].kept for i in range(60, 72))
+    assert got[70].perplexity is None and got[71].perplexity is None and got[0].lang is None
+    assert judge_quality(df.limit(0).union(df.limit(41)), labels).count() == 41
+    with pytest.raises(ValueError):
+        judge_quality(df, labels.limit(0))
+
+
+def test_quality_model_is_a_distribution(spark):
+    from hushlake.llm.quality import CLASSES, surprise, train_model
+
+    df = spark.createDataFrame([("en", "the cat sat on the mat and the hat sat on the cat")] * 3, "lang string, text string")
+    p = np.exp(-surprise(train_model(df)["en"]).astype(np.float64)).reshape(CLASSES, CLASSES, CLASSES)
+    seen = [(int(a), int(b)) for a, b in [(0, 0)]]
+    assert abs(p[seen[0]].sum() - 1) < 1e-3
+    assert np.allclose(p.sum(axis=2), 1, atol=2e-3)
+
+
+# ---- 3 ----
+
+
+def plain_links(vectors, least):
+    fine = {i: np.array(v, float) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    links = {i: set() for i, _ in vectors}
+    for i, a in fine.items():
+        for j, b in fine.items():
+            if i != j and len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= least:
+                links[i].add(j)
+    part = {i: i for i in links}
+    for _ in links:
+        for i in links:
+            part[i] = min([part[i], *[part[j] for j in links[i]]])
+    return links, part
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(40, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    rows += [(100 + i, (base[i % 10] + rng.normal(size=16) * 0.1).tolist()) for i in range(120)]
+    rows += [(300 + i, base[3].tolist()) for i in range(30)] + [(400, (base[3] * 2.5).tolist())]
+    rows += [(500, None), (501, [0.0] * 16), (502, [float("nan")] + [1.0] * 15), (503, [None] + [1.0] * 15), (504, []), (505, [1.0, 2.0]), (506, [2.0, 4.0]), (507, [float("inf")] + [1.0] * 15)]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, rep string")
+    got = {r.vec_id: r for r in dedup_embeddings(df, shard=40).collect()}
+    links, part = plain_links(rows, 0.9)
+    assert {i: (len(links[i]), part[i], part[i] == i) for i in part} == {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()}
+    assert dedup_embeddings(df.limit(0)).count() == 0
+
+
+def test_vector_recall(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(150, 24))
+    x = np.concatenate([base, base[:100] + rng.normal(size=(100, 24)) * 0.15])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    assert audit(df, similar_pairs(df, shard=50), 0.9) >= 0.9
+
+
+# ---- 4 ----
+
+TEXT = "card 4539 1488 0343 6467, 4539148803436467, call +1 (523) 555-1055, at 233.233.171.252 not 300.1.1.1, on 2024-02-29 or 31.12.1999, 12/25/2001, not 2024-13-01, ssn 123-45-6789, a.b+c9@mail5.example.com, n 9807915762804490, version 3.0"
+
+
+def luhn(d):
+    x = [int(c) for c in d][::-1]
+    return sum(v if i % 2 == 0 else (v * 2 - 9 if v > 4 else v * 2) for i, v in enumerate(x)) % 10 == 0
+
+
+def test_pseudonyms(spark):
+    df = docs_of(spark, [TEXT, None, "", "no values, version 3.0", TEXT + TEXT[:30], "x" * 100_000 + " 233.233.171.252"])
+    got = [r.text for r in pseudonymize(df, "key").orderBy("doc_id").collect()]
+    out = got[0]
+    assert got[1] is None and got[2] == "" and got[3] == "no values, version 3.0"
+    for value in ["4539148803436467", "4539 1488 0343 6467", "555-1055", "233.233.171.252", "2024-02-29", "31.12.1999", "12/25/2001", "123-45-6789", "a.b+c9@", "9807915762804490"]:
+        assert value not in out and value not in got[4]
+    assert "300.1.1.1" in out and "2024-13-01" in out and out.endswith("version 3.0") and len(out) == len(TEXT)
+    spaced, joined = re.findall(r"card ([\d ]{19}), (\d{16})", out)[0]
+    assert spaced.replace(" ", "") == joined and luhn(joined)
+    assert got[5].split(" ")[1] == re.search(r"at (\S+) not", out)[1]
+    other = pseudonymize(df.limit(1), "other").first().text
+    assert other != out
+    assert pseudonymize(df.limit(0), "key").count() == 0
+
+
+def test_pseudonyms_are_a_permutation(spark):
+    ids = [f"{a:03d}-{b:02d}-{c:04d}" for a in (1, 2, 665, 667, 899) for b in (1, 99) for c in range(1, 60)]
+    days = spark.range(3000).select(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
+    for df in (spark.createDataFrame([(x,) for x in ids], "text string"), days):
+        out = [r.text for r in pseudonymize(df, "k").collect()]
+        assert len(set(out)) == df.count()
+        assert all(re.fullmatch(r"\d{3}-\d{2}-\d{4}|\d{4}-\d{2}-\d{2}", x) for x in out)
+
+
+# ---- 5 ----
+
+
+def test_secrets(spark):
+    rng = random.Random(8)
+    made = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    texts = [f'some words here token = "{made(40, "0123456789abcdef")}" and more' for _ in range(40)]
+    texts += [f"the invoice number {made(4, 'abcdef')}-overview-of-part{i} is fine" for i in range(40)]
+    texts += [None, "", "nothing to see", "ä" * 50_000 + ' api_key: "' + made(32, string.ascii_letters + "0123456789") + '"']
+    df = docs_of(spark, texts).withColumn("source", F.lit("src/main.py")).withColumn("value", F.lit(1))
+    got = scan_secrets(df).collect()
+    found = {r.doc_id for r in got if r.is_secret}
+    assert set(range(40)) <= found and not found & set(range(40, 80)) and 83 in {r.doc_id for r in got}
+    assert all(r.masked.endswith("*" * 12) for r in got)
+    for r in got:
+        assert re.match(r"[A-Za-z0-9_+/-]{16}", texts[r.doc_id][r["at"] :]) and len(re.match(r"[A-Za-z0-9_+/-]{16,}={0,2}", texts[r.doc_id][r["at"] :])[0]) == r.length
+    assert scan_secrets(df.limit(0)).count() == 0
+    labelled = candidates(df).select("doc", "at", (F.col("doc") < 40).cast("double").alias("label")).withColumnRenamed("doc", "doc_id").filter("doc_id < 80")
+    assert {r.doc_id for r in scan_secrets(df, labelled).collect() if r.is_secret} >= set(range(40))
+
+
+# ---- 6 ----
+
+
+def test_language_accuracy_on_held_out(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = learn_languages(df.filter(~held_out()))
+    got = identify(df.select("doc_id", "text", "lang"), net).select("lang", "lang_pred", "score", held_out().alias("held_out")).collect()
+    own = [r for r in got if r.held_out]
+    assert len(got) == 1000 and sum(r.lang == r.lang_pred for r in own) / len(own) >= 0.95
+    assert all(0 <= r.score <= 1 for r in got)
+    french = df.filter("lang = 'fr'").orderBy("doc_id").first().text
+    odd = docs_of(spark, [None, "", "123 ?!", " \n", french * 200, "a"])
+    judged = {r.doc_id: r.lang_pred for r in identify(odd, net).collect()}
+    assert [judged[i] for i in range(4)] == ["und"] * 4 and judged[4] == "fr" and judged[5] != "und"
+    assert identify(odd.limit(0), net).count() == 0
+    with pytest.raises(ValueError):
+        learn_languages(df.limit(0))
+
+
+# ---- 7 ----
+
+
+def test_tokens_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    parts = ["a", " ", "  ", "\n", "the", "'s", "1", "é", "ß", "<|endoftext|>", "\x1c", "\u3000", "\xa0", "!!", "😀", "\u0301", "日本", "'", "ll", "\r\n", "\t", "re", "ing", "١", "=" * 40]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(800)] + [None, "", "x" * 30_000, "ab " * 30_000]
+    library = Tokenizer.from_file(vocabulary_path())
+    got = {r.doc_id: r for r in encode_texts(docs_of(spark, texts), vocabulary_path(), digests=True).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        assert got[i].token_ids == ids and got[i].n_tokens == len(ids) and got[i].decoded == back
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and got[i].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
+    again = decode_ids(encode_texts(docs_of(spark, texts[:50]), vocabulary_path()).select("doc_id", "token_ids"), vocabulary_path())
+    assert {r.doc_id: r.decoded for r in again.collect()} == {i: library.decode(got[i].token_ids, skip_special_tokens=False) for i in range(50)}
+    assert encode_texts(docs_of(spark, texts).limit(0), vocabulary_path()).count() == 0
+
+
+def test_trie_equals_merging_one_by_one():
+    v = TextEncoder(vocabulary_path()).v
+
+    def merged(word):
+        ids = [v.ids[bytes([b])] for b in word]
+        while True:
+            best = min(((v.merge.get(a << 32 | b, 1 << 40), i) for i, (a, b) in enumerate(zip(ids, ids[1:]))), default=(1 << 40, 0))
+            if best[0] == 1 << 40:
+                return ids
+            i = best[1]
+            ids[i : i + 2] = [v.ids[v.bytes[ids[i]] + v.bytes[ids[i + 1]]]]
+
+    rng = random.Random(6)
+    found = sorted({"".join(rng.choice("etaoinshr ") for _ in range(rng.randint(1, 14))).encode() for _ in range(400)})
+    from hushlake.llm.bpe import TrieEncoder
+
+    assert list(TrieEncoder(v).encode(found)) == [merged(w) for w in found]
+
+
+# ---- 8 ----
+
+
+def test_leaks(spark):
+    item = "Alice has 12 apples and gives 3 kg of them to Bob before Alice walks 12 miles home to count what is left of them."
+    plain = "a plain item of words without any slot that goes on for quite a while to be long enough"
+    texts = [
+        "Well. In the end Carol has 15 apples and gives 4 kg of them to Dave before Carol walks 15 miles home to count what is left of them.",
+        "So Carol has 15 apples and gives 4 kg of them to Dave before Emma walks 16 miles home to count what is left of them.",
+        "before " * 50 + item + " after" * 50,
+        "x, " + plain.upper() + " y",
+        None,
+        "",
+        "apples and miles are here but nothing of the item",
+        "lead " * 40_000 + plain,
+    ]
+    items = spark.createDataFrame([(1, item), (2, plain), (3, None), (4, ""), (5, "hi")], "item_id long, text string")
+    df = docs_of(spark, [*texts, texts[2]]).unionByName(docs_of(spark, [texts[2]], 2))
+    got = {(r.doc_id, r.item_id): r for r in find_leaks(df, items).collect()}
+    assert {(0, 1), (2, 1), (7, 2), (8, 1)} <= set(got) and not {k[0] for k in got} & {1, 4, 5, 6}
+    assert not got[0, 1].exact and got[2, 1].exact and got[7, 2].exact
+    assert find_leaks(df, items.limit(0)).count() == 0 and find_leaks(df.limit(0), items).count() == 0
+
+
+# ---- 9 ----
+
+
+def plain_verdict(url):
+    host, path = "", ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = host.translate(UP)
+    best = None
+    for verdict, rule in RULES:
+        h, p = rule.split("/", 1)
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[1])):
+            best = (verdict, rule)
+    return host, path, best and best[1], best[0] if best else "allow"
+
+
+@pytest.mark.parametrize("broadcast", [100, 0])
+def test_urls(spark, broadcast):
+    urls = [None, "", "no scheme", "http://", "http://Example.ORG/es/1?x#y", "https://a.example.org/en/17#z", "http://example.org/en/2", "http://x.com/fr/a", "http://com/de/", "http://notorg/", "http://a..org/", "http://org", "ftp://u@b.com:80/fr/", "http://x.com?/fr/", "http://b.c.com/fr/b/" + "z" * 50_000, "http://x.com/FR/", "http://one.com/fr/a://b"]
+    urls = urls + urls[:6]
+    df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(df, rule_table(spark, RULES), broadcast_rules=broadcast).collect()}
+    assert got == {i: plain_verdict(u) for i, u in enumerate(urls)}
+    assert filter_urls(df.limit(0), rule_table(spark, RULES)).count() == 0
+    assert filter_urls(df, rule_table(spark, RULES).limit(0)).filter("rule IS NOT NULL").count() == 0
+
+
+# ---- 10 ----
+
+
+def plain_groups(rows, k, percent):
+    sets = {}
+    for i, t in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0d]+", (t or "").translate(UP)) if x]
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    part = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in links:
+            part[i] = part[j] = min(part[i], part[j])
+    return {i: (len(sets[i]), part[i]) for i in sets}
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_near_copies(spark, k, percent):
+    rng = random.Random(k)
+    base = [words(rng, rng.randint(1, 120)) for _ in range(25)]
+    shared = words(rng, 60)
+    texts = base + [None, "", " \n", "one", "ONE", "two words", "two  WORDS"]
+    for _ in range(160):
+        w = rng.choice(base[:6]).split()
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = rng.choice(["edit", "Edit", "other", words(rng, 1)])
+        texts.append(rng.choice([" ", "\t"]).join(w) + rng.choice(["", " " + shared]))
+    texts += [shared + " " + words(rng, 2) for _ in range(20)] + [texts[0]] * 5
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(docs_of(spark, texts), k=k, percent=percent).collect()}
+    assert got == plain_groups(list(enumerate(texts)), k, percent)
+
+
+def test_near_copies_null_id_and_empty_table(spark):
+    df = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (3, "x")], "doc_id long, text string")
+    got = sorted((r.doc_id or 99, r.component_id) for r in jaccard_groups(df).collect())
+    assert got == [(3, 3), (7, 7), (7, 7), (99, 7)]
+    assert jaccard_groups(df.limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    part = {n: n for e in edges for n in e}
+    for _ in part:
+        for a, b in edges:
+            part[a] = part[b] = min(part[a], part[b])
+    assert got == {n: c for n, c in part.items() if n in got} and set(got) == {n for a, b in edges if a != b for n in (a, b)}
