@@ -75,32 +75,69 @@ def build_graph(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": np.concatenate([a, b]), "next": np.concatenate([b, a])})
 
 
-def search_graph(x: np.ndarray, links: np.ndarray, start: int, queries: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-    """For each unit query the nodes of similarity least or more met by a greedy search from start.
+def search_graph(x: np.ndarray, links: np.ndarray, start: int, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, node) of similarity least or more, met by a greedy search of all unit queries from start.
 
-    The best ``beam`` nodes are expanded until none is new; then every node in range is expanded, until the range stops growing.
+    The best ``beam`` nodes of a query are expanded until none of them is new; then every node in range is expanded, until the range stops growing.
     """
-    n, q = len(x), len(queries)
-    sims = np.full((q, n), -2.0)
-    expanded = np.zeros((q, n), bool)
-    sims[:, start] = queries @ x[start]
+    q, beam = len(queries), min(beam, len(x))
     rows = np.arange(q)
-    for _ in range(4 * n):
-        top = min(beam, n)
-        cut = np.partition(sims, n - top, axis=1)[:, n - top]
-        todo = ~expanded & (sims > -2) & ((sims >= cut[:, None]) | (sims >= least))
-        at = rows[todo[rows].any(axis=1)]
+    met = np.zeros((q, len(x)), bool)
+    met[:, start] = True
+    ids, sims = np.full((q, beam), start), np.full((q, beam), -2.0)
+    sims[:, 0] = queries @ x[start]
+    done = np.ones((q, beam), bool)
+    done[:, 0] = False
+    hit = np.flatnonzero(sims[:, 0] >= least)
+    found = [(hit, np.full(len(hit), start))]
+    opened = np.zeros((q, len(x)), bool)
+
+    def expand(at: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """New neighbours of nodes[i] for query at[i]: places in at, neighbours, similarities."""
+        opened[at, nodes] = True
+        near = links[nodes]
+        i, j = np.nonzero((near >= 0) & ~met[at[:, None], near])
+        to = near[i, j]
+        # Two nodes of one query may lead to the same neighbour.
+        key = np.unique(at[i] * len(x) + to, return_index=True)[1]
+        i, to = i[key], to[key]
+        met[at[i], to] = True
+        said = np.einsum("kd,kd->k", queries[at[i]], x[to])
+        fits = said >= least
+        found.append((at[i[fits]], to[fits]))
+        return i, to, said
+
+    while True:
+        best = np.where(done, -3.0, sims).argmax(axis=1)
+        at = rows[~done[rows, best]]
         if not len(at):
             break
-        best = np.where(todo[at], sims[at], -3).argmax(axis=1)
-        expanded[at, best] = True
-        near = links[best]
-        fresh = (near >= 0) & (sims[at[:, None], np.maximum(near, 0)] == -2)
-        i, j = np.nonzero(fresh)
-        if len(i):
-            to = near[i, j]
-            sims[at[i], to] = np.einsum("kd,kd->k", queries[at[i]], x[to])
-    return [np.flatnonzero(s >= least) for s in sims]
+        done[at, best[at]] = True
+        i, to, said = expand(at, ids[at, best[at]])
+        if not len(i):
+            continue
+        owner = at[i]
+        order = np.argsort(owner, kind="stable")
+        owner, to, said = owner[order], to[order], said[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner, "left")
+        width = int(place.max()) + 1
+        some = np.unique(owner)
+        row = np.searchsorted(some, owner)
+        more, value = np.full((len(some), width), start), np.full((len(some), width), -2.0)
+        more[row, place], value[row, place] = to, said
+        all_ids, all_sims = np.concatenate([ids[some], more], axis=1), np.concatenate([sims[some], value], axis=1)
+        all_done = np.concatenate([done[some], value == -2.0], axis=1)
+        keep = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
+        ids[some], sims[some], done[some] = (np.take_along_axis(v, keep, 1) for v in (all_ids, all_sims, all_done))
+    frontier = tuple(np.concatenate(v) for v in zip(*found, strict=True))
+    while len(frontier[0]):
+        todo = ~opened[frontier]
+        at, nodes = frontier[0][todo], frontier[1][todo]
+        mark = len(found)
+        for k in range(0, len(at), 4096):
+            expand(at[k : k + 4096], nodes[k : k + 4096])
+        frontier = tuple(np.concatenate(v) for v in zip(*found[mark:], strict=True)) if len(found) > mark else (np.empty(0, np.int64), np.empty(0, np.int64))
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
 
 
 def search_shard(least: float, beam: int):
@@ -113,7 +150,8 @@ def search_shard(least: float, beam: int):
         ids = nodes["id"].to_numpy(np.int64)
         x, asked = unit(vectors(nodes["vector"])), unit(vectors(queries["vector"]))
         place = {v: i for i, v in enumerate(ids.tolist())}
-        lists = [[place[v] for v in (own if own is not None else []) if v in place] for own in nodes["links"]]
+        lists = [np.array([place[v] for v in (own if own is not None else []) if v in place], np.int64) for own in nodes["links"]]
+        lists = [own[np.argsort(-(x[own] @ x[i]), kind="stable")[: 2 * DEGREE]] if len(own) > 2 * DEGREE else own for i, own in enumerate(lists)]
         links = np.full((len(ids), max(1, max(map(len, lists)))), -1)
         for i, own in enumerate(lists):
             links[i, : len(own)] = own
@@ -121,12 +159,12 @@ def search_shard(least: float, beam: int):
         a, b = [], []
         own_ids = queries["id"].to_numpy(np.int64)
         for k in range(0, len(asked), 256):
-            for i, hits in enumerate(search_graph(x, links, start, asked[k : k + 256], least - 1e-6, beam)):
-                exact = x[hits] @ asked[k + i]
-                hits = ids[hits[exact >= least]]
-                hits = hits[hits != own_ids[k + i]]
-                a.append(np.full(len(hits), own_ids[k + i]))
-                b.append(hits)
+            block = asked[k : k + 256]
+            i, j = search_graph(x, links, start, block, least - 1e-6, beam)
+            exact = np.einsum("kd,kd->k", block[i], x[j]) >= least
+            left, right = own_ids[k : k + 256][i[exact]], ids[j[exact]]
+            a.append(left[left != right])
+            b.append(right[left != right])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else empty
 
     return run
