@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters that are turned into words at a time.
-PART_CHARS = 6_000_000
+PART_CHARS = 2_500_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
