@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space at either end or next to more of it, or rare controls: such texts are cut as a whole, others at each space.
 UNEVEN = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f\x85]")
-#: Bounds on what a worker keeps between batches; results don't depend on them.
-MAX_WORDS, MAX_PAIRS, PART_CHARS = 500_000, 1_000_000, 12_000_000
+#: Bounds on what a worker keeps between batches and gives out at a time; results don't depend on them.
+MAX_WORDS, MAX_PAIRS, PART_CHARS, ROWS = 250_000, 500_000, 4_000_000, 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -138,6 +138,9 @@ class TextEncoder:
         self.odd: dict[str, str] = {}  # words whose ids decode to another text
         self.special = regex.compile("|".join(map(regex.escape, self.v.special))) if self.v.special else None
 
+    def forget(self) -> None:
+        self.known, self.first, self.rest, self.odd = {}, {}, {}, {}
+
     def learn(self, words: set[str]) -> None:
         """Encodes the new words in one walk; each encoding is decoded again and compared with its word."""
         fresh = sorted(w for w in words if w not in self.known)  # by code point, which is also the order of UTF-8
@@ -176,7 +179,7 @@ class TextEncoder:
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """Of each text: ids as decimal numbers joined by commas, and the text decoded from them."""
         if len(self.known) > MAX_WORDS or len(self.rest) > MAX_WORDS:
-            self.known, self.first, self.rest, self.odd = {}, {}, {}, {}
+            self.forget()
         cut, first, rest = self.pieces(texts)
         whole = [self.whole(t) if own is None else None for t, own in zip(texts, cut, strict=True)]
         first_words = {x: WORDS.findall(x) for x in first}
@@ -241,23 +244,29 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         schema.add("ids_sha256", T.StringType()).add("decoded_sha256", T.StringType())
     kinds = [pa.int64(), *[pa.list_(pa.int32()), pa.string()] * ids, *[pa.string(), pa.string()] * digests]
 
+    def row_of(said: str, text: str) -> list:
+        row = [said.count(",") + 1 if said else 0]
+        if ids:
+            row += [np.fromstring(said, dtype=np.int32, sep=",") if said else np.empty(0, np.int32), text]
+        if digests:
+            row += [hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()]
+        return row
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         gc.disable()  # these dictionaries hold no cycles, and walking them again and again is slow
-        for batch in batches:
-            at = 0
-            for part in parts_of([x or "" for x in batch.column(1).to_pylist()]):
-                rows = []
-                for said, text in own.encode(part):
-                    row = [said.count(",") + 1 if said else 0]
-                    if ids:
-                        row += [np.fromstring(said, dtype=np.int32, sep=",") if said else np.empty(0, np.int32), text]
-                    if digests:
-                        row += [hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()]
-                    rows.append(row)
-                columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *columns], names=schema.names)
-                at += len(part)
+        try:
+            for batch in batches:
+                at = 0
+                for part in parts_of([x or "" for x in batch.column(1).to_pylist()]):
+                    encoded = own.encode(part)
+                    while rows := [row_of(said, text) for said, text in islice(encoded, ROWS)]:
+                        columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), *columns], names=schema.names)
+                        at += len(rows)
+        finally:
+            own.forget()  # the worker may go on to other tasks
+            gc.enable()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
