@@ -12,9 +12,11 @@ from .shared import bound, stored
 
 #: Runs of 16 or more of these characters; only those with a digit and a letter are candidates.
 CANDIDATE = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}={0,2}"
-#: Words that announce a secret, and those that announce harmless values. Fixed values.
-SECRET_WORDS = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)"
-PLAIN_WORDS = r"(?i)(?:sha1|sha256|md5|commit|digest|checksum|hash|uuid|revision|version|phone|card|order|invoice|example|test|dummy)"
+#: Ends of a context word: no letter before (or a capital after a small one), none behind (or a capital after a small one), an s aside.
+STARTS, ENDS = r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))", r"(?i:s)?(?![a-z])(?!(?<=[A-Z])[A-Z])"
+#: Words that announce a secret (the longer ones also at the end of a name: dbpassword), and those that announce harmless values. Fixed values.
+SECRET_WORDS = rf"(?:(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key|credential)|{STARTS}(?i:pwd|auth(?:orization|entication)?|bearer)){ENDS}"
+PLAIN_WORDS = rf"{STARTS}(?i:sha1(?:sum)?|sha256(?:sum)?|md5(?:sum)?|commit|digest|checksum|hash(?:es)?|uuid|revision|version|phone|card|order|invoice|example|test|dummy){ENDS}"
 PLAIN_PATHS = r"(?i)(?:test|example|sample|fixture|mock|lock|\.md$|\.svg$|\.min\.js$)"
 #: Forms that rules label without a doubt: of issued keys, and of harmless values.
 KNOWN_SECRET = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{20,})"
@@ -95,10 +97,14 @@ def featured(found: DataFrame, docs: DataFrame, text_col: str, least_docs: int,
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """Candidates that rules settle, with label 1.0 or 0.0: forms of issued keys, values assigned to a secret's name in quotes; known harmless forms, words in prose."""
-    secret = F.col("value").rlike(KNOWN_SECRET) | ((F.col("secret_word") == 1) & (F.col("assigned") == 1) & (F.col("plain_word") == 0) & (F.col("covered") < 0.5))
-    plain = F.col("value").rlike(KNOWN_PLAIN) | (F.col("plain_word") == 1) | ((F.col("assigned") == 0) & (F.col("secret_word") == 0) & (F.col("hexadecimal") == 0)) | (F.col("covered") >= 0.5)
-    return found.withColumn("label", F.when(secret & ~F.col("value").rlike(KNOWN_PLAIN), 1.0).when(plain, 0.0)).filter("label IS NOT NULL")
+    """Candidates that rules settle, with label 1.0 or 0.0: forms of issued keys, values assigned to a secret's name; known harmless forms, words in prose.
+
+    A value assigned to a secret's name is never 0.0: with a plain word before it, a harmless form or words inside it stays unlabelled.
+    """
+    named, harmless = (F.col("secret_word") == 1) & (F.col("assigned") == 1), F.col("value").rlike(KNOWN_PLAIN)
+    secret = (F.col("value").rlike(KNOWN_SECRET) | (named & (F.col("plain_word") == 0) & (F.col("covered") < 0.5))) & ~harmless
+    plain = ~named & (harmless | (F.col("plain_word") == 1) | ((F.col("assigned") == 0) & (F.col("secret_word") == 0) & (F.col("hexadecimal") == 0)) | (F.col("covered") >= 0.5))
+    return found.withColumn("label", F.when(secret, 1.0).when(plain, 0.0)).filter("label IS NOT NULL")
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", max_findings: int = 20_000, trees: int = 20, depth: int = 6, least_docs: int = 5, least_score: float = 0.5, broadcast_words: int = 500_000, seed: int = 11) -> DataFrame:
