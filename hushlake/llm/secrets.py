@@ -96,15 +96,20 @@ def featured(found: DataFrame, docs: DataFrame, text_col: str, least_docs: int,
     ).drop("runs", "words")
 
 
-def labelled(found: DataFrame) -> DataFrame:
-    """Candidates that rules settle, with label 1.0 or 0.0: forms of issued keys, values assigned to a secret's name; known harmless forms, words in prose.
+def settled() -> Column:
+    """The label that rules give a candidate, 1.0 or 0.0, else null: forms of issued keys, values assigned to a secret's name; known harmless forms, words in prose.
 
     A value assigned to a secret's name is never 0.0: with a plain word before it, a harmless form or words inside it stays unlabelled.
     """
     named, harmless = (F.col("secret_word") == 1) & (F.col("assigned") == 1), F.col("value").rlike(KNOWN_PLAIN)
     secret = (F.col("value").rlike(KNOWN_SECRET) | (named & (F.col("plain_word") == 0) & (F.col("covered") < 0.5))) & ~harmless
     plain = ~named & (harmless | (F.col("plain_word") == 1) | ((F.col("assigned") == 0) & (F.col("secret_word") == 0) & (F.col("hexadecimal") == 0)) | (F.col("covered") >= 0.5))
-    return found.withColumn("label", F.when(secret, 1.0).when(plain, 0.0)).filter("label IS NOT NULL")
+    return F.when(secret, 1.0).when(plain, 0.0)
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """Candidates that rules settle, with their label."""
+    return found.withColumn("label", settled()).filter("label IS NOT NULL")
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", max_findings: int = 20_000, trees: int = 20, depth: int = 6, least_docs: int = 5, least_score: float = 0.5, broadcast_words: int = 500_000, seed: int = 11) -> DataFrame:
@@ -114,24 +119,29 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str
     transitions between kinds of characters, coverage by words of the texts, path and neighbouring words, and
     gives a score; from least_score on the candidate is a secret, else a false positive.
     It is fitted on labelled findings (id_col, at, label 1 or 0); where none are given, on those that rules settle without a
-    doubt; at most max_findings of them, taken by hash. masked shows the first four characters only.
+    doubt; at most half of max_findings of either label, taken by hash, both weighing the same together. masked shows the first four characters only.
 
-    A word counts for coverage if least_docs texts hold it. Without any finding of both labels, score is the label
-    there is (0 with none). Null or empty texts have no candidates; repeated rows give repeated results.
+    A word counts for coverage if least_docs texts hold it. Without findings of both labels there is no forest: a finding's
+    score is its label, that of other candidates the label rules give them, and 0.5 where they give none.
+    Null or empty texts have no candidates; repeated rows give repeated results.
     """
     found = stored(featured(candidates(docs, id_col, text_col, path_col), docs, text_col, least_docs, broadcast_words), "found")
-    if findings is None:
-        sure = labelled(found)
-    else:
+    sure = labelled(found)
+    if findings is not None:
         sure = found.join(findings.select(F.col(id_col).alias("doc"), "at", F.col("label").cast("double").alias("label")), ["doc", "at"])
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
-    sample = stored(vectors.transform(sure.orderBy(F.xxhash64("doc", "at", "value"), "doc", "at").limit(max_findings)).select("features", "label"), "findings")
-    kinds = sorted(r[0] for r in sample.select("label").distinct().collect())
-    if len(kinds) == 2:
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(sample)
+    own = [vectors.transform(sure.filter(F.col("label") == label).orderBy(F.xxhash64("doc", "at", "value"), "doc", "at").limit(max_findings // 2)).select("features", "label") for label in (0.0, 1.0)]
+    sample = stored(own[0].union(own[1]), "findings")
+    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(sizes) == 2:
+        sample = sample.withColumn("weight", F.when(F.col("label") == 1, 1.0 / sizes[1.0]).otherwise(1.0 / sizes[0.0]) * (sum(sizes.values()) / 2))
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", weightCol="weight").fit(sample)
         judged = forest.transform(vectors.transform(found)).withColumn("score", vector_to_array("probability")[1])
     else:
-        judged = found.withColumn("score", F.lit(kinds[0] if kinds else 0.0))
+        judged = found.withColumn("score", F.coalesce(settled(), F.lit(0.5)))
+        if findings is not None:
+            given = sure.groupBy("doc", "at").agg(F.max("label").alias("given"))
+            judged = judged.join(given, ["doc", "at"], "left").withColumn("score", F.coalesce("given", "score"))
     masked = F.concat(F.substring("value", 1, 4), F.repeat(F.lit("*"), F.length("value") - 4))
     return judged.select(F.col("doc").alias(id_col), F.col("at").cast("long").alias("at"), F.length("value").cast("long").alias("length"), masked.alias("masked"), F.round("score", 6).alias("score"), (F.col("score") >= least_score).alias("is_secret"))
 

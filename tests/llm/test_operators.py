@@ -209,6 +209,17 @@ def test_secret_words_have_borders_and_plain_words_never_settle_a_named_secret(s
     assert got == {1: 1.0, 2: 0.0, 3: 1.0}
 
 
+def test_rare_secrets_stay_in_the_sample(spark):
+    rng = random.Random(12)
+    made = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    texts = [f'here token = "{made(40, "0123456789abcdef")}" and more' for _ in range(4)]
+    texts += [f"the invoice number {made(4, 'abcdef')}-overview-of-part{i} is fine" for i in range(300)]
+    df = docs_of(spark, texts).withColumn("source", F.lit("src/main.py"))
+    assert {r.doc_id for r in scan_secrets(df, max_findings=16).collect() if r.is_secret} == set(range(4))
+    negatives = candidates(df).filter("doc >= 4").select(F.col("doc").alias("doc_id"), "at", F.lit(0.0).alias("label"))
+    assert {r.doc_id for r in scan_secrets(df, negatives).collect() if r.is_secret} == set(range(4))
+
+
 # ---- 6 ----
 
 
