@@ -1,4 +1,4 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text."""
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of the words of trusted text, unseen words spelled by a model of byte classes."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import stored
+from .words import hash_strings, mixed, parts_of, run_hashes, split_words
 
 #: Symbols are CLASSES classes of bytes, so a model has CLASSES ** 3 three-symbol sequences at most.
 CLASSES, BITS = 128, 7
@@ -64,6 +65,15 @@ def count_sequences(docs: DataFrame) -> DataFrame:
     return counts.union(counts.groupBy(F.lit(ALL).alias("lang"), "gram").agg(F.sum("n").alias("n")))
 
 
+def discounted(counts: DataFrame) -> DataFrame:
+    """Adds cut, the discount of each count; the counts of counts are those of each language."""
+    of = counts.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == i, 1.0).otherwise(0.0)).alias(f"n{i}") for i in range(1, 5)])
+    # Where a language has too little text for a discount, 0.5 is taken.
+    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
+    discounts = of.select("lang", *[F.coalesce(F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.1), F.least(F.lit(i - 0.1), i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))))), F.lit(0.5)).alias(f"d{i}") for i in range(1, 4)])
+    return counts.join(discounts, "lang").withColumn("cut", F.least(F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")), F.col("n").cast("double")))
+
+
 def interpolated(counts: DataFrame, lower: DataFrame | None, order: int) -> DataFrame:
     """(lang, gram, p, left): probability of each counted sequence, and weight ``left`` of its context's unseen rest.
 
@@ -71,12 +81,7 @@ def interpolated(counts: DataFrame, lower: DataFrame | None, order: int) -> Data
     n = 1, 2, 3+ come from the counts of counts of each language; contexts and shorter sequences are joined by
     (lang, code), so that every step is spread over all of them.
     """
-    of = counts.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == i, 1.0).otherwise(0.0)).alias(f"n{i}") for i in range(1, 5)])
-    # Where a language has too little text for a discount, 0.5 is taken.
-    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
-    discounts = of.select("lang", *[F.coalesce(F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.1), F.least(F.lit(i - 0.1), i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))))), F.lit(0.5)).alias(f"d{i}") for i in range(1, 4)])
-    rows = counts.join(discounts, "lang").withColumn("context", F.shiftright("gram", BITS))
-    rows = rows.withColumn("cut", F.least(F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")), F.col("n").cast("double")))
+    rows = discounted(counts).withColumn("context", F.shiftright("gram", BITS))
     contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"))
     rows = rows.join(contexts, ["lang", "context"])
     own = (F.col("n") - F.col("cut")) / F.col("total")
@@ -119,29 +124,88 @@ def surprise(model: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarr
     return -np.log(np.maximum(three, 1e-12)).astype(np.float32)
 
 
-def score_perplexity(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc, lang, symbols, perplexity) of all rows of docs (doc, lang, text); null perplexity for an empty text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def word_grams(docs: DataFrame, spelling: np.ndarray) -> DataFrame:
+    """(key, lang, w1, w2, w3, n, spelled) of all rows of docs (key, lang, text): each document's runs of three words, counted.
+
+    Words are 64-bit hashes, 0 the border before a text. spelled is -ln p of the third word's letters and the blank behind it.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(spelling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tables = sent.value, {}
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                langs, texts = part.column(1).to_pylist(), part.column(2).to_pylist()
-                sizes, means = np.zeros(len(langs), np.int64), np.full(len(langs), np.nan)
-                for lang in set(langs):
-                    name = lang if lang in known else ALL
-                    if name not in tables:
-                        tables[name] = surprise(known[name])
-                    at = [i for i, own in enumerate(langs) if own == lang]
-                    codes, offsets = symbols_of([texts[i] for i in at])
-                    sums = np.concatenate([[0.0], np.cumsum(tables[name][codes], dtype=np.float64)])[offsets]
-                    sizes[at] = np.diff(offsets)
-                    means[at] = np.diff(sums) / np.maximum(np.diff(offsets), 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(np.exp(means), mask=sizes == 0)], names=["doc", "lang", "symbols", "perplexity"])
+            for first, part in parts_of(batch.column(2)):
+                flat, offsets = split_words(part, lower=False)
+                if not len(flat):
+                    continue
+                coded = flat.dictionary_encode()
+                at = coded.indices.to_numpy()
+                codes, ends = symbols_of([f" {w} " for w in coded.dictionary.to_pylist()])
+                sums = np.concatenate([[0.0], np.cumsum(sent.value[codes], dtype=np.float64)])
+                spelled = (sums[ends[1:]] - sums[ends[:-1] + 1]).astype(np.float32)  # without the blank before
+                doc = np.repeat(np.arange(len(part)), np.diff(offsets))
+                seq = np.zeros(len(at) + 2 * len(part), np.uint64)
+                place = np.arange(len(at)) + 2 * (doc + 1)
+                seq[place] = np.maximum(hash_strings(coded.dictionary), 1)[at]
+                with np.errstate(over="ignore"):
+                    own = mixed(run_hashes(seq, 3)[place - 2] + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                _, one, n = np.unique(own, return_index=True, return_counts=True)
+                where, rows = place[one], pa.array(first + doc[one])
+                words = [pa.array(seq[where - k].view(np.int64)) for k in (2, 1, 0)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *words, pa.array(n.astype(np.int64)), pa.array(spelled[at[one]])], names=["key", "lang", "w1", "w2", "w3", "n", "spelled"])
+
+    return docs.select("key", "lang", "text").mapInArrow(run, "key long, lang string, w1 long, w2 long, w3 long, n long, spelled float")
+
+
+def train_words(docs: DataFrame, spelling: np.ndarray) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables of orders 1, 2, 3 over all words of docs (key, lang, text): runs (lang, words, p, lo, hi), and contexts (lang, words, left, lo, hi).
+
+    Words of a run are the last of w1, w2, w3. Orders 1 and 2 count continuations. lo and hi are the least and greatest key
+    of the documents that hold a row. All tables stay distributed; they grow with the distinct runs of the text.
+    """
+    span = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    held = word_grams(docs, spelling).withColumn("lo", F.col("key")).withColumn("hi", F.col("key"))
+    counts = {3: stored(held.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"), F.min("spelled").alias("spelled"), *span), "words3")}
+    for order, names in ((2, ["w2", "w3"]), (1, ["w3"])):
+        counts[order] = stored(counts[order + 1].groupBy("lang", *names).agg(F.count("*").alias("n"), F.min("spelled").alias("spelled"), *span), f"words{order}")
+    runs, contexts = [], []
+    for order, names in ((1, ["w3"]), (2, ["w2", "w3"]), (3, ["w1", "w2", "w3"])):
+        rows = stored(discounted(counts[order]), "cut")
+        total = rows.groupBy("lang", *names[:-1]).agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"), *span)
+        contexts.append(stored(total.select("lang", *names[:-1], "total", (F.col("cuts") / F.col("total")).alias("left"), "lo", "hi"), f"contexts{order}"))
+        rows = rows.join(contexts[-1].drop("lo", "hi"), ["lang", *names[:-1]])
+        below = F.exp(-F.col("spelled").cast("double"))
+        if runs:
+            rows, below = rows.join(runs[-1].select("lang", *names[1:], F.col("p").alias("below")), ["lang", *names[1:]]), F.col("below")
+        p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("left") * below
+        runs.append(stored(rows.select("lang", *names, p.alias("p"), "lo", "hi"), f"runs{order}"))
+    return runs, contexts
+
+
+def score_words(docs: DataFrame, spelling: np.ndarray, runs: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """(key, cost): -ln p of all words of each document of docs (key, lang, text) and n, the number of them.
+
+    A run is joined with the counted ones; where it is not among them, its context's unseen rest and the shorter run are.
+    What only the document itself has put into a table does not count for it, so a trusted text is judged like others.
+    """
+    own = (F.col("lo") == F.col("key")) & (F.col("hi") == F.col("key"))
+    rows, parts = word_grams(docs, spelling).withColumn("cost", F.lit(0.0)), []
+    done = lambda df: df.groupBy("key").agg(F.sum(F.col("n") * F.col("cost")).alias("cost"), F.sum("n").alias("n"))
+
+    def looked_up(rows: DataFrame, table: DataFrame, names: list[str], value: str) -> DataFrame:
+        met = rows.join(table.select("lang", *names, F.col(value).alias("found"), "lo", "hi"), ["lang", *names], "left")
+        return met.withColumn("found", F.when(~own, F.col("found"))).drop("lo", "hi")
 
-    return docs.select("doc", "lang", "text").mapInArrow(run, "doc long, lang string, symbols long, perplexity double")
+    for order, names in ((3, ["w1", "w2", "w3"]), (2, ["w2", "w3"]), (1, ["w3"])):
+        rows = stored(looked_up(rows, runs[order - 1], names, "p"), f"met{order}")
+        parts.append(done(rows.filter("found IS NOT NULL").withColumn("cost", F.col("cost") - F.log("found"))))
+        rows = rows.filter("found IS NULL").drop("found")
+        met = looked_up(rows, contexts[order - 1], names[:-1], "left")
+        rows = met.withColumn("cost", F.col("cost") - F.log(F.greatest(F.coalesce("found", F.lit(1.0)), F.lit(1e-12)))).drop("found")
+    parts.append(done(rows.withColumn("cost", F.col("cost") + F.col("spelled"))))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    return every.groupBy("key").agg(F.sum("cost").alias("cost"), F.sum("n").alias("n"))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, slack: float = 1.1, short: int = 200) -> DataFrame:
@@ -152,22 +216,37 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     ``quantile`` of its trusted documents' perplexities; a document is kept at or below it. A short
     text varies more, so its threshold is raised by (1 + short / symbols) ** 0.5.
 
-    The model (some ten thousand sequences a language, CLASSES ** 3 at most) is sent to the workers. Null or empty texts have
-    no perplexity and are not kept. A null language, or one without trusted text, is judged by the model and
-    threshold of all languages. Repeated rows are judged alike. Without trusted text a ValueError is raised.
+    Words are counted in runs of three, in tables that grow with the text and are joined with each document's runs. symbols are the
+    bytes of its words with one blank behind each, and perplexity is by symbol. A document is judged without what it alone
+    has put into the tables. Only the model that spells unseen words (CLASSES ** 3 sequences at most) is sent to the workers.
+    Null, empty or blank texts have no perplexity and are not kept. A null language, or one without trusted text, is judged by the
+    model and threshold of all languages. Repeated rows are judged alike. Without trusted text a ValueError is raised.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     trusted = stored(labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc")).filter("doc IS NOT NULL").distinct(), "trusted")
     n = trusted.count()
     ids = F.broadcast(trusted) if n <= BROADCAST_IDS else trusted
-    model = train_model(own.join(ids, "doc", "left_semi").select(F.coalesce("lang", F.lit(ALL + ALL)).alias("lang"), "text"))
+    own = own.withColumn("key", F.xxhash64("doc", "lang", "text"))
+    good = own.join(ids, "doc", "left_semi").withColumn("lang", F.coalesce("lang", F.lit(ALL + ALL)))
+    model = train_model(good.select(F.lit("").alias("lang"), "text"))
     if ALL not in model:
         raise ValueError("no trusted text to learn from")
-    scored = stored(score_perplexity(own, model), "scored")
+    spelling = surprise(model[ALL])
+    langs = stored(good.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("lang", F.col("lang").alias("name")).distinct(), "langs")
+    few = langs.count() <= 1000
+    named = own.join(F.broadcast(langs) if few else langs, "lang", "left").withColumn("name", F.coalesce("name", F.lit(ALL)))
+    if named.filter(F.col("name") == ALL).limit(1).count():  # else no document needs the model of all languages
+        good = good.union(good.withColumn("lang", F.lit(ALL)))
+    costs = score_words(named.select("key", F.col("name").alias("lang"), "text"), spelling, *train_words(good, spelling))
+    size = F.octet_length(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))) + 1
+    rows = own.select("doc", "lang", "key", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), size).otherwise(0).cast("long").alias("symbols"))
+    copies = rows.groupBy("key").agg(F.sum("symbols").alias("all_symbols"))
+    scored = rows.join(copies, "key").join(costs, "key", "left").select("doc", "lang", "symbols", F.exp(F.try_divide("cost", F.col("all_symbols"))).alias("perplexity"))
+    scored = stored(scored, "scored")
     level = lambda: F.percentile_approx("perplexity", quantile, 10_000) * slack
     good = scored.join(ids, "doc", "left_semi").filter("perplexity IS NOT NULL").groupBy("lang").agg(level().alias("level"))
     every = scored.join(ids, "doc", "left_semi").agg(level().alias("common"))
-    out = scored.join(F.broadcast(good), "lang", "left") if len(model) <= 1000 else scored.join(good, "lang", "left")
+    out = scored.join(F.broadcast(good), "lang", "left") if few else scored.join(good, "lang", "left")
     common = every.first()[0]
     limit = F.coalesce("level", F.lit(common)) * F.sqrt(1 + F.try_divide(F.lit(float(short)), F.col("symbols")))
     return out.select(F.col("doc").alias(id_col), "lang", "symbols", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("kept"))

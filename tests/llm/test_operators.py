@@ -100,6 +100,26 @@ def test_quality_model_is_a_distribution(spark):
     assert np.allclose(p.sum(axis=2), 1, atol=2e-3)
 
 
+def test_quality_sees_the_order_of_words(spark):
+    rng = random.Random(15)
+    step = {a: rng.sample(range(40), 3) for a in range(40)}  # each word is followed by few others
+    name = [words(random.Random(i), 1) + str(i) for i in range(40)]
+
+    def walk(n=120):
+        at = [rng.randrange(40)]
+        for _ in range(n):
+            at.append(rng.choice(step[at[-1]]))
+        return [name[i] for i in at]
+
+    good = [walk() for _ in range(80)]
+    mixed_up = [rng.sample(w, len(w)) for w in good[60:]]
+    df = docs_of(spark, [" ".join(w) for w in good + mixed_up]).withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in judge_quality(df, labels).collect()}
+    assert all(got[80 + i].perplexity > 1.3 * got[60 + i].perplexity for i in range(20))
+    assert all(got[i].kept for i in range(60, 80)) and not any(got[i].kept for i in range(80, 100))
+
+
 # ---- 3 ----
 
 
