@@ -323,6 +323,15 @@ def test_leaks(spark):
     assert find_leaks(df, items.limit(0)).count() == 0 and find_leaks(df.limit(0), items).count() == 0
 
 
+def test_leaks_with_names_anywhere(spark):
+    items = ["Janet has 3 ducks. Janet sells 2 eggs. Janet eats 4 eggs. Janet keeps 5 eggs. Janet gives 6 eggs away.", "We saw Alice meet Bob while Carl met Dora and then Eva told Fred that Gina saw Hugo on the way home.", "We know that in New York a man has three cats and then buys another five of them before going back home again."]
+    swap = lambda t, pairs: re.sub("|".join(pairs), lambda m: pairs[m[0]], t)
+    texts = [swap(items[0], {"Janet": "Mary"}), items[1].lower(), swap(items[2], {"New York": "Paris", "three": "7", "five": "nineteen"}), swap(items[1], {"Alice": "ANNA", "Gina": "GRETA"}), "Mary has 3 ducks. Tom sells 2 eggs. Ann eats 4 eggs. Bea keeps 5 eggs. Joe gives 6 eggs away."]
+    df = docs_of(spark, ["Some words before that. " + t + " And more words behind it." for t in texts])
+    got = {(r.doc_id, r.item_id): r.exact for r in find_leaks(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == {(0, 0): False, (1, 1): True, (2, 2): False, (3, 1): False}
+
+
 # ---- 9 ----
 
 
