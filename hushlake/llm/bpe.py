@@ -135,20 +135,16 @@ class TextEncoder:
         self.known: dict[str, str] = {}  # word -> its ids as text
         self.first: dict[str, str] = {}  # piece without a space before it -> its ids
         self.rest: dict[str, str] = {}  # piece after one space -> its ids
-        self.odd: dict[str, str] = {}  # words whose ids decode to another text
+        self.said = {str(i): b for i, b in self.v.bytes.items()}  # bytes by an id as text
         self.special = regex.compile("|".join(map(regex.escape, self.v.special))) if self.v.special else None
 
     def forget(self) -> None:
-        self.known, self.first, self.rest, self.odd = {}, {}, {}, {}
+        self.known, self.first, self.rest = {}, {}, {}
 
     def learn(self, words: set[str]) -> None:
-        """Encodes the new words in one walk; each encoding is decoded again and compared with its word."""
+        """Encodes the new words in one walk."""
         fresh = sorted(w for w in words if w not in self.known)  # by code point, which is also the order of UTF-8
-        token_bytes = self.v.bytes
         for word, ids in zip(fresh, self.trie.encode([w.encode("utf-8", "surrogatepass") for w in fresh]), strict=True):
-            back = b"".join([token_bytes[i] for i in ids]).decode("utf-8", "replace")
-            if back != word:
-                self.odd[word] = back
             self.known[word] = ",".join(map(str, ids))
 
     def pieces(self, texts: list[str]) -> tuple[list[list[str] | None], set[str], set[str]]:
@@ -197,16 +193,16 @@ class TextEncoder:
             rest_of[x] = ",".join([known[w] for w in own])
         for x in plain:
             rest_of[x] = known[f" {x}"]
-        for text, own, pieces in zip(texts, whole, cut, strict=True):
+        for own, pieces in zip(whole, cut, strict=True):
             if own is None:
                 said = ",".join([self.first[pieces[0]], *map(rest_of.__getitem__, islice(pieces, 1, None))])
             else:
                 said = ",".join([known[w] if isinstance(w, str) else str(w) for w in own])
-            yield said, self.decoded(text) if self.odd else text
+            yield said, self.decoded(said)
 
-    def decoded(self, text: str) -> str:
-        """The text from its words' decoded ids, where some word doesn't come back as it was."""
-        return "".join([self.odd.get(w, w) if isinstance(w, str) else self.v.bytes[w].decode() for w in self.whole(text)])
+    def decoded(self, said: str) -> str:
+        """The text of ids as given out; bytes that aren't UTF-8 become U+FFFD."""
+        return b"".join(map(self.said.__getitem__, said.split(","))).decode("utf-8", "replace") if said else ""
 
 
 @lru_cache(maxsize=2)

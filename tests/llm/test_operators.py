@@ -280,6 +280,13 @@ def test_tokens_equal_the_library(spark):
     assert encode_texts(docs_of(spark, texts).limit(0), vocabulary_path()).count() == 0
 
 
+def test_decoded_comes_from_the_ids():
+    own = TextEncoder(vocabulary_path())
+    assert list(own.encode(["ab cd", "  x"])) == [(said, own.decoded(said)) for said, _ in own.encode(["ab cd", "  x"])]
+    own.rest["cd"] = own.known[" xy"] if " xy" in own.known else next(own.encode([" xy"]))[0]
+    assert next(own.encode(["ab cd"]))[1] == "ab xy"
+
+
 def test_trie_equals_merging_one_by_one():
     v = TextEncoder(vocabulary_path()).v
 
