@@ -14,9 +14,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests) a new temporary one is set."""
+    """The folder of spark.checkpoint.dir; where that is unset a new temporary one is set in local mode, and an error raised on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-hushlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -44,18 +46,18 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the smallest node.
 
     Alternates the large-star and small-star steps, which touch each edge once and need
-    O(log n) rounds in practice. Nodes without edges don't appear. Nothing is collected but a
+    O(log n) rounds in practice; it goes on until they settle. Nodes without edges don't appear. Nothing is collected but a
     count and a checksum of each round; a hub with very many edges is spread by adaptive
     skew joins, since the smallest neighbour comes from a partial aggregation.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     e = stored(e, "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -67,7 +69,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

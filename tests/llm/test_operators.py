@@ -384,8 +384,8 @@ def plain_groups(rows, k, percent):
     return {i: (len(sets[i]), part[i]) for i in sets}
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
-def test_near_copies(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "small", "block"), [(3, 90, 16, 400_000), (5, 80, 2, 300), (3, 90, 1, 50), (3, 80, 10_000, 50)])
+def test_near_copies(spark, k, percent, small, block):
     rng = random.Random(k)
     base = [words(rng, rng.randint(1, 120)) for _ in range(25)]
     shared = words(rng, 60)
@@ -397,10 +397,33 @@ def test_near_copies(spark, k, percent):
         texts.append(rng.choice([" ", "\t"]).join(w) + rng.choice(["", " " + shared]))
     texts += [shared + " " + words(rng, 2) for _ in range(20)] + [texts[0]] * 5
     rng.shuffle(texts)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(docs_of(spark, texts), k=k, percent=percent).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(docs_of(spark, texts), k=k, percent=percent, small=small, block=block).collect()}
     assert got == plain_groups(list(enumerate(texts)), k, percent)
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_near_copies_of_repeated_ids(spark, parts):
+    """All texts of an id count: links go through any of them, whatever the partitioning."""
+    rng = random.Random(21)
+    base = [words(rng, 40) for _ in range(8)]
+    rows = [(rng.randrange(30), rng.choice(base) + rng.choice(["", " end", " other end"])) for _ in range(60)]
+    rows += [(i, words(rng, 30)) for i in range(40)] + [(3, ""), (5, None), (99, ""), (None, base[0]), (None, words(rng, 20)), (None, None)]
+    last = 2**63 - 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    ids = {}
+    for i, t in rows:
+        w = (t or "").split()
+        ids.setdefault(last if i is None else i, []).append({tuple(w[j : j + 3]) for j in range(len(w) - 2)})
+    part = {i: i for i in ids}
+    near = lambda a, b: a and b and 100 * len(a & b) >= 90 * len(a | b)
+    links = [(i, j) for i in ids for j in ids if i < j and any(near(a, b) for a in ids[i] for b in ids[j])]
+    for _ in ids:
+        for i, j in links:
+            part[i] = part[j] = min(part[i], part[j])
+    got = sorted((last if r.doc_id is None else r.doc_id, r.n_shingles, last if r.component_id is None else r.component_id) for r in jaccard_groups(df, small=4, block=200).collect())
+    assert got == sorted((i, len(s), part[i]) for i, own in ids.items() for s in own)
+
+
 def test_near_copies_null_id_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (3, "x")], "doc_id long, text string")
     got = sorted((r.doc_id or 99, r.component_id) for r in jaccard_groups(df).collect())
