@@ -6,6 +6,7 @@ import gc
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -16,12 +17,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .shared import thrifty
+
 #: Cuts text into words before merging; fixed by the vocabulary.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space at either end or next to more of it, or rare controls: such texts are cut as a whole, others at each space.
 UNEVEN = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f\x85]")
 #: Bounds on what a worker keeps between batches and gives out at a time; results don't depend on them.
 MAX_WORDS, MAX_PAIRS, PART_CHARS, ROWS = 250_000, 500_000, 4_000_000, 256
+#: Tokens decoded at a time.
+PART_TOKENS = 65_536
 
 
 def byte_letters() -> dict[str, int]:
@@ -132,20 +137,28 @@ class TextEncoder:
     def __init__(self, path: str) -> None:
         self.v = Vocabulary(path)
         self.trie = TrieEncoder(self.v)
-        self.known: dict[str, str] = {}  # word -> its ids as text
-        self.first: dict[str, str] = {}  # piece without a space before it -> its ids
-        self.rest: dict[str, str] = {}  # piece after one space -> its ids
-        self.said = {str(i): b for i, b in self.v.bytes.items()}  # bytes by an id as text
+        self.forget()
+        # All tokens' bytes one after another, and where each id's begin.
+        self.flat = np.frombuffer(b"".join(self.v.bytes.values()), np.uint8)
+        self.size = np.zeros(max(self.v.bytes) + 1, np.int32)
+        self.start = np.zeros(max(self.v.bytes) + 1, np.int32)
+        ids = np.fromiter(self.v.bytes, np.int64)
+        self.size[ids] = [len(b) for b in self.v.bytes.values()]
+        self.start[ids] = np.cumsum(self.size[ids]) - self.size[ids]
         self.special = regex.compile("|".join(map(regex.escape, self.v.special))) if self.v.special else None
 
     def forget(self) -> None:
-        self.known, self.first, self.rest = {}, {}, {}
+        """Empties the caches: ids as text and as 32-bit numbers, of words, of pieces without a space before them, and of pieces after one space."""
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.first: dict[str, tuple[str, bytes]] = {}
+        self.rest: dict[str, str] = {}
+        self.packed: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         """Encodes the new words in one walk."""
         fresh = sorted(w for w in words if w not in self.known)  # by code point, which is also the order of UTF-8
         for word, ids in zip(fresh, self.trie.encode([w.encode("utf-8", "surrogatepass") for w in fresh]), strict=True):
-            self.known[word] = ",".join(map(str, ids))
+            self.known[word] = ",".join(map(str, ids)), array("i", ids).tobytes()
 
     def pieces(self, texts: list[str]) -> tuple[list[list[str] | None], set[str], set[str]]:
         """Pieces between single spaces of each text (None: cut it as a whole), and the new ones."""
@@ -172,8 +185,8 @@ class TextEncoder:
             at = m.end()
         return out + WORDS.findall(text[at:])
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """Of each text: ids as decimal numbers joined by commas, and the text decoded from them."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes, str]]:
+        """Of each text: ids as decimal numbers joined by commas and as 32-bit numbers, and the text decoded from them."""
         if len(self.known) > MAX_WORDS or len(self.rest) > MAX_WORDS:
             self.forget()
         cut, first, rest = self.pieces(texts)
@@ -186,23 +199,34 @@ class TextEncoder:
             new.update(own)
         new.update(w for own in whole if own for w in own if isinstance(w, str))
         self.learn(new)
-        known, rest_of = self.known, self.rest
+        known, rest_of, packed_of = self.known, self.rest, self.packed
         for x, own in first_words.items():
-            self.first[x] = ",".join([known[w] for w in own])
+            self.first[x] = ",".join([known[w][0] for w in own]), b"".join([known[w][1] for w in own])
         for x, own in mixed.items():
-            rest_of[x] = ",".join([known[w] for w in own])
+            rest_of[x], packed_of[x] = ",".join([known[w][0] for w in own]), b"".join([known[w][1] for w in own])
         for x in plain:
-            rest_of[x] = known[f" {x}"]
+            rest_of[x], packed_of[x] = known[f" {x}"]
         for own, pieces in zip(whole, cut, strict=True):
             if own is None:
-                said = ",".join([self.first[pieces[0]], *map(rest_of.__getitem__, islice(pieces, 1, None))])
+                said, packed = self.first[pieces[0]]
+                said = ",".join([said, *map(rest_of.__getitem__, islice(pieces, 1, None))])
+                packed = b"".join([packed, *map(packed_of.__getitem__, islice(pieces, 1, None))])
             else:
-                said = ",".join([known[w] if isinstance(w, str) else str(w) for w in own])
-            yield said, self.decoded(said)
-
-    def decoded(self, said: str) -> str:
-        """The text of ids as given out; bytes that aren't UTF-8 become U+FFFD."""
-        return b"".join(map(self.said.__getitem__, said.split(","))).decode("utf-8", "replace") if said else ""
+                both = [known[w] if isinstance(w, str) else (str(w), array("i", [w]).tobytes()) for w in own]
+                said, packed = ",".join([x for x, _ in both]), b"".join([x for _, x in both])
+            yield said, packed, self.decoded(packed)
+
+    def decoded(self, packed: bytes) -> str:
+        """The text of ids (32-bit numbers); bytes that aren't UTF-8 become U+FFFD."""
+        ids, out = np.frombuffer(packed, np.int32), []
+        for k in range(0, len(ids), PART_TOKENS):
+            part = ids[k : k + PART_TOKENS]
+            size = self.size[part]
+            ends = np.cumsum(size, dtype=np.int32)
+            at = np.repeat(self.start[part] - ends + size, size)
+            at += np.arange(len(at), dtype=np.int32)
+            out.append(self.flat[at].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -240,10 +264,10 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         schema.add("ids_sha256", T.StringType()).add("decoded_sha256", T.StringType())
     kinds = [pa.int64(), *[pa.list_(pa.int32()), pa.string()] * ids, *[pa.string(), pa.string()] * digests]
 
-    def row_of(said: str, text: str) -> list:
-        row = [said.count(",") + 1 if said else 0]
+    def row_of(said: str, packed: bytes, text: str) -> list:
+        row = [len(packed) // 4]
         if ids:
-            row += [np.fromstring(said, dtype=np.int32, sep=",") if said else np.empty(0, np.int32), text]
+            row += [np.frombuffer(packed, np.int32), text]
         if digests:
             row += [hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()]
         return row
@@ -256,7 +280,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 at = 0
                 for part in parts_of([x or "" for x in batch.column(1).to_pylist()]):
                     encoded = own.encode(part)
-                    while rows := [row_of(said, text) for said, text in islice(encoded, ROWS)]:
+                    while rows := [row_of(*x) for x in islice(encoded, ROWS)]:
                         columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), *columns], names=schema.names)
                         at += len(rows)
@@ -264,11 +288,12 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             own.forget()  # the worker may go on to other tasks
             gc.enable()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema).withColumnRenamed("id", id_col)
 
 
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """Adds the text of each row's ids (null: ''); bytes that aren't UTF-8 become U+FFFD, unknown ids nothing."""
+    """Adds the text of each row's ids (null: ''); bytes that aren't UTF-8 become U+FFFD, unknown ids nothing. A column named out_col is replaced."""
+    rows = rows.drop(out_col) if out_col != ids_col else rows
     schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +302,7 @@ def decode_ids(rows: DataFrame, path: str, ids_col: str = "token_ids", out_col:
             texts = [b"".join([known.get(i, b"") for i in own or []]).decode("utf-8", "replace") for own in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(thrifty(run), schema)
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
