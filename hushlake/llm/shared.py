@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,28 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over batches, with the memory that it no longer needs given back to the system at its end.
+
+    Spark keeps Python workers for later tasks; without this they keep what their largest task took.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        libc = ctypes.CDLL(None)
+        known = hasattr(libc, "mallopt") and hasattr(libc, "malloc_trim")  # the GNU library's
+        if known:
+            libc.mallopt(-3, 1 << 20)  # arrays from 1 MB on go back when they are freed
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if known:
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and leaves all else."""
     return F.translate(text, UPPER, LOWER)
