@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import thrifty
+
 #: Bytes of a window; filters see WIDTHS bytes; each window begins OVERLAP bytes before the last one's end.
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
 OVERLAP = max(WIDTHS) - 1
@@ -64,7 +66,13 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train_network(texts: list[str], langs: list[str], rounds: int = 1200, batch: int = 96, per_text: int = 4, seed: int = 7) -> ByteNetwork:
-    """Fits the network with Adam on up to per_text windows of each text; the same input gives the same network."""
+    """Fits the network with Adam on up to per_text windows of each text; the same input gives the same network.
+
+    Without texts the network has no labels, and identify gives 'und' to all.
+    """
+    if not texts:
+        none = np.zeros(0, np.float32)
+        return ByteNetwork([], none, [], [], none, none)
     rng, labels = np.random.default_rng(seed), sorted(set(langs))
     xs, ys = [], []
     for text, lang in zip(texts, langs, strict=True):
@@ -165,31 +173,36 @@ def judge(net: ByteNetwork, tables: list[list[np.ndarray]], texts: list[str]) ->
 def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, max_chars: int = 4000, max_langs: int = 200) -> ByteNetwork:
     """Trains on a bounded sample of labelled texts: per_lang of each language, their first max_chars characters.
 
-    The sample is rows with the smallest hashes of the id, so it is the same for the same rows. Rows
-    with null text or language are left out. Without any labelled row a ValueError is raised. The bounds
-    hold for training alone; prediction reads whole texts.
+    Bounds, of training alone (prediction reads whole texts): per_lang texts a language, max_chars characters of each, and
+    the max_langs languages with the most labelled rows (of equal ones the first by name), so that at most
+    per_lang * max_langs * max_chars characters come to the driver. The sample is rows with the smallest hashes of the id and text, so
+    it is the same for the same rows in any partitioning. Rows with null text or language are left out. Without
+    any labelled row the network has no labels.
     """
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    most = rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(max_langs).select(F.col(lang_col).alias("lang"))
     # 64 slices of each language give their first few rows, so that no language is gathered whole.
-    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("order"))
+    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("order")).join(F.broadcast(most), "lang")
     in_slice = Window.partitionBy("lang", F.pmod("order", F.lit(64))).orderBy("order", "id")
     ids = ids.withColumn("place", F.row_number().over(in_slice)).filter(F.col("place") <= max(1, per_lang // 16))
     first = Window.partitionBy("lang").orderBy("order", "id")
-    picked = ids.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_lang).select("id", "lang")
-    sample = rows.select(F.col(id_col).alias("id"), F.substring(text_col, 1, max_chars).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(picked), ["id", "lang"])
-    found = sorted(sample.distinct().limit(per_lang * max_langs).collect(), key=lambda r: (r.id, r.text))
-    if not found:
-        raise ValueError("no labelled text to learn from")
+    picked = ids.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_lang).select("order", "lang").distinct()
+    sample = rows.select(F.xxhash64(id_col, text_col).alias("order"), F.substring(text_col, 1, max_chars).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(picked), ["order", "lang"])
+    found = sorted(sample.distinct().collect(), key=lambda r: (r.order, r.lang, r.text))
     return train_network([r.text for r in found], [r.lang for r in found])
 
 
 def identify(docs: DataFrame, net: ByteNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds lang_pred and score (0 to 1) to every row, from all windows of its whole text.
 
-    A text that is null or has no letter gets 'und' and score 0. The network is sent to the workers once
-    (a few hundred KB, whatever the input). Repeated rows are judged alike; all columns pass through.
+    A text that is null or has no letter gets 'und' and score 0, as does every text under a network without labels. The network is
+    sent to the workers once (a few hundred KB, whatever the input). Repeated rows are judged alike; an empty table gives an
+    empty one. All columns pass through, but those named lang_pred or score are replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop("lang_pred", "score")
+    if not net.labels:
+        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     sent = spark.sparkContext.broadcast(net)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text_col)
@@ -207,7 +220,7 @@ def identify(docs: DataFrame, net: ByteNetwork, id_col: str = "doc_id", text_col
                 scores = [float(s) if ok else 0.0 for s, ok in zip(score, lettered, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(thrifty(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):
