@@ -20,6 +20,8 @@ ANY = "|".join([EMAIL, IP, DATE, SSN, PHONE, NUMBER])
 ROUNDS = 8
 #: Days of 400 years of the calendar, as a product of two factors; the range begins in 1801.
 DAYS, DAY_A, DAY_B, FIRST_DAY = 146_097, 27, 5_411, "1801-01-01"
+#: Those of them from the 13th of a month on, also as a product, and the first 12 days of each month that are none.
+LATE_DAYS, LATE_A, LATE_B, EARLY = 88_497, 9, 9_833, 12
 
 
 def pads(key: str) -> tuple[str, str]:
@@ -88,14 +90,27 @@ def only_digits(token: Column) -> Column:
 
 
 def new_number(key: str, token: Column) -> Column:
-    """13 to 19 digits: with a right check digit (Luhn) the others are permuted and it is worked out anew, else all are permuted."""
+    """13 to 19 digits: all but the last are permuted, and the last is worked out anew.
+
+    Numbers with a right check digit (Luhn) are permuted among themselves, and so are those without: there the distance of
+    the last digit from the right one (1 to 9) is shifted by a number drawn from the others.
+    """
 
     def run(d: Column) -> Column:
         n = F.length(d)
-        valid = luhn_sum(d, False) % 10 == 0
-        body = permuted_digits(key, "card", F.substr(d, F.lit(1), n - 1))
-        card = bound(body, lambda x: F.concat(x, ((10 - luhn_sum(x, True) % 10) % 10).cast("string")))
-        return filled(token, F.when(valid, card).otherwise(permuted_digits(key, "number", d)))
+        off = luhn_sum(d, False) % 10
+
+        def last(x: Column, distance: Column | int) -> Column:
+            return F.concat(x, ((20 - luhn_sum(x, True) % 10 + distance) % 10).cast("string"))
+
+        body = F.substr(d, F.lit(1), n - 1)
+        card = bound(permuted_digits(key, "card", body), lambda x: last(x, F.lit(0)))
+
+        def other(x: Column) -> Column:
+            by = F.conv(F.substring(keyed(key, F.concat_ws("|", F.lit("last"), x)), 1, 8), 16, 10).cast("long")
+            return last(x, (off - 1 + by) % 9 + 1)
+
+        return filled(token, F.when(off == 0, card).otherwise(bound(permuted_digits(key, "number", body), other)))
 
     return bound(only_digits(token), run)
 
@@ -135,16 +150,35 @@ def new_ip(key: str, token: Column) -> Column:
 def new_date(key: str, token: Column) -> Column:
     """A valid date of 1801 to 2200 is permuted among all of them and written in the same form; others stay.
 
-    Of dd/MM/yyyy and MM/dd/yyyy the second is tried first.
+    Of dd/MM/yyyy and MM/dd/yyyy the second is tried first. What only the first can read is a day from the 13th on, and is
+    permuted among such days, so that its pseudonym has no other reading either.
     """
-    out = token
     first = F.lit(FIRST_DAY).cast("date")
+
+    def late(day: Column) -> Column:
+        """The permuted date of a day from the 13th of its month on; such days are numbered without the first 12 of each month."""
+        own = F.date_add(first, day)
+        month = (F.year(own) - 1801) * 12 + F.month(own) - 1
+        start = lambda m: F.datediff(F.add_months(first, m), first) - EARLY * m
+
+        def placed(s: Column) -> Column:
+            def found(near: Column) -> Column:
+                m = F.when(start(near + 1) <= s, near + 1).when(start(near) <= s, near).otherwise(near - 1)
+                return bound(m, lambda m: F.date_add(F.add_months(first, m), (s - start(m) + EARLY).cast("int")))
+
+            return bound(F.least(F.floor(s * 4800 / LATE_DAYS), F.lit(4799)).cast("int"), found)
+
+        index = F.datediff(own, first) - EARLY * (month + 1)
+        said = bound(index, lambda i: feistel(key, "late", F.floor(i / LATE_B), i % LATE_B, LATE_A, LATE_B))
+        return bound(bound(said, lambda s: (s["l"] * LATE_B + s["r"]).cast("int")), placed)
+
+    out = token
     for form in ("dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy/MM/dd", "yyyy-MM-dd"):
         shape = r"^\d{4}[-/]" if form.startswith("y") else r"^\d{2}[./]"
         mark = F.contains(token, F.lit("-" if "-" in form else "." if "." in form else "/"))
         day = F.datediff(F.try_to_timestamp(F.when(token.rlike(shape) & mark, token), F.lit(form)).cast("date"), first)
-        new = bound(day, lambda d: bound(feistel(key, "date", F.floor(d / DAY_B), d % DAY_B, DAY_A, DAY_B), lambda s: F.date_add(first, (s["l"] * DAY_B + s["r"]).cast("int"))))
-        out = F.when(day.between(0, DAYS - 1), F.date_format(new, form)).otherwise(out)
+        new = bound(day, lambda d: bound(feistel(key, "date", F.floor(d / DAY_B), d % DAY_B, DAY_A, DAY_B), lambda s: F.date_add(first, (s["l"] * DAY_B + s["r"]).cast("int")))) if form != "dd/MM/yyyy" else bound(day, lambda d: F.when(F.dayofmonth(F.date_add(first, d)) > EARLY, late(d)))
+        out = F.when(day.between(0, DAYS - 1), F.coalesce(F.date_format(new, form), token)).otherwise(out)
     return out
 
 
@@ -200,9 +234,12 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
     Each row is worked on alone, with column expressions, without a shuffle: the text is cut at its values, and put
     together again. A null text stays null with n_found 0; an empty one empty. All rows and columns stay.
-    The key is part of the plan; who can read plans can undo the permutation.
+    An empty table gives an empty one. A column named n_found is replaced. The key is part of the plan; who can
+    read plans can undo the permutation.
     """
-    text = F.col(text_col)
+    text, inner = F.col(text_col), "__pii"
+    while inner in docs.columns:
+        inner += "_"
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     plain = F.split(text, ANY, -1)
 
@@ -212,8 +249,8 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
     has = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
     out = F.when(has, bound(found, lambda v: F.struct(F.when(F.size(v) > 0, put(v)).otherwise(text).alias("text"), F.size(v).cast("long").alias("n")))).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
-    columns = [F.col("__pii.text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c != "n_found"]
-    return docs.withColumn("__pii", out).select(*columns, F.col("__pii.n").alias("n_found"))
+    columns = [F.col(f"{inner}.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "n_found"]
+    return docs.withColumn(inner, out).select(*columns, F.col(f"{inner}.n").alias("n_found"))
 
 
 #: The key of the registered query; a real one comes from the caller.
