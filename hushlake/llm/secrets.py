@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .shared import bound, stored
 
-#: Runs of 16 or more of these characters; only those with a digit and a letter are candidates.
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}={0,2}"
+#: Blocks of private keys, dotted tokens, and runs of 16 or more of these characters.
+CANDIDATE = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[^-]{16,}-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----|(?<![A-Za-z0-9_+/-])(?:eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?|[A-Za-z0-9_+/-]{16,}={0,2})"
 #: Ends of a context word: no letter before (or a capital after a small one), none behind (or a capital after a small one), an s aside.
 STARTS, ENDS = r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))", r"(?i:s)?(?![a-z])(?!(?<=[A-Z])[A-Z])"
 #: Words that announce a secret (the longer ones also at the end of a name: dbpassword), and those that announce harmless values. Fixed values.
@@ -19,18 +19,23 @@ SECRET_WORDS = rf"(?:(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|p
 PLAIN_WORDS = rf"{STARTS}(?i:sha1(?:sum)?|sha256(?:sum)?|md5(?:sum)?|commit|digest|checksum|hash(?:es)?|uuid|revision|version|phone|card|order|invoice|example|test|dummy){ENDS}"
 PLAIN_PATHS = r"(?i)(?:test|example|sample|fixture|mock|lock|\.md$|\.svg$|\.min\.js$)"
 #: Forms that rules label without a doubt: of issued keys, and of harmless values.
-KNOWN_SECRET = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{20,})"
-KNOWN_PLAIN = r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|(?:[A-Za-z]+[-_/])+[A-Za-z]*\d{0,4}|[A-Za-z]{2,}\d{1,4}|(?:.)\1+)$"
+KNOWN_SECRET = r"^(?:-----BEGIN |AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{20,})"
+KNOWN_PLAIN = r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|(?:[A-Za-z]+[-_/])+[A-Za-z]*\d{0,4}|[A-Za-z]{2,}\d{1,4}|(.)\1+)$"
 CONTEXT = 40
+#: A value that begins behind this is assigned to something; behind a secret's name it is a candidate without a digit too.
+ASSIGNED = r"[=:]\s*[\"']?$"
 #: What the forest sees, in this order.
 FEATURES = ["chars", "digits", "uppers", "letter_to_digit", "digit_to_letter", "case_changes", "distinct", "longest_letters", "vowels", "hexadecimal", "covered", "assigned", "quoted", "secret_word", "plain_word", "path_depth", "plain_path"]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """(doc, at, value, before, after, path): all candidates of whole texts with CONTEXT characters on both sides."""
+    """(doc, at, value, before, after, path): all candidates of whole texts with CONTEXT characters on both sides.
+
+    A candidate has a letter, and a digit unless it is assigned to a secret's name.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    rows = docs.select(F.col(id_col).alias("doc"), path.alias("path"), text.alias("text")).filter(F.col("text").rlike(r"[0-9]"))
+    rows = docs.select(F.col(id_col).alias("doc"), path.alias("path"), text.alias("text")).filter(F.length("text") >= 16)
 
     def cut(found: Column) -> Column:
         def placed(plain: Column) -> Column:
@@ -39,13 +44,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             def step(s: Column, i: Column) -> Column:
                 at = s["at"] + F.length(plain[i])
                 one = F.struct(at.alias("at"), found[i].alias("value"), F.right(plain[i], F.lit(CONTEXT)).alias("before"), F.substring(plain[i + 1], 1, CONTEXT).alias("after"))
-                fits = found[i].rlike("[0-9]") & found[i].rlike("[A-Za-z]")
+                fits = found[i].rlike("[A-Za-z]") & (found[i].rlike("[0-9]") | (one["before"].rlike(ASSIGNED) & one["before"].rlike(SECRET_WORDS)))
                 own = F.coalesce(s["out"], F.array().cast("array<struct<at:int,value:string,before:string,after:string>>"))
                 return F.struct((at + F.length(found[i])).alias("at"), F.when(fits, F.array_append(own, one)).otherwise(own).alias("out"))
 
             return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"]
 
-        return F.when(F.exists(found, lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")), bound(F.split("text", CANDIDATE, -1), placed))
+        return F.when(F.exists(found, lambda v: v.rlike("[A-Za-z]")), bound(F.split("text", CANDIDATE, -1), placed))
 
     found = bound(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), cut)
     return rows.select("doc", "path", F.explode(found).alias("x")).select("doc", "path", "x.*")
@@ -66,9 +71,9 @@ def featured(found: DataFrame, docs: DataFrame, text_col: str, least_docs: int,
     out = found.withColumn("runs", runs)
     words = stored(out.select(F.explode("runs").alias("word")).distinct(), "words")
     known = dictionary(docs, F.broadcast(words) if words.count() <= broadcast_words else words, text_col, least_docs)
-    pieces = out.select("doc", "at", "value", F.explode(F.array_distinct("runs")).alias("word"))
-    covered = pieces.join(known, "word").groupBy("doc", "at", "value").agg(F.collect_set("word").alias("words"))
-    out = out.join(covered, ["doc", "at", "value"], "left")
+    pieces = out.select("value", F.explode(F.array_distinct("runs")).alias("word")).distinct()
+    covered = pieces.join(known, "word").groupBy("value").agg(F.collect_set("word").alias("words"))
+    out = out.join(covered, "value", "left")
     letters = lambda runs: F.aggregate(runs, F.lit(0), lambda s, w: s + F.length(w)).cast("double")
     own = F.filter("runs", lambda w: F.array_contains(F.coalesce("words", F.array().cast("array<string>")), w))
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
@@ -86,7 +91,7 @@ def featured(found: DataFrame, docs: DataFrame, text_col: str, least_docs: int,
             "vowels": count("(?i)[aeiou]") / size,
             "hexadecimal": flag(value.rlike("^[0-9a-fA-F]+$")),
             "covered": letters(own) / size,
-            "assigned": flag(F.col("before").rlike("[=:]\\s*[\"']?$")),
+            "assigned": flag(F.col("before").rlike(ASSIGNED)),
             "quoted": flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")),
             "secret_word": flag(F.col("before").rlike(SECRET_WORDS)),
             "plain_word": flag(F.col("before").rlike(PLAIN_WORDS)),
@@ -115,7 +120,8 @@ def labelled(found: DataFrame) -> DataFrame:
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", max_findings: int = 20_000, trees: int = 20, depth: int = 6, least_docs: int = 5, least_score: float = 0.5, broadcast_words: int = 500_000, seed: int = 11) -> DataFrame:
     """Judges every candidate of every whole text: id_col, at (first character, from 0), length, masked, score, is_secret.
 
-    Candidates are runs of 16 or more of [A-Za-z0-9_+/-] with a digit and a letter. A random forest sees their length,
+    Candidates are runs of 16 or more of [A-Za-z0-9_+/-] with a letter and (unless assigned to a secret's name) a digit, dotted
+    tokens, and blocks of private keys. A random forest sees their length,
     transitions between kinds of characters, coverage by words of the texts, path and neighbouring words, and
     gives a score; from least_score on the candidate is a secret, else a false positive.
     It is fitted on labelled findings (id_col, at, label 1 or 0); where none are given, on those that rules settle without a
@@ -123,7 +129,8 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str
 
     A word counts for coverage if least_docs texts hold it. Without findings of both labels there is no forest: a finding's
     score is its label, that of other candidates the label rules give them, and 0.5 where they give none.
-    Null or empty texts have no candidates; repeated rows give repeated results.
+    Null or empty texts have no candidates; repeated rows give repeated results; a null id comes back as null. Extra columns are left
+    out, so none clashes; an empty table gives an empty one.
     """
     found = stored(featured(candidates(docs, id_col, text_col, path_col), docs, text_col, least_docs, broadcast_words), "found")
     sure = labelled(found)
