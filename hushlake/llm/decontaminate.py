@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, thrifty
 from .words import hash_strings, parts_of, run_hashes, split_words
 
 #: Words that are a unit after a number. Fixed values.
@@ -104,7 +104,7 @@ def item_windows(items: DataFrame, size: int, shortest: int) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["item", "words", "item_at", "size", "hash", "item_slots", "view"])
 
-    return items.mapInArrow(run, "item long, words int, item_at int, size int, hash long, item_slots array<string>, view int")
+    return items.mapInArrow(thrifty(run), "item long, words int, item_at int, size int, hash long, item_slots array<string>, view int")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 8, min_words: int = 13, min_share: float = 0.6, shortest: int = 4) -> DataFrame:
@@ -115,7 +115,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     Words are cleaned of punctuation and lower-cased; numbers, capitalised words within a sentence and
     units after numbers become typed slots. Windows of ``size`` words are hash-joined with those of the items; matches with
     the same shift form runs. A run counts if its slots are consistent: a value of the item always stands
-    for one value in the document. An item is reported if a run has min_words words (the whole
+    for one value in the document, and different values for different ones. An item is reported if a run has min_words words (the whole
     item, if shorter), or all runs together min_share of the item.
 
     Each text is read in three ways, and an item is reported if one of them finds it: as above; with number words as numbers,
@@ -130,14 +130,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """
     windows = stored(item_windows(items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).distinct(), size, shortest), "windows")
     count = windows.count()
-    bits = [r[0] for r in windows.select(F.col("hash").bitwiseAND((1 << HINT_BITS) - 1).cast("int")).distinct().collect()]
+    bit = F.col("hash").bitwiseAND((1 << HINT_BITS) - 1) + 1
+    bits = windows.groupBy(F.bitmap_bucket_number(bit).alias("place")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())
-    hint = np.zeros(1 << HINT_BITS, bool)
-    hint[bits] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(hint))
+    hint = np.zeros(1 << HINT_BITS - 3, np.uint8)
+    for r in bits:  # 128 rows of 4 KB at most
+        hint[(r.place - 1) << 12 : r.place << 12] = np.frombuffer(r.bits, np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(hint)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hint = np.unpackbits(sent.value).astype(bool)
+        hint = np.unpackbits(sent.value, bitorder="little").astype(bool)
         for batch in batches:
             for first, part in parts_of(batch.column(1)):
                 for view, t in zip(VIEWS, Templates.of(part), strict=True):
@@ -150,12 +152,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                             numbers = [pa.array(np.full(len(at), x, np.int32)) for x in (own, view)]
                             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + doc)), pa.array((at - t.offsets[doc]).astype(np.int32)), pa.array(hashes[at].view(np.int64)), *numbers, slots], names=["doc", "at", "hash", "size", "view", "slots"])
 
-    hits = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, at int, hash long, size int, view int, slots array<string>")
+    hits = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(thrifty(run), "doc long, at int, hash long, size int, view int, slots array<string>")
     known = F.broadcast(windows) if count <= BROADCAST_WINDOWS else windows
     met = hits.join(known, ["hash", "size", "view"]).filter(F.size("slots") == F.size("item_slots")).select("doc", "item", "view", "words", "size", "at", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))).alias("pairs")).dropDuplicates(["doc", "item", "view", "at", "item_at"])
     order = Window.partitionBy("doc", "item", "view", "words", "size", "shift").orderBy("at")
     runs = met.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy("doc", "item", "view", "words", "size", "shift", "run").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    same = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
+    alone = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
+    same = alone("i") & alone("d")
     length = (F.col("n") + F.col("size") - 1).cast("long")
     runs = runs.filter(same).select("doc", "item", "view", "words", length.alias("length"), F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact"))
     found = runs.groupBy("doc", "item", "view", "words").agg(F.least(F.sum("length"), F.max("words")).cast("long").alias("n_words"), F.max("length").alias("longest"), F.min("exact").alias("exact"))
