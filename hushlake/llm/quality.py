@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, thrifty
 from .words import hash_strings, mixed, parts_of, run_hashes, split_words
 
 #: Symbols are CLASSES classes of bytes, so a model has CLASSES ** 3 three-symbol sequences at most.
@@ -61,7 +61,7 @@ def count_sequences(docs: DataFrame) -> DataFrame:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(counts[at])], names=["lang", "gram", "n"])
 
-    counts = docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = docs.select("lang", "text").mapInArrow(thrifty(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return counts.union(counts.groupBy(F.lit(ALL).alias("lang"), "gram").agg(F.sum("n").alias("n")))
 
 
@@ -153,7 +153,7 @@ def word_grams(docs: DataFrame, spelling: np.ndarray) -> DataFrame:
                 words = [pa.array(seq[where - k].view(np.int64)) for k in (2, 1, 0)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *words, pa.array(n.astype(np.int64)), pa.array(spelled[at[one]])], names=["key", "lang", "w1", "w2", "w3", "n", "spelled"])
 
-    return docs.select("key", "lang", "text").mapInArrow(run, "key long, lang string, w1 long, w2 long, w3 long, n long, spelled float")
+    return docs.select("key", "lang", "text").mapInArrow(thrifty(run), "key long, lang string, w1 long, w2 long, w3 long, n long, spelled float")
 
 
 def train_words(docs: DataFrame, spelling: np.ndarray) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -220,9 +220,10 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     bytes of its words with one blank behind each, and perplexity is by symbol. A document is judged without what it alone
     has put into the tables. Only the model that spells unseen words (CLASSES ** 3 sequences at most) is sent to the workers.
     Null, empty or blank texts have no perplexity and are not kept. A null language, or one without trusted text, is judged by the
-    model and threshold of all languages. Repeated rows are judged alike. Without trusted text a ValueError is raised.
+    model and threshold of all languages. Repeated rows are judged alike. Without trusted text no document has a perplexity
+    or threshold, and none is kept; an empty table gives an empty one. Extra columns are left out, so none clashes.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     trusted = stored(labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc")).filter("doc IS NOT NULL").distinct(), "trusted")
     n = trusted.count()
     ids = F.broadcast(trusted) if n <= BROADCAST_IDS else trusted
@@ -230,7 +231,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     good = own.join(ids, "doc", "left_semi").withColumn("lang", F.coalesce("lang", F.lit(ALL + ALL)))
     model = train_model(good.select(F.lit("").alias("lang"), "text"))
     if ALL not in model:
-        raise ValueError("no trusted text to learn from")
+        none = F.lit(None).cast("double")
+        return own.select(F.col("doc").alias(id_col), "lang", F.lit(0).cast("long").alias("symbols"), none.alias("perplexity"), none.alias("threshold"), F.lit(False).alias("kept"))
     spelling = surprise(model[ALL])
     langs = stored(good.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("lang", F.col("lang").alias("name")).distinct(), "langs")
     few = langs.count() <= 1000
