@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +15,11 @@ from .shared import components, stored
 LAST = 2**63 - 1
 #: Neighbours kept of a node in a shard, candidates looked at, and how much farther a pruned one may be.
 DEGREE, POOL, ALPHA = 24, 64, 1.2
-#: Vectors at most that centers are fitted on, and that recall is audited with.
+#: Vectors (about) that the centers of a split are fitted on, and at most that recall is audited with.
 SAMPLE, AUDIT = 20_000, 400
+#: Centers broadcast at most; beyond that the join shuffles.
+BROADCAST_CENTERS = 20_000
+LOG = logging.getLogger(__name__)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -170,22 +175,97 @@ def search_shard(least: float, beam: int):
     return run
 
 
-def assigned(rows: DataFrame, centers: np.ndarray, count: int) -> DataFrame:
-    """(shard, id, vector): every vector in the shards of its count nearest centers."""
-    sent = rows.sparkSession.sparkContext.broadcast(centers)
+def exact_shard(least: float):
+    """Function of (nodes, queries) of one shard to all its pairs (a, b) of cosine least or more, in blocks."""
 
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                own = unit(vectors(batch["vector"])) @ sent.value.T
-                near = np.argsort(-own, axis=1, kind="stable")[:, :count]
-                yield pd.DataFrame({"shard": near.ravel(), "id": np.repeat(batch["id"].to_numpy(), near.shape[1]), "vector": batch["vector"].repeat(near.shape[1]).to_list()})
+    def run(nodes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if len(nodes) and len(queries):
+            ids, own_ids = nodes["id"].to_numpy(np.int64), queries["id"].to_numpy(np.int64)
+            x, asked = unit(vectors(nodes["vector"])), unit(vectors(queries["vector"]))
+            for k in range(0, len(asked), 256):
+                i, j = np.nonzero(asked[k : k + 256] @ x.T >= least - 1e-6)
+                fits = (np.einsum("kd,kd->k", asked[k + i], x[j]) >= least) & (own_ids[k + i] != ids[j])
+                a.append(own_ids[k + i[fits]])
+                b.append(ids[j[fits]])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
 
-    return rows.mapInPandas(run, "shard long, id long, vector array<double>")
+
+class Shards:
+    """A tree of centers: vectors go down it, at each split to the cells of their nearest centers.
+
+    The first split has up to ``fan`` cells, fitted on a sample of up to SAMPLE vectors. A cell of more than twice ``shard`` vectors
+    is split again by centers fitted on a sample of its own, so the size of a shard does not depend on the number of vectors. The splits of one
+    level are a table (cell, centers), a row for each split cell, joined by cell.
+    """
+
+    def __init__(self, rows: DataFrame, shard: int, fan: int) -> None:
+        self.levels: list[DataFrame] = []
+        self.shard, self.fan = shard, fan
+        cells = rows.select(F.lit("").alias("shard"), "id", "vector")
+        while True:
+            sizes = stored(cells.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > (2 * shard if self.levels else 0)), "sizes")
+            if not sizes.limit(1).count() or len(self.levels) > 8:
+                break
+            # By the hash of the id, so that the sample of a cell is the same again; about SAMPLE of a larger cell.
+            place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+            sample = cells.join(sizes, "shard").filter(place < F.lit(float(SAMPLE)) / F.col("n"))
+            self.levels.append(stored(sample.groupBy("shard").applyInPandas(self.split(), "shard string, centers array<array<double>>"), "centers"))
+            # Where no vector tells the centers apart, a cell stays whole.
+            if not self.levels[-1].filter(F.size("centers") > 1).limit(1).count():
+                break
+            cells = stored(self.placed(rows, 1), "cells")
+
+    def split(self):
+        shard, fan = self.shard, self.fan
+
+        def run(sample: pd.DataFrame) -> pd.DataFrame:
+            sample = sample.sort_values("id")
+            k = max(1, min(fan, -(-int(sample["n"].iloc[0]) // shard), len(sample)))
+            centers = fit_centers(vectors(sample["vector"]), k)
+            return pd.DataFrame({"shard": [sample["shard"].iloc[0]], "centers": [[c.tolist() for c in centers]]})
+
+        return run
+
+    def placed(self, rows: DataFrame, count: int) -> DataFrame:
+        """(shard, id, vector): every vector in the shards of its count nearest centers at each split."""
+        out = rows.select(F.lit("").alias("shard"), "id", "vector")
+        for centers in self.levels:
+            out = self.nearest(self.joined(out, centers), count)
+        return out
+
+    @staticmethod
+    def joined(rows: DataFrame, centers: DataFrame) -> DataFrame:
+        """rows with the centers of their cell, null where it is not split."""
+        few = centers.agg(F.coalesce(F.sum(F.size("centers")), F.lit(0))).first()[0] <= BROADCAST_CENTERS
+        return rows.join(F.broadcast(centers) if few else centers, "shard", "left")
+
+    @staticmethod
+    def nearest(rows: DataFrame, count: int, angles: bool = False) -> DataFrame:
+        """(shard, id, vector) with the cells of the count nearest centers, and the angle to them."""
+        names = ["shard", "id", "vector", "angle"] if angles else ["shard", "id", "vector"]
+
+        def run(batches):
+            for batch in batches:
+                for shard, part in batch.groupby("shard", sort=False):
+                    if part["centers"].iloc[0] is None:
+                        yield part.assign(angle=None)[names]
+                        continue
+                    far = angles_to(part)
+                    near = np.argsort(far, axis=1, kind="stable")[:, :count]
+                    cells = np.array([f"{shard}/{i}" for i in range(far.shape[1])], object)
+                    yield pd.DataFrame({"shard": cells[near.ravel()], "id": np.repeat(part["id"].to_numpy(), near.shape[1]), "vector": part["vector"].repeat(near.shape[1]).to_list(), "angle": np.take_along_axis(far, near, 1).ravel()})[names]
+
+        return rows.select("shard", "id", "vector", "centers").mapInPandas(run, "shard string, id long, vector array<double>" + ", angle double" * angles)
 
 
 def audit(rows: DataFrame, pairs: DataFrame, least: float, limit: int = AUDIT) -> float:
-    """Recall of pairs for up to limit vectors (the smallest hashes of the id), against all vectors by brute force in blocks."""
+    """Recall of pairs for up to limit vectors (the smallest hashes of the id), against all vectors by brute force in blocks.
+
+    The mean over those of them that have a link, so that a large group does not hide small ones; 1 if none has.
+    """
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(limit).toPandas()
     ids, asked = picked["id"].to_numpy(np.int64), unit(vectors(picked["vector"]))
     sent = rows.sparkSession.sparkContext.broadcast((ids, asked))
@@ -199,40 +279,75 @@ def audit(rows: DataFrame, pairs: DataFrame, least: float, limit: int = AUDIT) -
                 yield pd.DataFrame({"a": ids[j], "b": own})[ids[j] != own]
 
     true = stored(rows.mapInPandas(run, "a long, b long"), "audit")
-    total = true.count()
-    return 1.0 if not total else 1 - true.join(pairs, ["a", "b"], "left_anti").count() / total
+    met = true.join(pairs.withColumn("met", F.lit(1)), ["a", "b"], "left").groupBy("a").agg(F.avg(F.coalesce("met", F.lit(0))).alias("share"))
+    return met.agg(F.coalesce(F.avg("share"), F.lit(1.0))).first()[0]
 
 
-def similar_pairs(rows: DataFrame, least: float = 0.9, shard: int = 1200, overlap: int = 2, probes: int = 4, beam: int = 32, recall: float = 0.99, attempts: int = 4) -> DataFrame:
+def exact_pairs(rows: DataFrame, shards: Shards, least: float) -> DataFrame:
+    """All pairs (a, b): each vector lies in one shard, and is asked in every shard that can hold a vector in range.
+
+    At each split a query goes on to the cells whose radius (largest angle of a vector below them to their center) and the range
+    together reach it.
+    """
+    owned = asked = rows.select(F.lit("").alias("shard"), "id", "vector")
+    for centers in shards.levels:
+        owned = stored(Shards.nearest(shards.joined(owned, centers), 1, angles=True), "owned")
+        radii = owned.filter("angle IS NOT NULL").groupBy("shard").agg(F.max("angle").alias("radius"))
+        parent, place = F.expr("substring_index(shard, '/', size(split(shard, '/')) - 1)"), F.substring_index("shard", "/", -1).cast("int")
+        radii = radii.groupBy(parent.alias("shard")).agg(F.map_from_entries(F.collect_list(F.struct(place, "radius"))).alias("radii"))
+        asked = shards.joined(asked, stored(centers.join(radii, "shard"), "radii")).select("shard", "id", "vector", "centers", "radii").mapInPandas(reached(least), "shard string, id long, vector array<double>")
+        owned = owned.drop("angle")
+    return owned.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(exact_shard(least), "a long, b long")
+
+
+def angles_to(part: pd.DataFrame) -> np.ndarray:
+    """Angles of the vectors of one cell (rows) to its centers (columns)."""
+    return np.arccos(np.clip(unit(vectors(part["vector"])) @ unit(np.stack([np.asarray(c) for c in part["centers"].iloc[0]])).T, -1, 1))
+
+
+def reached(least: float):
+    """Function over batches of vectors with their cell's centers and radii: each vector in the cells that can hold one in range."""
+
+    def run(batches):
+        for batch in batches:
+            for shard, part in batch.groupby("shard", sort=False):
+                if part["centers"].iloc[0] is None:
+                    yield part[["shard", "id", "vector"]]
+                    continue
+                angles, radii = angles_to(part), np.full(len(part["centers"].iloc[0]), -10.0)
+                for place, radius in dict(part["radii"].iloc[0]).items():
+                    radii[place] = radius
+                i, j = np.nonzero(angles <= radii + np.arccos(least) + 1e-6)
+                if len(i):
+                    yield pd.DataFrame({"shard": [f"{shard}/{k}" for k in j.tolist()], "id": part["id"].to_numpy()[i], "vector": part["vector"].iloc[i].to_list()})
+
+    return run
+
+
+def similar_pairs(rows: DataFrame, least: float = 0.9, shard: int = 1200, overlap: int = 2, probes: int = 4, beam: int = 32, recall: float = 0.99, attempts: int = 3, fan: int = SAMPLE // 8) -> DataFrame:
     """Pairs (a, b), both ways, of the vectors of rows (id, vector) with cosine least or more.
 
-    Centers fitted on a sample of up to SAMPLE vectors cut the vectors into shards of about ``shard``, each vector in
-    the ``overlap`` nearest. Each shard builds its graph by robust pruning; the neighbours of all shards are united. A
-    query goes to the shards of its ``probes`` nearest centers. Recall is audited on up to AUDIT vectors; below ``recall``
-    probes and beam are doubled and the search repeated; below 0.9 after ``attempts`` a RuntimeError is raised.
+    A tree of centers cuts the vectors into shards of about ``shard``, each vector in the ``overlap`` nearest. Each shard
+    builds its graph by robust pruning; the neighbours of all shards are united, and of very many the 2 * DEGREE nearest are kept in a shard. A
+    query goes to the shards of its ``probes`` nearest centers. Recall is audited on up to AUDIT vectors and logged; below
+    ``recall`` probes and beam are doubled and the search repeated; if it is still below after ``attempts``, exact_pairs takes its place.
     """
-    n = rows.count()
-    k = max(1, min(-(-n // shard), SAMPLE // 8))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toPandas()
-    centers = fit_centers(vectors(sample["vector"]), k)
-    nodes = stored(assigned(rows, centers, min(overlap, k)), "shards")
+    shards = Shards(rows, shard, fan)
+    nodes = stored(shards.placed(rows, overlap), "shards")
     edges = nodes.groupBy("shard").applyInPandas(build_graph, "node long, next long")
     graph = stored(edges.groupBy("node").agg(F.collect_set("next").alias("links")).withColumnRenamed("node", "id"), "graph")
     nodes = stored(nodes.join(graph, "id", "left").select("shard", "id", "vector", "links"), "nodes")
-    found = None
+    both = lambda pairs: stored(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
     for _ in range(attempts):
-        probes = min(probes, k)
-        asked = assigned(rows, centers, probes)
-        pairs = nodes.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(search_shard(least, beam), "a long, b long")
-        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        found = stored(both, "pairs")
+        asked = shards.placed(rows, probes)
+        found = both(nodes.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(search_shard(least, beam), "a long, b long"))
         met = audit(rows, found, least)
-        if met >= recall or (probes == k and beam >= 2 * shard):
-            break
+        LOG.info("recall %.4f with %d probes and a beam of %d", met, probes, beam)
+        if met >= recall:
+            return found
         probes, beam = 2 * probes, 2 * beam
-    if met < 0.9:
-        raise RuntimeError(f"recall {met:.3f} is below 0.9")
-    return found
+    LOG.info("recall stays below %.4f: all pairs are checked that the shards' radii leave", recall)
+    return both(exact_pairs(rows, shards, least))
 
 
 def dedup_embeddings(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, **search) -> DataFrame:
