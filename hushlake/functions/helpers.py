@@ -85,17 +85,21 @@ def throttle(times: Iterator[float], most: int, window: float, accepted: list[fl
 def by_key(rows: DataFrame, keys: list[str], order: list[str], fold, schema: str, partitions: int | None = None) -> DataFrame:
     """Folds the rows of each key in order. Rows are sorted within partitions and stream through: a key of any size needs no more memory than its state.
 
-    fold(state, part) gets a mutable dict of the key and the key's next rows, and returns a frame of schema.
+    fold(state, part) gets a mutable dict of the key and the key's next rows, and returns a frame of schema. Each batch gives out one frame,
+    however many keys it holds.
     """
     spread = rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = object(), {}
         for batch in batches:
+            out = []
             for own, part in batch.groupby(keys, sort=False, dropna=False):
                 if own != now:
                     now, state = own, {}
-                yield fold(state, part)
+                out.append(fold(state, part))
+            if out:
+                yield pd.concat(out, ignore_index=True)
 
     return spread.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
@@ -129,10 +133,8 @@ def expand_chain(states: DataFrame) -> DataFrame:
 
 
 def entry_key(state: Column, salt: Column) -> Column:
-    """Key of one entry, from the chain's state (a key that differs by row) and a salt."""
-
-    @F.pandas_udf("binary")
-    def run(states: pd.Series, salts: pd.Series) -> pd.Series:
-        return pd.Series([chain_step(bytes(s), ENTRY + bytes(x)) for s, x in zip(states, salts, strict=True)])
-
-    return run(state, salt)
+    """Key of one entry: HMAC-SHA-256 under the chain's state (32 bytes, another one each row) of a label and a salt."""
+    block = F.hex(state)
+    pad = lambda byte: F.unhex(F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.lpad(F.hex(F.conv(F.substr(block, i * 2 + 1, F.lit(2)), 16, 10).cast("long").bitwiseXOR(byte)), 2, "0")), ""), F.lit(f"{byte:02x}" * 32)))
+    first = F.unhex(F.sha2(F.concat(pad(0x36), F.lit(ENTRY), salt), 256))
+    return F.unhex(F.sha2(F.concat(pad(0x5C), first), 256))

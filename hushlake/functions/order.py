@@ -45,6 +45,15 @@ def ope_encrypt(value: Column, key: Key, plain_bits: int = 32, cipher_bits: int
     return F.least(base + noise, big(cipher_max)).cast("decimal(20,0)")
 
 
+def ope_bound(value: int, key: bytes, plain_bits: int = 32, cipher_bits: int = 64) -> Column:
+    """The ciphertext of one number as a literal, worked out once on the driver: filters with it reach the scan, and it holds no key."""
+    plain_max, cipher_max = 2**plain_bits - 1, 2**cipher_bits - 1
+    if not 0 <= value <= plain_max:
+        raise ValueError(f"value must be between 0 and {plain_max}")
+    noise = int.from_bytes(derived(key, value.to_bytes(8, "big"))[:8], "big") % max(1, cipher_max // (plain_max * 10))
+    return F.lit(str(min(value * cipher_max // plain_max + noise, cipher_max))).cast("decimal(20,0)")
+
+
 def ope_decrypt_open(cipher: Column) -> Column:
     """The value of a 32 to 64 bit order-preserving ciphertext, without any key."""
     return F.floor(cipher / F.lit(str(2**32 + 1)).cast("decimal(20,0)")).cast("long")
@@ -55,6 +64,16 @@ def ope_bytes(cipher: Column) -> Column:
     return F.unhex(F.lpad(F.conv(cipher.cast("string"), 10, 16), 16, "0"))
 
 
+def ope_base64(cipher: Column) -> Column:
+    """The 8 bytes as text."""
+    return F.base64(ope_bytes(cipher))
+
+
+def ope_from_bytes(raw: Column) -> Column:
+    """The ciphertext of 8 bytes, most significant first."""
+    return unsigned(raw)
+
+
 def ope_compare(a: Column, b: Column) -> Column:
     return F.when(a > b, 1).when(a < b, -1).when(a == b, 0)
 
@@ -77,6 +96,19 @@ def ore_encrypt(value: Column, left: Key, right: Key, on_invalid: str = "error")
     return F.concat(F.lit(bytes([1, BLOCKS])), *lefts, *rights)
 
 
+def ore_bound(value: int, key: bytes) -> Column:
+    """The ciphertext of one number as a literal, worked out once on the driver."""
+    if not 0 <= value <= PLAIN_MAX:
+        raise ValueError(f"value must be between 0 and {PLAIN_MAX}")
+    keys, marks, blocks = ore_keys(key), b"", b""
+    for i in range(BLOCKS):
+        prefix = bytes([i]) + value.to_bytes(BLOCKS, "big")[:i]
+        marks += derived(keys["ore_left"], prefix)[:LEFT]
+        mask = int.from_bytes(derived(keys["ore_right"], prefix)[:4], "big")
+        blocks += (((value >> 24 - 8 * i & 255) + mask) % MODULUS).to_bytes(2, "big")
+    return F.lit(bytes([1, BLOCKS]) + marks + blocks)
+
+
 def ore_left(cipher: Column, i: int) -> Column:
     return F.substring(cipher, 3 + LEFT * i, LEFT)
 
@@ -124,7 +156,8 @@ def ore_ranks(df: DataFrame, cipher: str = "ore") -> DataFrame:
         df = df.withColumns({"__mark": mark, "__block": block})
         some = df.groupBy("__mark").agg(F.min("__block").alias("__ref"))
         off = lambda b, r: F.pmod(b - r + MODULUS // 2, F.lit(MODULUS)) - MODULUS // 2
-        df = df.join(some, "__mark", "left")
+        # All rows have one mark in the first step, so its one row must not be met by a shuffle on it.
+        df = df.join(F.broadcast(some) if i == 0 else some, "__mark", "left")
         low = df.groupBy("__mark").agg(F.min(off(F.col("__block"), F.col("__ref"))).alias("__low"))
-        df = df.join(low, "__mark", "left").withColumn(f"step_{i}", (off(F.col("__block"), F.col("__ref")) - F.col("__low")).cast("int")).drop("__mark", "__block", "__ref", "__low")
+        df = df.join(F.broadcast(low) if i == 0 else low, "__mark", "left").withColumn(f"step_{i}", (off(F.col("__block"), F.col("__ref")) - F.col("__low")).cast("int")).drop("__mark", "__block", "__ref", "__low")
     return df

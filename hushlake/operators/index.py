@@ -12,6 +12,7 @@ from ..functions.prf import hmac256
 from ..functions.text import keywords
 from ..functions.tokens import encrypt, keyword_token, try_decrypt
 from ..sources.keys import Key, without_keys
+from ..sources.staging import stored
 from .search import build_postings
 
 DOC = ["tenant_id", "doc_id"]
@@ -80,8 +81,9 @@ def forward_add(index: ForwardIndex, docs: DataFrame, state_key: Key, search: Ke
     numbered = rows.select("keyword", "doc_id", (F.row_number().over(Window.partitionBy("keyword").orderBy(order)) - 1).cast("long").alias("step"))
     fresh = rows.groupBy("keyword").agg(F.count("*").alias("steps"), F.first(hmac256(state_key, F.col("keyword"))).alias("first"))
     grown = fresh.join(index.states, "keyword", "left").select("keyword", "steps", F.coalesce("initial", "first").alias("initial"), F.coalesce("current", "first").alias("start"), F.coalesce("counter", F.lit(0)).cast("long").alias("counter"))
-    chain = expand_chain(grown)
-    salt = F.expr("unhex(sha2(cast(uuid() as binary), 256))")
+    chain = stored(expand_chain(grown), "chain")
+    # A salt by state and document: every read of these tables sees the same, also after a task was run again.
+    salt = F.unhex(F.sha2(F.concat(F.lit("salt").cast("binary"), F.col("state"), F.col("doc_id").cast("binary")), 256))
     entries = numbered.join(chain, ["keyword", "step"]).withColumn("salt", salt)
     entries = entries.select("tag", F.concat("salt", encrypt(F.col("doc_id"), entry_key(F.col("state"), F.col("salt")))).alias("entry"))
     ends = chain.groupBy("keyword").agg(F.max_by("next_state", "step").alias("current"))
@@ -102,7 +104,9 @@ def forward_open(index: ForwardIndex, words: DataFrame | None, search_rows: Data
     opened = met.select("keyword", "tag", try_decrypt(blob, entry_key(F.col("state"), F.substring("entry", 1, 32))).cast("string").alias("doc_id"))
     token = lambda df: df.join(F.broadcast(search_rows)).withColumn("token", keyword_token(F.col("keyword"), search))
     secure = index.secure.union(token(opened).select("token", "doc_id")).distinct()
-    renewed = known.select("keyword", F.expr("unhex(sha2(cast(uuid() as binary), 256))").alias("initial")).select("keyword", "initial", F.col("initial").alias("current"), F.lit(0).cast("long").alias("counter"))
+    # The next start of a chain needs the search key, so that who has seen the old one can't follow.
+    start = hmac256(search, F.concat(F.lit("renewed").cast("binary"), F.col("initial"), F.col("keyword").cast("binary")))
+    renewed = known.join(F.broadcast(search_rows)).select("keyword", start.alias("initial")).select("keyword", "initial", F.col("initial").alias("current"), F.lit(0).cast("long").alias("counter"))
     states = index.states.join(known.select("keyword"), "keyword", "left_anti").union(renewed)
     aux = index.aux.join(opened.select("tag"), "tag", "left_anti")
     found = opened.select("keyword", "doc_id")
@@ -141,6 +145,17 @@ def backward_add(docs: DataFrame, search: Key) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc_id", keyword_token(F.col("keyword"), search).alias("token")), rows.select("doc_id", "keyword")
 
 
+def backward_search(server: DataFrame, words: DataFrame, search: Key) -> DataFrame:
+    """(keyword, doc_id) of words (keyword, keys) on the server's postings; words are few and broadcast."""
+    asked = words.select(F.lower("keyword").alias("keyword"), keyword_token(F.col("keyword"), search).alias("token")).distinct()
+    return server.join(F.broadcast(asked), "token").select("keyword", "doc_id").distinct()
+
+
+def server_view(server: DataFrame) -> DataFrame:
+    """(doc_id, tokens) as the server sees them: no keyword, and nothing of deletions."""
+    return server.groupBy("doc_id").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+
+
 def backward_delete(server: DataFrame, client: DataFrame, ids: DataFrame, delete_key: Key, deletions: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame, int, bool]:
     """(server, client, tokens (doc_id, keyword, delete_token), deletions, needs_reencryption): all traces of ids (doc_id, keys) are taken out."""
     gone = client.join(ids, "doc_id").withColumn("delete_token", delete_token(F.col("doc_id"), F.col("keyword"), delete_key)).select("doc_id", "keyword", "delete_token")
@@ -154,6 +169,14 @@ def backward_renew(client: DataFrame, search: Key) -> DataFrame:
     return client.select("doc_id", keyword_token(F.col("keyword"), search).alias("token"))
 
 
+def reindexed(records: DataFrame, blob: str, document_key: Key, index) -> DataFrame:
+    """Records with their index made anew under a new master key, from the encrypted field; null where that doesn't open.
+
+    index is a function of the text column. Old indexes stay valid until the records are replaced by these.
+    """
+    return records.withColumn("index", index(try_decrypt(F.col(blob), document_key.raw).cast("string")))
+
+
 def collect_garbage(server: DataFrame, client: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(server without stale documents, one row removed): stale documents have no client keywords."""
     known = client.select("doc_id").distinct()

@@ -29,6 +29,22 @@ def audit_entry(event: Column, actor: Column, success: Column, resource: Column,
     return F.struct(event.alias("event_type"), actor.alias("actor"), success.alias("success"), redact(resource).alias("resource"), clean_details(details).alias("details"), request_id.alias("request_id"), F.when(success, "INFO").otherwise("WARNING").alias("level"))
 
 
+def event_shape(kind: Column, subject: Column, detail: Column, count: Column) -> Column:
+    """Struct (event_type, resource, details, success) of an event by its kind.
+
+    key.generate, key.rotate and key.access name the key and its type, successor or operation; key.delete the key alone; auth.failure the reason,
+    without a resource; search.* the kind of search and its number of results; config.change the setting. Other kinds have no details.
+    """
+    none = F.create_map().cast("map<string,string>")
+    named = {"key.generate": "key_type", "key.rotate": "new_key_id", "key.access": "operation", "auth.failure": "reason"}
+    details = F.when(F.startswith(kind, F.lit("search.")), F.create_map(F.lit("query_type"), F.substring_index(kind, ".", -1), F.lit("result_count"), F.coalesce(count, F.lit(0)).cast("string")))
+    for event, name in named.items():
+        details = details.when(kind == event, F.create_map(F.lit(name), detail))
+    details = details.when(kind == "config.change", F.create_map(F.lit("setting"), subject)).otherwise(none)
+    resource = F.when(kind.isin("key.generate", "key.rotate", "key.access", "key.delete"), subject).otherwise("")
+    return F.struct(kind.alias("event_type"), resource.alias("resource"), details.alias("details"), (kind != "auth.failure").alias("success"))
+
+
 def audit_rollup(entries: DataFrame) -> DataFrame:
     """(tenant_id, event_group, event_type, n, failures, depth): one pass for all levels; what is rolled up is null."""
     rows = entries.withColumn("event_group", F.substring_index("event_type", ".", 1))

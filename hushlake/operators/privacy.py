@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.helpers import by_key, spend
 from ..functions.prf import uniform
 from ..sources.keys import Key
+from ..sources.staging import stored
 
 
 def positive(**values: float) -> None:
@@ -48,27 +49,31 @@ def gaussian_variance(sensitivity: float, epsilon: float, delta: float) -> float
     return gaussian_sigma(sensitivity, epsilon, delta) ** 2
 
 
-def draws(noise: Key, query: str, group: list[str]) -> tuple[Column, Column]:
-    """Two uniform numbers fixed by the noise key, the query and the group: a retried task draws the same."""
+def draws(noise: Key, query: str, group: list[str], release: Column | None = None) -> tuple[Column, Column]:
+    """Two uniform numbers fixed by the noise key, the query, the group and the release: a retried task draws the same.
+
+    Every release over data that may have changed needs a release of its own, or the difference of two would be exact.
+    """
     names = [F.coalesce(F.col(g).cast("string"), F.lit("")) for g in group]
-    return uniform(noise, F.lit(query), *names, F.lit("1")), uniform(noise, F.lit(query), *names, F.lit("2"))
+    own = [F.lit(query), *([] if release is None else [release.cast("string")]), *names]
+    return uniform(noise, *own, F.lit("1")), uniform(noise, *own, F.lit("2"))
 
 
-def private_count(grouped: DataFrame, noise: Key, query: str, group: list[str], epsilon: float, sensitivity: float = 1.0) -> DataFrame:
+def private_count(grouped: DataFrame, noise: Key, query: str, group: list[str], epsilon: float, sensitivity: float = 1.0, release: Column | None = None) -> DataFrame:
     """noisy_count of rows (group, true_count, keys)."""
-    u, _ = draws(noise, query, group)
+    u, _ = draws(noise, query, group, release)
     return grouped.select(*group, (F.col("true_count") + laplace(u, sensitivity, epsilon)).alias("noisy_count"))
 
 
-def private_sum(grouped: DataFrame, noise: Key, query: str, group: list[str], sensitivity: float, epsilon: float, delta: float) -> DataFrame:
+def private_sum(grouped: DataFrame, noise: Key, query: str, group: list[str], sensitivity: float, epsilon: float, delta: float, release: Column | None = None) -> DataFrame:
     """noisy_sum of rows (group, true_sum, keys)."""
-    return grouped.select(*group, (F.col("true_sum") + gaussian(*draws(noise, query, group), gaussian_sigma(sensitivity, epsilon, delta))).alias("noisy_sum"))
+    return grouped.select(*group, (F.col("true_sum") + gaussian(*draws(noise, query, group, release), gaussian_sigma(sensitivity, epsilon, delta))).alias("noisy_sum"))
 
 
-def private_average(grouped: DataFrame, noise: Key, query: str, group: list[str], value_range: float, epsilon: float, delta: float) -> DataFrame:
+def private_average(grouped: DataFrame, noise: Key, query: str, group: list[str], value_range: float, epsilon: float, delta: float, release: Column | None = None) -> DataFrame:
     """noisy_average of rows (group, true_average, true_count, keys); the sensitivity is value_range / count, of at least one row."""
     sigma = gaussian_sigma(value_range, epsilon, delta) / F.col("true_count")
-    return grouped.filter("true_count >= 1").select(*group, (F.col("true_average") + gaussian(*draws(noise, query, group), sigma)).alias("noisy_average"))
+    return grouped.filter("true_count >= 1").select(*group, (F.col("true_average") + gaussian(*draws(noise, query, group, release), sigma)).alias("noisy_average"))
 
 
 def private_selection(candidates: DataFrame, noise: Key, query: str, group: list[str], sensitivity: float, epsilon: float) -> DataFrame:
@@ -83,8 +88,33 @@ def private_selection(candidates: DataFrame, noise: Key, query: str, group: list
     return candidates.groupBy(*group).agg(best.alias("selected"))
 
 
+def released(requests: DataFrame, values: DataFrame, noise: Key, query: str, order: list[str], sensitivity: float = 1.0) -> DataFrame:
+    """(tenant_id, seq, accepted, remaining, noisy_value): each request pays from its tenant's budget before it gets a number.
+
+    requests are (tenant_id, seq, epsilon, total), values (tenant_id, true_value, keys). A refused request gets null, and so does a tenant without a value.
+    The seq is the release: no two requests draw the same noise. The accepted rows are stored first, so that no number leaves without its payment.
+    """
+    paid = stored(budget_fold(requests, order), "paid")
+    rows = paid.join(values, "tenant_id", "left")
+    u, _ = draws(noise, query, ["tenant_id"], F.col("seq"))
+    x = u - 0.5
+    noisy = F.col("true_value") - F.lit(float(sensitivity)) / F.col("epsilon") * F.signum(x) * F.log(F.greatest(1 - 2 * F.abs(x), F.lit(2.0**-60)))
+    return rows.select("tenant_id", "seq", "accepted", "remaining", F.when(F.col("accepted"), noisy).alias("noisy_value"))
+
+
 def budget_fold(requests: DataFrame, order: list[str]) -> DataFrame:
-    """(tenant_id, seq, epsilon, accepted, remaining, warning) of requests (tenant_id, seq, epsilon, total) in order; refused ones cost nothing."""
+    """(tenant_id, seq, epsilon, accepted, remaining, warning) of requests (tenant_id, seq, epsilon, total) in order; refused ones cost nothing.
+
+    Where requests have a column ``reset`` (boolean), the tenant's budget is full again before a row with it set.
+    """
+    if "reset" in requests.columns:
+        # Each reset begins an account of its own.
+        w = Window.partitionBy("tenant_id").orderBy(*order)
+        numbered = requests.withColumn("__account", F.sum(F.coalesce("reset", F.lit(False)).cast("int")).over(w))
+        numbered = numbered.withColumn("__tenant", F.struct("tenant_id", "__account"))
+        own = numbered.select(F.to_json("__tenant").alias("tenant_id"), *[c for c in requests.columns if c not in ("tenant_id", "reset")])
+        out = budget_fold(own, order)
+        return out.withColumn("tenant_id", F.get_json_object("tenant_id", "$.tenant_id"))
 
     def fold(state: dict, part: pd.DataFrame) -> pd.DataFrame:
         rows = list(spend(zip(part["epsilon"], part["total"], strict=True), state.get("consumed", 0.0)))

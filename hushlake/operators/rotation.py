@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import blob_key_hash, encrypt, key_hash, try_decrypt, unwrap, wrap
+from ..sources.staging import stored
 
 #: Fixed values.
 STATES = ["active", "rotating", "retired", "archived", "destroyed"]
@@ -88,21 +89,60 @@ def lifecycle_report(keys: DataFrame, as_of: Column) -> DataFrame:
 
 
 def resolve_keys(blobs: DataFrame, keys: DataFrame, blob: str = "blob") -> DataFrame:
-    """Adds the key_id of each versioned blob by its 4-byte hash; null for unversioned blobs and unknown keys. Keys are few and broadcast."""
-    known = keys.select(key_hash(F.col("key_id")).alias("__hash"), "key_id")
-    return blobs.withColumn("__hash", blob_key_hash(F.col(blob))).join(F.broadcast(known), "__hash", "left").drop("__hash")
+    """Adds the key_id of each versioned blob; null for unversioned blobs and unknown keys.
 
+    Keys with the blob's 4-byte hash (and its tenant_id, where both tables have one) are looked up; if several share a hash and keys has a
+    column ``key``, the one that opens the blob is taken, else the first by name. Each blob stays one row.
+    """
+    rows = with_key_choices(blobs, keys, blob)
+    first = F.col("__keys")[0]["key_id"]
+    if "key" in keys.columns:
+        fits = F.filter("__keys", lambda k: try_decrypt(unwrap(F.col(blob)), k["key"]).isNotNull())
+        first = F.when(F.size("__keys") > 1, F.coalesce(F.get(fits, F.lit(0))["key_id"], first)).otherwise(first)
+    return rows.withColumn("key_id", first).drop("__hash", "__keys")
+
+
+def with_key_choices(blobs: DataFrame, keys: DataFrame, blob: str) -> DataFrame:
+    """Adds __hash and __keys, the keys that a blob may be encrypted with: one row a blob, whatever hashes clash. Keys are few and broadcast."""
+    by = [c for c in ("tenant_id",) if c in blobs.columns and c in keys.columns]
+    fields = [c for c in ("key_id", "key") if c in keys.columns]
+    known = keys.groupBy(*by, key_hash(F.col("key_id")).alias("__hash")).agg(F.array_sort(F.collect_set(F.struct(*fields))).alias("__keys"))
+    return blobs.withColumn("__hash", blob_key_hash(F.col(blob))).join(F.broadcast(known), [*by, "__hash"], "left")
 
-def reencrypt(blobs: DataFrame, keys: DataFrame, new_key_id: str, blob: str = "blob") -> DataFrame:
-    """Adds ``renewed``: each blob decrypted with its key and encrypted under new_key_id, null where that fails. keys is (key_id, key).
 
-    A map over the blobs: keys are broadcast, nothing is shuffled, and a repeated run gives blobs of the same key.
+def reencrypt(blobs: DataFrame, keys: DataFrame, new_key_id: str, blob: str = "blob", only: str | None = None) -> DataFrame:
+    """Adds ``renewed``: each blob decrypted with its key and encrypted under new_key_id, null where that fails. keys is (key_id, key), and tenant_id if blobs have one.
+
+    only names the key whose blobs are renewed; those of other keys, or unversioned ones, are left out of the result. A map over the blobs: keys are
+    broadcast, nothing is shuffled, and a repeated run gives blobs of the same key. Without exactly one new key (of each tenant) a ValueError is raised.
+    """
+    by = [c for c in ("tenant_id",) if c in blobs.columns and c in keys.columns]
+    new = keys.filter(F.col("key_id") == new_key_id).select(*by, F.col("key").alias("__new")).distinct()
+    found = new.groupBy(*by).agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.max("n").alias("most")).first() if by else new.agg(F.count("*").alias("groups"), F.count("*").alias("most")).first()
+    if not found.groups or found.most != 1:
+        raise ValueError(f"there must be one key {new_key_id}")
+    rows = with_key_choices(blobs, keys, blob)
+    if only is not None:
+        rows = rows.filter(F.exists("__keys", lambda k: k["key_id"] == only))
+    tried = F.filter(F.transform("__keys", lambda k: F.struct(k["key_id"].alias("key_id"), try_decrypt(unwrap(F.col(blob)), k["key"]).alias("plain"))), lambda x: x["plain"].isNotNull())
+    rows = rows.withColumn("__plain", F.get(tried, F.lit(0)))
+    rows = rows.join(F.broadcast(new), by, "left") if by else rows.join(F.broadcast(new))
+    if only is not None:
+        # A blob that opens with another key of the same hash is not one of this key.
+        rows = rows.filter(F.coalesce(F.col("__plain.key_id") == only, F.lit(True)))
+    return rows.withColumn("renewed", wrap(encrypt(F.col("__plain.plain"), F.col("__new")), F.lit(new_key_id))).drop("__hash", "__keys", "__plain", "__new")
+
+
+def rotate(blobs: DataFrame, keys: DataFrame, table: DataFrame, key_id: str, new_key_id: str, as_of: Column, emergency: bool = False, blob: str = "blob") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(renewed blobs of the key, one row of progress, key table after it): the records of key_id move to new_key_id.
+
+    The outcome decides the key table: a rotation in which all failed leaves the old key rotating, an emergency retires it at once
+    and marks it compromised. The renewed blobs are stored once, so that both read the same ciphertexts.
     """
-    old = keys.select(key_hash(F.col("key_id")).alias("__hash"), F.col("key").alias("__old"))
-    new = keys.filter(F.col("key_id") == new_key_id).select(F.col("key").alias("__new"))
-    rows = blobs.withColumn("__hash", blob_key_hash(F.col(blob))).join(F.broadcast(old), "__hash", "left").join(F.broadcast(new))
-    plain = try_decrypt(unwrap(F.col(blob)), F.col("__old"))
-    return rows.withColumn("renewed", wrap(encrypt(plain, F.col("__new")), F.lit(new_key_id))).drop("__hash", "__old", "__new")
+    renewed = stored(reencrypt(blobs, keys, new_key_id, blob, only=key_id), "renewed")
+    outcome = progress(renewed, emergency=emergency)
+    failed = outcome.first().status == "failed"
+    return renewed, outcome, rotated_keys(table, key_id, new_key_id, as_of, failed, emergency)
 
 
 def progress(renewed: DataFrame, by: list[str] | None = None, emergency: bool = False) -> DataFrame:

@@ -10,10 +10,16 @@ from ..functions.prf import hmac256
 from ..sources.keys import Key
 
 
-def encrypted_transactions(rows: DataFrame, account: Column, amount: Column, token: Key, ope: Key, left: Key, right: Key) -> DataFrame:
-    """Adds account_token, amount_ope and amount_ore."""
-    units = scaled(amount)
-    return rows.withColumns({"account_token": F.base64(hmac256(token, account.cast("string"))), "amount_ope": ope_encrypt(units, ope), "amount_ore": ore_encrypt(units, left, right)})
+def encrypted_transactions(rows: DataFrame, account: Column, amount: Column, token: Key | None = None, ope: Key | None = None, ore: tuple[Key, Key] | None = None) -> DataFrame:
+    """Adds account_token, amount_ope and amount_ore, each if its key is given: a job makes what it asks for only."""
+    units, made = scaled(amount), {}
+    if token:
+        made["account_token"] = F.base64(hmac256(token, account.cast("string")))
+    if ope:
+        made["amount_ope"] = ope_encrypt(units, ope)
+    if ore:
+        made["amount_ore"] = ore_encrypt(units, *ore)
+    return rows.withColumns(made)
 
 
 def at_least(cipher: Column, bound: Column) -> Column:

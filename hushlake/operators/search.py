@@ -13,6 +13,8 @@ from ..sources.keys import Key
 
 #: Query tokens broadcast at most; a larger batch of queries is joined by a shuffle on the token.
 BROADCAST_TOKENS = 500_000
+#: Tokens that are written into the filter of the scan at most; beyond that the join alone finds them.
+FILTER_TOKENS = 200
 
 
 def build_postings(docs: DataFrame, search: Key, words: Column | None = None) -> DataFrame:
@@ -43,7 +45,11 @@ def score(postings: DataFrame, tokens: DataFrame, mode: str = "any") -> DataFram
     The postings are filtered by the query tokens before anything is shuffled, and grouped by document,
     never by token, so a very frequent keyword makes no hot group.
     """
-    few = tokens.count() <= BROADCAST_TOKENS
+    distinct = [r.token for r in tokens.select("token").distinct().limit(FILTER_TOKENS + 1).collect()]
+    if len(distinct) <= FILTER_TOKENS:
+        postings, few = postings.filter(F.col("token").isin(distinct)), True
+    else:
+        few = tokens.count() <= BROADCAST_TOKENS
     met = postings.join(F.broadcast(tokens) if few else tokens, ["tenant_id", "token"])
     out = met.groupBy("query_id", "tenant_id", "doc_id").agg(F.countDistinct("keyword").alias("score"), F.max("needed").alias("needed"))
     return (out.filter("score >= needed") if mode == "all" else out).drop("needed")
@@ -66,6 +72,16 @@ def retrieve(hits: DataFrame, documents: DataFrame, document_key: Key) -> DataFr
     return with_documents(hits, documents).withColumn("content", try_decrypt(F.col("encrypted_document"), document_key.raw).cast("string")).drop("encrypted_document")
 
 
+def retrieve_by_key(hits: DataFrame, documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """Hits with the decrypted content, each document with its own key: keys is (tenant_id, key_id, key) and joined by tenant and encryption_key_id.
+
+    The key table is small beside the documents, but only the hits are joined with it; content is null where the key is missing or doesn't fit.
+    """
+    own = keys.select("tenant_id", F.col("key_id").alias("encryption_key_id"), F.col("key").alias("__key"))
+    rows = with_documents(hits, documents).join(own, ["tenant_id", "encryption_key_id"], "left")
+    return rows.withColumn("content", try_decrypt(F.col("encrypted_document"), F.col("__key")).cast("string")).drop("encrypted_document", "__key")
+
+
 @dataclass(frozen=True)
 class Bool:
     """AND or OR of at least two keywords or further such nodes."""
@@ -120,7 +136,7 @@ def boolean_by_sets(postings: DataFrame, query: Bool, tokens: dict[str, str]) ->
 
 
 def match_index(rows: DataFrame, values: DataFrame, column: str = "index") -> DataFrame:
-    """Many-value equality search: rows whose index is among values (index, value_id); values are few and broadcast by size."""
+    """Many-value equality search: rows whose index is among values (index, value_id); Spark broadcasts values where their size allows it, else shuffles."""
     return rows.join(values, column)
 
 

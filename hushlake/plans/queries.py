@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fpe, order, tokens
 from ..functions.prf import hmac256
-from ..functions.text import clean_details, redact, redact_fields
+from ..functions.text import STOP_WORDS, clean_details, keywords, redact, redact_fields
 from ..operators import index, masked, observe, privacy, rotation, screening, search
-from ..sources.keys import derived, field_key, key, key_rows, pads, with_keys, with_tenant_keys, without_keys
-from ..sources.staging import shared_folder, stored
+from ..sources import tables
+from ..sources.keys import derived, export_bundle, field_key, import_bundle, key, key_rows, pads, with_keys, with_tenant_keys, without_keys
+from ..sources.staging import prepared, shared_folder, stored
 from ..streaming import jobs
 
 #: Fixed keys of the registered queries.
@@ -46,10 +47,26 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"))
 
 
-def postings(spark: SparkSession, d: str) -> DataFrame:
+def fresh_postings(spark: SparkSession, d: str) -> DataFrame:
     return without_keys(search.build_postings(with_keys(documents(spark, d), s=S), key("s")))
 
 
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    """The postings as ingest has written them, by tenant and sorted by token: made once a session, then read."""
+    path = prepared(spark, "postings", d, lambda p: tables.write_table(fresh_postings(spark, d), p, "overwrite"))
+    return tables.read_table(spark, path, tables.POSTINGS)
+
+
+def encrypted_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as ingest has written them."""
+
+    def write(path: str) -> None:
+        made, _ = index.ingest(with_keys(documents(spark, d), e=E, s=S), key("e"), key("s"), "enc_1", "search_1", F.lit(AS_OF).cast("timestamp"))
+        tables.write_table(made, path, "overwrite")
+
+    return tables.read_table(spark, prepared(spark, "documents", d, write), tables.DOCUMENTS)
+
+
 def query_rows(spark: SparkSession, d: str) -> DataFrame:
     """Every search text for every tenant."""
     tenants = documents(spark, d).select("tenant_id").distinct()
@@ -57,18 +74,24 @@ def query_rows(spark: SparkSession, d: str) -> DataFrame:
     return tenants.select("tenant_id", asked.alias("x")).select("tenant_id", "x.*")
 
 
-def orders(spark: SparkSession, d: str) -> DataFrame:
-    rows = with_keys(read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"), b=B, o=O, **order.ore_keys(O))
-    made = screening.encrypted_transactions(rows, F.col("o_custkey"), F.col("o_totalprice"), key("b"), key("o"), key("ore_left"), key("ore_right"))
-    return with_keys(stored(without_keys(made), "orders"), b=B, o=O, **order.ore_keys(O))
+def orders(spark: SparkSession, d: str, *wanted: str) -> DataFrame:
+    """Orders with the wanted ones of account_token, amount_ope and amount_ore, as written once a session."""
+    own = {"account_token": {"token": key("b")}, "amount_ope": {"ope": key("o")}, "amount_ore": {"ore": (key("ore_left"), key("ore_right"))}}
+
+    def write(path: str) -> None:
+        rows = with_keys(read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"), b=B, o=O, **order.ore_keys(O))
+        made = screening.encrypted_transactions(rows, F.col("o_custkey"), F.col("o_totalprice"), **{k: v for w in wanted for k, v in own[w].items()})
+        without_keys(made).write.parquet(path)
+
+    return spark.read.parquet(prepared(spark, "-".join(("orders", *wanted)), d, write))
 
 
 def ope_of(units: int) -> Column:
-    return order.ope_encrypt(F.lit(units).cast("long"), key("o"))
+    return order.ope_bound(units, O)
 
 
 def ore_of(units: int) -> Column:
-    return order.ore_encrypt(F.lit(units).cast("long"), key("ore_left"), key("ore_right"))
+    return order.ore_bound(units, O)
 
 
 def key_table(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +149,7 @@ def sql_ore(value: str) -> str:
     return "'0104' || " + " || ".join(lefts + rights)
 
 
-STOP = ", ".join(f"'{w}'" for w in ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for"])
+STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 CENTS = "CAST(trunc(o_totalprice * 100) AS BIGINT)"
 
 
@@ -149,7 +172,14 @@ AUDIT = """audit AS (SELECT event_id AS id, CAST(user_id % 10 AS VARCHAR) AS ten
 
 @query("keyword_tokens", f"WITH {WORDS} SELECT tenant_id, base64({sql_hmac(S, 'encode(keyword)')}) AS token, doc_id FROM words")
 def keyword_tokens(spark, d):
-    return postings(spark, d)
+    return fresh_postings(spark, d)
+
+
+@query("ingest_tables", f"SELECT source AS tenant_id, count(*) AS documents, CAST(sum(len({sql_keywords('text')})) AS BIGINT) AS postings FROM documents GROUP BY 1")
+def ingest_tables(spark, d):
+    """Both tables are written (once a session) and counted."""
+    made, posted = encrypted_documents(spark, d), postings(spark, d)
+    return made.groupBy("tenant_id").agg(F.count("*").alias("documents")).join(posted.groupBy("tenant_id").agg(F.count("*").alias("postings")), "tenant_id", "left").fillna(0, ["postings"])
 
 
 @query("keyword_search_ranked", f"WITH {WORDS}, {ASKED}, {SCORED} SELECT query_id, tenant_id, doc_id, score, row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 10")
@@ -190,11 +220,41 @@ def document_roundtrip(spark, d):
 def retrieve_topk_plaintext(spark, d):
     asked = without_keys(search.query_tokens(with_keys(query_rows(spark, d), s=S), key("s")))
     hits = search.top(search.score(postings(spark, d), asked), 5)
-    docs, _ = index.ingest(with_keys(documents(spark, d), e=E, s=S), key("e"), key("s"), "enc_1", "search_1", F.lit(AS_OF).cast("timestamp"))
-    found = search.retrieve(with_keys(hits, e=E), docs, key("e"))
+    found = search.retrieve(with_keys(hits, e=E), encrypted_documents(spark, d), key("e"))
     return found.select("query_id", "tenant_id", "doc_id", "score", "rank", F.sha2("content", 256).alias("content_sha256"))
 
 
+@query("retrieve_with_own_keys", f"WITH {WORDS}, {ASKED}, {SCORED}, hits AS (SELECT query_id, tenant_id, doc_id, score, row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 5) SELECT query_id, tenant_id, h.doc_id, 'enc_' || (x.doc_id % 3) AS key_id, CASE WHEN x.doc_id % 3 <> 2 THEN sha256(text) END AS content_sha256 FROM hits h JOIN documents x ON CAST(x.doc_id AS VARCHAR) = h.doc_id AND x.source = tenant_id")
+def retrieve_with_own_keys(spark, d):
+    """Documents of three keys a tenant; the last one is lost."""
+    made = with_keys(documents(spark, d), m=M).withColumn("encryption_key_id", F.concat(F.lit("enc_"), F.col("doc_id").cast("long") % 3))
+    own = hmac256(key("m"), F.concat_ws(":", "tenant_id", "encryption_key_id"))
+    docs = made.select("tenant_id", "doc_id", "encryption_key_id", tokens.encrypt(F.col("content"), own).alias("encrypted_document"))
+    keys = without_keys(made.select("tenant_id", F.col("encryption_key_id").alias("key_id"), own.alias("key")).distinct()).filter("key_id <> 'enc_2'")
+    asked = without_keys(search.query_tokens(with_keys(query_rows(spark, d), s=S), key("s")))
+    found = search.retrieve_by_key(search.top(search.score(postings(spark, d), asked), 5), docs, keys)
+    return found.select("query_id", "tenant_id", "doc_id", F.col("encryption_key_id").alias("key_id"), F.sha2("content", 256).alias("content_sha256"))
+
+
+@query("search_key_versions", f"WITH {WORDS}, {ASKED}, {SCORED} SELECT query_id, tenant_id, doc_id, score FROM scored WHERE score >= needed")
+def search_key_versions(spark, d):
+    """Half of the postings were made before the search key was rotated."""
+    docs = documents(spark, d)
+    old = docs.filter(F.col("doc_id").cast("long") % 2 == 0)
+    posted = search.build_postings(with_keys(old, s=S), key("s")).drop("__key_s")
+    posted = posted.union(search.build_postings(with_keys(docs.filter(F.col("doc_id").cast("long") % 2 == 1), s=N), key("s")).drop("__key_s"))
+    versions = key_rows(spark, {"": {"s": S}}).union(key_rows(spark, {"": {"s": N}})).drop("tenant_id")
+    asked = without_keys(search.query_tokens(query_rows(spark, d).join(F.broadcast(versions)), key("s")))
+    return search.score(posted, asked, "all")
+
+
+@query("soft_delete", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id % 10 = 0 AS deleted FROM documents")
+def soft_delete(spark, d):
+    made = encrypted_documents(spark, d)
+    gone = made.filter(F.col("doc_id").cast("long") % 10 == 0).select("tenant_id", "doc_id")
+    return index.delete(made, postings(spark, d), gone, soft=True)[0].select("doc_id", "deleted")
+
+
 @query("ingest_reject_duplicates", "SELECT lang AS batch, CAST(doc_id % 3 = 0 AS VARCHAR) AS rejected, count(*) AS n FROM documents GROUP BY ALL")
 def ingest_reject_duplicates(spark, d):
     docs = read(spark, d, "documents").select(F.col("source").alias("tenant_id"), "doc_id", "lang")
@@ -302,23 +362,31 @@ def ope_encrypt(spark, d):
 
 @query("ope_range", f"SELECT o_orderkey FROM orders WHERE {CENTS} BETWEEN 10000000 AND 20000000")
 def ope_range(spark, d):
-    return orders(spark, d).filter(screening.between(F.col("amount_ope"), ope_of(10_000_000), None) & (order.ope_compare(F.col("amount_ope"), ope_of(20_000_001)) < 0)).select("o_orderkey")
+    return orders(spark, d, "amount_ope").filter(screening.between(F.col("amount_ope"), ope_of(10_000_000), ope_of(20_000_000))).select("o_orderkey")
+
+
+@query("ope_forms", f"SELECT o_orderkey, {sql_ope(CENTS)} AS ope, true AS same FROM orders WHERE o_orderkey % 5 = 0 ORDER BY ope")
+def ope_forms(spark, d):
+    """Through bytes and text and back, in the order of the ciphertexts."""
+    rows = orders(spark, d, "amount_ope").filter("o_orderkey % 5 = 0")
+    back = order.ope_from_bytes(F.unbase64(order.ope_base64(F.col("amount_ope"))))
+    return rows.select("o_orderkey", F.col("amount_ope").alias("ope"), (back == F.col("amount_ope")).alias("same")).orderBy("ope")
 
 
 @query("ore_encrypt", f"SELECT o_orderkey, {PRICE_HEX} AS ore FROM orders")
 def ore_encrypt(spark, d):
-    return orders(spark, d).select("o_orderkey", F.hex("amount_ore").alias("ore"))
+    return orders(spark, d, "amount_ore").select("o_orderkey", F.hex("amount_ore").alias("ore"))
 
 
 @query("ore_range", f"SELECT o_orderkey FROM orders WHERE {CENTS} BETWEEN 10000000 AND 20000000")
 def ore_range(spark, d):
-    return screening.in_ore_range(orders(spark, d), ore_of(10_000_000), ore_of(20_000_000)).select("o_orderkey")
+    return screening.in_ore_range(orders(spark, d, "amount_ore"), ore_of(10_000_000), ore_of(20_000_000)).select("o_orderkey")
 
 
 @query("ore_order", f"""WITH v AS (SELECT o_orderkey, {CENTS} AS x FROM orders) SELECT o_orderkey, CAST((x >> 24) - min(x >> 24) OVER () AS INTEGER) AS step_0, CAST((x >> 16 & 255) - min(x >> 16 & 255) OVER (PARTITION BY x >> 24) AS INTEGER) AS step_1,
 CAST((x >> 8 & 255) - min(x >> 8 & 255) OVER (PARTITION BY x >> 16) AS INTEGER) AS step_2, CAST((x & 255) - min(x & 255) OVER (PARTITION BY x >> 8) AS INTEGER) AS step_3 FROM v""")
 def ore_order(spark, d):
-    return order.ore_ranks(without_keys(orders(spark, d)).select("o_orderkey", "amount_ore"), "amount_ore").select("o_orderkey", "step_0", "step_1", "step_2", "step_3")
+    return order.ore_ranks(orders(spark, d, "amount_ore").select("o_orderkey", "amount_ore"), "amount_ore").select("o_orderkey", "step_0", "step_1", "step_2", "step_3")
 
 
 @query("invalid_amounts", "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN CAST(trunc(c_acctbal * 100) AS BIGINT) END AS units FROM customer")
@@ -328,24 +396,95 @@ def invalid_amounts(spark, d):
 
 @query("large_transactions", f"SELECT o_orderkey, {CENTS} > 30000000 AS unusual FROM orders WHERE {CENTS} >= 30000000")
 def large_transactions(spark, d):
-    rows = orders(spark, d).filter(screening.at_least(F.col("amount_ope"), ope_of(30_000_000)))
+    rows = orders(spark, d, "amount_ope", "amount_ore").filter(screening.at_least(F.col("amount_ope"), ope_of(30_000_000)))
     return rows.select("o_orderkey", screening.unusual(F.col("amount_ore"), ore_of(30_000_000)).alias("unusual"))
 
 
 @query("rapid_accounts", f"SELECT base64({sql_hmac(B, 'encode(CAST(o_custkey AS VARCHAR))')}) AS account_token, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15")
 def rapid_accounts(spark, d):
-    return screening.rapid_accounts(without_keys(orders(spark, d)), 15)
+    return screening.rapid_accounts(orders(spark, d, "account_token"), 15)
 
 
 @query("ope_to_ore", f"SELECT o_orderkey, 'ORE' AS encryption_alg, {PRICE_HEX} AS ore FROM orders")
 def ope_to_ore(spark, d):
-    rows = orders(spark, d).withColumn("moved", order.ore_encrypt(order.ope_decrypt_open(F.col("amount_ope")), key("ore_left"), key("ore_right")))
+    rows = with_keys(orders(spark, d, "amount_ope"), **order.ore_keys(O)).withColumn("moved", order.ore_encrypt(order.ope_decrypt_open(F.col("amount_ope")), key("ore_left"), key("ore_right")))
     return rows.select("o_orderkey", F.lit("ORE").alias("encryption_alg"), F.hex("moved").alias("ore"))
 
 
+@query("account_lookup", f"SELECT o_orderkey, base64({sql_hmac(B, 'encode(CAST(o_custkey AS VARCHAR))')}) AS account_token FROM orders WHERE o_custkey IN (1, 4, 7)")
+def account_lookup(spark, d):
+    """One-value equality search on stored tokens: the tokens of the values are literals."""
+    import base64
+
+    asked = [base64.b64encode(derived(B, str(v))).decode() for v in (1, 4, 7)]
+    return orders(spark, d, "account_token").filter(F.col("account_token").isin(asked)).select("o_orderkey", "account_token")
+
+
+@query("fpe_strings", "SELECT c_custkey, true AS same_back, true AS in_alphabet FROM customer")
+def fpe_strings(spark, d):
+    """Texts over three alphabets, with a tweak."""
+    rows = with_keys(read(spark, d, "customer").select("c_custkey"), f=D)
+    text = F.lpad(F.lower(F.hex("c_custkey")), 8, "0")
+    out, same, fits = rows, F.lit(True), F.lit(True)
+    for n, (alphabet, pattern) in enumerate([(fpe.LOWER, "^[0-9a-z]{8}$"), (fpe.ALNUM, "^[0-9A-Za-z]{8}$")]):
+        options = {"alphabet": alphabet, "tweak": F.lit(b"tenant"), "tweak_length": 6}
+        out = out.withColumn(f"c{n}", fpe.ff1(text, key("f").raw, 8, **options))
+        same = same & (fpe.ff1(F.col(f"c{n}"), key("f").raw, 8, back=True, **options) == text)
+        fits = fits & F.col(f"c{n}").rlike(pattern)
+    return out.select("c_custkey", same.alias("same_back"), fits.alias("in_alphabet"))
+
+
 # ---- keys and rotation ----
 
 
+@query("usable_keys", f"WITH {SUPPLIER_KEYS} SELECT tenant_id, key_id, state IN ('active', 'rotating') AS active FROM keys WHERE state <> 'destroyed'")
+def usable_keys(spark, d):
+    return rotation.usable(key_table(spark, d), key_type="data", decryption=True).select("tenant_id", "key_id", "active")
+
+
+@query("keys_upsert", "SELECT CAST(s_nationkey AS VARCHAR) AS tenant_id, 'key_' || s_suppkey AS key_id, CASE WHEN s_suppkey % 4 = 0 THEN 2 ELSE 1 END AS version FROM supplier")
+def keys_upsert(spark, d):
+    keys = key_table(spark, d)
+    new = keys.filter(F.substring("key_id", 5, 20).cast("long") % 4 == 0).withColumns({"version": F.lit(2), "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 DAY")})
+    return rotation.latest_keys(keys, new).select("tenant_id", "key_id", "version")
+
+
+@query("key_bundle", "SELECT 'key_' || s_suppkey AS key_id, sha256('secret of ' || s_suppkey) AS key_sha256 FROM supplier")
+def key_bundle(spark, d):
+    """The key table exported under a password, written, read and imported again."""
+    keys = read(spark, d, "supplier").select(F.concat(F.lit("key_"), "s_suppkey").alias("key_id"), F.concat(F.lit("secret of "), "s_suppkey").cast("binary").alias("key"))
+    bundle = stored(export_bundle(keys, "a long password", b"0123456789abcdef", rounds=20_000), "bundle")
+    return import_bundle(bundle, "a long password").select("key_id", F.sha2("key", 256).alias("key_sha256"))
+
+
+@query("rotate_one_key", "SELECT count(*) AS total, count(*) FILTER (o_orderkey % 13 <> 0) AS completed, count(*) FILTER (o_orderkey % 13 = 0) AS failed, 100.0::DOUBLE AS percent, 'completed' AS status FROM orders WHERE o_orderkey % 10 = 3 AND o_orderkey % 11 <> 0")
+def rotate_one_key(spark, d):
+    """Only the records of key_3 move to key_10."""
+    return rotation.rotate(blobs(spark, d), blob_keys(spark), key_table(spark, d), "key_3", "key_10", F.lit(AS_OF).cast("timestamp"))[1]
+
+
+@query("rotate_in_emergency", f"WITH {SUPPLIER_KEYS} SELECT tenant_id, key_id, CASE WHEN key_id = 'key_7' THEN 'retired' ELSE state END AS lifecycle_state, state IN ('active', 'rotating') AND key_id <> 'key_7' AS active, compromised OR key_id = 'key_7' AS compromised FROM keys UNION ALL SELECT tenant_id, 'key_new', 'active', true, false FROM keys WHERE key_id = 'key_7'")
+def rotate_in_emergency(spark, d):
+    keys = blob_keys(spark).union(spark.createDataFrame([("key_new", derived(M, "key_new"))], "key_id string, key binary"))
+    table = rotation.rotate(blobs(spark, d), keys, key_table(spark, d), "key_7", "key_new", F.lit(AS_OF).cast("timestamp"), emergency=True)[2]
+    return table.select("tenant_id", "key_id", "lifecycle_state", "active", F.col("compromise_detected_at").isNotNull().alias("compromised"))
+
+
+@query("rotation_rolled_back", f"WITH {SUPPLIER_KEYS} SELECT tenant_id, key_id, CASE WHEN key_id = 'key_7' THEN 'active' ELSE state END AS lifecycle_state, state IN ('active', 'rotating') OR key_id = 'key_7' AS active FROM keys UNION ALL SELECT tenant_id, 'key_new', 'retired', false FROM keys WHERE key_id = 'key_7'")
+def rotation_rolled_back(spark, d):
+    table = rotation.rotated_keys(key_table(spark, d), "key_7", "key_new", F.lit(AS_OF).cast("timestamp"))
+    return rotation.rolled_back(table, "key_7", "key_new").select("tenant_id", "key_id", "lifecycle_state", "active")
+
+
+@query("reindex_new_master", "SELECT c_custkey, " + sql_hmac(field_key(N, "t", "name"), "encode(lower(trim(c_name)))").join(["base64(unhex(substr(hex(", "), 1, 32))) AS index FROM customer"]))
+def reindex_new_master(spark, d):
+    """Records whose name is kept encrypted get the index of a new master key."""
+    config = tokens.BlindIndex("name", form=None)
+    rows = with_keys(read(spark, d, "customer").select("c_custkey", "c_name"), e=E, f=field_key(N, "t", "name"))
+    rows = rows.withColumn("blob", tokens.encrypt(F.col("c_name"), key("e").raw)).drop("c_name")
+    return index.reindexed(rows, "blob", key("e"), lambda c: tokens.blind_index(c, key("f"), config)).select("c_custkey", "index")
+
+
 @query("lifecycle_report", f"""WITH {SUPPLIER_KEYS} SELECT tenant_id, count(*) AS total_keys, {', '.join(f"count(*) FILTER (state = '{s}') AS {s}" for s in rotation.STATES)}, count(*) FILTER ({DUE} >= period) AS needing_rotation,
 count(*) FILTER (retention < TIMESTAMP '{AS_OF}' AND state <> 'destroyed') AS past_retention, count(*) FILTER (compromised) AS compromised FROM keys GROUP BY tenant_id""")
 def lifecycle_report(spark, d):
@@ -453,6 +592,25 @@ def audit_entries(spark, d):
     return rows.select("id", entry.alias("e")).select("id", "e.event_type", "e.success", "e.level", F.size("e.details").alias("details"))
 
 
+@query("audit_shapes", f"WITH {AUDIT} SELECT id, event_type, success, CASE WHEN event_type = 'key.access' THEN key_id ELSE '' END AS resource, CASE WHEN event_type LIKE 'search.%' THEN 2 WHEN event_type IN ('key.access', 'auth.failure') THEN 1 ELSE 0 END AS details FROM audit")
+def audit_shapes(spark, d):
+    rows = audit_table(spark, d)
+    shape = observe.event_shape(F.col("event_type"), F.col("key_id"), F.col("actor"), F.col("id"))
+    return rows.select("id", shape.alias("e")).select("id", "e.event_type", "e.success", "e.resource", F.size("e.details").alias("details"))
+
+
+@query("audit_log", f"WITH {AUDIT} SELECT id, key_id, event_type FROM audit WHERE key_id = 'key_7' ORDER BY id DESC LIMIT 20")
+def audit_log(spark, d):
+    """Entries as JSON lines, and the newest of one key read back."""
+
+    def write(path: str) -> None:
+        rows = audit_table(spark, d)
+        entry = F.struct("event_type", "actor", "success", F.col("key_id").alias("resource"), F.create_map(F.lit("props"), "props").alias("details"), F.col("id").cast("string").alias("request_id"))
+        tables.append_audit(rows.select("id", "tenant_id", "key_id", entry.alias("entry"), F.lit(AS_OF).cast("timestamp").alias("created_at")), path)
+
+    return tables.read_audit(spark, prepared(spark, "audit", d, write), "key_7", limit=20).select("id", "key_id", F.col("entry.event_type").alias("event_type"))
+
+
 @query("request_metrics", "SELECT event_type AS operation, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT user_id) AS tenants, round(avg(value), 2) AS mean_latency_ms FROM events GROUP BY GROUPING SETS ((event_type), ())")
 def request_metrics(spark, d):
     return observe.request_metrics(read(spark, d, "events").select(F.col("user_id").alias("tenant_id"), F.col("event_type").alias("operation"), (F.col("event_type") == "error").alias("failed"), F.col("value").alias("latency_ms")))
@@ -537,9 +695,33 @@ def budget_state(spark, d):
     return privacy.budget_state(privacy.budget_fold(budget_requests(spark, d), ["ts", "seq"])).select("tenant_id", "requests", "accepted", F.round("consumed", 6).alias("consumed"))
 
 
+@query("budget_reset", BUDGET_CTE.replace("row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)", "row_number() OVER (PARTITION BY user_id, account ORDER BY ts, event_id) AS k FROM (SELECT *, sum(CASE WHEN event_id % 40 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS account FROM events))").replace("SELECT CAST(user_id AS VARCHAR) AS tenant_id", "SELECT user_id || '/' || account AS tenant_id").replace("18.0", "6.0") + "SELECT split_part(tenant_id, '/', 1) AS tenant_id, seq, accepted, round(6.0::DOUBLE - consumed, 6) AS remaining FROM f")
+def budget_reset(spark, d):
+    rows = budget_requests(spark, d).withColumns({"reset": F.col("seq") % 40 == 0, "total": F.lit(6.0)})
+    return privacy.budget_fold(rows, ["ts", "seq"]).select("tenant_id", "seq", "accepted", F.round("remaining", 6).alias("remaining"))
+
+
+@query("dp_budgeted_release", BUDGET_CTE + f""", g AS (SELECT CAST(user_id AS VARCHAR) AS tenant_id, count(*) AS n FROM events GROUP BY 1), x AS (SELECT f.*, n, {sql_uniform("concat_ws(chr(31), 'events', seq, tenant_id, '1')")} - 0.5 AS x FROM f JOIN g USING (tenant_id))
+SELECT tenant_id, seq, accepted, CASE WHEN accepted THEN round(n - 1.0 / epsilon * sign(x) * ln(greatest(1 - 2 * abs(x), {2.0**-60!r})), 6) END AS noisy_value FROM x""")
+def dp_budgeted_release(spark, d):
+    """A count for each request that its tenant's budget still pays; each draws its own noise."""
+    values = with_keys(read(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("tenant_id")).agg(F.count("*").cast("double").alias("true_value")), n=N)
+    out = privacy.released(budget_requests(spark, d), values, key("n"), "events", ["ts", "seq"])
+    return out.select("tenant_id", "seq", "accepted", F.round("noisy_value", 6).alias("noisy_value"))
+
+
 # ---- masked sums and scores ----
 
 
+@query("masked_arithmetic", "SELECT o_orderkey, CAST(round(o_totalprice * 100) + o_custkey AS BIGINT) AS plus, CAST(round(o_totalprice * 100) - o_custkey AS BIGINT) AS minus, CAST(round(o_totalprice * 100) + 500 AS BIGINT) AS plus_plain, CAST(round(o_totalprice * 100) * 3 AS BIGINT) AS times_plain FROM orders")
+def masked_arithmetic(spark, d):
+    rows = with_keys(read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), m=M)
+    a, b = masked.masked(masked.fixed(F.col("o_totalprice"), 2), F.col("o_orderkey"), "a", key("m")), masked.masked(F.col("o_custkey"), F.col("o_orderkey"), "b", key("m"))
+    rows = rows.withColumns({"a": a, "b": b, "pa": masked.pad(F.col("o_orderkey"), "a", key("m")).cast("decimal(38,0)"), "pb": masked.pad(F.col("o_orderkey"), "b", key("m")).cast("decimal(38,0)")})
+    out = {"plus": (masked.add_masked(F.col("a"), F.col("b")), F.col("pa") + F.col("pb")), "minus": (masked.add_masked(F.col("a"), F.col("b"), minus=True), F.col("pa") - F.col("pb")), "plus_plain": (masked.add_plain(F.col("a"), F.lit(500)), F.col("pa")), "times_plain": (masked.times_plain(F.col("a"), 3), F.col("pa") * F.lit(3).cast("decimal(10,0)"))}
+    return rows.select("o_orderkey", *[masked.unmask(c, p).cast("long").alias(n) for n, (c, p) in out.items()])
+
+
 @query("masked_sum", "SELECT o_orderpriority, round(sum(o_totalprice), 2) AS value, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
 def masked_sum(spark, d):
     rows = with_keys(read(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), m=M)
@@ -625,6 +807,27 @@ def backward_renew(spark, d):
     return index.backward_renew(with_keys(client, o=O), key("o"))
 
 
+@query("forward_reencrypt", f"WITH w AS (SELECT conv_id || '-' || turn AS doc_id, unnest({sql_keywords('text')}) AS keyword FROM conversations) SELECT count(*) AS secure_entries, 0 AS auxiliary_entries, count(DISTINCT keyword) AS keywords FROM w")
+def forward_reencrypt(spark, d):
+    """In strong mode everything moves to the secure index once the updated keywords reach the threshold."""
+    rows, one = with_keys(conversation_docs(spark, d), state=derived(M, "state"), s=S), with_keys(spark.range(1).drop("id"), s=S)
+    built = index.forward_update(index.empty_forward(spark), rows, key("state"), one, key("s"), "strong", threshold=1)
+    return index.index_statistics(built, rows).select("secure_entries", "auxiliary_entries", "keywords")
+
+
+@query("backward_search", f"WITH w AS (SELECT conv_id || '-' || turn AS doc_id, unnest({sql_keywords('text')}) AS keyword FROM conversations) SELECT keyword, doc_id FROM w WHERE keyword IN ('that', 'with', 'pour')")
+def backward_search(spark, d):
+    server, _ = index.backward_add(with_keys(conversation_docs(spark, d), s=S), key("s"))
+    words = with_keys(spark.createDataFrame([("That",), ("with",), ("pour",)], "keyword string"), s=S)
+    return index.backward_search(without_keys(server), words, key("s"))
+
+
+@query("backward_server_view", f"SELECT conv_id || '-' || turn AS doc_id, CAST(len({sql_keywords('text')}) AS BIGINT) AS tokens FROM conversations WHERE len({sql_keywords('text')}) > 0")
+def backward_server_view(spark, d):
+    server, _ = index.backward_add(with_keys(conversation_docs(spark, d), s=S), key("s"))
+    return index.server_view(without_keys(server)).select("doc_id", F.size("tokens").cast("long").alias("tokens"))
+
+
 # ---- streams over the events table ----
 
 
@@ -668,3 +871,23 @@ def stream_rapid_accounts(spark, d):
     rows = rows.withColumn("account_token", F.base64(hmac256(key("b"), F.col("user_id").cast("string"))))
     out = drained(jobs.rapid_stream(without_keys(rows), 6, "1 day", "6 hours", "1 hour"), "rapid")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "account_token", "n")
+
+
+@query("stream_ingest", f"SELECT source AS tenant_id, count(*) AS documents, CAST(sum(len({sql_keywords('text')})) AS BIGINT) AS postings FROM documents GROUP BY 1")
+def stream_ingest(spark, d):
+    """Documents as a stream into both tables; each comes twice and is taken once."""
+    source = spark.readStream.schema(read(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d if d.endswith("/") else f"{d}/")
+    rows = source.select(F.col("source").alias("tenant_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("at"))
+    rows = with_keys(rows.union(rows), e=E, s=S)
+    path = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    jobs.ingest_stream(rows, key("e"), key("s"), "enc_1", "search_1", "at", "1 hour", f"{path}/documents", f"{path}/postings", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    made, posted = tables.read_table(spark, f"{path}/documents", tables.DOCUMENTS), tables.read_table(spark, f"{path}/postings", tables.POSTINGS)
+    return made.groupBy("tenant_id").agg(F.count("*").alias("documents")).join(posted.groupBy("tenant_id").agg(F.count("*").alias("postings")), "tenant_id", "left").fillna(0, ["postings"])
+
+
+@query("stream_chain", f"WITH w AS (SELECT conv_id || '-' || turn AS doc_id, unnest({sql_keywords('text')}) AS keyword FROM conversations) SELECT keyword, doc_id, row_number() OVER (PARTITION BY keyword ORDER BY doc_id) - 1 AS step FROM w")
+def stream_chain(spark, d):
+    source = spark.readStream.schema(read(spark, d, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    words = source.select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.explode(F.array_distinct(F.transform(keywords(F.col("text")), F.lower))).alias("keyword"))
+    rows = without_keys(with_keys(words, state=derived(M, "state")).withColumn("initial", hmac256(key("state"), F.col("keyword"))))
+    return drained(jobs.chain_stream(rows), "chain").select("keyword", "doc_id", "step")

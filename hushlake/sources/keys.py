@@ -41,6 +41,26 @@ def export_key(password: str, salt: bytes, rounds: int = 600_000) -> bytes:
     return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, rounds)
 
 
+def export_bundle(keys: DataFrame, password: str, salt: bytes, rounds: int = 600_000) -> DataFrame:
+    """A key table (key, any other columns) for leaving the system: key encrypted (AES-GCM) under a key from the password, beside salt and rounds.
+
+    The password's key is worked out once, on the driver, and reaches the workers in a broadcast table. salt is 16 random bytes or more.
+    """
+    own = with_keys(keys, export=export_key(password, salt, rounds))
+    sealed = F.aes_encrypt("key", F.col(f"{PREFIX}export.raw"), F.lit("GCM"))
+    return without_keys(own.withColumns({"sealed_key": sealed, "salt": F.lit(salt), "rounds": F.lit(rounds)})).drop("key")
+
+
+def import_bundle(bundle: DataFrame, password: str) -> DataFrame:
+    """The key table of an exported bundle; an error for a wrong password or a changed key. An empty bundle gives an empty table."""
+    first = bundle.select("salt", "rounds").first()
+    if first is None:
+        return bundle.withColumn("key", F.lit(None).cast("binary")).drop("sealed_key", "salt", "rounds")
+    own = with_keys(bundle, export=export_key(password, bytes(first.salt), first.rounds))
+    opened = F.aes_decrypt("sealed_key", F.col(f"{PREFIX}export.raw"), F.lit("GCM"))
+    return without_keys(own.withColumn("key", opened)).drop("sealed_key", "salt", "rounds")
+
+
 def key_rows(spark: SparkSession, keys: dict, id_type: str = "tenant_id string") -> DataFrame:
     """Key table by tenant: {tenant: {name: bytes}}, one struct column for each name."""
     names = sorted({n for own in keys.values() for n in own})

@@ -4,20 +4,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests) a new temporary one is set."""
+    """The folder of spark.checkpoint.dir; where that is unset a new temporary one is set in local mode, and an error raised on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-hushlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Folders of prepared tables by application, name and source.
+_prepared: dict[tuple[str, str, str], str] = {}
+
+
+def prepared(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
+    """Folder of a table that is written once for a session and a source folder: write(folder) makes it at the first call, later ones read it."""
+    own = (spark.sparkContext.applicationId, name, source)
+    if own not in _prepared:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        write(path)
+        _prepared[own] = path
+    return _prepared[own]
+
+
 def stored(df: DataFrame, name: str = "staged") -> DataFrame:
     """df written as Parquet and read back, so that costly columns (ciphertexts) are computed once."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -179,3 +179,95 @@ def test_garbage_of_the_backward_index(spark):
     assert not old & {r.delete_token for r in tokens.collect()}
     kept, removed = index.collect_garbage(server, known)
     assert kept.count() == 2 and removed.first().removed == 1
+
+
+def test_reencrypt_needs_one_new_key_and_survives_hash_clashes(spark):
+    a, b = derived(M, "a"), derived(M, "b")
+    keys = spark.createDataFrame([("t1", "k1", a), ("t2", "k1", b), ("t1", "new", b), ("t2", "new", a)], "tenant_id string, key_id string, key binary")
+    made = keys.filter("key_id = 'k1'").select("tenant_id", F.lit("x").alias("id"), wrap(encrypt(F.col("tenant_id"), F.col("key")), F.col("key_id")).alias("blob"))
+    made = staging.stored(made)
+    with pytest.raises(ValueError):
+        rotation.reencrypt(made, keys, "missing")
+    out = rotation.reencrypt(made, keys, "new")
+    assert out.count() == 2 and out.filter("renewed IS NULL").count() == 0
+    # Without tenants both keys have one hash: each blob stays one row, opened by the key that fits.
+    flat = keys.filter("key_id = 'k1' OR tenant_id = 't1'").drop("tenant_id")
+    again = rotation.reencrypt(made.drop("tenant_id"), flat, "new")
+    assert again.count() == 2 and again.filter("renewed IS NULL").count() == 0
+    assert rotation.resolve_keys(made.drop("tenant_id"), flat).select("key_id").distinct().collect()[0][0] == "k1"
+
+
+def test_rotation_of_one_key_and_its_outcome(spark):
+    keys = spark.createDataFrame([("k1", derived(M, "1")), ("k2", derived(M, "2")), ("new", derived(M, "3"))], "key_id string, key binary")
+    rows = spark.createDataFrame([("1", "k1"), ("2", "k1"), ("3", "k2")], "id string, key_id string").join(keys, "key_id")
+    blob = wrap(encrypt(F.col("id"), F.when(F.col("id") < "9", F.col("key"))), F.col("key_id"))
+    good = staging.stored(rows.select("id", blob.alias("blob")))
+    broken = staging.stored(good.withColumn("blob", F.concat("blob", F.lit(b"!"))))
+    table = spark.createDataFrame([("t", "k1", 1)], "tenant_id string, key_id string, version int").selectExpr("*", "'active' lifecycle_state", "true active", "timestamp'2024-01-01' created_at", "cast(null as timestamp) last_rotated", "cast(null as timestamp) compromise_detected_at", "cast(null as timestamp) retention_expires_at", "cast(null as string) predecessor_key_id")
+    state = lambda blobs, **o: {r.key_id: r.lifecycle_state for r in rotation.rotate(blobs, keys, table, "k1", "new", as_of(), **o)[2].collect()}
+    renewed, outcome, _ = rotation.rotate(good, keys, table, "k1", "new", as_of())
+    assert {r.id for r in renewed.collect()} == {"1", "2"} and outcome.first().completed == 2
+    assert state(good) == {"k1": "retired", "new": "active"}
+    assert state(broken) == {"k1": "rotating", "new": "active"}
+    assert state(broken, emergency=True) == {"k1": "retired", "new": "active"}
+
+
+def test_key_bundle(spark):
+    from hushlake.sources.keys import export_bundle, import_bundle
+
+    keys = spark.createDataFrame([("t", "a", M), ("t", "b", S)], "tenant_id string, key_id string, key binary")
+    bundle = staging.stored(export_bundle(keys, "password", b"salt" * 4, rounds=1000))
+    assert "key" not in bundle.columns and bundle.filter(F.col("sealed_key").contains(M)).count() == 0
+    assert {r.key_id: bytes(r.key) for r in import_bundle(bundle, "password").collect()} == {"a": M, "b": S}
+    with pytest.raises(Exception, match="."):
+        import_bundle(bundle, "other").collect()
+    assert import_bundle(bundle.limit(0), "password").count() == 0
+
+
+def test_release_is_paid_first_and_draws_noise_of_its_own(spark):
+    requests = spark.createDataFrame([("a", i, 0.5, 1.0) for i in range(4)] + [("b", 9, 0.5, 1.0)], "tenant_id string, seq long, epsilon double, total double")
+    values = with_keys(spark.createDataFrame([("a", 100.0)], "tenant_id string, true_value double"), n=N)
+    got = {(r.tenant_id, r.seq): r.noisy_value for r in privacy.released(requests, values, key("n"), "q", ["seq"]).collect()}
+    assert got["a", 2] is None and got["a", 3] is None and got["b", 9] is None
+    assert got["a", 0] is not None and got["a", 0] != got["a", 1]
+
+
+def test_budget_reset(spark):
+    rows = [("a", 0, 0.6, 1.0, None), ("a", 1, 0.6, 1.0, False), ("a", 2, 0.6, 1.0, True), ("a", 3, 0.6, 1.0, False)]
+    df = spark.createDataFrame(rows, "tenant_id string, seq long, epsilon double, total double, reset boolean")
+    got = {r.seq: (r.tenant_id, r.accepted) for r in privacy.budget_fold(df, ["seq"]).collect()}
+    assert got == {0: ("a", True), 1: ("a", False), 2: ("a", True), 3: ("a", False)}
+
+
+def test_bounds_equal_encrypted_values(spark):
+    from hushlake.functions.order import ope_bound, ope_encrypt, ore_bound, ore_encrypt, ore_keys
+
+    values = [0, 1, 255, 256, 10_000_000, 2**32 - 1]
+    rows = with_keys(spark.createDataFrame([(v,) for v in values], "v long"), o=M, **ore_keys(M))
+    got = rows.select("v", ope_encrypt(F.col("v"), key("o")).alias("ope"), ore_encrypt(F.col("v"), key("ore_left"), key("ore_right")).alias("ore")).collect()
+    for r in got:
+        ope, ore = spark.range(1).select(ope_bound(r.v, M), ore_bound(r.v, M)).first()
+        assert ope == r.ope and bytes(ore) == bytes(r.ore)
+
+
+def test_range_reaches_the_scan(spark):
+    from hushlake.functions.order import ope_bound
+
+    rows = with_keys(spark.range(100).withColumn("v", F.col("id") * 1000), o=M)
+    from hushlake.functions.order import ope_encrypt
+
+    stored = staging.stored(without_keys(rows.withColumn("c", ope_encrypt(F.col("v"), key("o")))))
+    plan = stored.filter(F.col("c") >= ope_bound(50_000, M))._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(c" in plan
+
+
+def test_entries_are_the_same_when_read_again(spark):
+    """States and entries of the forward index agree however often their tables are computed."""
+    one = with_keys(spark.range(1).drop("id"), s=S)
+    d = spark.createDataFrame([(f"d{i}", "alpha beta") for i in range(20)], "doc_id string, content string").repartition(3)
+    built = index.forward_add(index.empty_forward(spark), with_keys(d, st=M, s=S), key("st"), key("s"))
+    first, second = (sorted((r.tag, bytes(r.entry[:32])) for r in built.aux.collect()) for _ in range(2))
+    assert first == second and len(first) == 40
+    after = index.forward_open(built, spark.createDataFrame([("alpha",)], "keyword string"), one, key("s"))[0]
+    states = [sorted((r.keyword, bytes(r.initial), bytes(r.current)) for r in after.states.collect()) for _ in range(2)]
+    assert states[0] == states[1]
