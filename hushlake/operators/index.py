@@ -70,6 +70,20 @@ def empty_forward(spark) -> ForwardIndex:
     return ForwardIndex(spark.createDataFrame([], "keyword string, initial binary, current binary, counter long"), spark.createDataFrame([], "token string, doc_id string"), spark.createDataFrame([], "tag string, entry binary"))
 
 
+def numbered_in_order(rows: DataFrame) -> DataFrame:
+    """(keyword, doc_id, step) of rows (keyword, doc_id, __order): the place of each document among those of its keyword, from 0.
+
+    Rows are dealt out by ranges of (keyword, __order), so a very frequent keyword is spread over partitions: rows are numbered within
+    their range, and the counts of the keyword's earlier ranges are added.
+    """
+    dealt = stored(rows.repartitionByRange("keyword", "__order").withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("keyword", "__range").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("keyword").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("keyword", "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("keyword", "__range").orderBy("__order"))
+    return dealt.withColumn("__place", place).join(counts, ["keyword", "__range"]).select("keyword", "doc_id", (F.col("__place") - 1 + F.col("__before")).cast("long").alias("step"))
+
+
 def forward_add(index: ForwardIndex, docs: DataFrame, state_key: Key, search: Key, mode: str = "balanced", order: str = "doc_id") -> ForwardIndex:
     """Adds docs (doc_id, content, keys) in order. mode 'off' writes plain tokens to the secure index.
 
@@ -78,7 +92,7 @@ def forward_add(index: ForwardIndex, docs: DataFrame, state_key: Key, search: Ke
     rows = docs.withColumn("keyword", F.explode(F.array_distinct(F.transform(keywords(F.col("content")), F.lower))))
     if mode == "off":
         return ForwardIndex(index.states, index.secure.union(rows.select(keyword_token(F.col("keyword"), search).alias("token"), "doc_id")).distinct(), index.aux, index.updates)
-    numbered = rows.select("keyword", "doc_id", (F.row_number().over(Window.partitionBy("keyword").orderBy(order)) - 1).cast("long").alias("step"))
+    numbered = numbered_in_order(rows.select("keyword", "doc_id", F.col(order).alias("__order")))
     fresh = rows.groupBy("keyword").agg(F.count("*").alias("steps"), F.first(hmac256(state_key, F.col("keyword"))).alias("first"))
     grown = fresh.join(index.states, "keyword", "left").select("keyword", "steps", F.coalesce("initial", "first").alias("initial"), F.coalesce("current", "first").alias("start"), F.coalesce("counter", F.lit(0)).cast("long").alias("counter"))
     chain = stored(expand_chain(grown), "chain")

@@ -636,11 +636,11 @@ def cache_hit_ratio(spark, d):
 
 
 @query("rate_limit_fold", """WITH RECURSIVE r AS (SELECT CAST(user_id AS VARCHAR) AS tenant_id, event_type AS operation, event_id AS seq, epoch(ts) AS sec, row_number() OVER (PARTITION BY user_id % 10, event_type ORDER BY ts, event_id) AS k, CAST(user_id % 10 AS VARCHAR) AS t FROM events),
-f(t, operation, seq, k, allowed, times) AS (SELECT t, operation, seq, k, true, [sec] FROM r WHERE k = 1 UNION ALL SELECT r.t, r.operation, r.seq, r.k, len(list_filter(f.times, lambda x: x > r.sec - 3600)) < 2, CASE WHEN len(list_filter(f.times, lambda x: x > r.sec - 3600)) < 2 THEN list_append(list_filter(f.times, lambda x: x > r.sec - 3600), r.sec) ELSE list_filter(f.times, lambda x: x > r.sec - 3600) END FROM f JOIN r ON r.t = f.t AND r.operation = f.operation AND r.k = f.k + 1)
-SELECT t AS tenant_id, operation, seq, allowed OR operation NOT IN ('error', 'click', 'purchase', 'signup') AS allowed FROM f""")
+f(t, operation, seq, k, sec, allowed, times) AS (SELECT t, operation, seq, k, sec, true, [sec] FROM r WHERE k = 1 UNION ALL SELECT r.t, r.operation, r.seq, r.k, r.sec, len(list_filter(f.times, lambda x: x > r.sec - 3600)) < 2, CASE WHEN len(list_filter(f.times, lambda x: x > r.sec - 3600)) < 2 THEN list_append(list_filter(f.times, lambda x: x > r.sec - 3600), r.sec) ELSE list_filter(f.times, lambda x: x > r.sec - 3600) END FROM f JOIN r ON r.t = f.t AND r.operation = f.operation AND r.k = f.k + 1)
+SELECT t AS tenant_id, operation, seq, allowed OR operation NOT IN ('error', 'click', 'purchase', 'signup') AS allowed, CAST(CASE WHEN allowed OR operation NOT IN ('error', 'click', 'purchase', 'signup') THEN 0 ELSE greatest(CAST(trunc(times[1] - (sec - 3600)) AS BIGINT) + 1, 1) END AS BIGINT) AS retry_after FROM f""")
 def rate_limit_fold(spark, d):
     rows = read(spark, d, "events").select((F.col("user_id") % 10).cast("string").alias("tenant_id"), F.col("event_type").alias("operation"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return observe.rate_limited(rows, LIMITS, ["at", "seq"]).select("tenant_id", "operation", "seq", "allowed")
+    return observe.rate_limited(rows, LIMITS, ["at", "seq"]).select("tenant_id", "operation", "seq", "allowed", "retry_after")
 
 
 # ---- private aggregates ----
@@ -848,7 +848,7 @@ def drained(df: DataFrame, name: str) -> DataFrame:
 @query("stream_rate_limit", ORACLE_SQL["rate_limit_fold"])
 def stream_rate_limit(spark, d):
     rows = event_stream(spark, d).select((F.col("user_id") % 10).cast("string").alias("tenant_id"), F.col("event_type").alias("operation"), F.col("event_id").alias("seq"), "ts")
-    return drained(jobs.rate_limit_stream(rows, LIMITS, "1 hour"), "limits").select("tenant_id", "operation", "seq", "allowed")
+    return drained(jobs.rate_limit_stream(rows, LIMITS, "1 hour"), "limits").select("tenant_id", "operation", "seq", "allowed", "retry_after")
 
 
 @query("stream_budget", BUDGET_CTE.replace("ORDER BY ts, event_id", "ORDER BY event_id") + "SELECT tenant_id, seq, accepted, round(18.0::DOUBLE - consumed, 6) AS remaining FROM f")
