@@ -77,13 +77,14 @@ def try_decrypt(blob: Column, key: Column) -> Column:
     return F.try_aes_decrypt(back_in_order(blob), key, F.lit("GCM"))
 
 
-def encrypt_fixed(plain: Column, key: Key, aad: Column | None = None) -> Column:
+def encrypt_fixed(plain: Column, key: Key, aad: Column | None = None, mac: Key | None = None) -> Column:
     """Deterministic authenticated encryption: the IV is the HMAC of the text, so equal texts give equal bytes.
 
-    The first 12 bytes of the HMAC make the IV: keep below some 2**48 values a key.
+    The HMAC has the key mac, which should be another one than key; without it key serves both. The first 12 bytes make the IV: keep below some
+    2**48 values a key.
     """
     aad = F.lit("") if aad is None else aad
-    iv = first_bytes(hmac256(key, F.concat(F.lit("siv\0"), F.length(aad).cast("string"), F.lit("\0"), aad, plain.cast("string"))), 12)
+    iv = first_bytes(hmac256(mac or key, F.concat(F.lit("siv\0"), F.length(aad).cast("string"), F.lit("\0"), aad, plain.cast("string"))), 12)
     return F.aes_encrypt(plain.cast("binary"), key.raw, F.lit("GCM"), F.lit("DEFAULT"), iv, aad.cast("binary"))
 
 

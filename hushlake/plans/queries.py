@@ -327,14 +327,14 @@ def record_index_build(spark, d):
 
 @query("deterministic_roundtrip", "SELECT c_custkey, c_name AS plain, true AS tamper_seen, true AS other_data_fails FROM customer")
 def deterministic_roundtrip(spark, d):
-    rows = with_keys(read(spark, d, "customer").select("c_custkey", "c_name"), d=D).withColumn("blob", tokens.encrypt_fixed(F.col("c_name"), key("d"), F.lit("ctx")))
+    rows = with_keys(read(spark, d, "customer").select("c_custkey", "c_name"), d=D, dm=derived(D, "mac")).withColumn("blob", tokens.encrypt_fixed(F.col("c_name"), key("d"), F.lit("ctx"), key("dm")))
     bad = F.concat(F.substr("blob", F.lit(1), F.length("blob") - 1), F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substring("blob", -1, 1)), 16, 10).cast("long").bitwiseXOR(1)), 2, "0")))
     return rows.select("c_custkey", tokens.decrypt_fixed(F.col("blob"), key("d"), F.lit("ctx")).alias("plain"), tokens.decrypt_fixed(bad, key("d"), F.lit("ctx")).isNull().alias("tamper_seen"), tokens.decrypt_fixed(F.col("blob"), key("d"), F.lit("other")).isNull().alias("other_data_fails"))
 
 
 @query("deterministic_join", "SELECT c_custkey, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def deterministic_join(spark, d):
-    made = lambda df, c: without_keys(with_keys(df, d=D).withColumn("token", tokens.encrypt_fixed(F.col(c).cast("string"), key("d"))))
+    made = lambda df, c: without_keys(with_keys(df, d=D, dm=derived(D, "mac")).withColumn("token", tokens.encrypt_fixed(F.col(c).cast("string"), key("d"), mac=key("dm"))))
     both = made(read(spark, d, "customer").select("c_custkey"), "c_custkey").join(made(read(spark, d, "orders").select("o_custkey"), "o_custkey"), "token")
     return both.groupBy("c_custkey").agg(F.count("*").alias("n"))
 
