@@ -289,6 +289,15 @@ def blind_index(spark, d):
     return name_index(spark, d, tokens.BlindIndex("name")).select("c_custkey", "tenant_id", "index")
 
 
+@query("blind_index_raw", f"SELECT c_custkey, substr(hex({sql_hmac(field_key(B, 't', 'name'), 'encode(trim(c_name))')}), 1, 20) AS raw, nfc_normalize(c_name) = c_name AS plain FROM customer")
+def blind_index_raw(spark, d):
+    """Ten raw bytes, case kept, in each normal form: ASCII names give the same in all."""
+    rows = with_keys(read(spark, d, "customer").select("c_custkey", "c_name"), f=field_key(B, "t", "name"))
+    made = [tokens.blind_bytes(F.col("c_name"), key("f"), tokens.BlindIndex("name", length=10, case_sensitive=True, form=form)) for form in ("NFC", "NFD", "NFKD", None)]
+    rows = rows.select("c_custkey", *[m.alias(f"f{i}") for i, m in enumerate(made)])
+    return rows.select("c_custkey", F.hex("f0").alias("raw"), ((F.col("f0") == F.col("f1")) & (F.col("f0") == F.col("f2")) & (F.col("f0") == F.col("f3"))).alias("plain"))
+
+
 @query("blind_index_account", f"SELECT c_custkey, c_mktsegment AS tenant_id, {sql_index('account_number', 'trim(c_name)')} AS index, true AS verified FROM customer")
 def blind_index_account(spark, d):
     config = tokens.ACCOUNT
@@ -332,6 +341,14 @@ def deterministic_roundtrip(spark, d):
     return rows.select("c_custkey", tokens.decrypt_fixed(F.col("blob"), key("d"), F.lit("ctx")).alias("plain"), tokens.decrypt_fixed(bad, key("d"), F.lit("ctx")).isNull().alias("tamper_seen"), tokens.decrypt_fixed(F.col("blob"), key("d"), F.lit("other")).isNull().alias("other_data_fails"))
 
 
+@query("deterministic_lookup", "SELECT o_orderkey FROM orders WHERE o_custkey = 7")
+def deterministic_lookup(spark, d):
+    """One-value equality search on deterministic ciphertexts."""
+    made = lambda df, c: with_keys(df, d=D, dm=derived(D, "mac")).withColumn("token", tokens.encrypt_fixed(c, key("d"), mac=key("dm")))
+    asked = made(spark.range(1), F.lit("7")).select("token")
+    return made(read(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("o_custkey").cast("string")).join(F.broadcast(asked), "token").select("o_orderkey")
+
+
 @query("deterministic_join", "SELECT c_custkey, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def deterministic_join(spark, d):
     made = lambda df, c: without_keys(with_keys(df, d=D, dm=derived(D, "mac")).withColumn("token", tokens.encrypt_fixed(F.col(c).cast("string"), key("d"), mac=key("dm"))))

@@ -271,3 +271,13 @@ def test_entries_are_the_same_when_read_again(spark):
     after = index.forward_open(built, spark.createDataFrame([("alpha",)], "keyword string"), one, key("s"))[0]
     states = [sorted((r.keyword, bytes(r.initial), bytes(r.current)) for r in after.states.collect()) for _ in range(2)]
     assert states[0] == states[1]
+
+
+def test_jdbc_round_trip(spark):
+    """Through the database that comes with Spark, in memory."""
+    url, driver = "jdbc:derby:memory:hushlake;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([("a", "t1", "d1"), ("a", "t2", "d1"), ("b", "t1", "d2")], tables.POSTINGS)
+    tables.write_jdbc(rows, url, "postings", "overwrite", createTableColumnTypes="tenant_id VARCHAR(64), token VARCHAR(64), doc_id VARCHAR(64)", **driver)
+    tables.write_jdbc(rows.limit(1), url, "postings", **driver)
+    back = tables.read_jdbc(spark, url, "postings", **driver)
+    assert back.count() == 4 and {r.doc_id for r in back.filter("tenant_id = 'b'").collect()} == {"d2"}
