@@ -24,7 +24,7 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: White space at either end or next to more of it, or rare controls: such texts are cut as a whole, others at each space.
 UNEVEN = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f\x85]")
 #: Bounds on what a worker keeps between batches and gives out at a time; results don't depend on them.
-MAX_WORDS, MAX_PAIRS, PART_CHARS, ROWS = 250_000, 500_000, 4_000_000, 256
+MAX_WORDS, MAX_PAIRS, PART_CHARS, ROWS = 80_000, 200_000, 2_000_000, 256
 #: Tokens decoded at a time.
 PART_TOKENS = 65_536
 
