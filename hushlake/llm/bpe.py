@@ -24,7 +24,7 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: White space at either end or next to more of it, or rare controls: such texts are cut as a whole, others at each space.
 UNEVEN = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f\x85]")
 #: Bounds on what a worker keeps between batches and gives out at a time; results don't depend on them.
-MAX_WORDS, MAX_PAIRS, PART_CHARS, ROWS = 80_000, 200_000, 2_000_000, 256
+MAX_WORDS, MAX_PAIRS, PART_CHARS, ROWS = 250_000, 500_000, 4_000_000, 256
 #: Tokens decoded at a time.
 PART_TOKENS = 65_536
 
@@ -137,6 +137,7 @@ class TextEncoder:
     def __init__(self, path: str) -> None:
         self.v = Vocabulary(path)
         self.trie = TrieEncoder(self.v)
+        self.most = MAX_WORDS
         self.forget()
         # All tokens' bytes one after another, and where each id's begin.
         self.flat = np.frombuffer(b"".join(self.v.bytes.values()), np.uint8)
@@ -187,7 +188,7 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes, str]]:
         """Of each text: ids as decimal numbers joined by commas and as 32-bit numbers, and the text decoded from them."""
-        if len(self.known) > MAX_WORDS or len(self.rest) > MAX_WORDS:
+        if len(self.known) > self.most or len(self.rest) > self.most:
             self.forget()
         cut, first, rest = self.pieces(texts)
         whole = [self.whole(t) if own is None else None for t, own in zip(texts, cut, strict=True)]
@@ -235,26 +236,27 @@ def encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-def parts_of(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of PART_CHARS or one text."""
+def parts_of(texts: list[str], most: int = PART_CHARS) -> Iterator[list[str]]:
+    """Runs of texts of most characters or one text."""
     part, chars = [], 0
     for text in texts:
         part.append(text)
         chars += len(text)
-        if chars >= PART_CHARS:
+        if chars >= most:
             yield part
             part, chars = [], 0
     if part:
         yield part
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False, cache_words: int = MAX_WORDS, part_chars: int = PART_CHARS) -> DataFrame:
     """Encodes and decodes every text: id_col, n_tokens, then token_ids and decoded, then digests of both.
 
     ids adds token_ids (array of int) and decoded (text); digests adds ids_sha256 (of the
     decimal ids joined by commas) and decoded_sha256 (of the decoded UTF-8). Encoding equals that of the vocabulary's
     library without added tokens; strings of special tokens in the text become those tokens.
-    Each task works on its own rows, in batches of bounded size, and shuffles nothing. Null is like an empty text:
+    cache_words and part_chars bound what a worker keeps and takes up at a time; smaller ones take less memory and more time, and
+    change no result. Each task works on its own rows, in batches of bounded size, and shuffles nothing. Null is like an empty text:
     0 tokens, ids [], text ''. Repeated rows are all returned; other columns are left out.
     """
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType())])
@@ -274,11 +276,12 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
+        own.most = cache_words
         gc.disable()  # these dictionaries hold no cycles, and walking them again and again is slow
         try:
             for batch in batches:
                 at = 0
-                for part in parts_of([x or "" for x in batch.column(1).to_pylist()]):
+                for part in parts_of([x or "" for x in batch.column(1).to_pylist()], part_chars):
                     encoded = own.encode(part)
                     while rows := [row_of(*x) for x in islice(encoded, ROWS)]:
                         columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
