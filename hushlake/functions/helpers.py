@@ -7,11 +7,14 @@ import hashlib
 import hmac
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .text import REDACTIONS, SENSITIVE_NAMES
 
@@ -82,26 +85,30 @@ def throttle(times: Iterator[float], most: int, window: float, accepted: list[fl
             yield True, 0
 
 
-def by_key(rows: DataFrame, keys: list[str], order: list[str], fold, schema: str, partitions: int | None = None) -> DataFrame:
+def by_key(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], step: Callable[[dict, tuple], Iterable[tuple]], schema: str) -> DataFrame:
     """Folds the rows of each key in order. Rows are sorted within partitions and stream through: a key of any size needs no more memory than its state.
 
-    fold(state, part) gets a mutable dict of the key and the key's next rows, and returns a frame of schema. Each batch gives out one frame,
-    however many keys it holds.
+    step(state, row) gets a mutable dict of the key, empty at its first row, and the row's keys and columns; it gives out tuples of schema. A batch
+    is folded in one pass, whatever keys it holds.
     """
-    spread = rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys)
+    used = list(dict.fromkeys([*keys, *order, *columns]))
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = object(), {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, {}
         for batch in batches:
+            lists = {c: batch.column(used.index(c)).to_pylist() for c in {*keys, *columns}}
             out = []
-            for own, part in batch.groupby(keys, sort=False, dropna=False):
+            for own, row in zip(zip(*(lists[c] for c in keys), strict=True), zip(*(lists[c] for c in columns), strict=True), strict=True):
                 if own != now:
                     now, state = own, {}
-                out.append(fold(state, part))
+                out.extend((*own, *x) for x in step(state, row))
             if out:
-                yield pd.concat(out, ignore_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return spread.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    made = to_arrow_schema(T._parse_datatype_string(schema))
+    kinds = [f.type for f in made]
+    return rows.select(*used).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def chain_step(state: bytes, label: bytes) -> bytes:

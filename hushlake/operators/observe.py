@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,20 +84,53 @@ def hit_ratio(hits: Column, misses: Column) -> Column:
     return F.coalesce(hits / F.nullif(hits + misses, F.lit(0)), F.lit(0.0))
 
 
+def with_limits(requests: DataFrame, limits: dict[str, tuple[int, int]]) -> DataFrame:
+    """Adds most, span (seconds) and bucket (time over span) of the request's operation; null where it has no limit."""
+    value = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, float(v[i]))]), F.col("operation")) if limits else F.lit(None).cast("double")
+    rows = requests.withColumns({"most": value(0).cast("int"), "span": value(1)})
+    return rows.withColumn("bucket", F.floor(F.col("at") / F.col("span")))
+
+
+def busy_stretches(rows: DataFrame) -> DataFrame:
+    """(tenant_id, operation, bucket, stretch, busy) of requests with limits: the times in which a limit can be exceeded, and the time before each of them.
+
+    A window lies in two neighbouring buckets, so a bucket is busy if it and the one before it hold more requests than the limit. Busy neighbours
+    are one stretch, which begins with a bucket whose requests all pass. One counting aggregation, and windows over its rows.
+    """
+    counts = rows.filter("most IS NOT NULL").groupBy("tenant_id", "operation", "most", "bucket").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("tenant_id", "operation").orderBy("bucket")
+    beside = lambda f, c: F.coalesce(F.when(F.abs(f("bucket").over(w) - F.col("bucket")) == 1, f(c).over(w)), F.lit(0).cast("long"))
+    marked = counts.withColumn("busy", F.col("n") + beside(F.lag, "n") > F.col("most")).withColumn("b", F.col("busy").cast("long"))
+    marked = marked.withColumns({"starts": F.col("busy") & (beside(F.lag, "b") == 0), "following": beside(F.lead, "b")})
+    stretch = F.sum(F.col("starts").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    marked = marked.withColumn("stretch", stretch + F.when(F.col("busy"), 0).otherwise(1))
+    return marked.filter(F.col("busy") | (F.col("following") == 1)).select("tenant_id", "operation", "bucket", "stretch", "busy")
+
+
+def limited_parts(requests: DataFrame, limits: dict[str, tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """Of rate_limited: the requests that pass by counts alone, and those that have to be folded in order with those just before them."""
+    rows = with_limits(requests, limits)
+    busy = busy_stretches(rows).select(F.struct("tenant_id").alias("__tenant"), F.col("operation").alias("__operation"), F.col("bucket").alias("__bucket"), "stretch", "busy")
+    same = (F.struct("tenant_id") == F.col("__tenant")) & (F.col("operation") == F.col("__operation")) & (F.col("bucket") == F.col("__bucket"))
+    rows = rows.join(busy, same, "left").drop("__tenant", "__operation", "__bucket", "bucket")
+    return rows.filter("busy IS NULL OR NOT busy"), rows.filter("busy IS NOT NULL")
+
+
 def rate_limited(requests: DataFrame, limits: dict[str, tuple[int, int]], order: list[str]) -> DataFrame:
     """(tenant_id, operation, seq, allowed, retry_after) of requests (tenant_id, operation, seq, at in seconds), in order for each tenant and operation.
 
     Allowed while fewer than the operation's limit were allowed in the window before (its older edge excluded); refused
-    requests don't count. Operations without a limit pass.
+    requests don't count. Operations without a limit pass. Only busy stretches of time are folded in order, in a Python worker and each by itself; all
+    other requests pass by counts of theirs.
     """
+    calm, busy = limited_parts(requests.select("tenant_id", "operation", "seq", "at", *[c for c in order if c not in ("seq", "at")]), limits)
 
-    def fold(state: dict, part: pd.DataFrame) -> pd.DataFrame:
-        operation = part["operation"].iloc[0]
-        if operation in limits:
-            most, window = limits[operation]
-            rows = list(throttle(iter(part["at"]), most, window, state.setdefault("accepted", [])))
-        else:
-            rows = [(True, 0)] * len(part)
-        return pd.DataFrame({"tenant_id": part["tenant_id"], "operation": part["operation"], "seq": part["seq"], "allowed": [r[0] for r in rows], "retry_after": [r[1] for r in rows]})
+    def step(state: dict, row: tuple) -> Iterator[tuple]:
+        seq, at, most, span, judged = row
+        allowed, after = next(throttle(iter([at]), most, span, state.setdefault("accepted", [])))
+        if judged:
+            yield seq, allowed, after
 
-    return by_key(requests.select("tenant_id", "operation", "seq", "at"), ["tenant_id", "operation"], order, fold, "tenant_id string, operation string, seq long, allowed boolean, retry_after long")
+    folded = by_key(busy, ["tenant_id", "operation", "stretch"], order, ["seq", "at", "most", "span", "busy"], step, "tenant_id string, operation string, stretch long, seq long, allowed boolean, retry_after long")
+    passed = calm.select("tenant_id", "operation", "seq", F.lit(True).alias("allowed"), F.lit(0).cast("long").alias("retry_after"))
+    return passed.unionByName(folded.drop("stretch"))

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.helpers import by_key, spend
 from ..functions.prf import uniform
 from ..sources.keys import Key
-from ..sources.staging import stored
 
 
 def positive(**values: float) -> None:
@@ -49,6 +48,13 @@ def gaussian_variance(sensitivity: float, epsilon: float, delta: float) -> float
     return gaussian_sigma(sensitivity, epsilon, delta) ** 2
 
 
+def noise_variance(kind: Column, sensitivity: Column, epsilon: Column, delta: Column) -> Column:
+    """Variance of the noise of a count (Laplace), or of a sum or average (Gaussian), by row; null where the parameters allow no noise."""
+    gauss = 2 * F.log(1.25 / delta) * F.pow(sensitivity / epsilon, F.lit(2))
+    fits = (sensitivity > 0) & (epsilon > 0)
+    return F.when(fits & (kind == "count"), 2 * F.pow(sensitivity / epsilon, F.lit(2))).when(fits & kind.isin("sum", "average") & (delta > 0) & (delta < 1), gauss)
+
+
 def draws(noise: Key, query: str, group: list[str], release: Column | None = None) -> tuple[Column, Column]:
     """Two uniform numbers fixed by the noise key, the query, the group and the release: a retried task draws the same.
 
@@ -88,43 +94,30 @@ def private_selection(candidates: DataFrame, noise: Key, query: str, group: list
     return candidates.groupBy(*group).agg(best.alias("selected"))
 
 
-def released(requests: DataFrame, values: DataFrame, noise: Key, query: str, order: list[str], sensitivity: float = 1.0) -> DataFrame:
-    """(tenant_id, seq, accepted, remaining, noisy_value): each request pays from its tenant's budget before it gets a number.
-
-    requests are (tenant_id, seq, epsilon, total), values (tenant_id, true_value, keys). A refused request gets null, and so does a tenant without a value.
-    The seq is the release: no two requests draw the same noise. The accepted rows are stored first, so that no number leaves without its payment.
-    """
-    paid = stored(budget_fold(requests, order), "paid")
-    rows = paid.join(values, "tenant_id", "left")
-    u, _ = draws(noise, query, ["tenant_id"], F.col("seq"))
-    x = u - 0.5
-    noisy = F.col("true_value") - F.lit(float(sensitivity)) / F.col("epsilon") * F.signum(x) * F.log(F.greatest(1 - 2 * F.abs(x), F.lit(2.0**-60)))
-    return rows.select("tenant_id", "seq", "accepted", "remaining", F.when(F.col("accepted"), noisy).alias("noisy_value"))
-
-
 def budget_fold(requests: DataFrame, order: list[str]) -> DataFrame:
     """(tenant_id, seq, epsilon, accepted, remaining, warning) of requests (tenant_id, seq, epsilon, total) in order; refused ones cost nothing.
 
-    Where requests have a column ``reset`` (boolean), the tenant's budget is full again before a row with it set.
+    Where requests have a column ``reset`` (boolean), the tenant's budget is full again before a row with it set. Where they have a column ``spent``
+    (double), a tenant begins with that consumed already.
     """
     if "reset" in requests.columns:
         # Each reset begins an account of its own.
-        w = Window.partitionBy("tenant_id").orderBy(*order)
-        numbered = requests.withColumn("__account", F.sum(F.coalesce("reset", F.lit(False)).cast("int")).over(w))
-        numbered = numbered.withColumn("__tenant", F.struct("tenant_id", "__account"))
-        own = numbered.select(F.to_json("__tenant").alias("tenant_id"), *[c for c in requests.columns if c not in ("tenant_id", "reset")])
-        out = budget_fold(own, order)
-        return out.withColumn("tenant_id", F.get_json_object("tenant_id", "$.tenant_id"))
-
-    def fold(state: dict, part: pd.DataFrame) -> pd.DataFrame:
-        rows = list(spend(zip(part["epsilon"], part["total"], strict=True), state.get("consumed", 0.0)))
-        state["consumed"] = state.get("consumed", 0.0)
-        for (fits, _, _), epsilon in zip(rows, part["epsilon"], strict=True):
-            if fits:
-                state["consumed"] += epsilon
-        return pd.DataFrame({"tenant_id": part["tenant_id"], "seq": part["seq"], "epsilon": part["epsilon"], "accepted": [r[0] for r in rows], "remaining": [r[1] for r in rows], "warning": [r[2] for r in rows]})
-
-    return by_key(requests.select("tenant_id", "seq", "epsilon", "total", *[c for c in order if c != "seq"]), ["tenant_id"], order, fold, "tenant_id string, seq long, epsilon double, accepted boolean, remaining double, warning boolean")
+        w = Window.partitionBy("tenant_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        account = F.sum(F.coalesce("reset", F.lit(False)).cast("int")).over(w)
+    else:
+        account = F.lit(0).cast("long")
+    spent = F.coalesce("spent", F.lit(0.0)) if "spent" in requests.columns else F.lit(0.0)
+    rows = requests.withColumns({"__account": account, "__spent": spent})
+
+    def step(state: dict, row: tuple) -> Iterator[tuple]:
+        seq, epsilon, total, before = row
+        consumed = state.get("consumed", before)
+        fits, left, warning = next(spend(iter([(epsilon, total)]), consumed))
+        state["consumed"] = consumed + epsilon if fits else consumed
+        yield seq, epsilon, fits, left, warning
+
+    schema = "tenant_id string, __account long, seq long, epsilon double, accepted boolean, remaining double, warning boolean"
+    return by_key(rows, ["tenant_id", "__account"], order, ["seq", "epsilon", "total", "__spent"], step, schema).drop("__account")
 
 
 def budget_state(folded: DataFrame) -> DataFrame:

@@ -19,13 +19,15 @@ def elapsed_days(start: Column, as_of: Column) -> Column:
 
 
 def needs_rotation(as_of: Column) -> Column:
-    return elapsed_days(F.coalesce("last_rotated", "created_at"), as_of) >= F.col("rotation_period_days")
+    """Whether a key is due: only one that is active, and in no other state, can be."""
+    due = elapsed_days(F.coalesce("last_rotated", "created_at"), as_of) >= F.col("rotation_period_days")
+    return F.col("active") & (F.col("lifecycle_state") == "active") & due
 
 
 def due_keys(keys: DataFrame, as_of: Column) -> DataFrame:
-    """Active keys that are due, with days since the last rotation."""
+    """Keys that are due, with days since the last rotation."""
     days = elapsed_days(F.coalesce("last_rotated", "created_at"), as_of)
-    return keys.filter(F.col("active") & needs_rotation(as_of)).select("tenant_id", "key_id", days.cast("long").alias("days_since"))
+    return keys.filter(needs_rotation(as_of)).select("tenant_id", "key_id", days.cast("long").alias("days_since"))
 
 
 def usable(keys: DataFrame, *, active: bool = False, key_type: str | None = None, decryption: bool = False) -> DataFrame:
@@ -80,11 +82,31 @@ def change_states(keys: DataFrame, requests: DataFrame, as_of: Column) -> DataFr
     return rows.select("tenant_id", "key_id", state.alias("old_state"), new.alias("new_state"), until.alias("retention_expires_at"), reason.alias("reason"))
 
 
+def apply_changes(keys: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
+    """The key table after changes (as change_states reports them): states and retention as decided; retired and destroyed keys are no longer active."""
+    new = changes.filter("reason IS NULL").select("tenant_id", "key_id", F.col("new_state").alias("__state"), F.col("retention_expires_at").alias("__until"))
+    rows = keys.join(new, ["tenant_id", "key_id"], "left")
+    ended = F.coalesce(F.col("__state").isin("retired", "destroyed"), F.lit(False))
+    changed = F.col("__state").isNotNull()
+    out = {"lifecycle_state": F.coalesce("__state", "lifecycle_state"), "retention_expires_at": F.when(changed, F.col("__until")).otherwise(F.col("retention_expires_at")), "active": F.when(ended, F.lit(False)).otherwise(F.col("active")), "updated_at": F.when(changed, as_of).otherwise(F.col("updated_at"))}
+    return rows.withColumns(out).select(keys.columns)
+
+
+def keys_needing_attention(keys: DataFrame, as_of: Column) -> DataFrame:
+    """(tenant_id, key_id, concern): the keys behind the counts of the lifecycle report: needing_rotation, past_retention, compromised; a row for each concern."""
+    concerns = [F.when(c, F.lit(n)) for n, c in (("needing_rotation", needs_rotation(as_of)), ("past_retention", past_retention(as_of)), ("compromised", F.col("compromise_detected_at").isNotNull()))]
+    return keys.select("tenant_id", "key_id", F.explode(F.array_compact(F.array(*concerns))).alias("concern"))
+
+
+def past_retention(as_of: Column) -> Column:
+    return (F.col("retention_expires_at") < as_of) & (F.col("lifecycle_state") != "destroyed")
+
+
 def lifecycle_report(keys: DataFrame, as_of: Column) -> DataFrame:
     """Of each tenant: keys by state, due for rotation, past retention, compromised."""
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     states = [count(F.col("lifecycle_state") == s).alias(s) for s in STATES]
-    past = (F.col("retention_expires_at") < as_of) & (F.col("lifecycle_state") != "destroyed")
+    past = past_retention(as_of)
     return keys.groupBy("tenant_id").agg(F.count("*").alias("total_keys"), *states, count(needs_rotation(as_of)).alias("needing_rotation"), count(past).alias("past_retention"), F.count("compromise_detected_at").alias("compromised"))
 
 
@@ -124,8 +146,11 @@ def reencrypt(blobs: DataFrame, keys: DataFrame, new_key_id: str, blob: str = "b
     rows = with_key_choices(blobs, keys, blob)
     if only is not None:
         rows = rows.filter(F.exists("__keys", lambda k: k["key_id"] == only))
-    tried = F.filter(F.transform("__keys", lambda k: F.struct(k["key_id"].alias("key_id"), try_decrypt(unwrap(F.col(blob)), k["key"]).alias("plain"))), lambda x: x["plain"].isNotNull())
-    rows = rows.withColumn("__plain", F.get(tried, F.lit(0)))
+    opened = lambda k: F.struct(k["key_id"].alias("key_id"), try_decrypt(unwrap(F.col(blob)), k["key"]).alias("plain"))
+    tried = F.get(F.filter(F.transform("__keys", opened), lambda x: x["plain"].isNotNull()), F.lit(0))
+    # A hash has one key but for rare clashes, and that key is tried without a list.
+    single = opened(F.get("__keys", F.lit(0)))
+    rows = rows.withColumn("__plain", F.when(F.size("__keys") == 1, F.when(single["plain"].isNotNull(), single)).otherwise(tried))
     rows = rows.join(F.broadcast(new), by, "left") if by else rows.join(F.broadcast(new))
     if only is not None:
         # A blob that opens with another key of the same hash is not one of this key.
@@ -136,40 +161,98 @@ def reencrypt(blobs: DataFrame, keys: DataFrame, new_key_id: str, blob: str = "b
 def rotate(blobs: DataFrame, keys: DataFrame, table: DataFrame, key_id: str, new_key_id: str, as_of: Column, emergency: bool = False, blob: str = "blob") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(renewed blobs of the key, one row of progress, key table after it): the records of key_id move to new_key_id.
 
-    The outcome decides the key table: a rotation in which all failed leaves the old key rotating, an emergency retires it at once
-    and marks it compromised. The renewed blobs are stored once, so that both read the same ciphertexts.
+    The outcome decides the key table: a rotation in which all failed leaves the old key rotating and active, an emergency retires it at once
+    and marks it compromised. The renewed blobs are stored once, so that both read the same ciphertexts. A key that is rotating already or destroyed is refused.
     """
+    rotatable(table, key_id, emergency)
     renewed = stored(reencrypt(blobs, keys, new_key_id, blob, only=key_id), "renewed")
     outcome = progress(renewed, emergency=emergency)
     failed = outcome.first().status == "failed"
     return renewed, outcome, rotated_keys(table, key_id, new_key_id, as_of, failed, emergency)
 
 
+def rotatable(table: DataFrame, key_id: str, emergency: bool = False) -> None:
+    """An error for a key that is destroyed, or rotating already and not in an emergency."""
+    states = {r[0] for r in table.filter(F.col("key_id") == key_id).select("lifecycle_state").distinct().collect()}
+    if states & ({"destroyed"} if emergency else {"destroyed", "rotating"}):
+        raise ValueError(f"key {key_id} can't be rotated: it is {', '.join(sorted(states))}")
+
+
+def rotate_in_parts(blobs: DataFrame, record: str, keys: DataFrame, key_id: str, new_key_id: str, folder: str, parts: int = 64, at_once: int = 16, blob: str = "blob", waves: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(renewed blobs, outcomes): re-encryption of the records of key_id that a later call with the same folder takes up where it was stopped.
+
+    Records are cut by the hash of ``record`` into parts; ``at_once`` parts are one job, which writes them to folder/renewed and then a row (part, total, completed,
+    failed) each to folder/outcomes. Parts with a row are done and are not read again. A part that was stopped half-way is written anew in its place.
+    ``waves`` ends a call after so many jobs (a time slot). Both tables are read from storage; renewed has the columns of blobs, part and renewed.
+    """
+    spark = blobs.sparkSession
+    schema = "part int, total long, completed long, failed long"
+    number = F.pmod(F.xxhash64(F.col(record)), F.lit(parts)).cast("int")
+    outcomes = lambda: spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/outcomes")
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{folder}/outcomes")
+    done = {r[0] for r in outcomes().collect()}  # at most ``parts``
+    open_parts = [k for k in range(parts) if k not in done]
+    jobs = [open_parts[i : i + at_once] for i in range(0, len(open_parts), at_once)]
+    for job in jobs[:waves]:
+        rows = reencrypt(blobs.withColumn("part", number).filter(F.col("part").isin(job)), keys, new_key_id, blob, only=key_id)
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{folder}/renewed")
+        written = spark.read.schema(kinds).parquet(f"{folder}/renewed").filter(F.col("part").isin(job))
+        counted = written.groupBy("part").agg(F.count("*").alias("total"), F.count("renewed").alias("completed"))
+        every = spark.createDataFrame([(k,) for k in job], "part int").join(counted, "part", "left").na.fill(0)
+        every.select("part", "total", "completed", (F.col("total") - F.col("completed")).alias("failed")).write.mode("append").parquet(f"{folder}/outcomes")
+    kinds = ", ".join(f"`{n}` {t}" for n, t in [*blobs.dtypes, ("renewed", "binary"), ("part", "int")])
+    return spark.read.schema(kinds).parquet(f"{folder}/renewed"), outcomes()
+
+
+def overall(outcomes: DataFrame, parts: int) -> DataFrame:
+    """One row of progress over the parts of rotate_in_parts: total, completed, failed, percent, and status in_progress until every part has its outcome."""
+    total, done, failed = (F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "completed", "failed"))
+    status = F.when(F.count("*") < parts, "in_progress").when((failed > 0) & (done == 0), "failed").otherwise("completed")
+    return outcomes.agg(total.alias("total"), done.alias("completed"), failed.alias("failed"), percent_of(done, total).alias("percent"), status.alias("status"))
+
+
+def percent_of(done: Column, total: Column) -> Column:
+    """Share of total that is done, in percent; 100 of nothing."""
+    return F.when(total == 0, 100.0).otherwise(100.0 * done / F.greatest(total, F.lit(1)))
+
+
 def progress(renewed: DataFrame, by: list[str] | None = None, emergency: bool = False) -> DataFrame:
-    """Total, completed, failed, percent (100 of nothing) and status of a re-encryption. FAILED only if all failed, and never in an emergency."""
+    """Total, completed, failed, percent completed (100 of nothing) and status of a re-encryption. FAILED only if all failed, and never in an emergency."""
     done, total = F.count("renewed"), F.count("*")
     failed = total - done
     status = F.lit("completed") if emergency else F.when((failed > 0) & (done == 0), "failed").otherwise("completed")
-    percent = F.when(total == 0, 100.0).otherwise(100.0 * (done + failed) / F.greatest(total, F.lit(1)))
-    return renewed.groupBy(*(by or [])).agg(total.alias("total"), done.alias("completed"), failed.alias("failed"), percent.alias("percent"), status.alias("status"))
+    return renewed.groupBy(*(by or [])).agg(total.alias("total"), done.alias("completed"), failed.alias("failed"), percent_of(done, total).alias("percent"), status.alias("status"))
+
+
+def failures(renewed: DataFrame, record: str, by: list[str] | None = None) -> DataFrame:
+    """(by, record_id, detail): every record that a re-encryption failed for. A map over the renewed blobs; the list may be as long as they are."""
+    own = F.col(record).cast("string")
+    return renewed.filter("renewed IS NULL").select(*(by or []), own.alias("record_id"), F.concat(F.lit("Re-encrypt failed for "), own).alias("detail"))
 
 
 def rotated_keys(keys: DataFrame, key_id: str, new_key_id: str, as_of: Column, failed: bool = False, emergency: bool = False) -> DataFrame:
-    """Key table after the rotation of key_id to new_key_id: links, version, states. An emergency marks the old key compromised and retires it at once; a failed rotation leaves it rotating."""
+    """Key table after the rotation of key_id to new_key_id: links both ways, version, states. An emergency marks the old key compromised and retires it at once; a failed rotation leaves it rotating and active."""
     old, own = F.col("key_id") == key_id, keys
-    state = "retired" if emergency or not failed else "rotating"
+    if "successor_key_id" not in own.columns:
+        own = own.withColumn("successor_key_id", F.lit(None).cast("string"))
+    ended = emergency or not failed
     renewed = own.filter(old).withColumns(
-        {"key_id": F.lit(new_key_id), "predecessor_key_id": F.lit(key_id), "version": F.col("version") + 1, "lifecycle_state": F.lit("active"), "active": F.lit(True), "created_at": as_of, "last_rotated": F.lit(None).cast("timestamp"), "compromise_detected_at": F.lit(None).cast("timestamp"), "retention_expires_at": F.lit(None).cast("timestamp")}
+        {"key_id": F.lit(new_key_id), "predecessor_key_id": F.lit(key_id), "successor_key_id": F.lit(None).cast("string"), "version": F.col("version") + 1, "lifecycle_state": F.lit("active"), "active": F.lit(True), "created_at": as_of, "last_rotated": F.lit(None).cast("timestamp"), "compromise_detected_at": F.lit(None).cast("timestamp"), "retention_expires_at": F.lit(None).cast("timestamp")}
     )
     at = F.when(old, as_of).otherwise(F.col("compromise_detected_at")) if emergency else F.col("compromise_detected_at")
-    before = own.withColumns({"lifecycle_state": F.when(old, state).otherwise(F.col("lifecycle_state")), "active": F.when(old, F.lit(False)).otherwise(F.col("active")), "last_rotated": F.when(old, as_of).otherwise(F.col("last_rotated")), "compromise_detected_at": at})
+    active = F.when(old, F.lit(False)).otherwise(F.col("active")) if ended else F.col("active")
+    before = own.withColumns({"lifecycle_state": F.when(old, "retired" if ended else "rotating").otherwise(F.col("lifecycle_state")), "active": active, "successor_key_id": F.when(old, F.lit(new_key_id)).otherwise(F.col("successor_key_id")), "last_rotated": F.when(old, as_of).otherwise(F.col("last_rotated")), "compromise_detected_at": at})
     return before.unionByName(renewed)
 
 
 def rolled_back(keys: DataFrame, key_id: str, new_key_id: str) -> DataFrame:
-    """The old key active again and the new one retired; both still resolve, so renewed blobs stay readable."""
+    """The old key active again and without a successor, the new one retired; both still resolve, so renewed blobs stay readable."""
     old, new = F.col("key_id") == key_id, F.col("key_id") == new_key_id
-    return keys.withColumns({"lifecycle_state": F.when(old, "active").when(new, "retired").otherwise(F.col("lifecycle_state")), "active": F.when(old, True).when(new, False).otherwise(F.col("active"))})
+    out = {"lifecycle_state": F.when(old, "active").when(new, "retired").otherwise(F.col("lifecycle_state")), "active": F.when(old, True).when(new, False).otherwise(F.col("active"))}
+    if "successor_key_id" in keys.columns:
+        out["successor_key_id"] = F.when(~old, F.col("successor_key_id"))
+    return keys.withColumns(out)
 
 
 def wrap_keys(keys: DataFrame, master: Column, column: str = "key") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fpe, order, tokens
 from ..functions.prf import hmac256
 from ..functions.text import STOP_WORDS, clean_details, keywords, redact, redact_fields
-from ..operators import index, masked, observe, privacy, rotation, screening, search
+from ..operators import index, ledger, masked, observe, privacy, rotation, screening, search
 from ..sources import tables
 from ..sources.keys import derived, export_bundle, field_key, import_bundle, key, key_rows, pads, with_keys, with_tenant_keys, without_keys
 from ..sources.staging import prepared, shared_folder, stored
@@ -474,7 +474,7 @@ def key_bundle(spark, d):
     return import_bundle(bundle, "a long password").select("key_id", F.sha2("key", 256).alias("key_sha256"))
 
 
-@query("rotate_one_key", "SELECT count(*) AS total, count(*) FILTER (o_orderkey % 13 <> 0) AS completed, count(*) FILTER (o_orderkey % 13 = 0) AS failed, 100.0::DOUBLE AS percent, 'completed' AS status FROM orders WHERE o_orderkey % 10 = 3 AND o_orderkey % 11 <> 0")
+@query("rotate_one_key", "SELECT count(*) AS total, count(*) FILTER (o_orderkey % 13 <> 0) AS completed, count(*) FILTER (o_orderkey % 13 = 0) AS failed, 100.0::DOUBLE * count(*) FILTER (o_orderkey % 13 <> 0) / count(*) AS percent, 'completed' AS status FROM orders WHERE o_orderkey % 10 = 3 AND o_orderkey % 11 <> 0")
 def rotate_one_key(spark, d):
     """Only the records of key_3 move to key_10."""
     return rotation.rotate(blobs(spark, d), blob_keys(spark), key_table(spark, d), "key_3", "key_10", F.lit(AS_OF).cast("timestamp"))[1]
@@ -502,17 +502,38 @@ def reindex_new_master(spark, d):
     return index.reindexed(rows, "blob", key("e"), lambda c: tokens.blind_index(c, key("f"), config)).select("c_custkey", "index")
 
 
-@query("lifecycle_report", f"""WITH {SUPPLIER_KEYS} SELECT tenant_id, count(*) AS total_keys, {', '.join(f"count(*) FILTER (state = '{s}') AS {s}" for s in rotation.STATES)}, count(*) FILTER ({DUE} >= period) AS needing_rotation,
+@query("lifecycle_report", f"""WITH {SUPPLIER_KEYS} SELECT tenant_id, count(*) AS total_keys, {', '.join(f"count(*) FILTER (state = '{s}') AS {s}" for s in rotation.STATES)}, count(*) FILTER (state = 'active' AND {DUE} >= period) AS needing_rotation,
 count(*) FILTER (retention < TIMESTAMP '{AS_OF}' AND state <> 'destroyed') AS past_retention, count(*) FILTER (compromised) AS compromised FROM keys GROUP BY tenant_id""")
 def lifecycle_report(spark, d):
     return rotation.lifecycle_report(key_table(spark, d), F.lit(AS_OF).cast("timestamp"))
 
 
-@query("keys_due", f"WITH {SUPPLIER_KEYS} SELECT tenant_id, key_id, {DUE} AS days_since FROM keys WHERE state IN ('active', 'rotating') AND {DUE} >= period")
+@query("keys_due", f"WITH {SUPPLIER_KEYS} SELECT tenant_id, key_id, {DUE} AS days_since FROM keys WHERE state = 'active' AND {DUE} >= period")
 def keys_due(spark, d):
     return rotation.due_keys(key_table(spark, d), F.lit(AS_OF).cast("timestamp"))
 
 
+@query("keys_of_concern", f"""WITH {SUPPLIER_KEYS} SELECT tenant_id, key_id, 'needing_rotation' AS concern FROM keys WHERE state = 'active' AND {DUE} >= period UNION ALL SELECT tenant_id, key_id, 'past_retention' FROM keys WHERE retention < TIMESTAMP '{AS_OF}' AND state <> 'destroyed' UNION ALL SELECT tenant_id, key_id, 'compromised' FROM keys WHERE compromised""")
+def keys_of_concern(spark, d):
+    return rotation.keys_needing_attention(key_table(spark, d), F.lit(AS_OF).cast("timestamp"))
+
+
+@query("keys_loaded", f"WITH {SUPPLIER_KEYS} SELECT tenant_id, key_id, 'data' AS key_type, CAST(period AS INTEGER) AS period, state AS lifecycle_state, sha256('secret of ' || substr(key_id, 5)) AS key_sha256 FROM keys WHERE tenant_id = '3'")
+def keys_loaded(spark, d):
+    """One tenant's keys read from the stored key table, their metadata parsed and the wrapped keys opened."""
+
+    def write(path: str) -> None:
+        rows = key_table(spark, d)
+        told = [c for c in rows.columns if c not in ("tenant_id", "key_id", "updated_at")]
+        secret = F.concat(F.lit("secret of "), F.substring("key_id", 5, 20))
+        rows = with_keys(rows.select("tenant_id", "key_id", secret.alias("secret"), F.to_json(F.struct(*told)).alias("metadata"), "updated_at"), m=M)
+        tables.write_table(without_keys(rows.withColumn("encrypted_key", tokens.encrypt(F.col("secret"), key("m").raw)).drop("secret")), path, "overwrite")
+
+    keys = tables.read_table(spark, prepared(spark, "keys", d, write), tables.KEYS)
+    own = with_keys(tables.load_keys(keys, "3"), m=M)
+    return own.select("tenant_id", "key_id", "key_type", F.col("rotation_period_days").alias("period"), "lifecycle_state", F.sha2(tokens.try_decrypt(F.col("encrypted_key"), key("m").raw), 256).alias("key_sha256"))
+
+
 @query("key_chain", "SELECT '0' AS tenant_id, 'key_' || s_suppkey AS key_id, 'key_' || ((s_suppkey - 1) % 10 + 1) AS root, CAST((s_suppkey - 1) // 10 AS BIGINT) AS position FROM supplier")
 def key_chain(spark, d):
     # One tenant, since the derived links cross nations; chains grow with the table, and so does the bound.
@@ -530,6 +551,26 @@ def key_transitions(spark, d):
     return out.withColumn("retention", F.date_format("retention_expires_at", "yyyy-MM-dd")).drop("retention_expires_at")
 
 
+@query("keys_after_transitions", f"""WITH {SUPPLIER_KEYS}, asked AS (SELECT *, ['retire', 'archive', 'destroy'][CAST(substr(key_id, 5) AS INTEGER) % 3 + 1] AS action FROM keys),
+judged AS (SELECT *, CASE WHEN action = 'archive' THEN state NOT IN ('active', 'rotating') WHEN action = 'destroy' THEN state IN ('retired', 'archived') AND NOT coalesce(retention > TIMESTAMP '{AS_OF}', false) ELSE true END AS fits FROM asked)
+SELECT tenant_id, key_id, CASE WHEN NOT fits THEN state WHEN action = 'retire' THEN 'retired' WHEN action = 'archive' THEN 'archived' ELSE 'destroyed' END AS lifecycle_state, state IN ('active', 'rotating') AND NOT (fits AND action <> 'archive') AS active, strftime(CASE WHEN fits AND action = 'archive' THEN TIMESTAMP '{AS_OF}' + to_days(2555) ELSE retention END, '%Y-%m-%d') AS retention FROM judged""")
+def keys_after_transitions(spark, d):
+    """The key table with the granted requests carried out."""
+    keys, as_of = key_table(spark, d), F.lit(AS_OF).cast("timestamp")
+    action = F.element_at(F.array(F.lit("retire"), F.lit("archive"), F.lit("destroy")), (F.substring("key_id", 5, 20).cast("int") % 3 + 1))
+    changes = rotation.change_states(keys, keys.select("tenant_id", "key_id", action.alias("action"), F.lit(False).alias("force")), as_of)
+    return rotation.apply_changes(keys, changes, as_of).select("tenant_id", "key_id", "lifecycle_state", "active", F.date_format("retention_expires_at", "yyyy-MM-dd").alias("retention"))
+
+
+@query("rotation_links", f"WITH {SUPPLIER_KEYS} SELECT tenant_id, key_id, predecessor AS predecessor_key_id, CASE WHEN key_id = 'key_8' THEN 'key_new' END AS successor_key_id, 1 AS version FROM keys UNION ALL SELECT tenant_id, 'key_new', 'key_8', NULL, 2 FROM keys WHERE key_id = 'key_8'")
+def rotation_links(spark, d):
+    """Links of two rotations, of which one is rolled back."""
+    as_of = F.lit(AS_OF).cast("timestamp")
+    table = rotation.rotated_keys(rotation.rotated_keys(key_table(spark, d), "key_7", "key_undone", as_of), "key_8", "key_new", as_of)
+    table = rotation.rolled_back(table, "key_7", "key_undone").filter("key_id <> 'key_undone'")
+    return table.select("tenant_id", "key_id", "predecessor_key_id", "successor_key_id", "version")
+
+
 def blobs(spark, d):
     """Orders encrypted under ten keys; every eleventh blob is unversioned, every thirteenth broken."""
     k = F.col("o_orderkey")
@@ -559,12 +600,29 @@ def rotate_reencrypt(spark, d):
     return out.select("o_orderkey", tokens.try_decrypt(tokens.unwrap(F.col("blob")), F.col("key")).cast("string").alias("plain"), "key_id")
 
 
-@query("rotation_progress", "SELECT o_orderkey % 5 AS batch, count(*) AS total, count(*) FILTER (ok) AS completed, count(*) FILTER (NOT ok) AS failed, 100.0::DOUBLE AS percent, CASE WHEN count(*) FILTER (ok) = 0 THEN 'failed' ELSE 'completed' END AS status FROM (SELECT *, o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AS ok FROM orders) GROUP BY 1")
+@query("rotation_progress", "SELECT o_orderkey % 5 AS batch, count(*) AS total, count(*) FILTER (ok) AS completed, count(*) FILTER (NOT ok) AS failed, 100.0::DOUBLE * count(*) FILTER (ok) / count(*) AS percent, CASE WHEN count(*) FILTER (ok) = 0 THEN 'failed' ELSE 'completed' END AS status FROM (SELECT *, o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AS ok FROM orders) GROUP BY 1")
 def rotation_progress(spark, d):
     renewed = rotation.reencrypt(blobs(spark, d), blob_keys(spark), "key_10").withColumn("batch", F.col("o_orderkey") % 5)
     return rotation.progress(renewed, ["batch"])
 
 
+@query("rotation_failures", "SELECT CAST(o_orderkey AS VARCHAR) AS record_id, 'Re-encrypt failed for ' || o_orderkey AS detail FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0")
+def rotation_failures(spark, d):
+    return rotation.failures(rotation.reencrypt(blobs(spark, d), blob_keys(spark), "key_10"), "o_orderkey")
+
+
+@query("rotation_resumed", "SELECT 'stopped' AS call, count(*) FILTER (false) AS wrong, 'in_progress' AS status, 100.0::DOUBLE AS percent FROM orders UNION ALL SELECT 'resumed', count(*) FILTER (o_orderkey % 13 = 0), 'completed', 100.0::DOUBLE * count(*) FILTER (o_orderkey % 13 <> 0) / count(*) FROM orders WHERE o_orderkey % 10 = 3 AND o_orderkey % 11 <> 0")
+def rotation_resumed(spark, d):
+    """A rotation that is stopped after half of its parts, and the call that ends it."""
+    folder, own = new_folder(spark, "rotation"), stored(blobs(spark, d))
+    first = rotation.rotate_in_parts(own, "o_orderkey", blob_keys(spark), "key_3", "key_10", folder, parts=8, at_once=4, waves=1)[1]
+    stopped = stored(rotation.overall(first, 8))
+    renewed, second = rotation.rotate_in_parts(own, "o_orderkey", blob_keys(spark), "key_3", "key_10", folder, parts=8, at_once=4)
+    done = rotation.overall(second, 8)
+    # Of the first call the status alone is known without the hash that deals out the parts.
+    return stopped.select(F.lit("stopped").alias("call"), F.lit(0).cast("long").alias("wrong"), "status", F.lit(100.0).alias("percent")).union(done.crossJoin(renewed.agg(F.count_if(F.col("renewed").isNull()).alias("wrong"))).select(F.lit("resumed"), "wrong", "status", "percent"))
+
+
 @query("rewrap_keys", "SELECT 'key_' || s_suppkey AS key_id, s_suppkey % 9 <> 0 AS renewed, CASE WHEN s_suppkey % 9 <> 0 THEN sha256('secret of ' || s_suppkey) END AS opened_sha256 FROM supplier")
 def rewrap_keys(spark, d):
     rows = with_keys(read(spark, d, "supplier").select("s_suppkey"), old=M, new=D, wrong=N)
@@ -722,9 +780,58 @@ def budget_reset(spark, d):
 SELECT tenant_id, seq, accepted, CASE WHEN accepted THEN round(n - 1.0 / epsilon * sign(x) * ln(greatest(1 - 2 * abs(x), {2.0**-60!r})), 6) END AS noisy_value FROM x""")
 def dp_budgeted_release(spark, d):
     """A count for each request that its tenant's budget still pays; each draws its own noise."""
-    values = with_keys(read(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("tenant_id")).agg(F.count("*").cast("double").alias("true_value")), n=N)
-    out = privacy.released(budget_requests(spark, d), values, key("n"), "events", ["ts", "seq"])
-    return out.select("tenant_id", "seq", "accepted", F.round("noisy_value", 6).alias("noisy_value"))
+    values = read(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("tenant_id")).agg(F.count("*").cast("double").alias("true_value"))
+    requests = budget_requests(spark, d).join(values, "tenant_id").withColumns({"request_id": F.col("seq").cast("string"), "kind": F.lit("count")})
+    out = ledger.Ledger(spark, new_folder(spark, "ledger")).release(requests, ["ts", "seq"], N, "events")
+    return out.select("tenant_id", F.col("request_id").cast("long").alias("seq"), "accepted", F.round("answer", 6).alias("noisy_value"))
+
+
+def new_folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("ledger_two_jobs", BUDGET_CTE.replace("ORDER BY ts, event_id)", "ORDER BY event_id % 2, ts, event_id)").replace("18.0", "9.0") + f""", g AS (SELECT CAST(user_id AS VARCHAR) AS tenant_id, count(*) FILTER (event_id % 2 = 0) AS n0, count(*) AS n1 FROM events GROUP BY 1), x AS (SELECT f.*, CASE WHEN seq % 2 = 0 THEN n0 ELSE n1 END AS n, {sql_uniform("concat_ws(chr(31), 'counts', seq, tenant_id, '1')")} - 0.5 AS x FROM f JOIN g USING (tenant_id))
+SELECT tenant_id, seq, accepted, round(9.0::DOUBLE - consumed, 6) AS remaining, CASE WHEN accepted THEN round(n - 1.0 / epsilon * sign(x) * ln(greatest(1 - 2 * abs(x), {2.0**-60!r})), 6) END AS answer FROM x WHERE seq % 2 = 1 OR seq % 10 = 0""")
+def ledger_two_jobs(spark, d):
+    """Two jobs over growing data share one budget; what the second asks again is answered as before, and a third run adds nothing."""
+    own = ledger.Ledger(spark, new_folder(spark, "ledger"))
+    asked = budget_requests(spark, d).withColumns({"total": F.lit(9.0), "request_id": F.col("seq").cast("string"), "kind": F.lit("count")})
+    later = F.col("seq") % 2 == 1
+    for rows, events in ((asked.filter(~later), F.col("event_id") % 2 == 0), (asked.filter(later | (F.col("seq") % 10 == 0)), F.lit(True))):
+        values = read(spark, d, "events").filter(events).groupBy(F.col("user_id").cast("string").alias("tenant_id")).agg(F.count("*").cast("double").alias("true_value"))
+        out = own.release(rows.join(values, "tenant_id"), ["ts", "seq"], N, "counts")
+    return out.select("tenant_id", F.col("request_id").cast("long").alias("seq"), "accepted", F.round("remaining", 6).alias("remaining"), F.round("answer", 6).alias("answer"))
+
+
+def sql_gauss_of(query_name: str, request: str, sigma: str) -> str:
+    u, v = (sql_uniform(f"concat_ws(chr(31), '{query_name}', {request}, tenant_id, '{i}')") for i in (1, 2))
+    return f"{sigma} * sqrt(-2 * ln(greatest({u}, {2.0**-60!r}))) * cos(2 * pi() * {v})"
+
+
+@query("ledger_kinds", f"""WITH v AS (SELECT CAST(user_id AS VARCHAR) AS tenant_id, user_id, sum(value) AS total, avg(value) AS mean, count(*) AS n FROM events GROUP BY ALL),
+asked AS (SELECT *, unnest(['sum', 'average', 'select']) AS kind, unnest([0, 1, 2]) AS place FROM v), judged AS (SELECT *, (user_id + place) % 3 < 2 AS accepted FROM asked),
+u AS (SELECT tenant_id, event_type, count(*) AS utility, {sql_uniform("concat_ws(chr(31), 'kinds', 'select', tenant_id, event_type)").replace("tenant_id", "CAST(user_id AS VARCHAR)")} AS u FROM (SELECT CAST(user_id AS VARCHAR) AS tenant_id, user_id, event_type FROM events) GROUP BY tenant_id, user_id, event_type),
+best AS (SELECT tenant_id, max_by(event_type, 0.4 / 2 * utility - ln(-ln(least(greatest(u, {2.0**-60!r}), {1 - 2.0**-53!r})))) AS selected FROM u GROUP BY 1)
+SELECT tenant_id, kind, accepted, CASE WHEN accepted AND kind = 'sum' THEN round(total + {sql_gauss_of('kinds', "'sum'", repr(privacy.gaussian_sigma(100, 0.4, 1e-5)))}, 4) WHEN accepted AND kind = 'average' THEN round(mean + {sql_gauss_of('kinds', "'average'", repr(privacy.gaussian_sigma(100, 0.4, 1e-5)) + ' / n')}, 4) END AS answer, CASE WHEN accepted AND kind = 'select' THEN selected END AS selected FROM judged JOIN best USING (tenant_id)""")
+def ledger_kinds(spark, d):
+    """A sum, an average and a selection of each tenant, of which its budget pays two."""
+    tenant = F.col("user_id").cast("string").alias("tenant_id")
+    events = read(spark, d, "events").select(tenant, "user_id", "event_type", "value")
+    values = events.groupBy("tenant_id", "user_id").agg(F.sum("value").alias("s"), F.avg("value").alias("m"), F.count("*").alias("true_count"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("place")) for i, k in enumerate(["sum", "average", "select"])])
+    asked = values.withColumn("x", F.explode(kinds)).select("tenant_id", F.col("x.kind").alias("request_id"), "x.kind", ((F.col("user_id") + F.col("x.place")) % 3).alias("place"), F.lit(0.4).alias("epsilon"), F.lit(1.0).alias("total"), F.when(F.col("x.kind") == "sum", F.col("s")).otherwise(F.col("m")).alias("true_value"), "true_count", F.when(F.col("x.kind") == "select", 1.0).otherwise(100.0).alias("sensitivity"))
+    candidates = events.groupBy("tenant_id", F.col("event_type").alias("candidate")).agg(F.count("*").alias("utility")).withColumn("request_id", F.lit("select"))
+    out = ledger.Ledger(spark, new_folder(spark, "ledger")).release(asked, ["place"], N, "kinds", candidates)
+    return out.select("tenant_id", "kind", "accepted", F.round("answer", 4).alias("answer"), "selected")
+
+
+@query("noise_variances", "SELECT l_returnflag, kind, round(CASE kind WHEN 'count' THEN 2 * pow(1 / 0.5, 2) WHEN 'sum' THEN 2 * ln(1.25 / 1e-5) * pow(m / 0.5, 2) ELSE 2 * ln(1.25 / 1e-5) * pow(m / n / 0.5, 2) END, 6) AS variance FROM (SELECT l_returnflag, CAST(max(l_quantity) AS DOUBLE) AS m, count(*) AS n FROM lineitem GROUP BY 1), (SELECT unnest(['count', 'sum', 'average']) AS kind)")
+def noise_variances(spark, d):
+    """Variance of the noise of each answer, with sensitivities taken from the data."""
+    rows = read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.max("l_quantity").cast("double").alias("m"), F.count("*").alias("n"))
+    rows = rows.withColumn("kind", F.explode(F.array(*map(F.lit, ["count", "sum", "average"]))))
+    sensitivity = F.when(F.col("kind") == "count", 1.0).when(F.col("kind") == "sum", F.col("m")).otherwise(F.col("m") / F.col("n"))
+    return rows.select("l_returnflag", "kind", F.round(privacy.noise_variance(F.col("kind"), sensitivity, F.lit(0.5), F.lit(1e-5)), 6).alias("variance"))
 
 
 # ---- masked sums and scores ----
