@@ -116,7 +116,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     units after numbers become typed slots. Windows of ``size`` words are hash-joined with those of the items; matches with
     the same shift form runs. A run counts if its slots are consistent: a value of the item always stands
     for one value in the document, and different values for different ones. An item is reported if a run has min_words words (the whole
-    item, if shorter), or all runs together min_share of the item.
+    item, if shorter), or all runs together cover min_share of the item; a word of the item that the document repeats counts once.
 
     Each text is read in three ways, and an item is reported if one of them finds it: as above; with number words as numbers,
     every capitalised word (also a sentence's first, or one in capitals) as a name, and neighbouring words of a name or number as one
@@ -153,15 +153,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + doc)), pa.array((at - t.offsets[doc]).astype(np.int32)), pa.array(hashes[at].view(np.int64)), *numbers, slots], names=["doc", "at", "hash", "size", "view", "slots"])
 
     hits = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(thrifty(run), "doc long, at int, hash long, size int, view int, slots array<string>")
-    known = F.broadcast(windows) if count <= BROADCAST_WINDOWS else windows
-    met = hits.join(known, ["hash", "size", "view"]).filter(F.size("slots") == F.size("item_slots")).select("doc", "item", "view", "words", "size", "at", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))).alias("pairs")).dropDuplicates(["doc", "item", "view", "at", "item_at"])
+    # One row a hash, so that a phrase of many items is no hot key on both sides.
+    known = windows.groupBy("hash", "size", "view").agg(F.collect_list(F.struct("item", "words", "item_at", "item_slots")).alias("where"))
+    known = F.broadcast(known) if count <= BROADCAST_WINDOWS else known
+    met = hits.join(known, ["hash", "size", "view"]).withColumn("w", F.explode("where")).drop("where").select("*", "w.*").filter(F.size("slots") == F.size("item_slots")).select("doc", "item", "view", "words", "size", "at", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))).alias("pairs")).dropDuplicates(["doc", "item", "view", "at", "item_at"])
     order = Window.partitionBy("doc", "item", "view", "words", "size", "shift").orderBy("at")
-    runs = met.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy("doc", "item", "view", "words", "size", "shift", "run").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    runs = met.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy("doc", "item", "view", "words", "size", "shift", "run").agg(F.count("*").alias("n"), F.min("item_at").alias("start"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     alone = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
     same = alone("i") & alone("d")
     length = (F.col("n") + F.col("size") - 1).cast("long")
-    runs = runs.filter(same).select("doc", "item", "view", "words", length.alias("length"), F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact"))
-    found = runs.groupBy("doc", "item", "view", "words").agg(F.least(F.sum("length"), F.max("words")).cast("long").alias("n_words"), F.max("length").alias("longest"), F.min("exact").alias("exact"))
+    runs = runs.filter(same).select("doc", "item", "view", "words", "start", length.alias("length"), F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact"))
+    # A word of the item counts once, however often the document repeats it: of each start the longest run, then the union of these.
+    runs = runs.groupBy("doc", "item", "view", "words", "start").agg(F.max("length").alias("length"), F.min("exact").alias("exact"))
+    spans = F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "length")))  # at most one a word of the item
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    covered = F.aggregate(spans, zero, lambda s, x: F.struct(F.greatest(s["end"], x["start"] + x["length"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["start"] + x["length"] - F.greatest(s["end"], x["start"]))).alias("n")))
+    found = runs.groupBy("doc", "item", "view", "words").agg(covered["n"].alias("n_words"), F.max("length").alias("longest"), F.min("exact").alias("exact"))
     share = F.col("n_words") / F.col("words")
     found = found.filter((F.col("longest") >= F.least(F.lit(min_words), F.col("words"))) | (share >= min_share))
     # The view that finds the largest share speaks, of equal ones the one with exact slots.
