@@ -356,32 +356,61 @@ def dedup_embeddings(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     Equal vectors are one class, searched once; n_links counts the other vectors (by id) of the class and of the classes
     linked with it. component_id is the smallest id reachable by links; kept says that the id is that one. Vectors that are
     null, empty, zero, or hold a null, NaN or infinite component link with nothing; those of different lengths don't link. A null
-    id counts as the largest and comes back as null. Rows of one id are one vector each but count once. Extra columns are left out.
+    id counts as the largest and comes back as null. Rows of one id are one vector each but count once, and hold together what each
+    of them links with. Extra columns are left out.
     """
     vector = F.col(vector_col)
     own = table.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.transform(vector, lambda v: F.when(v == 0, 0.0).otherwise(v.cast("double"))).alias("vector"))
     fine = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
     valid = own.filter(F.coalesce(fine, F.lit(False)))
-    classes = stored(valid.groupBy("vector").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("size")), "classes")
+    # Classes have numbers of their own, since an id may have several vectors.
+    classes = valid.groupBy("vector").agg(F.countDistinct("id").alias("size"))
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     lengths = sorted(r[0] for r in classes.select(F.size("vector")).distinct().collect())
     pairs = None
     for size in lengths:
-        part = similar_pairs(classes.filter(F.size("vector") == size).select(F.col("rep").alias("id"), "vector"), least, **search)
+        part = similar_pairs(classes.filter(F.size("vector") == size).select(F.col("cls").alias("id"), "vector"), least, **search)
         pairs = part if pairs is None else pairs.union(part)
     if pairs is None:
         pairs = table.sparkSession.createDataFrame([], "a long, b long")
-    sizes = classes.groupBy("rep").agg(F.max("size").alias("size"))
-    around = pairs.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("size").alias("around"))
-    known = sizes.join(around.withColumnRenamed("a", "rep"), "rep", "left").join(components(pairs).withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("rep", (F.col("size") - 1 + F.coalesce("around", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
-    members = valid.join(classes.select("vector", "rep"), "vector").select("id", "rep").distinct().join(known, "rep").select("id", "n", "component")
-    members = members.groupBy("id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
-    out = own.select("id").join(members, "id", "left")
+    members = stored(valid.join(classes.select("vector", "cls"), "vector").select("id", "cls").distinct(), "members")
+    counts = link_counts(members, classes.select("cls", "size"), pairs)
+    # Ids of several classes join their components.
+    several = members.groupBy("id").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first < last").select("id", "first")
+    bridges = members.join(several, "id").select(F.col("cls").alias("a"), F.col("first").alias("b")).filter("a <> b")
+    parts = components(pairs.union(bridges)).withColumnRenamed("node", "cls")
+    grouped = members.join(parts, "cls", "left").select("id", F.coalesce("component", "cls").alias("part"))
+    lowest = grouped.groupBy("part").agg(F.min("id").alias("component"))
+    known = grouped.join(lowest, "part").groupBy("id").agg(F.min("component").alias("component")).join(counts, "id")
+    out = own.select("id").join(known, "id", "left")
     back = lambda c: F.when(F.col(c) != LAST, F.col(c))
     component = F.coalesce("component", "id")
     return out.select(back("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(component != LAST, component).alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
+def link_counts(members: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, n): other ids in the classes of each id and in those linked with them, of members (id, cls), sizes (cls, size), pairs (a, b) both ways.
+
+    For an id of one class that is the sum of the classes' sizes, less itself, worked out once a class. Ids of several classes are in the sums
+    of several, and are counted back.
+    """
+    several = members.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    linked = pairs.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy("a").agg(F.sum("size").alias("around"))
+    sums = sizes.join(linked.withColumnRenamed("a", "cls"), "cls", "left").select("cls", (F.col("size") + F.coalesce("around", F.lit(0)) - 1).alias("n"))
+    plain = members.join(sums, "cls")
+    if not several.limit(1).count():
+        return plain.select("id", "n")
+    several = stored(several, "several")
+    own = members.join(several, "id")
+    near = pairs.union(sizes.select("cls", F.col("cls").alias("b")))
+    # How often an id of several classes is met from a class, beyond the first time.
+    met = near.join(own.select(F.col("cls").alias("b"), F.col("id").alias("m")), "b")
+    again = met.groupBy("a", "m").agg((F.count("*") - 1).alias("extra")).groupBy(F.col("a").alias("cls")).agg(F.sum("extra").alias("extra"))
+    single = plain.join(several, "id", "left_anti").join(again, "cls", "left").select("id", (F.col("n") - F.coalesce("extra", F.lit(0))).alias("n"))
+    around = own.select("id", F.col("cls").alias("a")).join(near, "a").select("id", F.col("b").alias("cls")).distinct().join(members.withColumnRenamed("id", "other"), "cls")
+    return single.union(around.filter("id <> other").groupBy("id").agg(F.countDistinct("other").alias("n")).join(several, "id", "right").select("id", F.coalesce("n", F.lit(0)).alias("n")))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
