@@ -18,10 +18,11 @@ NUMBER = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
 #: Alternatives in order: what an earlier one takes, a later one doesn't see.
 ANY = "|".join([EMAIL, IP, DATE, SSN, PHONE, NUMBER])
 ROUNDS = 8
-#: Days of 400 years of the calendar, as a product of two factors; the range begins in 1801.
-DAYS, DAY_A, DAY_B, FIRST_DAY = 146_097, 27, 5_411, "1801-01-01"
-#: Those of them from the 13th of a month on, also as a product, and the first 12 days of each month that are none.
-LATE_DAYS, LATE_A, LATE_B, EARLY = 88_497, 9, 9_833, 12
+#: Days of 400 years of the calendar; the range begins in 1801.
+DAYS, FIRST_DAY = 146_097, "1801-01-01"
+#: The first 12 days of each month, whose number is a product of two factors, and those of the later days.
+EARLY, EARLY_A, EARLY_B = 12, 240, 240
+LATE_DAYS, LATE_A, LATE_B = 88_497, 9, 9_833
 
 
 def pads(key: str) -> tuple[str, str]:
@@ -89,11 +90,11 @@ def only_digits(token: Column) -> Column:
     return F.regexp_replace(token, r"[^0-9]", "")
 
 
-def new_number(key: str, token: Column) -> Column:
+def new_number(key: str, token: Column, unchecked: bool) -> Column:
     """13 to 19 digits: all but the last are permuted, and the last is worked out anew.
 
-    Numbers with a right check digit (Luhn) are permuted among themselves, and so are those without: there the distance of
-    the last digit from the right one (1 to 9) is shifted by a number drawn from the others.
+    Numbers with a right check digit (Luhn) are permuted among themselves, and with ``unchecked`` so are those without: there the distance of
+    the last digit from the right one (1 to 9) is shifted by a number drawn from the others. Without it they stay.
     """
 
     def run(d: Column) -> Column:
@@ -110,7 +111,7 @@ def new_number(key: str, token: Column) -> Column:
             by = F.conv(F.substring(keyed(key, F.concat_ws("|", F.lit("last"), x)), 1, 8), 16, 10).cast("long")
             return last(x, (off - 1 + by) % 9 + 1)
 
-        return filled(token, F.when(off == 0, card).otherwise(bound(permuted_digits(key, "number", body), other)))
+        return filled(token, F.when(off == 0, card).otherwise(bound(permuted_digits(key, "number", body), other) if unchecked else d))
 
     return bound(only_digits(token), run)
 
@@ -148,17 +149,16 @@ def new_ip(key: str, token: Column) -> Column:
 
 
 def new_date(key: str, token: Column) -> Column:
-    """A valid date of 1801 to 2200 is permuted among all of them and written in the same form; others stay.
+    """A valid date of 1801 to 2200 is permuted and written in the same form; others stay.
 
-    Of dd/MM/yyyy and MM/dd/yyyy the second is tried first. What only the first can read is a day from the 13th on, and is
-    permuted among such days, so that its pseudonym has no other reading either.
+    Days up to the 12th of a month are permuted among themselves, and so are later ones, whatever the form: one day has one pseudonym in all
+    forms. Of dd/MM/yyyy and MM/dd/yyyy the second is tried first; what only the first can read is a later day, whose pseudonym has no
+    other reading either.
     """
     first = F.lit(FIRST_DAY).cast("date")
 
-    def late(day: Column) -> Column:
-        """The permuted date of a day from the 13th of its month on; such days are numbered without the first 12 of each month."""
-        own = F.date_add(first, day)
-        month = (F.year(own) - 1801) * 12 + F.month(own) - 1
+    def later(month: Column) -> Column:
+        """The permuted day of a later one; such days are numbered without the first 12 of each month."""
         start = lambda m: F.datediff(F.add_months(first, m), first) - EARLY * m
 
         def placed(s: Column) -> Column:
@@ -168,18 +168,32 @@ def new_date(key: str, token: Column) -> Column:
 
             return bound(F.least(F.floor(s * 4800 / LATE_DAYS), F.lit(4799)).cast("int"), found)
 
-        index = F.datediff(own, first) - EARLY * (month + 1)
-        said = bound(index, lambda i: feistel(key, "late", F.floor(i / LATE_B), i % LATE_B, LATE_A, LATE_B))
+        said = bound(month, lambda i: feistel(key, "late", F.floor(i / LATE_B), i % LATE_B, LATE_A, LATE_B))
         return bound(bound(said, lambda s: (s["l"] * LATE_B + s["r"]).cast("int")), placed)
 
-    out = token
-    for form in ("dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy/MM/dd", "yyyy-MM-dd"):
+    def permuted(day: Column) -> Column:
+        own = F.date_add(first, day)
+        month = (F.year(own) - 1801) * 12 + F.month(own) - 1
+        early = bound(month * EARLY + F.dayofmonth(own) - 1, lambda i: feistel(key, "early", F.floor(i / EARLY_B), i % EARLY_B, EARLY_A, EARLY_B))
+        early = bound(bound(early, lambda s: (s["l"] * EARLY_B + s["r"]).cast("int")), lambda s: F.date_add(F.add_months(first, F.floor(s / EARLY).cast("int")), s % EARLY))
+        return F.when(F.dayofmonth(own) > EARLY, later(day - EARLY * (month + 1))).otherwise(early)
+
+    forms = ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy")
+    days = []
+    for form in forms:
         shape = r"^\d{4}[-/]" if form.startswith("y") else r"^\d{2}[./]"
         mark = F.contains(token, F.lit("-" if "-" in form else "." if "." in form else "/"))
         day = F.datediff(F.try_to_timestamp(F.when(token.rlike(shape) & mark, token), F.lit(form)).cast("date"), first)
-        new = bound(day, lambda d: bound(feistel(key, "date", F.floor(d / DAY_B), d % DAY_B, DAY_A, DAY_B), lambda s: F.date_add(first, (s["l"] * DAY_B + s["r"]).cast("int")))) if form != "dd/MM/yyyy" else bound(day, lambda d: F.when(F.dayofmonth(F.date_add(first, d)) > EARLY, late(d)))
-        out = F.when(day.between(0, DAYS - 1), F.coalesce(F.date_format(new, form), token)).otherwise(out)
-    return out
+        days.append(F.when(day.between(0, DAYS - 1), F.struct(day.alias("day"), F.lit(form).alias("form"))))
+
+    def written(read: Column) -> Column:
+        new = bound(read["day"], permuted)
+        told = F.lit(None).cast("string")
+        for form in forms:
+            told = F.when(read["form"] == form, F.date_format(new, form)).otherwise(told)
+        return F.coalesce(told, token)
+
+    return bound(F.coalesce(*days), written)
 
 
 def new_email(key: str, token: Column) -> Column:
@@ -212,7 +226,7 @@ def new_email(key: str, token: Column) -> Column:
     return bound(out, lambda s: F.concat(s["l"], s["r"], F.lit("@"), domain))
 
 
-def new_value(key: str, token: Column) -> Column:
+def new_value(key: str, token: Column, unchecked: bool) -> Column:
     whole = lambda p: token.rlike(f"^(?:{p})$")
     return (
         F.when(F.contains(token, F.lit("@")), new_email(key, token))
@@ -220,16 +234,17 @@ def new_value(key: str, token: Column) -> Column:
         .when(whole(DATE), new_date(key, token))
         .when(whole(SSN), new_ssn(key, token))
         .when(whole(PHONE), new_phone(key, token))
-        .otherwise(new_number(key, token))
+        .otherwise(new_number(key, token, unchecked))
     )
 
 
-def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", unchecked: bool = True) -> DataFrame:
     """Replaces personal values in text_col by keyed pseudonyms of the same format, and adds n_found (long), the values of these forms.
 
     E-mail addresses, IPv4 addresses, dates (yyyy-MM-dd, yyyy/MM/dd, dd.MM.yyyy, MM/dd/yyyy, dd/MM/yyyy), social security
     numbers, phone numbers of ten digits, and numbers of 13 to 19 digits, each validated: an octet above 255, an impossible date or area
-    stays as it is. A permutation under one key: equal values get equal pseudonyms in all documents, different
+    stays as it is. Account numbers without a check digit are numbers too, so 13 to 19 digits that are no card number are permuted among such; with
+    unchecked=False only those with a right check digit (Luhn) are. A permutation under one key: equal values get equal pseudonyms in all documents, different
     values different ones, and every pseudonym is valid again (check digit, octets, calendar).
 
     Each row is worked on alone, with column expressions, without a shuffle: the text is cut at its values, and put
@@ -244,7 +259,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     plain = F.split(text, ANY, -1)
 
     def put(values: Column) -> Column:
-        new = F.transform(values, lambda v: new_value(key, v))
+        new = F.transform(values, lambda v: new_value(key, v, unchecked))
         return F.concat_ws("", F.flatten(F.transform(F.arrays_zip(plain.alias("p"), new.alias("n")), lambda z: F.array(z["p"], F.coalesce(z["n"], F.lit(""))))))
 
     has = F.coalesce(text.rlike("[0-9@]"), F.lit(False))

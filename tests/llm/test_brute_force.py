@@ -6,7 +6,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -148,14 +148,13 @@ def plain_number(key, d):
     return new + str((check_digit(new) + (off - 1 + int(prf(key, "last", new)[:8], 16)) % 9 + 1) % 10)
 
 
-def plain_date(key, d, late):
-    first = date(1801, 1, 1)
-    if not late:
-        left, right = plain_feistel(key, "date", *divmod((d - first).days, 5411), 27, 5411)
-        return first + timedelta(left * 5411 + right)
-    days = [x for x in (first + timedelta(i) for i in range(146_097)) if x.day > 12]
-    left, right = plain_feistel(key, "late", *divmod(days.index(d), 9833), 9, 9833)
-    return days[left * 9833 + right]
+ALL_DAYS = [date(1801, 1, 1) + timedelta(i) for i in range(146_097)]
+
+
+def plain_date(key, d):
+    days, tag, left, right = ([x for x in ALL_DAYS if x.day > 12], "late", 9, 9833) if d.day > 12 else ([x for x in ALL_DAYS if x.day <= 12], "early", 240, 240)
+    high, low = plain_feistel(key, tag, *divmod(days.index(d), right), left, right)
+    return days[high * right + low]
 
 
 def pseudonyms(spark, values, key="k"):
@@ -169,10 +168,25 @@ def test_pseudonyms_equal_a_plain_feistel(spark):
     numbers += [x[:-1] + str(check_digit(x[:-1])) for x in numbers]
     assert pseudonyms(spark, numbers) == [plain_number("k", x) for x in numbers]
     days = [date(1801, 1, 1) + timedelta(rng.randrange(146_097)) for _ in range(30)]
-    assert pseudonyms(spark, [d.isoformat() for d in days]) == [plain_date("k", d, False).isoformat() for d in days]
-    assert pseudonyms(spark, [d.strftime("%m/%d/%Y") for d in days]) == [plain_date("k", d, False).strftime("%m/%d/%Y") for d in days]
-    late = [d for d in days if d.day > 12] + [date(1801, 1, 13), date(2200, 12, 31), date(2000, 2, 29), date(1900, 2, 28)]
-    assert pseudonyms(spark, [d.strftime("%d/%m/%Y") for d in late]) == [plain_date("k", d, True).strftime("%d/%m/%Y") for d in late]
+    days += [date(1801, 1, 1), date(1801, 1, 13), date(2200, 12, 31), date(2000, 2, 29), date(1900, 2, 28), date(2020, 12, 12)]
+    new = [plain_date("k", d) for d in days]
+    for form in ("%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d.%m.%Y"):
+        assert pseudonyms(spark, [d.strftime(form) for d in days]) == [d.strftime(form) for d in new]
+    late = [(d, n) for d, n in zip(days, new, strict=True) if d.day > 12]
+    assert pseudonyms(spark, [d.strftime("%d/%m/%Y") for d, _ in late]) == [n.strftime("%d/%m/%Y") for _, n in late]
+
+
+def test_a_day_has_one_pseudonym_in_all_forms(spark):
+    forms = ["2020-12-25", "12/25/2020", "25.12.2020", "2020/12/25", "25/12/2020"]
+    out = [datetime.strptime(x, f) for x, f in zip(pseudonyms(spark, forms), ["%Y-%m-%d", "%m/%d/%Y", "%d.%m.%Y", "%Y/%m/%d", "%d/%m/%Y"], strict=True)]
+    assert len(set(out)) == 1 and out[0] != datetime(2020, 12, 25)
+
+
+def test_numbers_without_a_check_digit_may_stay(spark):
+    df = spark.createDataFrame([("order 1234567890123 and 4539148803436467",)], "text string")
+    row = pseudonymize(df, "k", unchecked=False).first()
+    assert row.text.startswith("order 1234567890123 and ") and not row.text.endswith("4539148803436467")
+    assert "1234567890123" not in pseudonymize(df, "k").first().text
 
 
 def test_numbers_keep_their_class_and_stay_different(spark):
@@ -325,7 +339,7 @@ def plain_leaks(docs, items, size=8, min_words=13, min_share=0.6, shortest=4):
                     for j in range(len(b) - n + 1):
                         if form(a[i : i + n]) == form(b[j : j + n]) and sum(k > 0 for k, _ in a[i : i + n]) == sum(k > 0 for k, _ in b[j : j + n]):
                             met[i - j].append(i)
-                longest = total = 0
+                longest, covered = 0, set()
                 for shift, at in met.items():
                     runs = [[at[0]]]
                     for i in at[1:]:
@@ -333,8 +347,9 @@ def plain_leaks(docs, items, size=8, min_words=13, min_share=0.6, shortest=4):
                     for run in runs:
                         pairs = {(b[i - shift], a[i]) for k in run for i in range(k, k + n) if a[i][0]}
                         if len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs):
-                            longest, total = max(longest, len(run) + n - 1), total + len(run) + n - 1
-                if longest and (longest >= min(min_words, len(b)) or min(total, len(b)) / len(b) >= min_share):
+                            longest = max(longest, len(run) + n - 1)
+                            covered |= set(range(run[0] - shift, run[-1] - shift + n))
+                if longest and (longest >= min(min_words, len(b)) or len(covered) / len(b) >= min_share):
                     out.add((d, item))
     return out
 
