@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import struct
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -27,7 +31,7 @@ SKIPPABLE, TABLE_FRAME, TABLE_END, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F
 #: Ids of a frame at most; a longer document takes several frames.
 FRAME_IDS = 65_536
 #: Bounds on the words whose ids a worker remembers (their number and characters), and on rows and bytes given out at a time. Results don't depend on them.
-MAX_WORDS, MAX_CHARS, ROWS, PART_BYTES = 400_000, 8_000_000, 256, 4_000_000
+MAX_WORDS, MAX_CHARS, ROWS, PART_BYTES = 800_000, 16_000_000, 256, 4_000_000
 #: What a row of the manifest says of one file.
 MANIFEST = "part int, path string, docs long, ids long, first_id long, last_id long, bytes long"
 
@@ -38,10 +42,10 @@ def checksum(data: bytes) -> int:
 
 
 class LibraryEncoder:
-    """Ids of whole texts as the tokenizers library gives them, where white space separates words.
+    """Ids of whole texts as the tokenizers library gives them, for a vocabulary that drops white space, lower-cases, and cuts punctuation off words.
 
-    The library encodes each distinct word once; a text's ids are those of its words in order. That holds for vocabularies which drop white
-    space before merging.
+    The library encodes each distinct word once, without capitals A-Z and a last punctuation mark after a letter; a text's ids are those of its words in
+    order. Words of letters only go to the library as one text: each ends with a token that has the end suffix, and with nothing else.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,6 +55,11 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(1 + max(self.library.get_vocab().values()), bool)
+        self.ends[[i for token, i in spec["model"]["vocab"].items() if suffix and token.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -59,37 +68,64 @@ class LibraryEncoder:
         self.flat = np.empty(1 << 16, np.uint32)
         self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
+    def encoded(self, words: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has."""
+        if letters:
+            ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(words) and len(ids) == last[-1] + 1:  # every word has one end at least
+                return ids, np.diff(last, prepend=-1)
+        each = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), np.uint32, int(size.sum())), size
+
     def learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            for word, own in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids, n = own.ids, len(self.known)
+        alpha = [w for w in words if w.isalpha()]
+        for own, letters in ((alpha, True), ([w for w in words if not w.isalpha()], False)):
+            for k in range(0, len(own), 4096):
+                part = own[k : k + 4096]
+                ids, size = self.encoded(part, letters)
+                n = len(self.known)
                 while self.used + len(ids) > len(self.flat):
                     self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                if n == len(self.starts):
+                while n + len(part) > len(self.starts):
                     self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
                 self.flat[self.used : self.used + len(ids)] = ids
-                self.starts[n], self.sizes[n] = self.used, len(ids)
+                self.sizes[n : n + len(part)] = size
+                self.starts[n : n + len(part)] = self.used + np.cumsum(size) - size
                 self.used += len(ids)
-                self.known[word] = n
-                self.chars += len(word)
+                self.known.update(zip(part, range(n, n + len(part)), strict=True))
+                self.chars += sum(map(len, part))
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Places of words among those known."""
+        distinct = words.to_pylist()
+        self.learn([w for w in dict.fromkeys(distinct) if w not in self.known])
+        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text; null is like an empty one."""
         for _, part in parts_of(texts):
             words, offsets = split_words(part, lower=False)
             coded = words.dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            if len(self.known) + len(distinct) > MAX_WORDS or self.chars > MAX_CHARS:
+            # A special token's text keeps its capitals.
+            own = pc.if_else(pc.match_substring(coded.dictionary, "<|"), coded.dictionary, pc.ascii_lower(coded.dictionary))
+            marked = pc.match_substring_regex(own, r"[a-z][.,;:!?]$")
+            stems = pc.if_else(marked, pc.utf8_slice_codeunits(own, 0, -1), own).dictionary_encode()
+            marks = pc.utf8_slice_codeunits(own.filter(marked), -1).dictionary_encode()
+            if len(self.known) + len(stems.dictionary) + 8 > MAX_WORDS or self.chars > MAX_CHARS:
                 self.forget()
-            self.learn([w for w in distinct if w not in self.known])
-            number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-            number = number[coded.indices.to_numpy()] if len(distinct) else np.empty(0, np.int64)
-            size = self.sizes[number]
+            stem, mark = self.numbers(stems.dictionary), self.numbers(marks.dictionary)
+            # Of each word its stem's and its mark's number, -1 where there is none.
+            number = np.full((len(own), 2), -1, np.int64)
+            if len(own):
+                number[:, 0] = stem[stems.indices.to_numpy()]
+                number[np.flatnonzero(marked.to_numpy(zero_copy_only=False)), 1] = mark[marks.indices.to_numpy()] if len(mark) else -1
+            said = number[coded.indices.to_numpy()].ravel() if len(own) else number.ravel()
+            size = np.where(said >= 0, self.sizes[said], 0)
             ends = np.concatenate([[0], np.cumsum(size)])
-            at = np.repeat(self.starts[number] - ends[:-1], size) + np.arange(ends[-1])
-            ids = self.flat[at]
-            cuts = ends[offsets]
+            ids = self.flat[np.repeat(self.starts[said] - ends[:-1], size) + np.arange(ends[-1])]
+            cuts = ends[2 * offsets]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 yield ids[a:b]
 
@@ -201,6 +237,7 @@ def write_tokens(docs: DataFrame, folder: str, encode: Callable[[pa.Array], Iter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer, stream, path = TaskContext.get().partitionId(), None, None, f"{folder}/part-{uuid.uuid4().hex}.zst"
+        gc.disable()  # the encoder's table of words holds no cycles, and walking it again and again is slow
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -210,6 +247,7 @@ def write_tokens(docs: DataFrame, folder: str, encode: Callable[[pa.Array], Iter
                 writer = FrameWriter(stream, frame_ids)
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 writer.add(doc, ids)
+        gc.enable()
         if writer is not None:
             writer.finish()
             stream.close()

@@ -137,7 +137,7 @@ def test_negatives_of_nothing_and_of_large_values(spark):
         mine_hard_negatives(huge, F.lit(True))
 
 
-TEXTS = ["", "Hello  world", " leading\tand trailing \n", "É combining é ﬁ İSTANBUL ΣΑΣ", "it's 2024, don't <|endoftext|> stop<|startoftext|>now", "non breaking space\x1c\x85 here", "word " * 3000, "x" * 5000, None, "汉字 かな 한국어 😀🏽"]
+TEXTS = ["", "Hello  world", " leading\tand trailing \n", "É combining é ﬁ İSTANBUL ΣΑΣ", "it's 2024, don't <|endoftext|> stop<|startoftext|>now", "non breaking space\x1c\x85 here", "word " * 3000, "Abc, ABC. abc; x.y. 'S It'S. !? a! é. É, <|ENDOFTEXT|> <|endoftext|>. Don'T", "İ. ŉ ǰ ﬀ a\u0301 \u0301b K. Å,", "x" * 5000, None, "汉字 かな 한국어 😀🏽"]
 
 
 def library(text: str | None) -> list[int]:
