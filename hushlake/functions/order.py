@@ -98,6 +98,11 @@ def ore_encrypt(value: Column, left: Key, right: Key, on_invalid: str = "error")
 
 def ore_bound(value: int, key: bytes) -> Column:
     """The ciphertext of one number as a literal, worked out once on the driver."""
+    return F.lit(ore_of_one(value, key))
+
+
+def ore_of_one(value: int, key: bytes) -> bytes:
+    """The ciphertext of one number, on the driver."""
     if not 0 <= value <= PLAIN_MAX:
         raise ValueError(f"value must be between 0 and {PLAIN_MAX}")
     keys, marks, blocks = ore_keys(key), b"", b""
@@ -106,7 +111,7 @@ def ore_bound(value: int, key: bytes) -> Column:
         marks += derived(keys["ore_left"], prefix)[:LEFT]
         mask = int.from_bytes(derived(keys["ore_right"], prefix)[:4], "big")
         blocks += (((value >> 24 - 8 * i & 255) + mask) % MODULUS).to_bytes(2, "big")
-    return F.lit(bytes([1, BLOCKS]) + marks + blocks)
+    return bytes([1, BLOCKS]) + marks + blocks
 
 
 def ore_left(cipher: Column, i: int) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import fpe, order, tokens
 from ..functions.prf import hmac256
 from ..functions.text import STOP_WORDS, clean_details, keywords, redact, redact_fields
-from ..operators import index, ledger, masked, observe, privacy, rotation, screening, search
+from ..operators import blocks as blocked
+from ..operators import fences, index, ledger, masked, observe, privacy, rotation, screening, search
 from ..sources import tables
 from ..sources.keys import derived, export_bundle, field_key, import_bundle, key, key_rows, pads, with_keys, with_tenant_keys, without_keys
 from ..sources.staging import prepared, shared_folder, stored
@@ -188,6 +189,14 @@ def keyword_search_ranked(spark, d):
     return search.top(search.score(postings(spark, d), asked), 10)
 
 
+@query("keyword_search_blocks", ORACLE_SQL["keyword_search_ranked"])
+def keyword_search_blocks(spark, d):
+    """The same from postings in blocks, of which only those are read that can hold one of the first results."""
+    path = prepared(spark, "blocks", d, lambda p: blocked.write_blocks(blocked.build_blocks(postings(spark, d)), p))
+    asked = without_keys(search.query_tokens(with_keys(query_rows(spark, d), s=S), key("s")))
+    return blocked.top_by_blocks(spark.read.parquet(path), asked, 10).hits.select("query_id", "tenant_id", "doc_id", "score", "rank")
+
+
 @query("keyword_search_and", f"WITH {WORDS}, {ASKED}, {SCORED} SELECT query_id, tenant_id, doc_id, score FROM scored WHERE score >= needed")
 def keyword_search_and(spark, d):
     asked = without_keys(search.query_tokens(with_keys(query_rows(spark, d), s=S), key("s")))
@@ -400,6 +409,32 @@ def ore_range(spark, d):
     return screening.in_ore_range(orders(spark, d, "amount_ore"), ore_of(10_000_000), ore_of(20_000_000)).select("o_orderkey")
 
 
+def fenced_orders(spark, d):
+    """Folder of the orders' ciphertexts by interval, and their fences: a table written once a session with its fences beside it."""
+    rows = orders(spark, d, "amount_ore").select("o_orderkey", "amount_ore")
+
+    def write(path: str) -> None:
+        found = fences.fit_fences(rows, "amount_ore", 64)
+        spark.createDataFrame([(i, f) for i, f in enumerate(found)], "nth int, fence binary").coalesce(1).write.parquet(f"{path}/fences")
+        fences.write_by_interval(rows, found, f"{path}/rows", "amount_ore")
+
+    path = prepared(spark, "fenced", d, write)
+    return f"{path}/rows", [bytes(r.fence) for r in spark.read.parquet(f"{path}/fences").orderBy("nth").collect()]
+
+
+@query("ore_range_by_fences", ORACLE_SQL["ore_range"])
+def ore_range_by_fences(spark, d):
+    """The same range from files by interval."""
+    path, known = fenced_orders(spark, d)
+    return fences.read_range(spark, path, known, order.ore_of_one(10_000_000, O), order.ore_of_one(20_000_000, O), "amount_ore").select("o_orderkey")
+
+
+@query("ore_global_order", f"SELECT o_orderkey, row_number() OVER (ORDER BY {CENTS}, o_orderkey) - 1 AS place FROM orders")
+def ore_global_order(spark, d):
+    path, known = fenced_orders(spark, d)
+    return fences.global_order(spark.read.parquet(path), known, "o_orderkey", "amount_ore")
+
+
 @query("ore_order", f"""WITH v AS (SELECT o_orderkey, {CENTS} AS x FROM orders) SELECT o_orderkey, CAST((x >> 24) - min(x >> 24) OVER () AS INTEGER) AS step_0, CAST((x >> 16 & 255) - min(x >> 16 & 255) OVER (PARTITION BY x >> 24) AS INTEGER) AS step_1,
 CAST((x >> 8 & 255) - min(x >> 8 & 255) OVER (PARTITION BY x >> 16) AS INTEGER) AS step_2, CAST((x & 255) - min(x & 255) OVER (PARTITION BY x >> 8) AS INTEGER) AS step_3 FROM v""")
 def ore_order(spark, d):
