@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .text import REDACTIONS, SENSITIVE_NAMES
+from .text import JSON_DEPTH, REDACTIONS, SENSITIVE_NAMES, deeper_than, redact, redact_variant
 
 
 def unicode_normalize(text: Column, form: str = "NFKC") -> Column:
@@ -63,6 +63,19 @@ def redact_json(text: Column) -> Column:
     return run(text)
 
 
+def redacted_json(rows: DataFrame, column: str, depth: int = JSON_DEPTH) -> DataFrame:
+    """rows with JSON texts redacted as redact_json does, in no promised form (order of names, spaces).
+
+    JSON of up to ``depth`` levels is rebuilt by expressions, and what isn't JSON is redacted as text. Only deeper JSON, and what looks like JSON but can't be a
+    VARIANT (a name twice in an object), goes through a Python worker.
+    """
+    value = F.try_parse_json(column)
+    odd = value.isNull() & F.coalesce(F.col(column).rlike(r"^\s*[\[{]"), F.lit(False))
+    marked = rows.withColumn("__deep", deeper_than(value, depth) | odd)
+    near = F.coalesce(F.to_json(redact_variant(value, depth)), redact(F.col(column)))
+    return marked.filter("NOT __deep").withColumn(column, near).unionByName(marked.filter("__deep").withColumn(column, redact_json(F.col(column)))).drop("__deep")
+
+
 def spend(requests: Iterator[tuple[float, float]], consumed: float = 0.0) -> Iterator[tuple[bool, float, bool]]:
     """Of each (epsilon, total) in order: accepted, what is left, and whether at most a fifth is left. Refused requests cost nothing."""
     for epsilon, total in requests:
@@ -120,14 +133,17 @@ ADVANCE, TAG, ENTRY = b"fp-chain-advance", b"fp-index-tag", b"fp-entry-key"
 
 
 def expand_chain(states: DataFrame) -> DataFrame:
-    """(keyword, step, state, tag, next_state) of rows (keyword, start, steps): the steps of each keyword's hash chain. Only this is sequential."""
+    """(keyword, step, state, tag, next_state) of rows (keyword, start, steps) and, if there, first (the step of start, else 0): that many steps of a hash chain.
+
+    Only a row's steps are sequential; a chain of which several states are known is walked from all of them at once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for keyword, start, steps in zip(batch["keyword"], batch["start"], batch["steps"], strict=True):
+            for keyword, first, start, steps in zip(batch["keyword"], batch["first"], batch["start"], batch["steps"], strict=True):
                 state = bytes(start)
-                for step in range(int(steps)):
+                for step in range(int(first), int(first) + int(steps)):
                     after = chain_step(state, ADVANCE)
                     out.append((keyword, step, state, base64.b64encode(chain_step(state, TAG)).decode(), after))
                     state = after
@@ -136,7 +152,8 @@ def expand_chain(states: DataFrame) -> DataFrame:
                         out = []
             yield pd.DataFrame(out, columns=["keyword", "step", "state", "tag", "next_state"])
 
-    return states.select("keyword", "start", "steps").mapInPandas(run, "keyword string, step long, state binary, tag string, next_state binary")
+    first = F.col("first") if "first" in states.columns else F.lit(0)
+    return states.select("keyword", first.cast("long").alias("first"), "start", "steps").mapInPandas(run, "keyword string, step long, state binary, tag string, next_state binary")
 
 
 def entry_key(state: Column, salt: Column) -> Column:

@@ -50,3 +50,37 @@ def redact_fields(fields: Column) -> Column:
 def clean_details(details: Column) -> Column:
     """A map of texts without the details that must not be stored, redacted."""
     return redact_fields(F.map_filter(details, lambda k, v: ~k.isin(HIDDEN_DETAILS)))
+
+#: Levels of nested JSON that are rebuilt by expressions.
+JSON_DEPTH = 5
+
+
+def is_kind(value: Column, kind: str) -> Column:
+    """Whether a VARIANT is an OBJECT or ARRAY (of anything), or of a plain kind."""
+    return F.startswith(F.schema_of_variant(value), F.lit(kind))
+
+
+def redact_variant(value: Column, depth: int = JSON_DEPTH, name: Column | None = None) -> Column:
+    """A VARIANT with the values of sensitive names hidden and other texts redacted, objects and arrays of any kind down to ``depth`` levels.
+
+    An object or array under a sensitive name is gone through like any other, and plain values in it are hidden by their own or the array's name. What lies deeper than depth
+    becomes the text "[REDACTED]" as a whole.
+    """
+    hidden = F.lit("[REDACTED]").cast("variant")
+    sensitive = F.lit(False) if name is None else F.lower(name).isin(SENSITIVE_NAMES)
+    plain = F.when(sensitive, hidden).when(is_kind(value, "STRING"), redact(value.cast("string")).cast("variant")).otherwise(value)
+    if depth == 0:
+        return F.when(is_kind(value, "OBJECT") | is_kind(value, "ARRAY"), hidden).otherwise(plain)
+    inner = F.to_variant_object(F.transform_values(F.when(is_kind(value, "OBJECT"), value).cast("map<string,variant>"), lambda k, v: redact_variant(v, depth - 1, k)))
+    items = F.to_variant_object(F.transform(F.when(is_kind(value, "ARRAY"), value).cast("array<variant>"), lambda v: redact_variant(v, depth - 1, name)))
+    return F.when(is_kind(value, "OBJECT"), inner).when(is_kind(value, "ARRAY"), items).otherwise(plain)
+
+
+def deeper_than(value: Column, depth: int = JSON_DEPTH) -> Column:
+    """Whether a VARIANT has objects or arrays below ``depth`` levels."""
+    nested = is_kind(value, "OBJECT") | is_kind(value, "ARRAY")
+    if depth == 0:
+        return F.coalesce(nested, F.lit(False))
+    inner = F.exists(F.map_values(F.when(is_kind(value, "OBJECT"), value).cast("map<string,variant>")), lambda v: deeper_than(v, depth - 1))
+    items = F.exists(F.when(is_kind(value, "ARRAY"), value).cast("array<variant>"), lambda v: deeper_than(v, depth - 1))
+    return F.coalesce(F.when(is_kind(value, "OBJECT"), inner).when(is_kind(value, "ARRAY"), items), F.lit(False))

@@ -53,21 +53,27 @@ def delete(documents: DataFrame, postings: DataFrame, ids: DataFrame, soft: bool
     return documents.join(ids, DOC, "left_anti"), postings.join(ids, DOC, "left_anti"), report
 
 
+#: Steps of a chain between two states that are kept, steps that a task walks (about), and tasks at most.
+ANCHOR_STEPS, WALK_STEPS, MAX_WALKS = 10_000, 100_000, 20_000
+
+
 @dataclass
 class ForwardIndex:
     """Tables of a forward-private index: states (keyword, initial, current, counter), secure (token, doc_id), aux (tag, entry), and updates since the last re-encryption.
 
-    A job returns a new index; its tables are written together as one version.
+    anchors (keyword, step, state) holds every ANCHOR_STEPS-th state of each chain, from which a long chain is walked in parts; where it is None, a chain is
+    walked from its initial state. A job returns a new index; its tables are written together as one version.
     """
 
     states: DataFrame
     secure: DataFrame
     aux: DataFrame
     updates: int = 0
+    anchors: DataFrame | None = None
 
 
 def empty_forward(spark) -> ForwardIndex:
-    return ForwardIndex(spark.createDataFrame([], "keyword string, initial binary, current binary, counter long"), spark.createDataFrame([], "token string, doc_id string"), spark.createDataFrame([], "tag string, entry binary"))
+    return ForwardIndex(spark.createDataFrame([], "keyword string, initial binary, current binary, counter long"), spark.createDataFrame([], "token string, doc_id string"), spark.createDataFrame([], "tag string, entry binary"), 0, spark.createDataFrame([], "keyword string, step long, state binary"))
 
 
 def numbered_in_order(rows: DataFrame) -> DataFrame:
@@ -84,14 +90,14 @@ def numbered_in_order(rows: DataFrame) -> DataFrame:
     return dealt.withColumn("__place", place).join(counts, ["keyword", "__range"]).select("keyword", "doc_id", (F.col("__place") - 1 + F.col("__before")).cast("long").alias("step"))
 
 
-def forward_add(index: ForwardIndex, docs: DataFrame, state_key: Key, search: Key, mode: str = "balanced", order: str = "doc_id") -> ForwardIndex:
+def forward_add(index: ForwardIndex, docs: DataFrame, state_key: Key, search: Key, mode: str = "balanced", order: str = "doc_id", anchor_steps: int = ANCHOR_STEPS) -> ForwardIndex:
     """Adds docs (doc_id, content, keys) in order. mode 'off' writes plain tokens to the secure index.
 
     Each keyword's new documents are numbered, its chain is expanded once by that many steps, and the entries are encrypted in parallel.
     """
     rows = docs.withColumn("keyword", F.explode(F.array_distinct(F.transform(keywords(F.col("content")), F.lower))))
     if mode == "off":
-        return ForwardIndex(index.states, index.secure.union(rows.select(keyword_token(F.col("keyword"), search).alias("token"), "doc_id")).distinct(), index.aux, index.updates)
+        return ForwardIndex(index.states, index.secure.union(rows.select(keyword_token(F.col("keyword"), search).alias("token"), "doc_id")).distinct(), index.aux, index.updates, index.anchors)
     numbered = numbered_in_order(rows.select("keyword", "doc_id", F.col(order).alias("__order")))
     fresh = rows.groupBy("keyword").agg(F.count("*").alias("steps"), F.first(hmac256(state_key, F.col("keyword"))).alias("first"))
     grown = fresh.join(index.states, "keyword", "left").select("keyword", "steps", F.coalesce("initial", "first").alias("initial"), F.coalesce("current", "first").alias("start"), F.coalesce("counter", F.lit(0)).cast("long").alias("counter"))
@@ -103,7 +109,23 @@ def forward_add(index: ForwardIndex, docs: DataFrame, state_key: Key, search: Ke
     ends = chain.groupBy("keyword").agg(F.max_by("next_state", "step").alias("current"))
     states = grown.join(ends, "keyword").select("keyword", "initial", "current", (F.col("counter") + F.col("steps")).alias("counter"))
     kept = index.states.join(states.select("keyword"), "keyword", "left_anti")
-    return ForwardIndex(kept.union(states.select(*kept.columns)), index.secure, index.aux.union(entries), index.updates)
+    anchors = index.anchors
+    if anchors is not None:
+        at = chain.join(grown.select("keyword", "counter"), "keyword").withColumn("at", F.col("step") + F.col("counter"))
+        anchors = anchors.union(at.filter(F.col("at") % anchor_steps == 0).select("keyword", F.col("at").alias("step"), "state"))
+    return ForwardIndex(kept.union(states.select(*kept.columns)), index.secure, index.aux.union(entries), index.updates, anchors)
+
+
+def chain_walks(known: DataFrame, anchors: DataFrame | None) -> DataFrame:
+    """(keyword, first, start, steps) of states (keyword, initial, current, counter): the parts in which their chains are walked, dealt out over all tasks."""
+    if anchors is None:
+        return known.select("keyword", F.lit(0).cast("long").alias("first"), F.col("initial").alias("start"), F.col("counter").alias("steps"))
+    own = anchors.join(known.select("keyword", "counter"), "keyword").filter("step < counter").select("keyword", F.col("step").alias("first"), F.col("state").alias("start"), "counter")
+    following = F.lead("first").over(Window.partitionBy("keyword").orderBy("first"))
+    own = own.withColumn("steps", F.coalesce(following, "counter") - F.col("first")).select("keyword", "first", "start", "steps")
+    # By steps, not by bytes: parts are a few bytes each, and adaptive execution would put them all into one task.
+    total = own.agg(F.coalesce(F.sum("steps"), F.lit(0))).first()[0]
+    return own.repartition(int(max(1, min(MAX_WALKS, -(-total // WALK_STEPS)))), "keyword", "first")
 
 
 def forward_open(index: ForwardIndex, words: DataFrame | None, search_rows: DataFrame, search: Key) -> tuple[ForwardIndex, DataFrame]:
@@ -112,7 +134,7 @@ def forward_open(index: ForwardIndex, words: DataFrame | None, search_rows: Data
     search_rows is one row with the search key's columns.
     """
     known = index.states.join(words.select(F.lower("keyword").alias("keyword")).distinct(), "keyword", "left_semi") if words is not None else index.states
-    chain = expand_chain(known.select("keyword", F.col("initial").alias("start"), F.col("counter").alias("steps")))
+    chain = expand_chain(chain_walks(known, index.anchors))
     met = chain.join(index.aux, "tag")
     blob = F.substr(F.col("entry"), F.lit(33), F.length("entry") - 32)
     opened = met.select("keyword", "tag", try_decrypt(blob, entry_key(F.col("state"), F.substring("entry", 1, 32))).cast("string").alias("doc_id"))
@@ -127,7 +149,8 @@ def forward_open(index: ForwardIndex, words: DataFrame | None, search_rows: Data
     if words is not None:
         asked = token(words.select(F.lower("keyword").alias("keyword")).distinct()).select("keyword", "token")
         found = found.union(index.secure.join(F.broadcast(asked), "token").select("keyword", "doc_id")).distinct()
-    return ForwardIndex(states, secure, aux, 0 if words is None else index.updates), without_keys(found)
+    anchors = None if index.anchors is None else index.anchors.join(known.select("keyword"), "keyword", "left_anti")
+    return ForwardIndex(states, secure, aux, 0 if words is None else index.updates, anchors), without_keys(found)
 
 
 def forward_update(index: ForwardIndex, docs: DataFrame, state_key: Key, search_rows: DataFrame, search: Key, mode: str = "strong", threshold: int = 1000, order: str = "doc_id") -> ForwardIndex:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fpe, order, tokens
 from ..functions.prf import hmac256
-from ..functions.text import STOP_WORDS, clean_details, keywords, redact, redact_fields
+from ..functions.text import STOP_WORDS, clean_details, keywords, redact, redact_fields, redact_variant
 from ..operators import blocks as blocked
 from ..operators import fences, index, ledger, masked, observe, privacy, rotation, screening, search
 from ..sources import tables
@@ -486,6 +487,17 @@ def fpe_strings(spark, d):
     return out.select("c_custkey", same.alias("same_back"), fits.alias("in_alphabet"))
 
 
+@query("fpe_long", "SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 45, '7') AS back, 45 AS length, true AS digits, (o_orderkey * 40503) % 65536 AS first_back FROM orders")
+def fpe_long(spark, d):
+    """Texts of 45 digits, and six numerals below 65536, encrypted and decrypted again: more than any Spark number holds."""
+    rows = with_keys(read(spark, d, "orders").select("o_orderkey"), f=D)
+    text, tweak = F.lpad(F.col("o_orderkey").cast("string"), 45, "7"), {"tweak": F.lit(b"tenant"), "tweak_length": 6}
+    numerals = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: ((F.col("o_orderkey") * 40503 + i * 77) % 65536).cast("int"))
+    made = rows.withColumns({"c": fpe.ff1(text, key("f").raw, 45, **tweak), "m": fpe.ff1_numerals(numerals, key("f").raw, 6, 65536)})
+    made = made.withColumns({"back": fpe.ff1(F.col("c"), key("f").raw, 45, back=True, **tweak), "o": fpe.ff1_numerals(F.col("m"), key("f").raw, 6, 65536, back=True)})
+    return made.select("o_orderkey", "back", F.length("c").alias("length"), (F.col("c").rlike("^[0-9]{45}$") & (F.col("c") != text)).alias("digits"), F.get("o", F.lit(0)).cast("long").alias("first_back"))
+
+
 # ---- keys and rotation ----
 
 
@@ -685,6 +697,16 @@ def redact_record(spark, d):
     return rows.select("conv_id", "turn", "role", F.col("r.note").alias("note"), F.col("r.Password").alias("password"), F.size("c").alias("stored_details"))
 
 
+@query("redact_nested_json", f"""SELECT conv_id, turn, {REDACT_SQL.format('text')} AS note, '[REDACTED]' AS password, '[REDACTED]' AS token, '[REDACTED]' AS listed, {REDACT_SQL.format("role || '@example.org'")} AS mail, turn AS n FROM conversations""")
+def redact_nested_json(spark, d):
+    """JSON of objects in lists in objects, rebuilt by expressions."""
+    inner = F.struct(F.col("role").alias("Token"), F.concat("role", F.lit("@example.org")).alias("mail"))
+    told = F.to_json(F.struct(F.struct(F.col("text").alias("note"), F.col("role").alias("password"), F.array(inner).alias("items"), F.array("role").alias("secret")).alias("user"), F.col("turn").alias("n")))
+    rows = read(spark, d, "conversations").withColumn("r", redact_variant(F.parse_json(told)))
+    found = {"note": "$.user.note", "password": "$.user.password", "token": "$.user.items[0].Token", "listed": "$.user.secret[0]", "mail": "$.user.items[0].mail"}
+    return rows.select("conv_id", "turn", *[F.variant_get("r", path, "string").alias(n) for n, path in found.items()], F.variant_get("r", "$.n", "bigint").alias("n"))
+
+
 @query("audit_rollup", f"WITH {AUDIT} SELECT tenant_id, split_part(event_type, '.', 1) AS event_group, event_type, count(*) AS n, count(*) FILTER (NOT success) AS failures, CAST(grouping_id(tenant_id, split_part(event_type, '.', 1), event_type) AS BIGINT) AS depth FROM audit GROUP BY ROLLUP (tenant_id, split_part(event_type, '.', 1), event_type)")
 def audit_rollup(spark, d):
     return observe.audit_rollup(audit_table(spark, d))
@@ -1044,9 +1066,50 @@ def stream_ingest(spark, d):
     return made.groupBy("tenant_id").agg(F.count("*").alias("documents")).join(posted.groupBy("tenant_id").agg(F.count("*").alias("postings")), "tenant_id", "left").fillna(0, ["postings"])
 
 
+@query("stream_ingest_stored", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(len({sql_keywords("CASE WHEN doc_id % 3 = 0 THEN text ELSE lang || ' document' END")}) AS INTEGER) AS token_count FROM documents")
+def stream_ingest_stored(spark, d):
+    """A third of the documents is stored already; of the stream, which brings other texts, the others are taken."""
+    path = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    old = documents(spark, d).filter(F.col("doc_id").cast("long") % 3 == 0)
+    made, _ = index.ingest(with_keys(old, e=E, s=S), key("e"), key("s"), "enc_1", "search_1", F.lit(AS_OF).cast("timestamp"))
+    tables.write_table(without_keys(made), f"{path}/documents/batch=-1")
+    source = spark.readStream.schema(read(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d if d.endswith("/") else f"{d}/")
+    rows = source.select(F.col("source").alias("tenant_id"), F.col("doc_id").cast("string").alias("doc_id"), F.concat("lang", F.lit(" document")).alias("content"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("at"))
+    jobs.ingest_stream(with_keys(rows, e=E, s=S), key("e"), key("s"), "enc_1", "search_1", "at", "1 hour", f"{path}/documents", f"{path}/postings", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return tables.read_table(spark, f"{path}/documents", tables.DOCUMENTS).select("doc_id", "token_count")
+
+
 @query("stream_chain", f"WITH w AS (SELECT conv_id || '-' || turn AS doc_id, unnest({sql_keywords('text')}) AS keyword FROM conversations) SELECT keyword, doc_id, row_number() OVER (PARTITION BY keyword ORDER BY doc_id) - 1 AS step FROM w")
 def stream_chain(spark, d):
     source = spark.readStream.schema(read(spark, d, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
     words = source.select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.explode(F.array_distinct(F.transform(keywords(F.col("text")), F.lower))).alias("keyword"))
     rows = without_keys(with_keys(words, state=derived(M, "state")).withColumn("initial", hmac256(key("state"), F.col("keyword"))))
-    return drained(jobs.chain_stream(rows), "chain").select("keyword", "doc_id", "step")
+    with typed_state(spark):
+        return drained(jobs.chain_stream(rows), "chain").select("keyword", "doc_id", "step")
+
+
+@contextmanager
+def typed_state(spark):
+    """The state store that typed state needs, for a while."""
+    before = {k: spark.conf.get(k) for k in jobs.STATE_STORE}
+    for k, v in jobs.STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@query("stream_chain_goes_on", f"WITH w AS (SELECT conv_id, conv_id || '-' || turn AS doc_id, unnest({sql_keywords('text')}) AS keyword FROM conversations) SELECT keyword, doc_id, CASE WHEN conv_id % 2 = 0 THEN row_number() OVER (PARTITION BY conv_id % 2, keyword ORDER BY doc_id) ELSE count(*) FILTER (conv_id % 2 = 0) OVER (PARTITION BY keyword) + row_number() OVER (PARTITION BY conv_id % 2, keyword ORDER BY doc_id) END - 1 AS step FROM w QUALIFY conv_id % 2 = 1")
+def stream_chain_goes_on(spark, d):
+    """The stream begins where forward_add has left the chains."""
+    even = lambda df: df.filter(F.col("conv_id") % 2 == 0)
+    doc = F.concat_ws("-", "conv_id", "turn").alias("doc_id")
+    first = even(read(spark, d, "conversations")).select(doc, F.col("text").alias("content"))
+    states = stored(index.forward_add(index.empty_forward(spark), with_keys(first, state=derived(M, "state"), s=S), key("state"), key("s")).states)
+    source = spark.readStream.schema(read(spark, d, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    words = source.filter(F.col("conv_id") % 2 == 1).select(doc, F.explode(F.array_distinct(F.transform(keywords(F.col("text")), F.lower))).alias("keyword"))
+    rows = without_keys(with_keys(words, state=derived(M, "state")).withColumn("initial", hmac256(key("state"), F.col("keyword"))))
+    with typed_state(spark):
+        return drained(jobs.chain_stream(rows, states), "chain").select("keyword", "doc_id", "step")
