@@ -10,7 +10,7 @@ from hushlake.llm.decontaminate import find_leaks
 from hushlake.llm.language_id import identify, learn_languages
 from hushlake.llm.line_dedup import dedup_lines
 from hushlake.llm.ngram_jaccard import jaccard_groups
-from hushlake.llm.shared import stored
+from hushlake.llm.shared import dropped, stored, swept
 
 #: Ids that are broadcast at most to take documents out; beyond that the join shuffles.
 BROADCAST_IDS = 2_000_000
@@ -98,8 +98,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table; each one's result is written and read again."""
+    """All stages over the whole documents table; each one's result is written and read again, and what it was made from deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with swept(spark) as kept:
+            made = stored(stage(spark, docs, sf_dir), name)
+            kept.append(made)
+        dropped(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)

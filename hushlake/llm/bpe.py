@@ -13,6 +13,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -236,17 +237,15 @@ def encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-def parts_of(texts: list[str], most: int = PART_CHARS) -> Iterator[list[str]]:
-    """Runs of texts of most characters or one text."""
-    part, chars = [], 0
-    for text in texts:
-        part.append(text)
-        chars += len(text)
-        if chars >= most:
-            yield part
-            part, chars = [], 0
-    if part:
-        yield part
+def parts_of(texts: pa.Array, most: int = PART_CHARS) -> Iterator[list[str]]:
+    """Runs of texts of most bytes or one text; only one run at a time is turned into strings. Null is like an empty text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield [x or "" for x in texts.slice(start, end - start).to_pylist()]
+        start = end
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False, cache_words: int = MAX_WORDS, part_chars: int = PART_CHARS) -> DataFrame:
@@ -281,7 +280,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         try:
             for batch in batches:
                 at = 0
-                for part in parts_of([x or "" for x in batch.column(1).to_pylist()], part_chars):
+                for part in parts_of(batch.column(1), part_chars):
                     encoded = own.encode(part)
                     while rows := [row_of(*x) for x in islice(encoded, ROWS)]:
                         columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]

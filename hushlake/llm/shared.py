@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,12 +33,47 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts the lineage.
 
-    Every executor sees the files, so losing an executor loses nothing.
+    Every executor sees the files, so losing an executor loses nothing. The folder stays until ``dropped`` or ``swept`` takes it away.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    for own in _sweeping:
+        own.append(path)
+    return out
+
+
+#: Paths written since each sweep that is under way began.
+_sweeping: list[list[str]] = []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the folders of stored tables that nothing will read again; other tables are left alone."""
+    for table in tables:
+        if path := getattr(table, "stored_at", None):
+            removed(table.sparkSession, path)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes at its end, also after an error, every table stored within but those put into the list that it gives."""
+    paths: list[str] = []
+    kept: list[DataFrame] = []
+    _sweeping.append(paths)
+    try:
+        yield kept
+    finally:
+        _sweeping.remove(paths)
+        for path in set(paths) - {t.stored_at for t in kept}:
+            removed(spark, path)
 
 
 def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -89,7 +125,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        e = stored(small.filter("u <> v").distinct(), "edges")
+        last, e = e, stored(small.filter("u <> v").distinct(), "edges")
+        dropped(last)
         mark = F.xxhash64("u", "v")
         now = tuple(e.agg(F.count("*"), F.bit_xor(mark), F.sum(F.pmod(mark, F.lit(1000003)))).first())
         if now == before:
