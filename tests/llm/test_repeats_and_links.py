@@ -56,3 +56,31 @@ def test_links_of_repeated_ids_equal_plain(spark):
     rows = [(r.randrange(50), [x + r.gauss(0, 0.25) for x in base[k % 5]] if k % 7 else base[k % 5]) for k in range(90)]
     got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in dedup_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == plain_links(rows)
+
+
+def test_merged_lists_find_all_partners_and_touch_few_entries():
+    import numpy as np
+    import pyarrow as pa
+
+    from hushlake.llm.ngram_jaccard import Inverted, least_overlap
+
+    r = np.random.default_rng(5)
+    percent, base = 80, [r.choice(4000, 60, replace=False) for _ in range(40)]
+    sets = []
+    for k in range(600):
+        own = set(base[k % 40].tolist())
+        for _ in range(r.integers(0, 9)):
+            own.discard(int(r.choice(sorted(own))))
+            own.add(int(r.integers(4000)))
+        sets.append(np.array(sorted(own)))
+    often = np.bincount(np.concatenate(sets), minlength=4000)
+    short = []
+    for own in sets:
+        take = len(own) - least_overlap(len(own), percent) + 1
+        short.append(own[np.lexsort((own, often[own]))][:take])
+    group = np.arange(600) % 7
+    lists = Inverted(np.arange(600), np.array([len(x) for x in sets]), group, pa.array([x.tolist() for x in short], pa.list_(pa.int64())))
+    got = {(x, y) for x in range(600) for y, _ in lists.partners(x, len(sets[x]), int(group[x]), short[x], percent)}
+    true = {(x, y) for x in range(600) for y in range(600) if group[x] != group[y] and 100 * len(np.intersect1d(sets[x], sets[y])) >= percent * len(np.union1d(sets[x], sets[y]))}
+    assert true and true <= got
+    assert lists.touched < 600 * 600 / 4
