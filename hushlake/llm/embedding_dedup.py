@@ -6,7 +6,7 @@ import logging
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import components, stored
@@ -17,8 +17,8 @@ LAST = 2**63 - 1
 DEGREE, POOL, ALPHA = 24, 64, 1.2
 #: Vectors (about) that the centers of a split are fitted on, and at most that recall is audited with.
 SAMPLE, AUDIT = 20_000, 400
-#: Centers broadcast at most; beyond that the join shuffles.
-BROADCAST_CENTERS = 20_000
+#: Centers of a level that are broadcast at most (10 MB of 64 dimensions), and rows of a cell that meet its centers at a time beyond that.
+BROADCAST_CENTERS, ROUTED = 20_000, 20_000
 LOG = logging.getLogger(__name__)
 
 
@@ -198,24 +198,28 @@ class Shards:
 
     The first split has up to ``fan`` cells, fitted on a sample of up to SAMPLE vectors. A cell of more than twice ``shard`` vectors
     is split again by centers fitted on a sample of its own, so the size of a shard does not depend on the number of vectors. The splits of one
-    level are a table (cell, centers), a row for each split cell, joined by cell.
+    level are a table (shard, centers), a row for each split cell. Cells whose vectors no centers tell apart stay whole.
     """
 
     def __init__(self, rows: DataFrame, shard: int, fan: int) -> None:
-        self.levels: list[DataFrame] = []
+        self.levels: list[Split] = []
         self.shard, self.fan = shard, fan
         cells = rows.select(F.lit("").alias("shard"), "id", "vector")
+        whole: DataFrame | None = None
         while True:
-            sizes = stored(cells.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > (2 * shard if self.levels else 0)), "sizes")
-            if not sizes.limit(1).count() or len(self.levels) > 8:
+            sizes = cells.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > (2 * shard if self.levels else 0))
+            sizes = stored(sizes if whole is None else sizes.join(whole, "shard", "left_anti"), "sizes")
+            if not sizes.limit(1).count():
                 break
             # By the hash of the id, so that the sample of a cell is the same again; about SAMPLE of a larger cell.
             place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
             sample = cells.join(sizes, "shard").filter(place < F.lit(float(SAMPLE)) / F.col("n"))
-            self.levels.append(stored(sample.groupBy("shard").applyInPandas(self.split(), "shard string, centers array<array<double>>"), "centers"))
-            # Where no vector tells the centers apart, a cell stays whole.
-            if not self.levels[-1].filter(F.size("centers") > 1).limit(1).count():
+            found = stored(sample.groupBy("shard").applyInPandas(self.split(), "shard string, centers array<array<double>>"), "centers")
+            alone = found.filter(F.size("centers") < 2).select("shard")
+            whole = stored(alone if whole is None else whole.union(alone), "whole")
+            if self.levels and not found.filter(F.size("centers") > 1).limit(1).count():
                 break
+            self.levels.append(Split(found if not self.levels else stored(found.filter(F.size("centers") > 1), "centers"), sizes))
             cells = stored(self.placed(rows, 1), "cells")
 
     def split(self):
@@ -224,41 +228,86 @@ class Shards:
         def run(sample: pd.DataFrame) -> pd.DataFrame:
             sample = sample.sort_values("id")
             k = max(1, min(fan, -(-int(sample["n"].iloc[0]) // shard), len(sample)))
-            centers = fit_centers(vectors(sample["vector"]), k)
+            x = vectors(sample["vector"])
+            centers = fit_centers(x, k)
+            # Centers that no vector is nearest to, as for equal vectors, are left out.
+            centers = centers[np.unique((unit(x) @ unit(centers).T).argmax(axis=1))]
             return pd.DataFrame({"shard": [sample["shard"].iloc[0]], "centers": [[c.tolist() for c in centers]]})
 
         return run
 
     def placed(self, rows: DataFrame, count: int) -> DataFrame:
-        """(shard, id, vector): every vector in the shards of its count nearest centers at each split."""
-        out = rows.select(F.lit("").alias("shard"), "id", "vector")
-        for centers in self.levels:
-            out = self.nearest(self.joined(out, centers), count)
-        return out
-
-    @staticmethod
-    def joined(rows: DataFrame, centers: DataFrame) -> DataFrame:
-        """rows with the centers of their cell, null where it is not split."""
-        few = centers.agg(F.coalesce(F.sum(F.size("centers")), F.lit(0))).first()[0] <= BROADCAST_CENTERS
-        return rows.join(F.broadcast(centers) if few else centers, "shard", "left")
-
-    @staticmethod
-    def nearest(rows: DataFrame, count: int, angles: bool = False) -> DataFrame:
-        """(shard, id, vector) with the cells of the count nearest centers, and the angle to them."""
-        names = ["shard", "id", "vector", "angle"] if angles else ["shard", "id", "vector"]
-
-        def run(batches):
-            for batch in batches:
-                for shard, part in batch.groupby("shard", sort=False):
-                    if part["centers"].iloc[0] is None:
-                        yield part.assign(angle=None)[names]
-                        continue
-                    far = angles_to(part)
-                    near = np.argsort(far, axis=1, kind="stable")[:, :count]
-                    cells = np.array([f"{shard}/{i}" for i in range(far.shape[1])], object)
-                    yield pd.DataFrame({"shard": cells[near.ravel()], "id": np.repeat(part["id"].to_numpy(), near.shape[1]), "vector": part["vector"].repeat(near.shape[1]).to_list(), "angle": np.take_along_axis(far, near, 1).ravel()})[names]
-
-        return rows.select("shard", "id", "vector", "centers").mapInPandas(run, "shard string, id long, vector array<double>" + ", angle double" * angles)
+        """(shard, id, vector): every vector in the shards of its count nearest centers of the whole tree."""
+        out = rows.select(F.lit("").alias("shard"), "id", "vector", F.lit(0.0).alias("angle"))
+        for depth, split in enumerate(self.levels):
+            out = split.routed(out, nearest(count), "shard string, id long, vector array<double>, angle double")
+            if depth and count > 1:
+                # Each of the cells kept so far has given out as many: the best of all go on.
+                out = out.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("angle", "shard"))).filter(F.col("nth") <= count).drop("nth")
+        return out.drop("angle")
+
+
+class Split:
+    """The centers of the split cells of one level (shard, centers, more columns), and the cells' sizes (shard, n)."""
+
+    def __init__(self, centers: DataFrame, sizes: DataFrame) -> None:
+        self.centers, self.sizes = centers, sizes
+
+    def routed(self, rows: DataFrame, go, schema: str) -> DataFrame:
+        """What go(part, centers row) makes of the rows of each split cell; rows of other cells as they are.
+
+        The vectors are sent without the centers: all centers of a level are broadcast where they are few, else each group of up to ROUTED rows of a
+        cell meets the one row of its centers.
+        """
+        names = [c.strip().split(" ")[0] for c in schema.split(",")]
+        if self.centers.agg(F.coalesce(F.sum(F.size("centers")), F.lit(0))).first()[0] <= BROADCAST_CENTERS:
+            known = {r["shard"]: r.asDict() for r in self.centers.collect()}
+            for own in known.values():
+                own["centers"] = np.array(own["centers"])
+            sent = rows.sparkSession.sparkContext.broadcast(known)
+
+            def run(batches):
+                known = sent.value
+                for batch in batches:
+                    for shard, part in batch.groupby("shard", sort=False):
+                        out = go(part, known[shard])[names] if shard in known else part[names]
+                        if len(out):
+                            yield out
+
+            return rows.mapInPandas(run, schema)
+        groups = F.ceil(F.col("n") / ROUTED).cast("int").alias("groups")
+        own = self.centers.join(self.sizes.select("shard", groups), "shard")
+        inside = rows.join(own.select("shard", "groups"), "shard")
+        inside = inside.withColumn("part", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")).drop("groups")
+        each = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+
+        def met(part: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
+            none = pd.DataFrame({n: pd.Series(dtype=object) for n in names})
+            if not len(part):
+                return none
+            row = centers.iloc[0].to_dict()
+            out = go(part, row | {"centers": np.stack([np.asarray(c) for c in row["centers"]])})[names]
+            return out if len(out) else none
+
+        moved = inside.groupBy("shard", "part").cogroup(each.groupBy("shard", "part")).applyInPandas(met, schema)
+        return moved.unionByName(rows.join(self.centers.select("shard"), "shard", "left_anti").select(names))
+
+
+def angles_to(part: pd.DataFrame, centers: np.ndarray) -> np.ndarray:
+    """Angles of the vectors of one cell (rows) to its centers (columns)."""
+    return np.arccos(np.clip(unit(vectors(part["vector"])) @ unit(centers).T, -1, 1))
+
+
+def nearest(count: int):
+    """Function of vectors and their cell's centers to the cells of the count nearest centers, with the angle."""
+
+    def run(part: pd.DataFrame, row: dict) -> pd.DataFrame:
+        far = angles_to(part, row["centers"])
+        near = np.argsort(far, axis=1, kind="stable")[:, :count]
+        cells = np.array([f"{row['shard']}/{i}" for i in range(far.shape[1])], object)
+        return pd.DataFrame({"shard": cells[near.ravel()], "id": np.repeat(part["id"].to_numpy(), near.shape[1]), "vector": part["vector"].repeat(near.shape[1]).to_list(), "angle": np.take_along_axis(far, near, 1).ravel()})
+
+    return run
 
 
 def audit(rows: DataFrame, pairs: DataFrame, least: float, limit: int = AUDIT) -> float:
@@ -289,37 +338,27 @@ def exact_pairs(rows: DataFrame, shards: Shards, least: float) -> DataFrame:
     At each split a query goes on to the cells whose radius (largest angle of a vector below them to their center) and the range
     together reach it.
     """
-    owned = asked = rows.select(F.lit("").alias("shard"), "id", "vector")
-    for centers in shards.levels:
-        owned = stored(Shards.nearest(shards.joined(owned, centers), 1, angles=True), "owned")
+    owned = rows.select(F.lit("").alias("shard"), "id", "vector", F.lit(None).cast("double").alias("angle"))
+    asked = owned.drop("angle")
+    for split in shards.levels:
+        owned = stored(split.routed(owned.withColumn("angle", F.lit(None).cast("double")), nearest(1), "shard string, id long, vector array<double>, angle double"), "owned")
         radii = owned.filter("angle IS NOT NULL").groupBy("shard").agg(F.max("angle").alias("radius"))
         parent, place = F.expr("substring_index(shard, '/', size(split(shard, '/')) - 1)"), F.substring_index("shard", "/", -1).cast("int")
         radii = radii.groupBy(parent.alias("shard")).agg(F.map_from_entries(F.collect_list(F.struct(place, "radius"))).alias("radii"))
-        asked = shards.joined(asked, stored(centers.join(radii, "shard"), "radii")).select("shard", "id", "vector", "centers", "radii").mapInPandas(reached(least), "shard string, id long, vector array<double>")
-        owned = owned.drop("angle")
-    return owned.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(exact_shard(least), "a long, b long")
-
-
-def angles_to(part: pd.DataFrame) -> np.ndarray:
-    """Angles of the vectors of one cell (rows) to its centers (columns)."""
-    return np.arccos(np.clip(unit(vectors(part["vector"])) @ unit(np.stack([np.asarray(c) for c in part["centers"].iloc[0]])).T, -1, 1))
+        known = Split(stored(split.centers.join(radii, "shard"), "radii"), split.sizes)
+        asked = known.routed(asked, reached(least), "shard string, id long, vector array<double>")
+    return owned.drop("angle").groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(exact_shard(least), "a long, b long")
 
 
 def reached(least: float):
-    """Function over batches of vectors with their cell's centers and radii: each vector in the cells that can hold one in range."""
+    """Function of vectors and their cell's centers and radii: each vector in the cells that can hold one in range."""
 
-    def run(batches):
-        for batch in batches:
-            for shard, part in batch.groupby("shard", sort=False):
-                if part["centers"].iloc[0] is None:
-                    yield part[["shard", "id", "vector"]]
-                    continue
-                angles, radii = angles_to(part), np.full(len(part["centers"].iloc[0]), -10.0)
-                for place, radius in dict(part["radii"].iloc[0]).items():
-                    radii[place] = radius
-                i, j = np.nonzero(angles <= radii + np.arccos(least) + 1e-6)
-                if len(i):
-                    yield pd.DataFrame({"shard": [f"{shard}/{k}" for k in j.tolist()], "id": part["id"].to_numpy()[i], "vector": part["vector"].iloc[i].to_list()})
+    def run(part: pd.DataFrame, row: dict) -> pd.DataFrame:
+        angles, radii = angles_to(part, row["centers"]), np.full(len(row["centers"]), -10.0)
+        for place, radius in dict(row["radii"]).items():
+            radii[place] = radius
+        i, j = np.nonzero(angles <= radii + np.arccos(least) + 1e-6)
+        return pd.DataFrame({"shard": [f"{row['shard']}/{k}" for k in j.tolist()], "id": part["id"].to_numpy()[i], "vector": part["vector"].iloc[i].to_list()})
 
     return run
 
@@ -329,7 +368,7 @@ def similar_pairs(rows: DataFrame, least: float = 0.9, shard: int = 1200, overla
 
     A tree of centers cuts the vectors into shards of about ``shard``, each vector in the ``overlap`` nearest. Each shard
     builds its graph by robust pruning; the neighbours of all shards are united, and of very many the 2 * DEGREE nearest are kept in a shard. A
-    query goes to the shards of its ``probes`` nearest centers. Recall is audited on up to AUDIT vectors and logged; below
+    query goes to the shards of its ``probes`` nearest centers of the whole tree. Recall is audited on up to AUDIT vectors and logged; below
     ``recall`` probes and beam are doubled and the search repeated; if it is still below after ``attempts``, exact_pairs takes its place.
     """
     shards = Shards(rows, shard, fan)

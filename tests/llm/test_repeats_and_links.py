@@ -84,3 +84,29 @@ def test_merged_lists_find_all_partners_and_touch_few_entries():
     true = {(x, y) for x in range(600) for y in range(600) if group[x] != group[y] and 100 * len(np.intersect1d(sets[x], sets[y])) >= percent * len(np.union1d(sets[x], sets[y]))}
     assert true and true <= got
     assert lists.touched < 600 * 600 / 4
+
+
+def test_shards_by_shuffled_centers_are_those_by_broadcast(spark, monkeypatch):
+    import numpy as np
+
+    from hushlake.llm import embedding_dedup as e
+
+    r = np.random.default_rng(2)
+    rows = [(i, (r.normal(size=6) + 3 * np.eye(6)[i % 6]).tolist()) for i in range(300)] + [(300 + i, [1.0, 0, 0, 0, 0, 0]) for i in range(60)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "id long, vector array<double>")
+    few = e.Shards(df, 12, 5)
+    assert len(few.levels) > 1
+    placed = {(x.shard, x.id) for x in few.placed(df, 3).collect()}
+    by = {}
+    for shard, i in placed:
+        by.setdefault(i, set()).add(shard)
+    assert all(1 <= len(v) <= 3 for v in by.values()) and len(by) == 360
+    want = {tuple(x) for x in e.exact_pairs(df, few, 0.9).collect()}
+    monkeypatch.setattr(e, "BROADCAST_CENTERS", 0)
+    monkeypatch.setattr(e, "ROUTED", 50)
+    assert {(x.shard, x.id) for x in few.placed(df, 3).collect()} == placed
+    assert {tuple(x) for x in e.exact_pairs(df, few, 0.9).collect()} == want
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = np.nonzero(x @ x.T >= 0.9)
+    assert want == {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a != b}
