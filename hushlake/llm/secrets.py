@@ -117,6 +117,43 @@ def labelled(found: DataFrame) -> DataFrame:
     return found.withColumn("label", settled()).filter("label IS NOT NULL")
 
 
+#: Words that made-up names consist of, and words of made-up sentences.
+NAME_WORDS = "user account request handler config session buffer stream record index module widget parser order invoice client server cache queue value table result message service manager factory context element header button image page panel report export import update delete insert select filter group sort".split()
+PROSE = "the report was sent before noon and nobody asked why it took so long because every page had been read twice by then so they went home early that day".split()
+
+
+def made_findings(spark: SparkSession, n: int = 6000, seed: str = "findings") -> DataFrame:
+    """(doc_id, text, source, label): n labelled findings made from hashes of their number, half of them secrets, for corpora without findings of their own.
+
+    Secrets: keys in the forms of known issuers, and random hexadecimal, base64 and mixed values behind names of secrets. False positives: digests and commits, UUIDs,
+    names, paths, versions and file names in prose or assigned, base64 of prose, repeated characters, and names behind a secret's name. The table depends on n and seed only.
+    """
+    rows = spark.range(n)
+    said = lambda salt: F.sha2(F.concat_ws("|", F.lit(seed), F.col("id"), F.lit(salt)), 256)
+    number = lambda salt, most: (F.conv(F.substring(said(salt), 1, 12), 16, 10).cast("long") % most).cast("int")
+    pick = lambda salt, words: F.get(F.array(*map(F.lit, words)), number(salt, len(words)))
+    mixed = lambda salt: F.translate(F.concat(F.base64(F.unhex(said(salt))), F.base64(F.unhex(said(salt + "'")))), "+/=", "x7Q")
+    size = 20 + number("size", 25)
+    names = [pick(f"name{i}", NAME_WORDS) for i in range(4)]
+    camel = F.concat(names[0], *[F.initcap(x) for x in names[1:3]], number("digit", 100).cast("string"))
+    uuid = F.regexp_replace(F.substring(said("uuid"), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    prose = lambda salt, k: F.concat_ws(" ", *[pick(f"{salt}{i}", PROSE) for i in range(k)])
+    secret = [F.concat(F.lit("AKIA"), F.substring(F.upper(mixed("aws")), 1, 16)), F.concat(F.lit("ghp_"), F.substring(mixed("hub"), 1, 36)), F.concat(F.lit("sk_live_"), F.substring(mixed("pay"), 1, 24)), F.concat(F.lit("xoxb-"), number("chat", 10**9).cast("string"), F.lit("-"), F.substring(mixed("chat"), 1, 24)), F.concat(F.lit("eyJ"), F.substring(mixed("jwt"), 1, 24), F.lit("."), F.substring(mixed("jwu"), 1, 30)), F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----"), mixed("pem"), mixed("per"), F.lit("-----END RSA PRIVATE KEY-----")), F.substring(said("hex"), F.lit(1), F.lit(32) + 8 * number("hexsize", 5)), F.substring(mixed("key"), F.lit(1), size), F.concat(F.base64(F.unhex(F.substring(said("b64"), 1, 48)))), F.substring(said("hex2"), F.lit(1), F.lit(40))]
+    plain = [said("digest"), F.substring(said("commit"), 1, 40), uuid, camel, F.concat_ws("_", *names, number("digit", 1000).cast("string")), F.concat(F.concat_ws("/", *names), number("digit", 10).cast("string")), F.concat(F.concat_ws("-", *names[:3]), F.lit("-v"), number("digit", 30).cast("string")), F.base64(F.concat_ws(" ", *names).cast("binary")), F.repeat(F.concat(F.substring(said("one"), 1, 1), F.lit("a1")), 8), F.concat_ws("-", *names)]
+    label = F.pmod(F.col("id"), F.lit(2)).cast("double")
+    kind = F.floor(F.col("id") / 2)
+    value = F.when(label == 1, F.get(F.array(*secret), (kind % len(secret)).cast("int"))).otherwise(F.get(F.array(*plain), (kind % len(plain)).cast("int")))
+    named = F.concat(pick("kind", ["token", "api_key", "password", "secret", "access_key", "client_secret", "db_password", "AUTH_TOKEN"]), pick("assign", [' = "', ": ", "=", ': "']))
+    marked = F.concat(pick("mark", ["commit ", "sha256:", "md5 ", "checksum ", "version ", "uuid ", "digest: ", "see ", "file ", "id: ", "name = \"", "path=", "at ", ""]))
+    # Issued forms also stand alone; a name behind a secret's name is a false positive too.
+    issued, lone = (label == 1) & (kind % len(secret) < 6), number("lone", 4) == 0
+    before = F.when(issued & lone, F.lit("")).when(label == 1, named).when((kind % len(plain)).isin(3, 4, 9) & (number("trap", 3) == 0), named).otherwise(marked)
+    quote = F.when(F.endswith(before, F.lit('"')), F.lit('"')).otherwise(F.lit(""))
+    text = F.concat(prose("p", 8), F.lit(" "), before, value, quote, F.lit(" "), prose("s", 8))
+    source = pick("source", ["src0", "src7", "src12", "src19", "app/settings.py", "docs/readme.md", "tests/data/sample.json", "lib/package.lock"])
+    return rows.select(F.col("id").alias("doc_id"), text.alias("text"), source.alias("source"), label.alias("label"))
+
+
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", max_findings: int = 20_000, trees: int = 20, depth: int = 6, least_docs: int = 5, least_score: float = 0.5, broadcast_words: int = 500_000, seed: int = 11) -> DataFrame:
     """Judges every candidate of every whole text: id_col, at (first character, from 0), length, masked, score, is_secret.
 
@@ -124,10 +161,10 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str
     tokens, and blocks of private keys. A random forest sees their length,
     transitions between kinds of characters, coverage by words of the texts, path and neighbouring words, and
     gives a score; from least_score on the candidate is a secret, else a false positive.
-    It is fitted on labelled findings (id_col, at, label 1 or 0); where none are given, on those that rules settle without a
+    It is fitted on labelled findings (id_col, at, label 1 or 0); where none are given, on made_findings and on those candidates that rules settle without a
     doubt; at most half of max_findings of either label, taken by hash, both weighing the same together. masked shows the first four characters only.
 
-    A word counts for coverage if least_docs texts hold it. Without findings of both labels there is no forest: a finding's
+    A word counts for coverage if least_docs texts hold it. Where findings are given, but of one label only, there is no forest: a finding's
     score is its label, that of other candidates the label rules give them, and 0.5 where they give none.
     Null or empty texts have no candidates; repeated rows give repeated results; a null id comes back as null. Extra columns are left
     out, so none clashes; an empty table gives an empty one.
@@ -138,7 +175,12 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str
         sure = found.join(findings.select(F.col(id_col).alias("doc"), "at", F.col("label").cast("double").alias("label")), ["doc", "at"])
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
     own = [vectors.transform(sure.filter(F.col("label") == label).orderBy(F.xxhash64("doc", "at", "value"), "doc", "at").limit(max_findings // 2)).select("features", "label") for label in (0.0, 1.0)]
-    sample = stored(own[0].union(own[1]), "findings")
+    sample = own[0].union(own[1])
+    if findings is None:
+        made = stored(made_findings(docs.sparkSession), "made")
+        known = featured(candidates(made), docs, text_col, least_docs, broadcast_words).join(made.select(F.col("doc_id").alias("doc"), "label"), "doc")
+        sample = sample.union(vectors.transform(known).select("features", "label"))
+    sample = stored(sample, "findings")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(sizes) == 2:
         sample = sample.withColumn("weight", F.when(F.col("label") == 1, 1.0 / sizes[1.0]).otherwise(1.0 / sizes[0.0]) * (sum(sizes.values()) / 2))

@@ -110,3 +110,23 @@ def test_shards_by_shuffled_centers_are_those_by_broadcast(spark, monkeypatch):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     i, j = np.nonzero(x @ x.T >= 0.9)
     assert want == {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a != b}
+
+
+def test_the_forest_judges_a_corpus_without_findings(spark):
+    import hashlib
+
+    from hushlake.llm.secrets import made_findings, scan_secrets
+
+    digest = lambda k, n=40: hashlib.sha256(str(k).encode()).hexdigest()[:n]
+    prose = "they went home early that day and the page was read twice"
+    good = [f'{prose} token = "{digest(k)}" and {prose}' for k in range(20)] + [f"{prose} key AKIA{digest(k, 16).upper()} {prose}" for k in range(5)] + [f"{prose} password: Zx{digest(k, 12)}QpL9 {prose}" for k in range(5)]
+    bad = [f"{prose} commit {digest(k)} {prose}" for k in range(10)] + [f"{prose} see handlerConfigSession{k} {prose}" for k in range(10)] + [f"{prose} uuid {digest(k, 8)}-{digest(k, 4)}-4{digest(k, 3)}-8{digest(k, 3)}-{digest(k, 12)} {prose}" for k in range(10)]
+    docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    got = scan_secrets(docs.withColumn("source", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("src1"))).collect()
+    assert {r.doc_id for r in got if r.is_secret} == set(range(30)) and {r.doc_id for r in got} >= set(range(55))
+    assert len({r.score for r in got}) > 2
+    # Only secrets, as in a clean corpus with planted keys: the forest is there all the same.
+    only = scan_secrets(docs.filter("doc_id < 20"), path_col=None).collect()
+    assert all(r.is_secret for r in only) and {r.score for r in only} - {0.5, 1.0}
+    made = made_findings(spark, 400)
+    assert made.collect() == made_findings(spark, 400).collect() and made.filter("label = 1").count() == 200
