@@ -40,7 +40,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     length) that rules have, and equi-joined on the first ``prefix_hex`` digits of the SHA-256 of
     the expression; the full digest confirms. The rules are broadcast up to ``broadcast_rules``
     rows, else the join shuffles on the prefix. Null, empty or malformed URLs have host and path ''
-    and the default verdict; repeated rows are judged alike and all kept; empty tables give empty results.
+    and the default verdict, and take no part in any join, however many they are; an empty rule fits nothing. Repeated rows are judged alike and all kept;
+    empty tables give empty results.
     """
     host = F.substring_index("rule", "/", 1)
     rules = rules.select("verdict", "rule", F.sha2("rule", 256).alias("digest"), F.size(F.split(host, r"\.")).alias("labels"), (F.length("rule") - F.length(host)).alias("chars")).filter("rule is not null")
@@ -48,6 +49,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     judged = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     names = F.split("host", r"\.")
     forms = [F.when((F.size(names) >= n) & (F.length("path") >= k), F.concat(F.array_join(F.slice(names, -n, n), "."), F.substring("path", 1, k))) for n, k in shapes]
+    blank = (F.col("host") == "") & (F.col("path") == "")
+    odd, judged = judged.filter(blank), judged.filter(~blank)
     distinct = judged.select("host", "path").distinct()
     asked = distinct.select("host", "path", F.explode(F.array_compact(F.array(*forms))).alias("expression")) if forms else distinct.select("host", "path", F.lit(None).cast("string").alias("expression"))
     asked = asked.select("host", "path", F.sha2("expression", 256).alias("asked")).withColumn("prefix", F.substring("asked", 1, prefix_hex))
@@ -56,7 +59,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         known = F.broadcast(known)
     order = F.struct(F.length("rule"), F.col("verdict") == "block", "rule")
     found = asked.join(known, "prefix").filter("asked = digest").groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), order).alias("hit"))
-    return judged.join(found, ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
+    out = judged.join(found, ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
+    return out.union(odd.select("id", "host", "path", F.lit(None).cast("string"), F.lit(default)))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
