@@ -21,18 +21,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Folders of prepared tables by application, name and source.
-_prepared: dict[tuple[str, str, str], str] = {}
+#: Folders of prepared tables by application, name and source, with the state of the source's files then.
+_prepared: dict[tuple[str, str, str], tuple[str, str]] = {}
+
+
+def state_of(spark: SparkSession, source: str) -> str:
+    """Names, sizes and times of what lies in a folder: it changes when a table there is written anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return ";".join(sorted(f"{s.getPath().getName()} {s.getLen()} {s.getModificationTime()}" for s in found))
 
 
 def prepared(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
-    """Folder of a table that is written once for a session and a source folder: write(folder) makes it at the first call, later ones read it."""
-    own = (spark.sparkContext.applicationId, name, source)
-    if own not in _prepared:
+    """Folder of a table that is written once for a session and a source folder: write(folder) makes it at the first call, and again after a table of the source has changed."""
+    own, state = (spark.sparkContext.applicationId, name, source), state_of(spark, source)
+    if _prepared.get(own, ("", ""))[1] != state:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         write(path)
-        _prepared[own] = path
-    return _prepared[own]
+        _prepared[own] = path, state
+    return _prepared[own][0]
 
 
 def stored(df: DataFrame, name: str = "staged") -> DataFrame:

@@ -13,9 +13,10 @@ KEY_METADATA = "key_type string, created_at timestamp, expires_at timestamp, rot
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet by tenant. Postings are clustered by token first, hot tokens spread over files by document."""
+    """Parquet by tenant. Postings are dealt out by tenant and sorted by token in each file; a large tenant, whatever its tokens, is spread over files by size, and a
+    small one is one file."""
     if "token" in df.columns:
-        df = df.repartition("tenant_id", F.col("token"), F.pmod(F.hash("doc_id"), F.lit(8))).sortWithinPartitions("tenant_id", "token")
+        df = df.hint("rebalance", "tenant_id").sortWithinPartitions("tenant_id", "token")
     df.write.mode(mode).partitionBy("tenant_id").parquet(path)
 
 

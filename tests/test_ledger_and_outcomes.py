@@ -154,3 +154,17 @@ def test_limits_fold_only_busy_stretches(spark, seed):
     _, folded = observe.limited_parts(table, limits)
     reach = {(x.tenant_id, x.operation) for x in folded.collect()}
     assert ("b", "read") not in reach and all(x[1] != "free" for x in reach) and folded.count() < 400
+
+
+def test_prepared_tables_follow_their_source(spark, tmp_path):
+    source, made = tmp_path / "source", []
+
+    def write(path):
+        made.append(path)
+        spark.read.parquet(f"{source}/t.parquet").write.parquet(path)
+
+    spark.range(3).coalesce(1).write.parquet(f"{source}/t.parquet")
+    first = staging.prepared(spark, "copy", str(source), write)
+    assert staging.prepared(spark, "copy", str(source), write) == first and len(made) == 1
+    spark.range(5).coalesce(1).write.mode("overwrite").parquet(f"{source}/t.parquet")
+    assert spark.read.parquet(staging.prepared(spark, "copy", str(source), write)).count() == 5

@@ -114,6 +114,17 @@ def test_numerals_of_any_length_equal_plain_integers(spark, radix, lengths):
         assert [list(g.back) for g in got] == rows
 
 
+def test_texts_of_spark_numbers_equal_plain_integers(spark):
+    r = random.Random(1)
+    for alphabet, lengths in ((fpe.DIGITS, (6, 9, 16, 19, 36)), (fpe.LOWER, (5, 8, 19)), (fpe.ALNUM, (4, 8, 20))):
+        for n in lengths:
+            secret, tweak = r.randbytes(r.choice([16, 24, 32])), r.randbytes(r.choice([0, 6]))
+            texts = ["".join(r.choice(alphabet) for _ in range(n)) for _ in range(4)]
+            df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+            got = [x.c for x in df.select("id", fpe.ff1(F.col("t"), F.lit(secret), n, alphabet, F.lit(tweak), len(tweak)).alias("c")).orderBy("id").collect()]
+            assert got == ["".join(alphabet[d] for d in plain_ff1(secret, len(alphabet), tweak, [alphabet.index(c) for c in t])) for t in texts]
+
+
 def test_long_texts_and_odd_numerals(spark):
     secret = bytes(range(16))
     text = "0123456789" * 4
