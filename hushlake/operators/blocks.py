@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import stored
+from ..sources.staging import dropped, stored
 from .search import FILTER_TOKENS
 
 #: Documents of a tenant that form a range; ranges that the first pass looks at for a query, and how many times more each further pass.
@@ -76,12 +76,13 @@ def top_by_blocks(blocks: DataFrame, tokens: DataFrame, limit: int = 10) -> Bloc
         met = part.join(tokens, ["tenant_id", "token"]).join(chosen.select(*own, "range"), [*own, "range"])
         found = met.select(*own, "keyword", F.explode("docs").alias("doc_id")).groupBy(*own, "doc_id").agg(F.countDistinct("keyword").alias("score"))
         found = found if best is None else found.unionByName(best.drop("rank"))
-        best = stored(found.withColumn("rank", rank).filter(F.col("rank") <= limit), "best")
+        last_best, best = best, stored(found.withColumn("rank", rank).filter(F.col("rank") <= limit), "best")
         done, many, passes = done + many, many * GROWTH, passes + 1
         last = best.filter(F.col("rank") == limit).select(*own, "score", F.col("doc_id").alias("last_doc"))
         following = heads.filter(F.col("place") == done + 1).select(*own, "most", "first_doc").join(last, own, "left")
         reach = F.col("score").isNull() | (F.col("most") > F.col("score")) | ((F.col("most") == F.col("score")) & (F.col("first_doc") <= F.col("last_doc")))
-        open_queries = stored(following.filter(reach).select(*own), "open")
+        last_open, open_queries = open_queries, stored(following.filter(reach).select(*own), "open")
+        dropped(last_best, last_open, chosen)
     spark = blocks.sparkSession
     if best is None:
         best = tokens.select(*own, F.lit("").alias("doc_id"), F.lit(0).cast("long").alias("score"), F.lit(0).alias("rank")).limit(0)

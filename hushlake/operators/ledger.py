@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prf import uniform
 from ..sources.keys import key, with_keys
-from ..sources.staging import stored
+from ..sources.staging import dropped, stored
 from .privacy import budget_fold
 
 ENTRIES = "tenant_id string, request_id string, kind string, epsilon double, total double, accepted boolean, reason string, consumed double, remaining double, warning boolean, answer double, selected string, batch int"
@@ -86,6 +86,7 @@ class Ledger:
             )
             number = max(self.batches(), default=0) + 1
             out.write.mode("errorifexists").parquet(f"{self.folder}/batch={number}")
+        dropped(fresh)
         ids = asked.select("tenant_id", "request_id").distinct()
         return self.entries().join(ids, ["tenant_id", "request_id"], "left_semi")
 

@@ -35,15 +35,32 @@ def state_of(spark: SparkSession, source: str) -> str:
 def prepared(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
     """Folder of a table that is written once for a session and a source folder: write(folder) makes it at the first call, and again after a table of the source has changed."""
     own, state = (spark.sparkContext.applicationId, name, source), state_of(spark, source)
-    if _prepared.get(own, ("", ""))[1] != state:
+    old = _prepared.get(own, ("", ""))
+    if old[1] != state:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         write(path)
         _prepared[own] = path, state
+        if old[0]:
+            removed(spark, old[0])
     return _prepared[own][0]
 
 
 def stored(df: DataFrame, name: str = "staged") -> DataFrame:
-    """df written as Parquet and read back, so that costly columns (ciphertexts) are computed once."""
+    """df written as Parquet and read back, so that costly columns (ciphertexts) are computed once. The folder stays until ``dropped`` takes it away."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes the folders of stored tables that nothing will read again; None and other tables are left alone."""
+    for table in tables:
+        if path := getattr(table, "stored_at", None):
+            removed(table.sparkSession, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
