@@ -487,15 +487,15 @@ def fpe_strings(spark, d):
     return out.select("c_custkey", same.alias("same_back"), fits.alias("in_alphabet"))
 
 
-@query("fpe_long", "SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 45, '7') AS back, 45 AS length, true AS digits, (o_orderkey * 40503) % 65536 AS first_back FROM orders")
+@query("fpe_long", "SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 45, '7') AS back, 45 AS length, true AS digits, (c_custkey * 40503) % 65536 AS first_back FROM customer")
 def fpe_long(spark, d):
     """Texts of 45 digits, and six numerals below 65536, encrypted and decrypted again: more than any Spark number holds."""
-    rows = with_keys(read(spark, d, "orders").select("o_orderkey"), f=D)
-    text, tweak = F.lpad(F.col("o_orderkey").cast("string"), 45, "7"), {"tweak": F.lit(b"tenant"), "tweak_length": 6}
-    numerals = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: ((F.col("o_orderkey") * 40503 + i * 77) % 65536).cast("int"))
+    rows = with_keys(read(spark, d, "customer").select("c_custkey"), f=D)
+    text, tweak = F.lpad(F.col("c_custkey").cast("string"), 45, "7"), {"tweak": F.lit(b"tenant"), "tweak_length": 6}
+    numerals = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: ((F.col("c_custkey") * 40503 + i * 77) % 65536).cast("int"))
     made = rows.withColumns({"c": fpe.ff1(text, key("f").raw, 45, **tweak), "m": fpe.ff1_numerals(numerals, key("f").raw, 6, 65536)})
     made = made.withColumns({"back": fpe.ff1(F.col("c"), key("f").raw, 45, back=True, **tweak), "o": fpe.ff1_numerals(F.col("m"), key("f").raw, 6, 65536, back=True)})
-    return made.select("o_orderkey", "back", F.length("c").alias("length"), (F.col("c").rlike("^[0-9]{45}$") & (F.col("c") != text)).alias("digits"), F.get("o", F.lit(0)).cast("long").alias("first_back"))
+    return made.select("c_custkey", "back", F.length("c").alias("length"), (F.col("c").rlike("^[0-9]{45}$") & (F.col("c") != text)).alias("digits"), F.get("o", F.lit(0)).cast("long").alias("first_back"))
 
 
 # ---- keys and rotation ----
