@@ -82,7 +82,7 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, decoded of every row; null text is like an empty one."""
-    return encode_texts(docs, vocabulary_path(), cache_words=CACHE_WORDS, part_chars=PART_CHARS)
+    return encode_texts(docs, vocabulary_path(), cache_words=CACHE_WORDS, part_chars=PART_CHARS, tidy=True)
 
 
 STAGES = [

@@ -248,14 +248,14 @@ def parts_of(texts: pa.Array, most: int = PART_CHARS) -> Iterator[list[str]]:
         start = end
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False, cache_words: int = MAX_WORDS, part_chars: int = PART_CHARS) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False, cache_words: int = MAX_WORDS, part_chars: int = PART_CHARS, tidy: bool = False) -> DataFrame:
     """Encodes and decodes every text: id_col, n_tokens, then token_ids and decoded, then digests of both.
 
     ids adds token_ids (array of int) and decoded (text); digests adds ids_sha256 (of the
     decimal ids joined by commas) and decoded_sha256 (of the decoded UTF-8). Encoding equals that of the vocabulary's
     library without added tokens; strings of special tokens in the text become those tokens.
     cache_words and part_chars bound what a worker keeps and takes up at a time; smaller ones take less memory and more time, and
-    change no result. Each task works on its own rows, in batches of bounded size, and shuffles nothing. Null is like an empty text:
+    change no result; with tidy a worker keeps not even the vocabulary after a task, and loads it anew in the next. Each task works on its own rows, in batches of bounded size, and shuffles nothing. Null is like an empty text:
     0 tokens, ids [], text ''. Repeated rows are all returned; other columns are left out.
     """
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType())])
@@ -288,6 +288,9 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                         at += len(rows)
         finally:
             own.forget()  # the worker may go on to other tasks
+            if tidy:
+                del own
+                encoder.cache_clear()
             gc.enable()
 
     return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema).withColumnRenamed("id", id_col)
