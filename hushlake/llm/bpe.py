@@ -22,8 +22,9 @@ from .shared import thrifty
 
 #: Cuts text into words before merging; fixed by the vocabulary.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: White space at either end or next to more of it, or rare controls: such texts are cut as a whole, others at each space.
-UNEVEN = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f\x85]")
+#: White space; and, at either end or next to more of it, or rare controls, or no text: such texts are cut as a whole, others at each space.
+BLANK = r"[\x09-\x0D\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+UNEVEN = rf"{BLANK}{BLANK}|^{BLANK}|{BLANK}$|^$|[\x1c-\x1f\x{{85}}]"
 #: Bounds on what a worker keeps between batches and gives out at a time; results don't depend on them.
 MAX_WORDS, MAX_PAIRS, PART_CHARS, ROWS = 250_000, 500_000, 4_000_000, 256
 #: Tokens decoded at a time.
@@ -48,7 +49,6 @@ class Vocabulary:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes = {i: bytes(letters[c] for c in token) for token, i in ids.items() if token not in self.special}
         self.ids = {b: i for i, b in self.bytes.items()}
-        self.longest = max(map(len, self.ids))
         self.merge: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank = dict.fromkeys(self.bytes, -1)
@@ -61,8 +61,20 @@ class Vocabulary:
         self.reached = {i: len(b) == 1 for i, b in self.bytes.items()}
         for whole, (left, right) in sorted(self.parts.items(), key=lambda x: self.rank[x[0]]):
             self.reached[whole] = self.reached[left] and self.reached[right] and self.apart(left, right, self.rank[whole])
+        self.begun, self.shorter = self.suffixes()
         self.bytes |= {i: s.encode() for s, i in self.special.items()}
 
+    def suffixes(self) -> tuple[dict[bytes, int], dict[int, int]]:
+        """Of each beginning of a token the longest reached token that it ends with, and of each of these the next shorter one (-1: none)."""
+        tokens = {b: i for b, i in self.ids.items() if self.reached[i]}
+        begun, shorter = {}, {}
+        for b in sorted({b[:k] for b in tokens for k in range(1, len(b) + 1)}, key=len):
+            below = next((begun[b[k:]] for k in range(1, len(b)) if b[k:] in begun), -1)
+            begun[b] = tokens.get(b, below)
+            if b in tokens:
+                shorter[tokens[b]] = below
+        return begun, shorter
+
     def apart(self, left: int, right: int, limit: int = 1 << 40) -> bool:
         """Whether no merge across the border of two tokens comes before the merges that made them (or before limit).
 
@@ -86,15 +98,18 @@ class TrieEncoder:
 
     A prefix's encoding is its last token after the encoding of what precedes that token. So each
     node needs one token: the longest that ends there, is apart from the last token before it, and
-    fits. What words share as a prefix is worked out once.
+    fits. What words share as a prefix is worked out once. The tokens that end at a node are not searched for: the longest
+    beginning of a token that ends there goes on from node to node, and names them by links, longest first.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v, self.pairs = vocabulary, {}
+        self.size = {i: len(vocabulary.bytes[i]) for i in vocabulary.shorter}
 
     def encode(self, words: Iterable[bytes]) -> Iterator[list[int]]:
-        ids, size, reached, apart, pairs, longest = self.v.ids, self.v.bytes, self.v.reached, self.v.apart, self.pairs, self.v.longest
-        path, last, before = [0], [-1], b""
+        begun, shorter, size, apart, pairs = self.v.begun, self.v.shorter, self.size, self.v.apart, self.pairs
+        # Of each prefix: its last token, and where the longest beginning of a token at its end starts.
+        last, open_at, before = [-1], [0], b""
         for word in words:
             shared, n = 0, len(word)
             top = min(n, len(before))
@@ -103,37 +118,35 @@ class TrieEncoder:
             else:
                 while word[shared] == before[shared]:
                     shared += 1
-            del last[shared + 1 :], path[shared + 1 :]
+            del last[shared + 1 :], open_at[shared + 1 :]
+            begin = open_at[shared]
             for end in range(shared + 1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is None:
-                        continue
-                    if start == 0:
-                        if reached[token]:
-                            break
-                        continue
+                while (token := begun.get(word[begin:end])) is None:
+                    begin += 1
+                while start := end - size[token]:
                     key = last[start] << 32 | token
                     fits = pairs.get(key)
                     if fits is None:
-                        fits = reached[token] and apart(last[start], token)
+                        fits = apart(last[start], token)
                         if len(pairs) >= MAX_PAIRS:
                             pairs.clear()
                         pairs[key] = fits
                     if fits:
                         break
+                    token = shorter[token]
                 last.append(token)
-                path.append(start)
+                open_at.append(begin)
             before, out, at = word, [], n
             while at:
-                out.append(last[at])
-                at = path[at]
+                token = last[at]
+                out.append(token)
+                at -= size[token]
             out.reverse()
             yield out
 
 
 class TextEncoder:
-    """Encodes texts: distinct words of a batch go through the trie once, texts are put together from them."""
+    """Encodes texts: distinct words of a batch go through the trie once, texts are put together from the ids of their distinct pieces."""
 
     def __init__(self, path: str) -> None:
         self.v = Vocabulary(path)
@@ -148,33 +161,29 @@ class TextEncoder:
         self.size[ids] = [len(b) for b in self.v.bytes.values()]
         self.start[ids] = np.cumsum(self.size[ids]) - self.size[ids]
         self.special = regex.compile("|".join(map(regex.escape, self.v.special))) if self.v.special else None
+        self.uneven = "|".join([UNEVEN, *map(re.escape, self.v.special)])
 
     def forget(self) -> None:
-        """Empties the caches: ids as text and as 32-bit numbers, of words, of pieces without a space before them, and of pieces after one space."""
-        self.known: dict[str, tuple[str, bytes]] = {}
-        self.first: dict[str, tuple[str, bytes]] = {}
-        self.rest: dict[str, str] = {}
+        """Empties the caches: ids as 32-bit numbers, of words, of pieces without a space before them, and of pieces after one space."""
+        self.known: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
         self.packed: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         """Encodes the new words in one walk."""
         fresh = sorted(w for w in words if w not in self.known)  # by code point, which is also the order of UTF-8
         for word, ids in zip(fresh, self.trie.encode([w.encode("utf-8", "surrogatepass") for w in fresh]), strict=True):
-            self.known[word] = ",".join(map(str, ids)), array("i", ids).tobytes()
-
-    def pieces(self, texts: list[str]) -> tuple[list[list[str] | None], set[str], set[str]]:
-        """Pieces between single spaces of each text (None: cut it as a whole), and the new ones."""
-        cut: list[list[str] | None] = []
-        first, rest = set(), set()
-        for text in texts:
-            if not text or UNEVEN.search(text) or (self.special and self.special.search(text)):
-                cut.append(None)
-                continue
-            own = text.split(" ")
-            cut.append(own)
-            first.add(own[0])
-            rest.update(own[1:])
-        return cut, {x for x in first if x not in self.first}, {x for x in rest if x not in self.rest}
+            self.known[word] = array("i", ids).tobytes()
+
+    def pieces(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+        """Distinct pieces that begin a text, distinct pieces of all texts, each piece's place among both, and where each text's pieces begin."""
+        cut = pc.split_pattern(texts, " ")
+        flat, starts = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
+        rest = flat.dictionary_encode()
+        first = flat.take(pa.array(starts[:-1])).dictionary_encode()
+        at = rest.indices.to_numpy() + np.int32(len(first.dictionary))
+        at[starts[:-1]] = first.indices.to_numpy()
+        return first.dictionary, rest.dictionary, at, starts
 
     def whole(self, text: str) -> list[str | int]:
         """Words and ids of special tokens of a text that can't be cut at spaces."""
@@ -187,36 +196,50 @@ class TextEncoder:
             at = m.end()
         return out + WORDS.findall(text[at:])
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes, str]]:
-        """Of each text: ids as decimal numbers joined by commas and as 32-bit numbers, and the text decoded from them."""
-        if len(self.known) > self.most or len(self.rest) > self.most:
+    def encode(self, texts: list[str] | pa.Array, say: bool = True) -> Iterator[tuple[str, bytes, str]]:
+        """Of each text: ids as decimal numbers joined by commas ('' unless say) and as 32-bit numbers, and the text decoded from them.
+
+        Texts that can be cut at spaces are put together by Arrow from the ids of their distinct pieces. Null is like an empty text.
+        """
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if max(len(self.known), len(self.packed)) > self.most:
             self.forget()
-        cut, first, rest = self.pieces(texts)
-        whole = [self.whole(t) if own is None else None for t, own in zip(texts, cut, strict=True)]
-        first_words = {x: WORDS.findall(x) for x in first}
-        mixed = {x: WORDS.findall(f" {x}") for x in rest if not x.isalpha()}
-        plain = [x for x in rest if x not in mixed]
+        uneven = pc.match_substring_regex(texts, self.uneven)
+        whole = [self.whole(t) for t in texts.filter(uneven).to_pylist()]
+        first, rest, at, starts = self.pieces(texts.filter(pc.invert(uneven)))
+        first, rest = first.to_pylist(), rest.to_pylist()
+        first_words = {x: WORDS.findall(x) for x in first if x not in self.first}
+        fresh = [x for x in rest if x not in self.packed]
+        mixed = {x: WORDS.findall(f" {x}") for x in fresh if not x.isalpha()}
+        plain = [x for x in fresh if x not in mixed]
         new = {f" {x}" for x in plain}
         for own in (*first_words.values(), *mixed.values()):
             new.update(own)
-        new.update(w for own in whole if own for w in own if isinstance(w, str))
+        new.update(w for own in whole for w in own if isinstance(w, str))
         self.learn(new)
-        known, rest_of, packed_of = self.known, self.rest, self.packed
-        for x, own in first_words.items():
-            self.first[x] = ",".join([known[w][0] for w in own]), b"".join([known[w][1] for w in own])
-        for x, own in mixed.items():
-            rest_of[x], packed_of[x] = ",".join([known[w][0] for w in own]), b"".join([known[w][1] for w in own])
-        for x in plain:
-            rest_of[x], packed_of[x] = known[f" {x}"]
-        for own, pieces in zip(whole, cut, strict=True):
-            if own is None:
-                said, packed = self.first[pieces[0]]
-                said = ",".join([said, *map(rest_of.__getitem__, islice(pieces, 1, None))])
-                packed = b"".join([packed, *map(packed_of.__getitem__, islice(pieces, 1, None))])
+        known = self.known
+        self.first.update((x, b"".join([known[w] for w in own])) for x, own in first_words.items())
+        self.packed.update((x, b"".join([known[w] for w in own])) for x, own in mixed.items())
+        self.packed.update((x, known[f" {x}"]) for x in plain)
+        parts = [*map(self.first.__getitem__, first), *map(self.packed.__getitem__, rest)]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(parts), np.int32))
+        ids = lists.take(pa.array(at)).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])[starts]
+        if say:
+            comma = pa.scalar(",", pa.large_string())
+            numbers = pa.LargeListArray.from_arrays(lists.offsets, lists.flatten().cast(pa.large_string()))
+            said = iter(pc.binary_join(pa.LargeListArray.from_arrays(starts, pc.binary_join(numbers, comma).take(pa.array(at))), comma))
+        cut, odd = iter(range(len(starts) - 1)), iter(whole)
+        for is_odd in uneven.to_pylist():
+            if is_odd:
+                packed = b"".join([known[w] if isinstance(w, str) else array("i", [w]).tobytes() for w in next(odd)])
+                text = ",".join(map(str, np.frombuffer(packed, np.int32).tolist())) if say else ""
             else:
-                both = [known[w] if isinstance(w, str) else (str(w), array("i", [w]).tobytes()) for w in own]
-                said, packed = ",".join([x for x, _ in both]), b"".join([x for _, x in both])
-            yield said, packed, self.decoded(packed)
+                k = next(cut)
+                packed = ids[ends[k] : ends[k + 1]].tobytes()
+                text = next(said).as_py() if say else ""
+            yield text, packed, self.decoded(packed)
 
     def decoded(self, packed: bytes) -> str:
         """The text of ids (32-bit numbers); bytes that aren't UTF-8 become U+FFFD."""
@@ -237,14 +260,14 @@ def encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-def parts_of(texts: pa.Array, most: int = PART_CHARS) -> Iterator[list[str]]:
-    """Runs of texts of most bytes or one text; only one run at a time is turned into strings. Null is like an empty text."""
+def parts_of(texts: pa.Array, most: int = PART_CHARS) -> Iterator[pa.Array]:
+    """Runs of texts of most bytes or one text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
         before = ends[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
-        yield [x or "" for x in texts.slice(start, end - start).to_pylist()]
+        yield texts.slice(start, end - start)
         start = end
 
 
@@ -281,7 +304,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             for batch in batches:
                 at = 0
                 for part in parts_of(batch.column(1), part_chars):
-                    encoded = own.encode(part)
+                    encoded = own.encode(part, say=digests)
                     while rows := [row_of(*x) for x in islice(encoded, ROWS)]:
                         columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), *columns], names=schema.names)

@@ -6,6 +6,7 @@ import re
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,6 +332,45 @@ def test_trie_equals_merging_one_by_one():
     assert list(TrieEncoder(v).encode(found)) == [merged(w) for w in found]
 
 
+def test_trie_walk_searches_for_no_token():
+    """A walk goes on from the longest beginning of a token: at most two lookups a byte, whatever the longest token is."""
+    from hushlake.llm.bpe import TrieEncoder
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, key):
+            self.n += 1
+            return super().get(key)
+
+    v = TextEncoder(vocabulary_path()).v
+    reached = {b: i for b, i in v.ids.items() if v.reached[i]}
+    for b in random.Random(8).sample(sorted(v.begun), 500):
+        assert v.begun[b] == next(reached[b[k:]] for k in range(len(b)) if b[k:] in reached)
+    for b in random.Random(9).sample(sorted(reached), 500):
+        assert v.shorter[reached[b]] == next((reached[b[k:]] for k in range(1, len(b)) if b[k:] in reached), -1)
+    v.begun = Counted(v.begun)
+    found = sorted({" " + words(random.Random(k), 1) * 3 for k in range(300)} | {"=" * 500})
+    encoded = list(TrieEncoder(v).encode([w.encode() for w in found]))
+    assert [b"".join([v.bytes[i] for i in x]).decode() for x in encoded] == found
+    assert v.begun.n <= 2 * sum(map(len, found))
+
+
+def test_texts_of_one_arrow_array_are_put_together_in_order():
+    from tokenizers import Tokenizer
+
+    rng, library = random.Random(10), Tokenizer.from_file(vocabulary_path())
+    texts = [rng.choice(["", None, "a  b", " a", "a ", "a\n", "\xa0", "x<|endoftext|> y", "a b", "it's 12, b", "b", "ab cd\nef ab"]) for _ in range(300)]
+    own = TextEncoder(vocabulary_path())
+    for part in (pa.array(texts), pa.array(["zz", *texts]).slice(1), texts):
+        got = list(own.encode(part))
+        for t, (said, packed, _) in zip(texts, got, strict=True):
+            ids = library.encode(t or "", add_special_tokens=False).ids
+            assert np.frombuffer(packed, np.int32).tolist() == ids and said == ",".join(map(str, ids))
+    assert [x[1:] for x in own.encode(pa.array(texts), say=False)] == [x[1:] for x in got]
+    assert list(own.encode([])) == []
+
+
 # ---- 8 ----
 
 
