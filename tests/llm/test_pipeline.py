@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline
 from hushlake.llm.bpe import vocabulary_path
 from hushlake.llm.queries import ORACLE_SQL, QUERIES
@@ -9,6 +11,33 @@ from hushlake.llm.queries import ORACLE_SQL, QUERIES
 FOLDER = "/root/testdata/sf0.001"
 
 
+def test_workers_get_small_batches(spark):
+    """Each stage with Python workers bounds what an executor gathers for them; a user's lower bound stays."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    before = spark.conf.get(corpus_pipeline.BATCH_CONF)
+    try:
+        for _, stage in [x for x in corpus_pipeline.STAGES if x[0] != "line_dedup"]:
+            for said, bound in (("64m", "4000000"), ("67108864b", "4000000"), ("1k", "1k"), ("500000", "500000")):
+                spark.conf.set(corpus_pipeline.BATCH_CONF, said)
+                if bound == "4000000":
+                    stage(spark, docs.limit(20), FOLDER)
+                else:
+                    corpus_pipeline.small_batches(spark)
+                assert spark.conf.get(corpus_pipeline.BATCH_CONF) == bound
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+        rows = spark.range(0, 5000, 1, 1).selectExpr("repeat(id % 10, 4000) AS text")
+        spark.conf.set(corpus_pipeline.BATCH_CONF, "64m")
+        corpus_pipeline.small_batches(spark)
+        found = rows.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in found) == 5000 and len(found) >= 5 and max(r.bytes for r in found) < 4_100_000
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_CONF, before)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns = docs.columns
