@@ -23,14 +23,14 @@ BROADCAST_IDS = 2_000_000
 #: Bytes of text that are packed at a time.
 PART_TEXT = 8_000_000
 #: Runs of a bucket, about. Texts beyond SLICED bytes go in SLICES slices of buckets one after another, so that only one slice lies on disk.
-RUNS, SLICED, SLICES = 1_500_000, 50_000_000, 3
+RUNS, SLICED, SLICES = 1_500_000, 50_000_000, 2
 #: Single words of a language sent to the workers, about; the others are looked up in their slots. Results do not depend on it.
 FREQUENT = 200_000
 #: Bits of a language's filter of counted words at most, and bits a word below that. Words let through wrongly are looked up in their slots.
 FILTER_BITS, WORD_BITS = 1 << 27, 12
 #: Columns of packed runs.
-PACKED = ["bucket", "lang", "n_words", "n_runs", "n_docs", "words", "spelled", "runs", "docs", "keys", "roles", "unknown"]
-PACKED_TYPES = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 7]
+PACKED = ["bucket", "lang", "n_words", "n_runs", "n_docs", "n_middles", "words", "spelled", "runs", "middles", "middle", "docs", "keys", "roles", "unknown"]
+PACKED_TYPES = [pa.int32(), pa.string(), *[pa.int32()] * 4, *[pa.binary()] * 9]
 #: Keys and their columns, dealt out to slots.
 DEALT_SQL = "slot int, lang string, order int, size int, keys binary, columns array<binary>"
 DEALT = pa.schema([("slot", pa.int32()), ("lang", pa.string()), ("order", pa.int32()), ("size", pa.int32()), ("keys", pa.binary()), ("columns", pa.list_(pa.binary()))])
@@ -292,14 +292,15 @@ def packed_runs(docs: DataFrame, spelling, buckets: int, low: int, high: int, kn
                 used = np.zeros(len(rare_words), bool)
                 used[ids[among] - unknown - 1] = True
                 ids[among] = (np.cumsum(used, dtype=np.int32) + unknown)[ids[among] - unknown - 1]
+                outer, (middles, middle) = ids.reshape(3, -1)[::2].reshape(-1), np.unique(ids.reshape(3, -1)[1], return_inverse=True)
                 step = np.diff(rows[i:j], prepend=rows[i]) > 0
                 held = rows[i:j][np.concatenate([[True], step[1:]])]
                 gaps = np.diff(rare_words[used], prepend=np.uint64(0))
                 letters = np.bincount(np.cumsum(step), costs[i:j], len(held)).astype(np.float32)
-                data = [packed(gaps), packed(rare_spelled[used]), packed(ids), packed(step.view(np.uint8)), packed(keys[held]), packed(roles[held]), packed(letters)]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([b, lang, len(gaps), j - i, len(held), *data], PACKED_TYPES, strict=True)], names=PACKED)
+                data = [packed(gaps), packed(rare_spelled[used]), packed(outer), packed(np.diff(middles, prepend=np.int32(0))), packed(middle.astype(np.int32)), packed(step.view(np.uint8)), packed(keys[held]), packed(roles[held]), packed(letters)]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([b, lang, len(gaps), j - i, len(held), len(middles), *data], PACKED_TYPES, strict=True)], names=PACKED)
 
-    return docs.select("key", "lang", "text", "role").mapInArrow(thrifty(run), "bucket int, lang string, n_words int, n_runs int, n_docs int, words binary, spelled binary, runs binary, docs binary, keys binary, roles binary, unknown binary")
+    return docs.select("key", "lang", "text", "role").mapInArrow(thrifty(run), "bucket int, lang string, n_words int, n_runs int, n_docs int, n_middles int, words binary, spelled binary, runs binary, middles binary, middle binary, docs binary, keys binary, roles binary, unknown binary")
 
 
 class Bucket:
@@ -321,7 +322,9 @@ class Bucket:
         for r, words, keys in zip(rows, own_words, own_keys, strict=True):
             at, end = np.searchsorted(self.words, words).astype(np.int32), start + r["n_runs"]
             self.spelled[at] = unpacked(r["spelled"], r["n_words"], np.float32)
-            ids = unpacked(r["runs"], 3 * r["n_runs"], np.int32).copy()
+            outer = unpacked(r["runs"], 2 * r["n_runs"], np.int32).reshape(2, -1)
+            middles = np.cumsum(unpacked(r["middles"], r["n_middles"], np.int32), dtype=np.int32)
+            ids = np.concatenate([outer[0], middles[unpacked(r["middle"], r["n_runs"], np.int32)], outer[1]])
             rare = np.flatnonzero(ids >= self.first)
             ids[rare] = self.first + at[ids[rare] - self.first]
             a[start:end], b[start:end], c[start:end] = ids.reshape(3, -1)

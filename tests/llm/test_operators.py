@@ -142,7 +142,7 @@ def test_quality_packs_known_words_smaller(spark):
     known = {"en": (counted[::2], np.arange(1, len(counted[::2]) + 1, dtype=np.int32), None, (np.cumsum(sizes) - sizes, (sizes - 1).astype(np.uint64), np.concatenate([*bits, np.zeros(1, np.uint8)])))}
     sent = spark.sparkContext.broadcast(spelling)
     plain, coded = packed_runs(df, sent, 4, 0, 4).collect(), packed_runs(df, sent, 4, 0, 4, spark.sparkContext.broadcast(known)).collect()
-    size = lambda rows: sum(len(r[c]) for r in rows for c in ("words", "spelled", "runs", "docs", "keys", "roles", "unknown"))
+    size = lambda rows: sum(len(r[c]) for r in rows for c in ("words", "spelled", "runs", "middles", "middle", "docs", "keys", "roles", "unknown"))
     assert sum(r.n_runs for r in coded) == 40_000 and size(coded) < 0.7 * size(plain)
     # Every counted word that is not frequent is still sent as its hash.
     hashes = {w for r in coded for w in np.cumsum(unpacked(r["words"], r["n_words"], np.uint64), dtype=np.uint64).tolist()}
