@@ -51,9 +51,15 @@ def keyword_token(keyword: Column, key: Key) -> Column:
 
 
 def encrypt(plain: Column, key: Column) -> Column:
-    """AES-GCM with a random IV, laid out as IV, tag, ciphertext."""
-    out = F.aes_encrypt(plain.cast("binary"), key, F.lit("GCM"))
-    return laid_out(out)
+    """AES-GCM with a random IV, laid out as IV, tag, ciphertext. No blob begins with MAGIC: one that would, one of 65,536, is made again with the first bit of its IV turned."""
+    text = plain.cast("binary")
+
+    def unmarked(drawn: Column) -> Column:
+        iv = F.concat(F.lit(bytes([MAGIC[0] ^ 0x80])), F.substring(drawn, 2, 11))
+        return laid_out(F.when(F.substring(drawn, 1, 2) == F.lit(MAGIC), F.aes_encrypt(text, key, F.lit("GCM"), F.lit("DEFAULT"), iv)).otherwise(drawn))
+
+    # The lambda sees one drawing, however often it names it.
+    return F.transform(F.array(F.aes_encrypt(text, key, F.lit("GCM"))), unmarked)[0]
 
 
 def laid_out(out: Column) -> Column:
