@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import blob_key_hash, encrypt, key_hash, try_decrypt, unwrap, wrap
-from ..sources.staging import stored
+from ..sources.staging import dropped, stored
 
 #: Fixed values.
 STATES = ["active", "rotating", "retired", "archived", "destroyed"]
@@ -46,18 +46,23 @@ def latest_keys(old: DataFrame, new: DataFrame) -> DataFrame:
 def key_chains(keys: DataFrame, most: int = 64) -> DataFrame:
     """(tenant_id, key_id, root, position): each key's oldest ancestor and its place after it, by predecessor links.
 
-    Ancestors are doubled in each round (a key's ancestor's ancestor), so a chain of n versions takes log2(n) joins.
+    Ancestors are doubled in each round (a key's ancestor's ancestor), so a chain of n versions takes log2(n) joins. Each round is stored, since
+    it is read twice by the next one. Rounds end once all have reached their roots, or after ``most`` links.
     """
     ends = keys.select("tenant_id", "key_id")
     links = keys.select("tenant_id", "key_id", F.col("predecessor_key_id").alias("up"))
     known = links.join(ends.withColumnRenamed("key_id", "up").withColumn("__known", F.lit(True)), ["tenant_id", "up"], "left")
     state = known.select("tenant_id", "key_id", F.when(F.col("__known"), F.col("up")).alias("up"), F.when(F.col("__known"), F.lit(1)).otherwise(0).alias("position"))
-    state = state.withColumn("root", F.coalesce("up", "key_id"))
+    state = stored(state.select("tenant_id", "key_id", F.coalesce("up", "key_id").alias("root"), "position"), "chains")
     span = 1
     while span < most:
-        further = state.select("tenant_id", F.col("key_id").alias("root"), F.col("root").alias("__root"), F.col("position").alias("__more"))
-        state = state.join(further, ["tenant_id", "root"], "left").select("tenant_id", "key_id", F.coalesce("__root", "root").alias("root"), (F.col("position") + F.coalesce("__more", F.lit(0))).alias("position"))
+        further = state.filter("position > 0").select("tenant_id", F.col("key_id").alias("root"), F.col("root").alias("__root"), F.col("position").alias("__more"))
+        before, state = state, stored(state.join(further, ["tenant_id", "root"], "left").select("tenant_id", "key_id", F.coalesce("__root", "root").alias("root"), (F.col("position") + F.coalesce("__more", F.lit(0))).alias("position"), F.col("__more").isNotNull().alias("moved")), "chains")
+        moved = state.filter("moved").limit(1).count()
+        dropped(before)
         span *= 2
+        if not moved:
+            break
     return state.select("tenant_id", "key_id", "root", F.col("position").cast("long").alias("position"))
 
 

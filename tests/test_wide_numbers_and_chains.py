@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hushlake.functions import fpe
 from hushlake.functions.helpers import redact_json, redacted_json
 from hushlake.functions.text import redact_variant
-from hushlake.operators import index
+from hushlake.operators import index, rotation
 from hushlake.sources import staging
 from hushlake.sources.keys import key, with_keys
 from hushlake.streaming import jobs
@@ -247,3 +247,11 @@ def test_json_by_expressions_equals_the_walk(spark):
 
     assert len(got) == len(texts) and [texts[i] for i in got if not same(got[i], want[i])] == []
     assert "Python" not in df.select(F.to_json(redact_variant(F.try_parse_json("t"))))._jdf.queryExecution().toString()
+
+
+def test_plan_of_key_chains_does_not_double_with_each_round(spark):
+    """Chains of 100 links, one with a gap: the result is read from storage, not joined of all rounds' joins."""
+    rows = [("a", f"k{i}", f"k{i - 1}" if i else None) for i in range(100)] + [("b", f"k{i}", f"k{i - 1}") for i in range(3, 6)]
+    made = rotation.key_chains(spark.createDataFrame(rows, "tenant_id string, key_id string, predecessor_key_id string"), most=4096)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert {tuple(r) for r in made.collect()} == {("a", f"k{i}", "k0", i) for i in range(100)} | {("b", f"k{i}", "k3", i - 3) for i in range(3, 6)}
