@@ -1,4 +1,4 @@
-"""FF1 format-preserving encryption over an alphabet, from built-in functions."""
+"""FF1 format-preserving encryption over an alphabet."""
 
 from __future__ import annotations
 
@@ -7,72 +7,19 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import numerals as worker
+
 DIGITS, LOWER, ALNUM = "0123456789", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 LEAST_DOMAIN, ROUNDS = 1_000_000, 10
-#: A half must stay below this, so that its products with 64-bit words fit DECIMAL(38).
-MOST_HALF = 5 * 10**18
-
-
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def to_number(text: Column, alphabet: str) -> Column:
-    """The numerals of text as a number; null for a character outside the alphabet."""
-    place = lambda c: F.nullif(F.position(c, F.lit(alphabet)), F.lit(0)) - 1
-    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda s, c: s * len(alphabet) + place(c))
-
-
-def to_text(number: Column, n: int, alphabet: str) -> Column:
-    """n numerals of a number."""
-    powers = [len(alphabet) ** k for k in reversed(range(n))]
-    return F.concat(*[F.substr(F.lit(alphabet), (F.call_function("div", number, F.lit(p).cast("long")) % len(alphabet)).cast("int") + 1, F.lit(1)) for p in powers])
 
 
 def ff1(text: Column, key: Column, n: int, alphabet: str = DIGITS, tweak: Column | None = None, tweak_length: int = 0, back: bool = False) -> Column:
-    """FF1 of texts of n characters of alphabet; the AES key may be 16, 24 or 32 bytes; back decrypts.
+    """FF1 of texts of n characters of alphabet, of any n; the AES key may be 16, 24 or 32 bytes; back decrypts.
 
     tweak is a binary column of tweak_length bytes. Texts of another length or with other characters give null. The
-    domain must have LEAST_DOMAIN values at least. Halves of MOST_HALF values and more are worked on numeral by numeral (ff1_numerals).
+    domain must have LEAST_DOMAIN values at least. Runs in Python workers, on the numerals of a batch of rows at once.
     """
-    radix, u = len(alphabet), n // 2
-    v = n - u
-    if radix**n < LEAST_DOMAIN or n < 2:
-        raise ValueError("the domain is too small")
-    if radix**v > MOST_HALF:
-        place = lambda c: F.nullif(F.position(c, F.lit(alphabet)), F.lit(0)) - 1
-        numerals = F.transform(F.split(text, ""), lambda c: place(c).cast("int"))
-        made = ff1_numerals(numerals, key, n, radix, tweak, tweak_length, back)
-        return F.when(F.length(text) == n, let(made, lambda a: F.when(a.isNotNull(), F.array_join(F.transform(a, lambda x: F.substr(F.lit(alphabet), x + 1, F.lit(1))), ""))))
-    b, d, fixed, fill = frame(n, radix, tweak_length)
-    tweak = F.lit(b"") if tweak is None else tweak
-    size = 16 + tweak_length + len(fill) + 1 + b
-    dec = lambda x: F.lit(str(x)).cast("decimal(38,0)")
-    word = lambda h, a, k: F.conv(F.substring(h, a, k), 16, 10).cast("decimal(38,0)")
-
-    def said(i: Column, source: Column, modulus: Column) -> Column:
-        """The round's number modulo modulus."""
-        block = F.concat(F.lit(fixed), tweak, F.lit(fill), F.unhex(F.lpad(F.hex(i), 2, "0")), F.unhex(F.lpad(F.hex(source), 2 * b, "0")))
-        mac = F.hex(F.substring(F.aes_encrypt(block, key, F.lit("CBC"), F.lit("PKCS"), F.lit(bytes(16))), size + 1, d))
-        low = word(mac, 2 * d - 15, 16)
-        high = word(mac, 1, 2 * d - 16) if d > 8 else dec(0)
-        if d < 8:
-            low, high = word(mac, 1, 2 * d), dec(0)
-        return ((high % modulus) * (dec(2**64) % modulus) + low % modulus).cast("decimal(38,0)") % modulus
-
-    def step(s: Column, i: Column) -> Column:
-        modulus = F.when(i % 2 == 0, dec(radix**u)).otherwise(dec(radix**v))
-        if back:
-            number = (s["b"].cast("decimal(20,0)") - said(i, s["a"], modulus) + modulus) % modulus
-            return F.struct(number.cast("long").alias("a"), s["a"].alias("b"))
-        number = (s["a"].cast("decimal(20,0)") + said(i, s["b"], modulus)) % modulus
-        return F.struct(s["b"].alias("a"), number.cast("long").alias("b"))
-
-    rounds = F.array(*[F.lit(i) for i in (reversed(range(ROUNDS)) if back else range(ROUNDS))])
-    start = F.struct(to_number(F.substring(text, 1, u), alphabet).alias("a"), to_number(F.substring(text, u + 1, v), alphabet).alias("b"))
-    out = let(F.aggregate(rounds, start, step), lambda s: F.concat(to_text(s["a"], u, alphabet), to_text(s["b"], v, alphabet)))
-    return F.when(F.length(text) == n, out)
+    return ff1_any(text, key, range(n, n + 1), alphabet, tweak=tweak, tweak_length=tweak_length, back=back)
 
 
 def frame(n: int, radix: int, tweak_length: int) -> tuple[int, int, bytes, bytes]:
@@ -83,110 +30,29 @@ def frame(n: int, radix: int, tweak_length: int) -> tuple[int, int, bytes, bytes
     return b, 4 * math.ceil(b / 4) + 4, fixed, bytes((-tweak_length - b - 1) % 16)
 
 
-#: Numbers of any size are arrays of such words: a word times a radix (up to 65536) and a carry fit a BIGINT.
-WORD = 1 << 32
-
-
-def to_words(numerals: Column, radix: int, words: int) -> Column:
-    """The number of an array of numerals (first one highest) as an array of words, the lowest first."""
-
-    def taken(acc: Column, x: Column) -> Column:
-        def step(s: Column, w: Column) -> Column:
-            return let(w * radix + s["carry"], lambda t: F.struct(F.concat(s["out"], F.array(t.bitwiseAND(WORD - 1))).alias("out"), F.shiftright(t, 32).alias("carry")))
-
-        start = F.struct(F.array().cast("array<bigint>").alias("out"), x.cast("long").alias("carry"))
-        return F.aggregate(acc, start, step)["out"]
-
-    return F.aggregate(numerals, F.array(*[F.lit(0).cast("long")] * words), taken)
-
-
-def to_numerals(words: Column, radix: int, m: int) -> Column:
-    """The m low numerals of a number, the lowest first, of its words, the highest first: divided by the radix again and again."""
-
-    def digit(s: Column, _: Column) -> Column:
-        def divided(r: Column, w: Column) -> Column:
-            return let(r["rest"] * WORD + w, lambda t: F.struct(F.concat(r["out"], F.array(F.call_function("div", t, F.lit(radix).cast("long")))).alias("out"), (t % radix).alias("rest")))
-
-        start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("rest"))
-        return let(F.aggregate(s["words"], start, divided), lambda r: F.struct(r["out"].alias("words"), F.concat(s["digits"], F.array(r["rest"])).alias("digits")))
-
-    start = F.struct(words.alias("words"), F.array().cast("array<bigint>").alias("digits"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(m)), start, digit)["digits"]
-
-
-def added(a: Column, digits: Column, radix: int, minus: bool) -> Column:
-    """a plus (or minus) a number modulo radix to the length of a: numerals with the first one highest, and those of digits with the lowest first."""
-
-    def step(s: Column, pair: Column) -> Column:
-        total = pair["x"] - pair["y"] - s["carry"] if minus else pair["x"] + pair["y"] + s["carry"]
-        return let(total, lambda t: F.struct(F.concat(F.array(F.pmod(t, F.lit(radix)).cast("int")), s["out"]).alias("out"), (((t < 0) if minus else (t >= radix)).cast("long")).alias("carry")))
-
-    pairs = F.zip_with(F.reverse(a), digits, lambda x, y: F.struct(x.cast("long").alias("x"), y.alias("y")))
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).cast("long").alias("carry"))
-    return F.aggregate(pairs, start, step)["out"]
-
-
 def ff1_numerals(numerals: Column, key: Column, n: int, radix: int, tweak: Column | None = None, tweak_length: int = 0, back: bool = False) -> Column:
-    """FF1 of arrays of n numerals below radix (2 to 65536), of any n; back decrypts. Arrays of another length or with other numerals give null.
-
-    Halves are arrays of numerals. A round adds the number of its AES output numeral by numeral; numbers beyond 64 bits are arrays of 32-bit words.
-    The work grows with the square of n.
-    """
+    """FF1 of arrays of n numerals below radix (2 to 65536), of any n; back decrypts. Arrays of another length or with other numerals give null."""
     if not 2 <= radix <= 65536 or n < 2 or n > (1 << 31) or radix**n < LEAST_DOMAIN:
         raise ValueError("radix must be 2 to 65536 and the domain large enough")
-    u = n // 2
-    b, d, fixed, fill = frame(n, radix, tweak_length)
-    tweak = F.lit(b"") if tweak is None else tweak
-    size = 16 + tweak_length + len(fill) + 1 + b
-    words = -(-b // 4)
-
-    def said(i: Column, source: Column) -> Column:
-        """Words of the round's number, the highest first."""
-        number = F.array_join(F.transform(F.reverse(to_words(source, radix, words)), lambda w: F.lpad(F.hex(w), 8, "0")), "")
-        block = F.concat(F.lit(fixed), tweak, F.lit(fill), F.unhex(F.lpad(F.hex(i), 2, "0")), F.unhex(F.right(number, F.lit(2 * b))))
-        mac = F.hex(F.substring(F.aes_encrypt(block, key, F.lit("CBC"), F.lit("PKCS"), F.lit(bytes(16))), size + 1, 16))
-
-        def longer(r: Column) -> Column:
-            more = []
-            for j in range(1, -(-d // 16)):
-                low = F.conv(F.right(r, F.lit(8)), 16, 10).cast("long").bitwiseXOR(F.lit(j).cast("long"))
-                one = F.unhex(F.concat(F.substring(r, 1, 24), F.lpad(F.hex(low), 8, "0")))
-                more.append(F.hex(F.substring(F.aes_encrypt(one, key, F.lit("ECB"), F.lit("PKCS")), 1, 16)))
-            return F.substring(F.concat(r, *more), 1, 2 * d)
-
-        return let(let(mac, longer), lambda h: F.transform(F.sequence(F.lit(0), F.lit(d // 4 - 1)), lambda k: F.conv(F.substr(h, k * 8 + 1, F.lit(8)), 16, 10).cast("long")))
-
-    def step(s: Column, i: Column) -> Column:
-        own, other = (s["b"], s["a"]) if back else (s["a"], s["b"])
-        made = F.when(i % 2 == 0, added(own, to_numerals(said(i, other), radix, u), radix, back)).otherwise(added(own, to_numerals(said(i, other), radix, n - u), radix, back))
-        return F.struct(made.alias("a"), s["a"].alias("b")) if back else F.struct(s["b"].alias("a"), made.alias("b"))
-
-    rounds = F.array(*[F.lit(i) for i in (reversed(range(ROUNDS)) if back else range(ROUNDS))])
-    own = numerals.cast("array<int>")
-    start = F.struct(F.slice(own, 1, u).alias("a"), F.slice(own, u + 1, n - u).alias("b"))
-    fits = (F.size(own) == n) & F.forall(own, lambda x: F.coalesce((x >= 0) & (x < radix), F.lit(False)))
-    return F.when(fits, let(F.aggregate(rounds, start, step), lambda s: F.concat(s["a"], s["b"])))
-
-
-def ff1_any(text: Column, key: Column, lengths: range, alphabet: str = DIGITS, **options) -> Column:
+    made = F.arrow_udf(worker.of_arrays(n, radix, frame(n, radix, tweak_length), tweak_length, ROUNDS, back), "array<int>")
+    return made(numerals.cast("array<int>"), key, F.lit(b"") if tweak is None else tweak)
+
+
+def ff1_any(text: Column, key: Column, lengths: range, alphabet: str = DIGITS, tweak: Column | None = None, tweak_length: int = 0, back: bool = False) -> Column:
     """ff1 for texts of several lengths."""
-    out = F.lit(None).cast("string")
-    for n in lengths:
-        out = F.when(F.length(text) == n, ff1(text, key, n, alphabet, **options)).otherwise(out)
-    return out
+    radix = len(alphabet)
+    if any(n < 2 or radix**n < LEAST_DOMAIN for n in lengths):
+        raise ValueError("the domain is too small")
+    frames = {n: frame(n, radix, tweak_length) for n in lengths}
+    made = F.arrow_udf(worker.of_texts(frames, alphabet, tweak_length, ROUNDS, back), "string")
+    return made(text, key, F.lit(b"") if tweak is None else tweak)
 
 
 def in_shape(shape: Column, digits: Column) -> Column:
     """shape with its digits replaced in turn by those of digits; separators keep their places."""
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
-
-    def step(s: Column, c: Column) -> Column:
-        digit = c.rlike("^[0-9]$")
-        return F.struct(F.concat(s["out"], F.when(digit, F.substr(digits, s["k"], F.lit(1))).otherwise(c)).alias("out"), (s["k"] + F.when(digit, 1).otherwise(0)).alias("k"))
-
-    return F.aggregate(F.split(shape, ""), start, step)["out"]
+    return F.arrow_udf(worker.shaped, "string")(shape, digits)
 
 
 def fpe_digits(text: Column, key: Column, lengths: range, **options) -> Column:
     """Digits of card, social security or account numbers encrypted, separators kept: 12 to 19, 9, 6 to 20 digits."""
-    return let(F.regexp_replace(text, "[^0-9]", ""), lambda d: in_shape(text, ff1_any(d, key, lengths, **options)))
+    return in_shape(text, ff1_any(F.regexp_replace(text, "[^0-9]", ""), key, lengths, **options))

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -255,3 +256,26 @@ def test_plan_of_key_chains_does_not_double_with_each_round(spark):
     made = rotation.key_chains(spark.createDataFrame(rows, "tenant_id string, key_id string, predecessor_key_id string"), most=4096)
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
     assert {tuple(r) for r in made.collect()} == {("a", f"k{i}", "k0", i) for i in range(100)} | {("b", f"k{i}", "k3", i - 3) for i in range(3, 6)}
+
+
+# ---- many rows of FF1 ----
+
+
+def test_rows_of_several_keys_and_tweaks_equal_plain_integers(spark):
+    r = random.Random(5)
+    rows = [(i, "".join(r.choice(fpe.DIGITS) for _ in range(n)), bytes([i % 3]) * 16, bytes([i % 4]) * 5) for i, n in enumerate([7, 12, 45] * 8)]
+    odd = [(100, "1234567", None, b"tweak"), (101, "1234567", b"k" * 16, b"short"[:4]), (102, "1234567", b"k" * 16, None), (103, None, b"k" * 16, b"tweak"), (104, "123456789", b"k" * 16, b"tweak"), (105, "12\U0001f40045678", b"k" * 16, b"tweak")]
+    df = spark.createDataFrame(rows + odd, "id int, t string, k binary, w binary").repartition(2)
+    made = df.withColumn("c", fpe.ff1_any(F.col("t"), F.col("k"), (7, 12, 45), tweak=F.col("w"), tweak_length=5))
+    got = {x.id: x.c for x in made.collect()}
+    assert [got[i] for i, *_ in rows] == ["".join(map(str, plain_ff1(k, 10, w, list(map(int, t))))) for _, t, k, w in rows]
+    assert [got[i] for i, *_ in odd] == [None] * 6
+
+
+def test_many_long_texts_take_seconds(spark):
+    """One task's work on 20,000 texts of 45 digits, which took it over a minute by array expressions."""
+    text = F.lpad(F.col("id").cast("string"), 45, "0")
+    rows = spark.range(20_000, numPartitions=1).select(text.alias("t"))
+    began = time.time()
+    made = rows.withColumn("c", fpe.ff1(F.col("t"), F.lit(bytes(32)), 45)).agg(F.countDistinct("c").alias("n"), F.count_if(F.col("c") == F.col("t")).alias("same")).first()
+    assert tuple(made) == (20_000, 0) and time.time() - began < 30
