@@ -135,6 +135,7 @@ ADVANCE, TAG, ENTRY = b"fp-chain-advance", b"fp-index-tag", b"fp-entry-key"
 def expand_chain(states: DataFrame) -> DataFrame:
     """(keyword, step, state, tag, next_state) of rows (keyword, start, steps) and, if there, first (the step of start, else 0): that many steps of a hash chain.
 
+    next_state stands at the last step only, since before it is the state of the next row.
     Only a row's steps are sequential; a chain of which several states are known is walked from all of them at once.
     """
 
@@ -143,9 +144,10 @@ def expand_chain(states: DataFrame) -> DataFrame:
             out = []
             for keyword, first, start, steps in zip(batch["keyword"], batch["first"], batch["start"], batch["steps"], strict=True):
                 state = bytes(start)
-                for step in range(int(first), int(first) + int(steps)):
+                last = int(first) + int(steps) - 1
+                for step in range(int(first), last + 1):
                     after = chain_step(state, ADVANCE)
-                    out.append((keyword, step, state, base64.b64encode(chain_step(state, TAG)).decode(), after))
+                    out.append((keyword, step, state, base64.b64encode(chain_step(state, TAG)).decode(), after if step == last else None))
                     state = after
                     if len(out) >= 10_000:
                         yield pd.DataFrame(out, columns=["keyword", "step", "state", "tag", "next_state"])
@@ -159,6 +161,8 @@ def expand_chain(states: DataFrame) -> DataFrame:
 def entry_key(state: Column, salt: Column) -> Column:
     """Key of one entry: HMAC-SHA-256 under the chain's state (32 bytes, another one each row) of a label and a salt."""
     block = F.hex(state)
-    pad = lambda byte: F.unhex(F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.lpad(F.hex(F.conv(F.substr(block, i * 2 + 1, F.lit(2)), 16, 10).cast("long").bitwiseXOR(byte)), 2, "0")), ""), F.lit(f"{byte:02x}" * 32)))
+    # Eight bytes at a time as a signed number.
+    part = lambda i, byte: F.lpad(F.hex(F.conv(F.substring(block, 16 * i + 1, 16), 16, -10).cast("long").bitwiseXOR(F.lit(int(f"{byte:02x}" * 8, 16)))), 16, "0")
+    pad = lambda byte: F.unhex(F.concat(*[part(i, byte) for i in range(4)], F.lit(f"{byte:02x}" * 32)))
     first = F.unhex(F.sha2(F.concat(pad(0x36), F.lit(ENTRY), salt), 256))
     return F.unhex(F.sha2(F.concat(pad(0x5C), first), 256))

@@ -100,20 +100,23 @@ def forward_add(index: ForwardIndex, docs: DataFrame, state_key: Key, search: Ke
         return ForwardIndex(index.states, index.secure.union(rows.select(keyword_token(F.col("keyword"), search).alias("token"), "doc_id")).distinct(), index.aux, index.updates, index.anchors)
     numbered = numbered_in_order(rows.select("keyword", "doc_id", F.col(order).alias("__order")))
     fresh = rows.groupBy("keyword").agg(F.count("*").alias("steps"), F.first(hmac256(state_key, F.col("keyword"))).alias("first"))
-    grown = fresh.join(index.states, "keyword", "left").select("keyword", "steps", F.coalesce("initial", "first").alias("initial"), F.coalesce("current", "first").alias("start"), F.coalesce("counter", F.lit(0)).cast("long").alias("counter"))
+    # What is read again is stored, here and below: else plans hold each other several times over and grow beyond the driver's memory.
+    grown = stored(fresh.join(index.states, "keyword", "left").select("keyword", "steps", F.coalesce("initial", "first").alias("initial"), F.coalesce("current", "first").alias("start"), F.coalesce("counter", F.lit(0)).cast("long").alias("counter")), "grown")
     chain = stored(expand_chain(grown), "chain")
     # A salt by state and document: every read of these tables sees the same, also after a task was run again.
     salt = F.unhex(F.sha2(F.concat(F.lit("salt").cast("binary"), F.col("state"), F.col("doc_id").cast("binary")), 256))
     entries = numbered.join(chain, ["keyword", "step"]).withColumn("salt", salt)
     entries = entries.select("tag", F.concat("salt", encrypt(F.col("doc_id"), entry_key(F.col("state"), F.col("salt")))).alias("entry"))
-    ends = chain.groupBy("keyword").agg(F.max_by("next_state", "step").alias("current"))
+    ends = chain.filter("next_state IS NOT NULL").select("keyword", F.col("next_state").alias("current"))
     states = grown.join(ends, "keyword").select("keyword", "initial", "current", (F.col("counter") + F.col("steps")).alias("counter"))
     kept = index.states.join(states.select("keyword"), "keyword", "left_anti")
     anchors = index.anchors
     if anchors is not None:
-        at = chain.join(grown.select("keyword", "counter"), "keyword").withColumn("at", F.col("step") + F.col("counter"))
-        anchors = anchors.union(at.filter(F.col("at") % anchor_steps == 0).select("keyword", F.col("at").alias("step"), "state"))
-    return ForwardIndex(kept.union(states.select(*kept.columns)), index.secure, index.aux.union(entries), index.updates, anchors)
+        at = chain.join(grown.filter("counter > 0").select("keyword", "counter"), "keyword").withColumn("at", F.col("step") + F.col("counter"))
+        begun = chain.filter(F.col("step") % anchor_steps == 0).join(grown.filter("counter = 0").select("keyword"), "keyword", "left_semi").select("keyword", "step", "state")
+        going = at.filter(F.col("at") % anchor_steps == 0).select("keyword", F.col("at").alias("step"), "state")
+        anchors = stored(anchors.union(begun).union(going) if grown.filter("counter > 0").limit(1).count() else anchors.union(begun), "anchors")
+    return ForwardIndex(stored(kept.union(states.select(*kept.columns)), "states"), index.secure, index.aux.union(entries), index.updates, anchors)
 
 
 def chain_walks(known: DataFrame, anchors: DataFrame | None) -> DataFrame:
@@ -134,17 +137,23 @@ def forward_open(index: ForwardIndex, words: DataFrame | None, search_rows: Data
     search_rows is one row with the search key's columns.
     """
     known = index.states.join(words.select(F.lower("keyword").alias("keyword")).distinct(), "keyword", "left_semi") if words is not None else index.states
-    chain = expand_chain(chain_walks(known, index.anchors))
-    met = chain.join(index.aux, "tag")
+    chain = expand_chain(chain_walks(known, index.anchors)).select("keyword", "state", "tag")
     blob = F.substr(F.col("entry"), F.lit(33), F.length("entry") - 32)
-    opened = met.select("keyword", "tag", try_decrypt(blob, entry_key(F.col("state"), F.substring("entry", 1, 32))).cast("string").alias("doc_id"))
+    doc = try_decrypt(blob, entry_key(F.col("state"), F.substring("entry", 1, 32))).cast("string").alias("doc_id")
+    if words is None:
+        # Of all entries one pass tells both which are opened and which are left.
+        both = index.aux.join(chain, "tag", "left")
+        both = stored(both.select("keyword", doc, *[F.when(F.col("keyword").isNull(), F.col(c)).alias(c) for c in ("tag", "entry")]), "opened")
+        opened, aux = both.filter("keyword IS NOT NULL").select("keyword", "doc_id"), both.filter("keyword IS NULL").select("tag", "entry")
+    else:
+        opened = stored(chain.join(index.aux, "tag").select("keyword", "tag", doc), "opened")
+        aux = index.aux.join(opened.select("tag"), "tag", "left_anti")
     token = lambda df: df.join(F.broadcast(search_rows)).withColumn("token", keyword_token(F.col("keyword"), search))
     secure = index.secure.union(token(opened).select("token", "doc_id")).distinct()
     # The next start of a chain needs the search key, so that who has seen the old one can't follow.
     start = hmac256(search, F.concat(F.lit("renewed").cast("binary"), F.col("initial"), F.col("keyword").cast("binary")))
     renewed = known.join(F.broadcast(search_rows)).select("keyword", start.alias("initial")).select("keyword", "initial", F.col("initial").alias("current"), F.lit(0).cast("long").alias("counter"))
     states = index.states.join(known.select("keyword"), "keyword", "left_anti").union(renewed)
-    aux = index.aux.join(opened.select("tag"), "tag", "left_anti")
     found = opened.select("keyword", "doc_id")
     if words is not None:
         asked = token(words.select(F.lower("keyword").alias("keyword")).distinct()).select("keyword", "token")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,17 +39,31 @@ def prepared(spark: SparkSession, name: str, source: str, write: Callable[[str],
     old = _prepared.get(own, ("", ""))
     if old[1] != state:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        write(path)
+        with freed(spark):
+            write(path)
         _prepared[own] = path, state
         if old[0]:
             removed(spark, old[0])
     return _prepared[own][0]
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """While it holds, a query's shuffle files are deleted as soon as the query has ended, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str = "staged") -> DataFrame:
     """df written as Parquet and read back, so that costly columns (ciphertexts) are computed once. The folder stays until ``dropped`` takes it away."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freed(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -1,5 +1,6 @@
 """FF1 of any length against plain integers, chains walked in parts, streams that go on, nested JSON."""
 
+import hmac
 import json
 import random
 import time
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushlake.functions import fpe
-from hushlake.functions.helpers import redact_json, redacted_json
+from hushlake.functions.helpers import ENTRY, entry_key, redact_json, redacted_json
 from hushlake.functions.text import redact_variant
 from hushlake.operators import index, rotation
 from hushlake.sources import staging
@@ -279,3 +280,22 @@ def test_many_long_texts_take_seconds(spark):
     began = time.time()
     made = rows.withColumn("c", fpe.ff1(F.col("t"), F.lit(bytes(32)), 45)).agg(F.countDistinct("c").alias("n"), F.count_if(F.col("c") == F.col("t")).alias("same")).first()
     assert tuple(made) == (20_000, 0) and time.time() - began < 30
+
+
+def test_plan_of_a_forward_index_stays_small(spark):
+    """What is read again is stored: in strong mode the plan of the statistics held those of the chains many times over."""
+    docs = spark.createDataFrame([("d1", "alpha beta gamma"), ("d2", "beta delta"), ("d3", "")], "doc_id string, content string")
+    rows, one = with_keys(docs, st=M, s=S), with_keys(spark.range(1).drop("id"), s=S)
+    built = index.forward_update(index.empty_forward(spark), rows, key("st"), one, key("s"), "strong", threshold=1)
+    told = index.index_statistics(built, docs)
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 8 and "explode" not in plan
+    assert told.select("secure_entries", "auxiliary_entries", "keywords").first()[:] == (5, 0, 4)
+
+
+def test_keys_of_entries_are_hmacs(spark):
+    r = random.Random(9)
+    states = [bytes(32), b"\xff" * 32, b"\x80" + bytes(31), *(r.randbytes(32) for _ in range(50))]
+    df = spark.createDataFrame([(i, s, r.randbytes(32)) for i, s in enumerate(states)], "id int, state binary, salt binary")
+    for x in df.withColumn("k", entry_key(F.col("state"), F.col("salt"))).collect():
+        assert x.k == hmac.new(bytes(x.state), ENTRY + bytes(x.salt), "sha256").digest()
