@@ -9,6 +9,7 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -166,3 +167,44 @@ def entry_key(state: Column, salt: Column) -> Column:
     pad = lambda byte: F.unhex(F.concat(*[part(i, byte) for i in range(4)], F.lit(f"{byte:02x}" * 32)))
     first = F.unhex(F.sha2(F.concat(pad(0x36), F.lit(ENTRY), salt), 256))
     return F.unhex(F.sha2(F.concat(pad(0x5C), first), 256))
+
+
+def runs_in_blocks(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over postings (tenant_id, token, doc_id, part) sorted by tenant_id and doc_id: the blocks of each run of ``size`` documents of a tenant. One run's postings are held at a time."""
+
+    def block(table: pa.Table, part: int, run: int) -> pa.RecordBatch:
+        found = table.group_by(["token", "doc_id"]).aggregate([]).sort_by([("token", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        token, docs = (found.column(c).combine_chunks() if found.column(c).num_chunks != 1 else found.column(c).chunk(0) for c in ("token", "doc_id"))
+        codes = token.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])).astype(np.int32)
+        ends = np.append(starts[1:], np.int32(len(codes))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1:]), pa.int32()), docs)
+        tenant = table.column("tenant_id")[0].as_py()
+        columns = [pa.array([tenant] * len(starts), pa.string()), token.take(pa.array(starts)), pa.array(np.full(len(starts), (part << 32) + run)), pa.array(ends - starts), docs.take(pa.array(starts)), docs.take(pa.array(ends - 1)), lists]
+        return pa.RecordBatch.from_arrays(columns, names=["tenant_id", "token", "range", "n", "first_doc", "last_doc", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now, seen, number, last = None, 0, 0, None  # tenant, documents of the run, number of the run, last document
+        for batch in batches:
+            part, start = batch.column("part")[0].as_py() if batch.num_rows else 0, 0
+            tenants, docs = batch.column("tenant_id").to_pylist(), batch.column("doc_id").to_pylist()
+            rows = batch.select(["tenant_id", "token", "doc_id"])
+            for i, (tenant, doc) in enumerate(zip(tenants, docs, strict=True)):
+                if last is not None and (tenant, doc) == last:
+                    continue
+                # A new document.
+                if last is not None and (tenant != now or seen == size):
+                    held.append(rows.slice(start, i - start))
+                    yield block(pa.Table.from_batches(held), part, number)
+                    held, start, number = [], i, number + 1
+                    seen = 0
+                number = 0 if tenant != now else number
+                now, last, seen = tenant, (tenant, doc), seen + 1
+            if batch.num_rows:
+                held.append(rows.slice(start))
+                own = part
+        if last is not None:
+            yield block(pa.Table.from_batches(held), own, number)
+
+    return run

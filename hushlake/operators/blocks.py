@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.helpers import runs_in_blocks
 from ..sources.staging import dropped, stored
 from .search import FILTER_TOKENS
 
@@ -14,31 +15,27 @@ from .search import FILTER_TOKENS
 RANGE_DOCS, FIRST_RANGES, GROWTH = 1024, 2, 4
 
 
-def document_ranges(postings: DataFrame, size: int = RANGE_DOCS) -> DataFrame:
-    """(tenant_id, doc_id, range): runs of ``size`` documents of a tenant in the order of their ids; the number of a run ascends with the ids.
-
-    Documents are dealt out by ranges of (tenant_id, doc_id) and numbered within, so a large tenant is the work of many tasks.
-    """
-    dealt = stored(postings.select("tenant_id", "doc_id").distinct().repartitionByRange("tenant_id", "doc_id").withColumn("__part", F.spark_partition_id()), "documents")
-    place = F.row_number().over(Window.partitionBy("__part", "tenant_id").orderBy("doc_id"))
-    number = F.col("__part").cast("long") * F.lit(1 << 32) + F.floor((place - 1) / size)
-    return dealt.select("tenant_id", "doc_id", number.alias("range"))
+def by_document(rows: DataFrame) -> DataFrame:
+    """Rows dealt out by ranges of (tenant_id, doc_id) and sorted by them."""
+    return rows.repartitionByRange("tenant_id", "doc_id").sortWithinPartitions("tenant_id", "doc_id")
 
 
-def build_blocks(postings: DataFrame, size: int = RANGE_DOCS) -> DataFrame:
+def build_blocks(postings: DataFrame, size: int = RANGE_DOCS, dealt: bool = False) -> DataFrame:
     """(tenant_id, token, range, n, first_doc, last_doc, docs): the documents of a token in a range, sorted; a block holds ``size`` documents at most.
 
-    Blocks of all tokens are cut at the same documents, so the blocks of one range tell how many words a document of it can match.
+    A range is a run of ``size`` documents of a tenant in the order of their ids; its number ascends with the ids. Blocks of all tokens are cut at the same documents, so
+    the blocks of one range tell how many words a document of it can match. Postings are dealt out once, by ranges of (tenant_id, doc_id), so a large tenant
+    is the work of many tasks; a document's postings stay together, and those of one run at a time are put into blocks. dealt: they have been made of documents
+    dealt out by_document, which are much smaller than their tokens.
     """
-    placed = postings.distinct().join(document_ranges(postings, size), ["tenant_id", "doc_id"])
-    blocks = placed.groupBy("tenant_id", "token", "range").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
-    return blocks.select("tenant_id", "token", "range", F.size("docs").alias("n"), F.get("docs", F.lit(0)).alias("first_doc"), F.element_at("docs", -1).alias("last_doc"), "docs")
+    rows = postings.select("tenant_id", "token", "doc_id")
+    rows = (rows if dealt else by_document(rows)).withColumn("part", F.spark_partition_id())
+    return rows.mapInArrow(runs_in_blocks(size), "tenant_id string, token string, range long, n int, first_doc string, last_doc string, docs array<string>")
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Parquet by tenant, sorted by token and range within ranges of tokens, so that a scan for few tokens and ranges skips most row groups and pages."""
-    dealt = blocks.repartitionByRange("tenant_id", "token", "range").sortWithinPartitions("tenant_id", "token", "range")
-    dealt.write.partitionBy("tenant_id").parquet(path)
+    """Parquet by tenant; each file holds a range of documents, sorted by token and range, so that a scan for few tokens and ranges skips most row groups and pages."""
+    blocks.sortWithinPartitions("tenant_id", "token", "range").write.partitionBy("tenant_id").parquet(path)
 
 
 @dataclass

@@ -12,11 +12,16 @@ POSTINGS = "tenant_id string, token string, doc_id string"
 KEY_METADATA = "key_type string, created_at timestamp, expires_at timestamp, rotation_period_days int, description string, last_rotated timestamp, access_count bigint, active boolean, version int, lifecycle_state string, successor_key_id string, predecessor_key_id string, retention_expires_at timestamp, compromise_detected_at timestamp, total_records_encrypted bigint"
 
 
-def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
+def by_tenant(df: DataFrame) -> DataFrame:
+    """Rows dealt out by tenant; a large tenant is spread over partitions by size, and a small one is in one."""
+    return df.hint("rebalance", "tenant_id")
+
+
+def write_table(df: DataFrame, path: str, mode: str = "append", dealt: bool = False) -> None:
     """Parquet by tenant. Postings are dealt out by tenant and sorted by token in each file; a large tenant, whatever its tokens, is spread over files by size, and a
-    small one is one file."""
+    small one is one file. dealt: they have been made of documents dealt out by_tenant, which are much smaller than their tokens."""
     if "token" in df.columns:
-        df = df.hint("rebalance", "tenant_id").sortWithinPartitions("tenant_id", "token")
+        df = (df if dealt else by_tenant(df)).sortWithinPartitions("tenant_id", "token")
     df.write.mode(mode).partitionBy("tenant_id").parquet(path)
 
 

@@ -110,3 +110,14 @@ def test_fences_refuse_other_keys_and_malformed_ciphertexts(spark):
         fences.parts([b"short"])
     assert fences.fit_fences(rows.limit(0)) == [] and fences.global_order(rows.limit(0), [], "id").count() == 0
     assert Counter(r.i for r in rows.select(fences.interval(F.col("ore"), []).alias("i")).collect()) == {0: 3}
+
+
+def test_blocks_of_dealt_documents_need_no_shuffle_of_tokens(spark):
+    docs = spark.createDataFrame([(f"t{i % 2}", f"{i:03}", f"w{i % 7} w{i % 3} common") for i in range(90)], "tenant_id string, doc_id string, content string")
+    tokens = lambda df: df.selectExpr("tenant_id", "explode(split(content, ' ')) AS token", "doc_id")
+    dealt = blocks.build_blocks(tokens(blocks.by_document(docs)), 32, dealt=True)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.index("Generate") < plan.index("RepartitionByExpression") and "Aggregate" not in plan
+    got = dealt.selectExpr("tenant_id", "token", "explode(docs) AS doc_id").collect()
+    assert sorted(map(tuple, got)) == sorted({tuple(r) for r in tokens(docs).collect()})
+    assert all(r.n == len(r.docs) <= 32 and list(r.docs) == sorted(r.docs) and (r.first_doc, r.last_doc) == (r.docs[0], r.docs[-1]) for r in dealt.collect())
